@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_or_empty
 
@@ -245,7 +246,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, out_col])
 
-    return df.mapInArrow(run, df.schema.add(out_col, "array<int>"))
+    return df.mapInArrow(run, df.schema.add(out_col, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
