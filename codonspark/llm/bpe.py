@@ -246,7 +246,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, out_col])
 
-    return df.mapInArrow(run, df.schema.add(out_col, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -259,7 +259,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
             texts = [tokenizer(path).decode(ids or []) for ids in batch.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out_col])
 
-    return df.mapInArrow(run, df.schema.add(out_col, "string"))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
