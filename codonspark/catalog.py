@@ -1,4 +1,724 @@
-"""Registered queries and their SQL twins."""
+"""The queries over the driver's tables and their DuckDB twins.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+``query`` registers a function of (spark, sf_dir) under its name with its SQL, None where SQL can't express it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codonspark.functions import codes
+from codonspark.functions import proteins as P
+from codonspark.functions import sequences as S
+from codonspark.operators import centroid, checks, gaps, joins, labels, metrics, orf, rows, sites
+from codonspark.plans.frames import AS_BASES, AS_RESIDUES, LETTERS, document_alignments, document_sequences
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+# --- SQL fragments
+
+_ID = "concat(coalesce(source, 'none'), '_', (doc_id % 40)::VARCHAR, '.', (doc_id % 3)::VARCHAR)"
+_LETTERS = "regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')"
+SEQS = f"SELECT doc_id AS input_order, {_ID} AS id, lang, translate(upper({_LETTERS}), '{LETTERS}', '{AS_BASES}') AS seq FROM documents"
+PROTEINS = f"SELECT doc_id AS input_order, {_ID} AS id, lang, translate(upper({_LETTERS}), '{LETTERS}', '{AS_RESIDUES}') AS seq FROM documents"
+CASED = f"SELECT doc_id AS input_order, {_ID} AS id, translate({_LETTERS}, '{LETTERS}{LETTERS.lower()}', '{AS_BASES}{AS_BASES.lower()}') AS seq FROM documents"
+ALIGNED = f"SELECT ceil(length(seq) / 60)::BIGINT AS alignment_id, input_order, id, rpad(seq, (ceil(length(seq) / 60) * 60)::INT, '-') AS seq FROM ({SEQS}) WHERE length(seq) > 0"
+CODON = "substr(seq, (3 * k + 1)::INT, 3)"
+
+
+def codon_rows_sql(frame: str, keys: str) -> str:
+    return f"SELECT {keys}, k AS site, {CODON} AS codon FROM (SELECT *, unnest(range(length(seq) // 3)) AS k FROM ({frame}))"
+
+
+def cls_sql(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '[-?.]') THEN 'missing' WHEN regexp_matches({c}, '[^ACGT]') THEN 'ambiguous' WHEN {c} IN ('TAA', 'TAG', 'TGA') THEN 'stop' ELSE 'clean' END"
+
+
+def aa_sql(c: str) -> str:
+    at = lambda k: f"(instr('TCAG', substr({c}, {k}, 1)) - 1)"
+    return f"substr('{codes.CODES[1][1]}', ({at(1)} * 16 + {at(2)} * 4 + {at(3)} + 1)::INT, 1)"
+
+
+def iupac_sql(c: str) -> str:
+    letters = "".join(codes.IUPAC)
+    at = lambda k: f"(instr('{letters}', substr({c}, {k}, 1)) - 1)"
+    known = f"substr('{codes.ambiguous_residues(1)}', ({at(1)} * 225 + {at(2)} * 15 + {at(3)} + 1)::INT, 1)"
+    return f"CASE WHEN regexp_full_match({c}, '[-.]+') THEN '-' WHEN regexp_matches({c}, '[-?.]') THEN 'X' ELSE {known} END"
+
+
+CS = "regexp_extract_all(seq, '.{3}')"
+CHUNKS = "regexp_extract_all(seq, '.{1,3}')"
+TAA = "c IN ('TAA', 'TAG', 'TGA')"
+
+
+def n_of(test: str, codons: str = CS) -> str:
+    return f"len(list_filter({codons}, lambda c: {test}))::BIGINT"
+
+
+KNOWN = f"list_filter({CS}, lambda c: NOT regexp_matches(c, '[-?.]'))"
+INTERNAL = f"coalesce(len(list_filter(list_slice({KNOWN}, 1, len({KNOWN}) - 1), lambda c: {TAA})) > 0, false)"
+
+
+# --- rows
+
+@query(f"""SELECT codon, {aa_sql('codon')} AS aa, n, round(n / sum(n) OVER (), 6) AS fraction FROM (SELECT codon, count(*) AS n FROM ({codon_rows_sql(SEQS, 'input_order')}) WHERE regexp_full_match(codon, '[ACGT]{{3}}') GROUP BY codon)""")
+def codon_usage(spark, sf_dir):
+    return rows.codon_usage(document_sequences(spark, sf_dir)).withColumn("fraction", r6("fraction"))
+
+
+@query(f"""SELECT count(*) AS num_sequences, coalesce(sum(length(seq)), 0)::BIGINT AS total_length, coalesce(sum(length(regexp_replace(seq, '[^a-z]', '', 'g'))), 0)::BIGINT AS softmasked,
+coalesce(sum(length(regexp_replace(seq, '[^Nn]', '', 'g'))), 0)::BIGINT AS num_n, coalesce(sum(length(regexp_replace(seq, '[^-]', '', 'g'))), 0)::BIGINT AS num_gap,
+round(sum(length(regexp_replace(seq, '[^GCgc]', '', 'g'))) / sum(length(seq)) * 100, 6) AS gc_percent FROM ({CASED})""")
+def sequence_stats(spark, sf_dir):
+    return rows.sequence_stats(document_sequences(spark, sf_dir, keep_case=True)).withColumn("gc_percent", r6("gc_percent"))
+
+
+def _gc(k: str) -> str:
+    joined = {"all": "seq"}.get(k, f"list_aggregate(list_transform({CHUNKS}, lambda c: substr(c, {k[-1]}, 1)), 'string_agg', '')")
+    g, n = (f"length(regexp_replace(coalesce({joined}, ''), '[^{x}]', '', 'g'))" for x in ("GC", "ACGT"))
+    return f"round(CASE WHEN {n} = 0 THEN 0.0 ELSE {g} / {n} * 100 END, 6) AS gc{k[-1] if k != 'all' else '_all'}"
+
+
+@query(f"""SELECT input_order, id AS seq_id, length(seq)::BIGINT AS nt_length, (length(seq) // 3)::BIGINT AS codons_total, len({KNOWN})::BIGINT AS codons_complete, {n_of("regexp_matches(c, '[-?.]')", CHUNKS)} AS codons_missing,
+{n_of("NOT regexp_matches(c, '[-?.]') AND regexp_matches(c, '[^ACGT]')")} AS codons_ambiguous, {n_of(TAA)} AS codons_stop, {_gc('all')}, {_gc('1')}, {_gc('2')}, {_gc('3')} FROM ({SEQS})""")
+def codon_stats(spark, sf_dir):
+    out = rows.codon_stats(document_sequences(spark, sf_dir))
+    return out.withColumns({c: r6(c) for c in ("gc_all", "gc1", "gc2", "gc3")})
+
+
+_METRICS = f"""SELECT input_order, id, length(seq)::BIGINT AS length_nt, (length(seq) % 3)::BIGINT AS tail_nt, length(seq) % 3 <> 0 AS non_triplet, {INTERNAL} AS internal_stop, (length(seq) // 3)::BIGINT AS total_codons,
+{n_of(cls_sql('c') + " = 'clean'")} AS clean_codons, {n_of(cls_sql('c') + " = 'missing'")} AS missing_codons, {n_of(cls_sql('c') + " = 'ambiguous'")} AS ambiguous_codons, {n_of(cls_sql('c') + " = 'stop'")} AS stop_codons FROM ({SEQS})"""
+_REPORT = f"""SELECT *, CASE WHEN total_codons > 0 THEN clean_codons / total_codons ELSE 0.0 END AS f FROM ({_METRICS})"""
+
+
+def _filter_sql(internal: bool, dedup: str) -> str:
+    stop = "internal_stop" if internal else "false"
+    first = f"concat_ws(',', CASE WHEN non_triplet THEN 'non_triplet' END, CASE WHEN {stop} THEN 'internal_stop' END, CASE WHEN f < 0.8 THEN 'low_clean_fraction' END)"
+    order = "length_nt DESC, input_order" if dedup == "keep-longest" else "input_order"
+    return f"""SELECT input_order, id, length_nt, tail_nt, non_triplet, {stop} AS internal_stop, total_codons, clean_codons, missing_codons, ambiguous_codons, stop_codons, round(f, 6) AS clean_codon_fraction, CASE WHEN r = '' AND k > 1 THEN 'duplicate' ELSE r END AS reasons, r = '' AND k = 1 AS kept
+FROM (SELECT *, row_number() OVER (PARTITION BY id, r = '' ORDER BY {order}) AS k FROM (SELECT *, {first} AS r FROM ({_REPORT})))"""
+
+
+def _filtered(spark, sf_dir, internal, dedup):
+    out = rows.filter_report(document_sequences(spark, sf_dir), drop_internal_stop=internal, min_clean_codon_fraction=0.8, dedup=dedup)
+    return out.drop("seq", "lang").withColumn("reasons", F.array_join("reasons", ",")).withColumn("clean_codon_fraction", r6("clean_codon_fraction"))
+
+
+@query(_filter_sql(True, "keep-longest"))
+def filter_keep_longest(spark, sf_dir):
+    return _filtered(spark, sf_dir, True, "keep-longest")
+
+
+@query(_filter_sql(False, "keep-first"))
+def filter_keep_first(spark, sf_dir):
+    return _filtered(spark, sf_dir, False, "keep-first")
+
+
+_GAPONLY = "regexp_full_match(seq, '[-?.NXnx]+')"
+_VALID = f"""SELECT input_order, id, length(seq)::BIGINT AS n, length(seq) % 3 <> 0 AS non_triplet, {_GAPONLY} AS gap_only, {INTERNAL} AS internal_stop, {n_of("NOT regexp_matches(c, '[-?.]') AND regexp_matches(c, '[^ACGT]')")} AS ambiguous_codons, len({KNOWN})::BIGINT AS evaluable_codons FROM ({SEQS})"""
+
+
+@query(_VALID)
+def validate_rows(spark, sf_dir):
+    return rows.validate_rows(document_sequences(spark, sf_dir)).withColumn("n", F.col("n").cast("long"))
+
+
+@query(f"""SELECT count(*) AS num_sequences, min(n) = max(n) AS aligned, count(*) FILTER (non_triplet) AS non_triplet, count(*) FILTER (gap_only) AS gap_only, count(*) FILTER (internal_stop) AS internal_stop, sum(ambiguous_codons)::BIGINT AS ambiguous_codons, sum(evaluable_codons)::BIGINT AS evaluable_codons,
+(SELECT count(*) FROM (SELECT id FROM ({SEQS}) GROUP BY id HAVING count(*) > 1)) AS duplicate_ids, round(sum(ambiguous_codons) / sum(evaluable_codons), 6) AS ambiguous_rate FROM ({_VALID})""")
+def validate_summary(spark, sf_dir):
+    return rows.validate_summary(document_sequences(spark, sf_dir)).withColumn("ambiguous_rate", r6("ambiguous_rate"))
+
+
+@query(f"SELECT input_order, concat('>', id, chr(10), seq) AS line FROM ({SEQS}) WHERE regexp_full_match(id, 'src1_[0-9]+\\.[01]')")
+def print_sequences(spark, sf_dir):
+    return rows.print_sequences(document_sequences(spark, sf_dir), r"src1_[0-9]+\.[01]")
+
+
+@query(f"SELECT input_order, id FROM ({SEQS}) WHERE NOT (regexp_full_match(id, 'src0_1.*') OR (CASE WHEN length(seq) = 0 THEN 0.0 ELSE length(regexp_replace(seq, '[^-NX?]', '', 'g')) / length(seq) END) >= 0.02)")
+def remove_sequences(spark, sf_dir):
+    return rows.remove_sequences(document_sequences(spark, sf_dir), "src0_1.*", percent=2).select("input_order", "id")
+
+
+@query(f"""SELECT input_order, id, length(seq)::BIGINT AS n, group_order FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY length(seq) DESC, input_order) AS k, min(input_order) OVER (PARTITION BY g) AS group_order FROM (SELECT *, regexp_replace(id, '\\.[0-9]+$', '') AS g FROM ({SEQS}))) WHERE k = 1""")
+def aggregate_longest(spark, sf_dir):
+    return rows.longest_of_group(document_sequences(spark, sf_dir), [r"\.[0-9]+$"]).select("input_order", "id", F.length("seq").cast("long").alias("n"), "group_order")
+
+
+@query(f"""SELECT input_order, CASE WHEN n > 1 THEN concat(id, '_', k::VARCHAR) ELSE id END AS id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY input_order) AS k, count(*) OVER (PARTITION BY id) AS n FROM (SELECT input_order, substr(translate(id, 's.', 'xx'), 1, 6) AS id FROM ({SEQS})))""")
+def label_ids(spark, sf_dir):
+    return rows.relabel(document_sequences(spark, sf_dir), "s.--x", 6, True).select("input_order", "id")
+
+
+_BAD = "(c LIKE '%-%' AND c <> '---') OR c IN ('TAA', 'TAG', 'TGA') OR (c <> '---' AND NOT regexp_full_match(c, '[ACGT]{3}'))"
+
+
+@query(f"SELECT input_order, coalesce(list_aggregate(list_transform({CHUNKS}, lambda c: CASE WHEN {_BAD} THEN 'NNN' ELSE c END), 'string_agg', ''), '') AS seq FROM ({SEQS})")
+def mask_codons(spark, sf_dir):
+    return rows.mask(document_sequences(spark, sf_dir)).select("input_order", "seq")
+
+
+def _stops(s: str) -> str:
+    return f"len(list_filter(list_slice(regexp_extract_all({s}, '.{{3}}'), 1, greatest(len(regexp_extract_all({s}, '.{{3}}')) - 1, 0)), lambda c: {TAA}))"
+
+
+def _pads(options) -> str:
+    return "[" + ", ".join(f"struct_pack(stops := {_stops(f'concat(repeat(chr(78), {h}), seq, repeat(chr(78), {t}))')}, k := {k}, head := {h}, tail := {t})" for k, (h, t) in enumerate(options)) + "]"
+
+
+@query(f"""SELECT input_order, concat(repeat('N', head), seq, repeat('N', tail)) AS seq, head, tail, padded FROM (SELECT input_order, seq, inner_stops > 0 OR m > 0 AS padded,
+CASE WHEN inner_stops > 0 THEN list_min(o).head ELSE 0 END AS head, CASE WHEN inner_stops > 0 THEN list_min(o).tail ELSE m END AS tail FROM (SELECT *, {_stops("concat(seq, repeat('N', m))")} AS inner_stops, CASE m WHEN 0 THEN {_pads([(0, 0), (1, 2), (2, 1)])} WHEN 1 THEN {_pads([(0, 1), (1, 0), (2, 2)])} ELSE {_pads([(0, 2), (2, 0), (1, 1)])} END AS o FROM (SELECT input_order, seq, ((3 - length(seq) % 3) % 3)::INT AS m FROM ({SEQS}))))""")
+def pad_sequences(spark, sf_dir):
+    return rows.pad(document_sequences(spark, sf_dir)).select("input_order", "seq", "head", "tail", "padded")
+
+
+_TRANSLATED = f"coalesce(list_aggregate(list_transform({CS}, lambda c: {iupac_sql('c')}), 'string_agg', ''), '')"
+
+
+@query(f"SELECT input_order, {_TRANSLATED} AS seq FROM ({SEQS})")
+def translate_sequences(spark, sf_dir):
+    return rows.translate(document_sequences(spark, sf_dir)).select("input_order", "seq")
+
+
+@query(f"SELECT input_order, string_split({_TRANSLATED}, '*')[1] AS seq FROM ({SEQS})")
+def translate_to_stop(spark, sf_dir):
+    return rows.translate(document_sequences(spark, sf_dir), to_stop=True).select("input_order", "seq")
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS part, input_order, coalesce(list_aggregate(list_transform({CHUNKS}, lambda c: substr(c, {k}, 1)), 'string_agg', ''), '') AS seq FROM ({SEQS})" for k, n in ((1, "1st"), (2, "2nd"), (3, "3rd"))))
+def split_positions(spark, sf_dir):
+    parts = [df.select(F.lit(name).alias("part"), "input_order", "seq") for name, df in rows.split_positions(document_sequences(spark, sf_dir)).items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"SELECT input_order, reverse(translate(seq, 'ACGTRYMKWSBDHVN', 'TGCAYRKMWSVHDBN')) AS seq FROM ({SEQS})")
+def reverse_complements(spark, sf_dir):
+    return document_sequences(spark, sf_dir).select("input_order", S.reverse_complement(F.col("seq")).alias("seq"))
+
+
+@query(f"SELECT input_order, id, ambiguous_codons FROM ({_VALID}) WHERE ambiguous_codons > 0 ORDER BY ambiguous_codons DESC, id, input_order LIMIT 20")
+def most_ambiguous(spark, sf_dir):
+    return rows.top_ambiguous(document_sequences(spark, sf_dir), 20)
+
+
+@query(f"SELECT input_order, string_agg(concat(k::VARCHAR, '+', n::VARCHAR), ',' ORDER BY k) AS runs FROM (SELECT input_order, k, length(regexp_extract(substr(seq, (k + 1)::INT), '^N+')) AS n FROM (SELECT input_order, seq, unnest(range(length(seq))) AS k FROM ({SEQS})) WHERE substr(seq, (k + 1)::INT, 1) = 'N' AND (k = 0 OR substr(seq, k::INT, 1) <> 'N')) GROUP BY input_order")
+def n_runs(spark, sf_dir):
+    found = document_sequences(spark, sf_dir).select("input_order", S.runs(F.col("seq"), "N").alias("r")).where(F.size("r") > 0)
+    return found.select("input_order", F.array_join(F.transform("r", lambda x: F.concat(x["start"].cast("string"), F.lit("+"), x["len"].cast("string"))), ",").alias("runs"))
+
+
+# --- checks
+
+@query(f"SELECT id, length(seq)::BIGINT AS length FROM ({SEQS}) WHERE length(seq) % 3 <> 0")
+def check_triplets(spark, sf_dir):
+    return checks.not_triplets(document_sequences(spark, sf_dir))
+
+
+@query(f"SELECT id, length(replace(seq, '-', ''))::BIGINT AS length FROM ({SEQS}) WHERE length(replace(seq, '-', '')) % 3 <> 0")
+def check_triplets_without_gaps(spark, sf_dir):
+    return checks.not_triplets(document_sequences(spark, sf_dir), ignore_gaps=True)
+
+
+@query(f"SELECT length(seq)::BIGINT AS length, count(*) AS n FROM ({SEQS}) GROUP BY 1")
+def check_aligned(spark, sf_dir):
+    return checks.unequal_lengths(document_sequences(spark, sf_dir))
+
+
+@query("SELECT page_id::VARCHAR AS id, list_aggregate(list_sort(list_distinct(string_split(regexp_replace(coalesce(url, ''), '[A-Za-z*?.-]', '', 'g'), ''))), 'string_agg', '') AS characters FROM pages WHERE regexp_replace(coalesce(url, ''), '[A-Za-z*?.-]', '', 'g') <> ''")
+def check_alphabet(spark, sf_dir):
+    return checks.bad_characters(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.coalesce("url", F.lit("")).alias("seq")))
+
+
+@query(f"SELECT id, count(*) AS n FROM ({SEQS}) GROUP BY id HAVING count(*) > 1")
+def check_unique_ids(spark, sf_dir):
+    return checks.repeated_ids(document_sequences(spark, sf_dir))
+
+
+@query("SELECT 'left' AS side, doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'right', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def check_same_ids(spark, sf_dir):
+    return checks.unmatched_ids(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+
+
+# --- columns of alignments
+
+_COLS = codon_rows_sql(ALIGNED, "alignment_id, input_order")
+_SITES = f"SELECT alignment_id, site, count(*) AS n, " + ", ".join(f"count(*) FILTER (c = '{k}') AS {k}" for k in ("clean", "missing", "ambiguous", "stop")) + f" FROM (SELECT *, {cls_sql('codon')} AS c FROM ({_COLS})) GROUP BY alignment_id, site"
+
+
+def _kept_sql(kept: str) -> str:
+    return f"SELECT a.alignment_id, a.input_order, coalesce(string_agg(r.codon, '' ORDER BY r.site), '') AS seq FROM ({ALIGNED}) a LEFT JOIN (SELECT c.* FROM ({_COLS}) c JOIN ({kept}) s ON c.alignment_id = s.alignment_id AND c.site = s.site) r ON a.input_order = r.input_order GROUP BY a.alignment_id, a.input_order"
+
+
+@query(f"SELECT *, round(clean / n, 6) AS clean_fraction FROM ({_SITES})")
+def site_summary(spark, sf_dir):
+    return sites.site_summary(document_alignments(spark, sf_dir)).withColumn("clean_fraction", r6("clean_fraction"))
+
+
+@query(_kept_sql(f"SELECT alignment_id, site FROM ({_SITES}) WHERE clean / n >= 0.5"))
+def trim_codons(spark, sf_dir):
+    return sites.trim_codons(document_alignments(spark, sf_dir)).select("alignment_id", "input_order", "seq")
+
+
+_OCC = f"SELECT alignment_id, site, count(*) FILTER ({iupac_sql('codon')} NOT IN ('-', '?', 'X', '*')) AS occupied FROM ({_COLS}) GROUP BY alignment_id, site"
+_NAIL = f"""SELECT alignment_id, CASE WHEN max(k) FILTER (ok) IS NULL THEN 1 ELSE max(k) FILTER (ok) END AS nail FROM (SELECT alignment_id, k, bool_and(solid) AS ok FROM (SELECT c.alignment_id, c.input_order, k, coalesce(bool_or(o.occupied >= k AND NOT regexp_full_match(c.codon, '[-?.NXnx]+')), false) AS solid
+FROM ({_COLS}) c JOIN (SELECT alignment_id, unnest(range(1, least(4, count(*)) + 1)) AS k FROM ({ALIGNED}) GROUP BY alignment_id) t ON c.alignment_id = t.alignment_id JOIN ({_OCC}) o ON c.alignment_id = o.alignment_id AND c.site = o.site GROUP BY c.alignment_id, c.input_order, k) GROUP BY alignment_id, k) GROUP BY alignment_id"""
+
+
+@query(_kept_sql(f"SELECT o.alignment_id, o.site FROM ({_OCC}) o JOIN ({_NAIL}) n ON o.alignment_id = n.alignment_id WHERE o.occupied >= n.nail"))
+def hammer(spark, sf_dir):
+    return sites.hammer(document_alignments(spark, sf_dir)).select("alignment_id", "input_order", "seq")
+
+
+_FOLD = f"CASE WHEN regexp_full_match(codon, '[ACGT]{{3}}') THEN nullif(substr('{codes.folds(1)}', (3 * ((instr('TCAG', substr(codon, 1, 1)) - 1) * 16 + (instr('TCAG', substr(codon, 2, 1)) - 1) * 4 + instr('TCAG', substr(codon, 3, 1)) - 1) + p + 1)::INT, 1), ' ') END"
+_DEG = f"""SELECT alignment_id, site, p AS position, CASE WHEN count(DISTINCT f) = 1 THEN min(f)::INT END AS fold, CASE count(DISTINCT f) WHEN 0 THEN 'unassigned' WHEN 1 THEN 'assigned' ELSE 'conflict' END AS status FROM (SELECT alignment_id, site, p, {_FOLD} AS f FROM ({_COLS}), (SELECT unnest([0, 1, 2])::INT AS p)) GROUP BY alignment_id, site, p"""
+
+
+@query(_DEG)
+def degeneracy_columns(spark, sf_dir):
+    return sites.degeneracy_columns(document_alignments(spark, sf_dir))
+
+
+@query(f"SELECT a.alignment_id, a.input_order, coalesce(string_agg(substr(a.seq, (d.site * 3 + d.position + 1)::INT, 1), '' ORDER BY d.site, d.position), '') AS seq FROM ({ALIGNED}) a LEFT JOIN (SELECT * FROM ({_DEG}) WHERE fold = 4) d ON a.alignment_id = d.alignment_id GROUP BY a.alignment_id, a.input_order")
+def fourfold_sites(spark, sf_dir):
+    return sites.degenerate_sequences(document_alignments(spark, sf_dir), 4).select("alignment_id", "input_order", "seq")
+
+
+_CONSENSUS = f"""WITH c AS ({_COLS}), v AS (SELECT alignment_id, site, codon, count(*) AS n FROM c WHERE regexp_full_match(codon, '[ACGT]{{3}}') GROUP BY ALL),
+b AS (SELECT alignment_id, site, codon FROM (SELECT *, row_number() OVER (PARTITION BY alignment_id, site ORDER BY n DESC, codon) AS k FROM v) WHERE k = 1),
+l AS (SELECT alignment_id, site, p, x, count(*) AS n FROM (SELECT alignment_id, site, p, substr(codon, p, 1) AS x FROM c, (SELECT unnest([1, 2, 3])::INT AS p)) WHERE x NOT IN ('-', '?', '.') GROUP BY ALL),
+s AS (SELECT alignment_id, site, p, x FROM (SELECT *, row_number() OVER (PARTITION BY alignment_id, site, p ORDER BY n DESC, x) AS k FROM l) WHERE k = 1),
+g AS (SELECT alignment_id, site, bool_and(regexp_full_match(codon, '[-?.]{{3}}')) AS gaps FROM c GROUP BY alignment_id, site),
+r AS (SELECT g.alignment_id, g.site, CASE WHEN b.codon IS NOT NULL THEN b.codon WHEN gaps THEN '---' ELSE concat(coalesce(s1.x, '-'), coalesce(s2.x, '-'), coalesce(s3.x, '-')) END AS codon FROM g LEFT JOIN b ON g.alignment_id = b.alignment_id AND g.site = b.site
+LEFT JOIN (SELECT * FROM s WHERE p = 1) s1 ON g.alignment_id = s1.alignment_id AND g.site = s1.site LEFT JOIN (SELECT * FROM s WHERE p = 2) s2 ON g.alignment_id = s2.alignment_id AND g.site = s2.site LEFT JOIN (SELECT * FROM s WHERE p = 3) s3 ON g.alignment_id = s3.alignment_id AND g.site = s3.site)
+SELECT *, CASE WHEN regexp_matches(codon, '[-?.]') THEN '-' WHEN regexp_matches(codon, '[^ACGT]') THEN '?' ELSE {aa_sql('codon')} END AS aa FROM r"""
+
+
+@query(_CONSENSUS)
+def consensus(spark, sf_dir):
+    return sites.consensus(document_alignments(spark, sf_dir))
+
+
+@query(f"SELECT alignment_id, site, aa, n, round(n / sum(n) OVER (PARTITION BY alignment_id, site), 6) AS fraction FROM (SELECT alignment_id, site, {aa_sql('codon')} AS aa, count(*) AS n FROM ({_COLS}) WHERE regexp_full_match(codon, '[ACGT]{{3}}') GROUP BY ALL)")
+def logo(spark, sf_dir):
+    return sites.logo(document_alignments(spark, sf_dir)).withColumn("fraction", r6("fraction"))
+
+
+@query(f"SELECT alignment_id, input_order, id, list_aggregate(list_transform({CS}, lambda c: substr({cls_sql('c')}, 1, 1)), 'string_agg', '') AS states FROM ({ALIGNED})")
+def state_matrix(spark, sf_dir):
+    return sites.state_matrix(document_alignments(spark, sf_dir))
+
+
+#: Alignments of at most this many sequences have their subsets searched exactly, as the option's default says.
+_EXACT = 16
+_SMALL = f"SELECT *, row_number() OVER (PARTITION BY alignment_id ORDER BY input_order) - 1 AS place, count(*) OVER (PARTITION BY alignment_id) AS m FROM ({ALIGNED}) QUALIFY m <= {_EXACT}"
+_AREA = f"""WITH a AS ({_SMALL}), c AS (SELECT alignment_id, k AS site, bit_or(CASE WHEN regexp_matches({CODON}, '[-?.]') THEN 0::BIGINT ELSE 1::BIGINT << place END) AS mask FROM (SELECT *, unnest(range(length(seq) // 3)) AS k FROM a) GROUP BY ALL),
+s AS (SELECT alignment_id, mask, count(*) AS sites FROM c GROUP BY ALL), n AS (SELECT alignment_id, max(m) AS m FROM a GROUP BY ALL), u AS (SELECT alignment_id, m, unnest(range(1, 1::BIGINT << m)) AS subset FROM n),
+x AS (SELECT u.alignment_id, u.subset, bit_count(u.subset)::BIGINT AS kept, coalesce(sum(sites) FILTER ((mask & u.subset) = u.subset), 0)::BIGINT AS complete_sites, list_filter(range(m), lambda i: (u.subset >> i) & 1 = 1) AS places FROM u JOIN s ON u.alignment_id = s.alignment_id GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY alignment_id ORDER BY kept * complete_sites DESC, kept DESC, places) AS r FROM x)
+SELECT b.alignment_id, kept, complete_sites, kept * complete_sites AS area, (SELECT string_agg(input_order::VARCHAR, ',' ORDER BY place) FROM a WHERE a.alignment_id = b.alignment_id AND (b.subset >> place) & 1 = 1) AS kept_orders FROM b WHERE r = 1"""
+
+
+@query(_AREA)
+def largest_area(spark, sf_dir):
+    return sites.largest_area(document_alignments(spark, sf_dir), most_sequences=_EXACT).withColumn("kept_orders", F.array_join("kept_orders", ","))
+
+
+@query(None)
+def greedy_area(spark, sf_dir):
+    return sites.greedy_area(document_alignments(spark, sf_dir)).withColumn("kept_orders", F.array_join("kept_orders", ","))
+
+
+@query(f"SELECT alignment_id, input_order, seq FROM ({_kept_sql(f'SELECT alignment_id, site FROM ({_SITES}) WHERE missing = 0')})")
+def complete_columns(spark, sf_dir):
+    return sites.complete_columns(document_alignments(spark, sf_dir)).select("alignment_id", "input_order", "seq")
+
+
+@query(None)
+def back_trim(spark, sf_dir):
+    cds = document_alignments(spark, sf_dir).withColumn("id", F.col("input_order").cast("string"))
+    return sites.back_trim(cds, rows.translate(sites.trim_codons(cds))).select("alignment_id", "input_order", "seq")
+
+
+# --- joins
+
+_GFF = "SELECT event_id AS line_no, concat('doc', user_id::VARCHAR) AS seqid, event_type AS type, (event_id % 400 - 40)::INT AS start, (event_id % 400 - 40 + event_id % 97)::INT AS \"end\" FROM events"
+_DOCS = f"SELECT input_order, concat('doc', input_order::VARCHAR) AS id, seq FROM ({SEQS})"
+
+
+def _gff(spark, sf_dir):
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select(e.alias("line_no"), F.concat(F.lit("doc"), F.col("user_id").cast("string")).alias("seqid"), F.col("event_type").alias("type"), (e % 400 - 40).cast("int").alias("start"), (e % 400 - 40 + e % 97).cast("int").alias("end"))
+
+
+def _docs(spark, sf_dir):
+    return document_sequences(spark, sf_dir).withColumn("id", F.concat(F.lit("doc"), F.col("input_order").cast("string")))
+
+
+@query(f"SELECT input_order, id FROM ({_DOCS}) WHERE id IN (SELECT concat('doc', doc_id::VARCHAR) FROM labels)")
+def common_sequences(spark, sf_dir):
+    other = table(spark, sf_dir, "labels").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("id"))
+    return joins.common_ids(_docs(spark, sf_dir), other)[0].select("input_order", "id")
+
+
+@query(f"SELECT input_order, id FROM ({_DOCS}) WHERE id IN (SELECT seqid FROM ({_GFF}))")
+def annotated_sequences(spark, sf_dir):
+    return joins.sequences_with_annotations(_docs(spark, sf_dir), _gff(spark, sf_dir)).select("input_order", "id")
+
+
+@query(f"SELECT line_no, seqid, type, greatest(1, least(start, n))::INT AS start, greatest(1, least(\"end\", n))::INT AS \"end\" FROM ({_GFF}) g JOIN (SELECT id, length(seq)::INT AS n FROM ({_DOCS})) d ON g.seqid = d.id WHERE greatest(1, least(start, n)) <= greatest(1, least(\"end\", n))")
+def clamp_annotations(spark, sf_dir):
+    return joins.clamp_annotations(_gff(spark, sf_dir), _docs(spark, sf_dir))
+
+
+_ACC = "SELECT doc_id, concat('A', (doc_id % 300)::VARCHAR, '.', (doc_id % 4)::VARCHAR) AS accession, coalesce(text, '') AS sequence FROM documents"
+_OTHER = "SELECT concat('A', (item_id * 7)::VARCHAR, '.1') AS accession, coalesce(text, '') AS sequence FROM benchmark UNION ALL SELECT concat('L', doc_id::VARCHAR), coalesce(text, '') FROM documents WHERE lang = 'es'"
+
+
+def _accessions(spark, sf_dir):
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    own = docs.select("doc_id", F.concat(F.lit("A"), (F.col("doc_id") % 300).cast("string"), F.lit("."), (F.col("doc_id") % 4).cast("string")).alias("accession"), F.coalesce("text", F.lit("")).alias("sequence"))
+    other = bench.select(F.concat(F.lit("A"), (F.col("item_id") * 7).cast("string"), F.lit(".1")).alias("accession"), F.coalesce("text", F.lit("")).alias("sequence"))
+    return own, other.unionByName(docs.where("lang = 'es'").select(F.concat(F.lit("L"), F.col("doc_id").cast("string")).alias("accession"), F.coalesce("text", F.lit("")).alias("sequence")))
+
+
+_HAS = f"SELECT d.doc_id, string_split(accession, '.')[1] IN (SELECT string_split(accession, '.')[1] FROM ({_OTHER})) AS a, sequence IN (SELECT sequence FROM ({_OTHER})) AS s FROM ({_ACC}) d"
+
+
+@query(f"SELECT doc_id FROM ({_HAS}) WHERE NOT a AND NOT s")
+def exclude_overlaps(spark, sf_dir):
+    return joins.exclude_overlaps(*_accessions(spark, sf_dir)).select("doc_id")
+
+
+@query(f"SELECT CASE WHEN a AND s THEN 'both' WHEN a THEN 'accession' WHEN s THEN 'sequence' ELSE 'none' END AS reason, count(*) AS n FROM ({_HAS}) GROUP BY 1")
+def overlap_reasons(spark, sf_dir):
+    return joins.overlap_reasons(*_accessions(spark, sf_dir))
+
+
+@query("SELECT sha256(coalesce(text, '')) AS digest, count(*) AS n, count(DISTINCT source) AS n_labels, count(*) - 1 AS excess, count(DISTINCT source) > 1 AS conflict FROM documents GROUP BY 1 HAVING count(*) > 1")
+def label_conflicts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("sequence"), F.col("source").alias("label"))
+    return joins.label_conflicts(docs)
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') HAVING count(DISTINCT lang) = 1")
+def unique_sequences(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.translate(F.coalesce("text", F.lit("")), LETTERS.lower(), LETTERS).alias("sequence"), F.col("lang").alias("label"))
+    return joins.unique_sequences(docs, "doc_id").select("doc_id")
+
+
+@query("SELECT user_id AS query, event_id AS target, value AS bits FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k = 1")
+def best_hits(spark, sf_dir):
+    return joins.best_hits(table(spark, sf_dir, "events").select(F.col("user_id").alias("query"), F.col("event_id").alias("target"), F.col("value").alias("bits")))
+
+
+@query(f"SELECT concat('doc', doc_id::VARCHAR, '.1') AS accession FROM documents WHERE concat('doc', doc_id::VARCHAR) NOT IN (SELECT seqid FROM ({_GFF}))")
+def missing_accessions(spark, sf_dir):
+    wanted = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".1")).alias("accession"))
+    return joins.missing_accessions(wanted, _gff(spark, sf_dir).select(F.concat(F.lit("gb|"), "seqid", F.lit("|")).alias("id")))
+
+
+_CODING = f"SELECT input_order, concat('doc', input_order::VARCHAR) AS id, regexp_replace(substr(seq, 1, (length(seq) // 3 * 3)::INT), '-', 'A', 'g') AS seq FROM ({SEQS})"
+
+
+@query(f"SELECT input_order, concat(seq, '---') AS seq, NULL::VARCHAR AS error FROM (SELECT input_order, coalesce(list_aggregate(list_transform(cs, lambda c, i: concat(CASE WHEN (i - 1) % 5 = 2 THEN '---' ELSE '' END, c)), 'string_agg', ''), '') AS seq FROM (SELECT input_order, {CS} AS cs FROM ({_CODING})))")
+def back_align(spark, sf_dir):
+    n = F.floor(F.length("seq") / 3) * 3
+    cds = _docs(spark, sf_dir).withColumn("seq", F.replace(F.substr(F.col("seq"), F.lit(1), n.cast("int")), F.lit("-"), F.lit("A")))
+    aa = F.split(S.translate_cds(F.col("seq")), "")
+    gapped = F.concat(F.array_join(F.transform(F.filter(aa, lambda a: a != ""), lambda a, i: F.concat(F.when(i % 5 == 2, F.lit("-")).otherwise(F.lit("")), a)), ""), F.lit("-"))
+    return joins.back_align(cds, cds.select("id", gapped.alias("seq"))).select("input_order", "seq", "error")
+
+
+# --- gaps and frames
+
+_JUST = f"SELECT input_order, id, regexp_replace(seq, 'N+', 'NNNNN', 'g') AS seq FROM ({_DOCS})"
+
+
+@query(_JUST)
+def justify_gaps(spark, sf_dir):
+    return gaps.justify_gaps(_docs(spark, sf_dir), 5).select("input_order", "id", "seq")
+
+
+@query(None)
+def shift_annotations(spark, sf_dir):
+    return gaps.shift_annotations(_gff(spark, sf_dir), gaps.justify_gaps(_docs(spark, sf_dir), 5, 1, 2))
+
+
+@query(None)
+def longest_orf(spark, sf_dir):
+    return orf.longest_orf(document_sequences(spark, sf_dir))
+
+
+# --- proteins
+
+_AA = f"SELECT input_order, lang, seq FROM ({PROTEINS})"
+
+
+def _frac(s: str, chars: str) -> str:
+    return f"CASE WHEN length({s}) = 0 THEN 0.0 ELSE length(regexp_replace({s}, '[^{chars}]', '', 'g')) / length({s}) END"
+
+
+def _hyd(s: str) -> str:
+    total = " + ".join(f"({v}) * length(regexp_replace({s}, '[^{k}]', '', 'g'))" for k, v in P.HYDROPATHY.items())
+    return f"CASE WHEN length({s}) = 0 THEN 0.0 ELSE ({total}) / length({s}) END"
+
+
+def _run(s: str) -> str:
+    return f"coalesce(list_max(list_transform(regexp_extract_all({s}, '[{P.HYDROPHOBIC}]+'), lambda x: length(x))), 0)::DOUBLE"
+
+
+def _flag(test: str) -> str:
+    return f"CASE WHEN {test} THEN 1.0 ELSE 0.0 END"
+
+
+_L, _R = (lambda k: f"left(seq, {k})"), (lambda k: f"right(seq, {k})")
+_GROUPS = {"basic": P.BASIC, "acidic": P.ACIDIC, "hydrophobic": P.HYDROPHOBIC, "ser_thr": P.SER_THR}
+_BASE = ({"aa_len": "length(seq)::DOUBLE"} | {f"n20_{k}_frac": _frac(_L(20), v) for k, v in (_GROUPS | {"pro": "P"}).items()}
+         | {f"n40_{k}_frac": _frac(_L(40), v) for k, v in (_GROUPS | {"arg": "R", "lys": "K", "ala": "A", "pro": "P", "gly": "G", "aromatic": P.AROMATIC}).items()}
+         | {"n40_hydropathy_mean": _hyd(_L(40)), "n40_hydrophobic_run": _run(_L(40)), "signal_peptide_like": _flag(f"{_run('substr(seq, 7, 24)')} >= 7"), "rr_motif": _flag("left(seq, 40) LIKE '%RR%'"),
+            "rr_hydrophobic_after": _flag(f"regexp_matches(left(seq, 60), '{P.RR_HYDROPHOBIC}')"), "cleavage_zone_small_frac": _frac("substr(seq, 19, 17)", P.SMALL)}
+         | {f"global_{k}_frac": _frac("seq", v) for k, v in (_GROUPS | {"x": "X"}).items()} | {f"c10_{k}_frac": _frac(_R(10), v) for k, v in {"basic": P.BASIC_STRICT, "acidic": P.ACIDIC, "hydrophobic": P.HYDROPHOBIC}.items()}
+         | {"pts1_match": _flag(f"regexp_matches(seq, '{P.PTS1}')"), "pts1_skl": _flag("right(seq, 3) = 'SKL'"), "pts2_match": _flag(f"regexp_matches(left(seq, 40), '{P.PTS2}')")})
+_BROAD = (_BASE | {f"n{n}_{k}_frac": _frac(_L(n), v) for n in (60, 100) for k, v in _GROUPS.items()}
+          | {"global_hydropathy_mean": _hyd("seq"), "global_hydrophobic_run": _run("seq"), "hydrophobic_segment_count": f"len(regexp_extract_all(seq, '[{P.HYDROPHOBIC}]{{17,}}'))::DOUBLE", "nls_basic_cluster_count": f"len(regexp_extract_all(seq, '{P.NLS}'))::DOUBLE",
+             "nls_basic_cluster_match": _flag(f"regexp_matches(seq, '{P.NLS}')"), "nls_bipartite_match": _flag(f"regexp_matches(seq, '{P.NLS_BIPARTITE}')"), "nes_like_match": _flag(f"regexp_matches(seq, '{P.NES}')"), "er_kdel_hdel": _flag("right(seq, 4) IN ('KDEL', 'HDEL')"),
+             "er_kkxx": _flag("length(seq) >= 4 AND left(right(seq, 4), 2) = 'KK'"), "gpi_like_ctail": _flag(f"{_run(_R(40))} >= 12"), "c20_hydrophobic_run": _run(_R(20)), "c20_basic_frac": _frac(_R(20), P.BASIC_STRICT), "c20_acidic_frac": _frac(_R(20), P.ACIDIC)}
+          | {f"kingdom_{k}": _flag(f"lang = '{v}'") for k, v in (("metazoa", "en"), ("viridiplantae", "fr"), ("fungi", "de"), ("other", "es"))})
+_ENDS = {f"c{n}_{k}_frac": _frac(_R(n), v) for n in (3, 4, 12, 40) for k, v in {"basic": P.BASIC_STRICT, "acidic": P.ACIDIC, "hydrophobic": P.HYDROPHOBIC, "ser_thr": P.SER_THR, "small": P.SMALL}.items()} | {f"c{n}_hydropathy_mean": _hyd(_R(n)) for n in (3, 4, 12, 40)} | {
+    "pts1_relaxed_match": _flag("regexp_matches(seq, '[A-Z][KRHQ][LIVMFY]$')"), "pts1_hydrophobic_terminal": _flag(f"length(seq) >= 3 AND regexp_matches(seq, '[{P.HYDROPHOBIC}]$')"), "pts2_nterm_match": _flag(f"regexp_matches(left(seq, 40), '{P.PTS2}')")}
+
+
+def _select(features: dict[str, str]) -> str:
+    return f"SELECT input_order, {', '.join(f'round({v}, 6) AS {k}' for k, v in features.items())} FROM ({_AA})"
+
+
+def _proteins(spark, sf_dir):
+    return document_sequences(spark, sf_dir, residues=True).withColumn("seq", P.canonical(F.col("seq")))
+
+
+def _kingdom() -> Column:
+    return F.when(F.col("lang") == "en", "Metazoa").when(F.col("lang") == "fr", "plants").when(F.col("lang") == "de", "Fungi").when(F.col("lang") == "es", "other")
+
+
+@query(_select(_BASE))
+def protein_features(spark, sf_dir):
+    return _proteins(spark, sf_dir).select("input_order", *[r6(v).alias(k) for k, v in P.base_features(F.col("seq")).items()])
+
+
+@query(_select(_BROAD))
+def broad_features(spark, sf_dir):
+    return _proteins(spark, sf_dir).select("input_order", *[r6(v).alias(k) for k, v in P.broad_features(F.col("seq"), _kingdom()).items()])
+
+
+@query(_select(_ENDS))
+def terminal_features(spark, sf_dir):
+    found = P.perox_features(F.col("seq"), _kingdom())
+    return _proteins(spark, sf_dir).select("input_order", *[r6(found[k]).alias(k) for k in _ENDS])
+
+
+@query(f"SELECT CASE WHEN regexp_matches(seq, '{P.PTS1}') THEN 'PTS1' WHEN regexp_matches(left(seq, 40), '{P.PTS2}') THEN 'PTS2' ELSE 'none' END AS signal_type, count(*) AS n FROM ({_AA}) GROUP BY 1")
+def perox_signals(spark, sf_dir):
+    return _proteins(spark, sf_dir).groupBy(P.signal_type(F.col("seq")).alias("signal_type")).agg(F.count("*").alias("n"))
+
+
+# --- labels
+
+_PHRASES = ("Secreted.", "Mitochondrion matrix", "Plastid, chloroplast thylakoid lumen", "Chloroplast stroma; Mitochondrion", "Peroxisome", "Nucleus", "", "Chloroplast thylakoid membrane", "Signal peptide; plastid", "thylakoid luminal membrane")
+_PHRASE_SQL = "[" + ", ".join(f"'{p}'" for p in _PHRASES) + "][(doc_id % 10 + 1)::INT]"
+_TEXTS = f"SELECT doc_id, {_PHRASE_SQL} AS t, CASE WHEN lang = 'fr' THEN 'plant' ELSE 'non_plant' END AS g FROM documents"
+_SIG = "SELECT *, (l LIKE '%secreted%' OR l LIKE '%signal peptide%') AS sp, l LIKE '%mitochond%' AS m, (l LIKE '%chloroplast%' OR l LIKE '%plastid%') AS c, l LIKE '%thylakoid%' AS th, (l LIKE '%lumen%' OR l LIKE '%luminal%') AS lu FROM (SELECT *, lower(t) AS l FROM (" + _TEXTS + "))"
+
+
+def _texts(spark, sf_dir):
+    t = F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), (F.col("doc_id") % 10 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.alias("t"), F.when(F.col("lang") == "fr", "plant").otherwise("non_plant").alias("g"))
+
+
+@query(f"SELECT doc_id, CASE WHEN th AND lu THEN 'lTP' WHEN c THEN 'cTP' WHEN m THEN 'mTP' WHEN sp THEN 'SP' ELSE 'noTP' END AS label, CASE WHEN l LIKE '%peroxisom%' THEN 'yes' ELSE 'no' END AS perox, CASE WHEN th AND lu AND c THEN sp OR m ELSE sp::INT + m::INT + c::INT + (th AND lu)::INT > 1 END AS ambiguous FROM ({_SIG})")
+def location_labels(spark, sf_dir):
+    return _texts(spark, sf_dir).select("doc_id", labels.from_location_text(F.col("t")).alias("x")).select("doc_id", "x.label", "x.perox", "x.ambiguous")
+
+
+_STRICT = f"SELECT doc_id, CASE WHEN trim(l) = '' THEN 'missing_location_text' WHEN g <> 'plant' AND (c OR th) THEN 'nonplant_plastid' WHEN sp::INT + m::INT + (g = 'plant' AND c)::INT > 1 OR (lt AND (sp OR m)) THEN 'ambiguous' WHEN lt AND l LIKE '%membrane%' AND l NOT LIKE '%thylakoid lumen%' THEN 'ltp_membrane_noise' WHEN NOT lt AND g = 'plant' AND c AND th THEN 'thylakoid_not_lumen' ELSE '' END AS reason, CASE WHEN lt THEN 'lTP' WHEN g = 'plant' AND c THEN 'cTP' WHEN m THEN 'mTP' WHEN sp THEN 'SP' ELSE 'noTP' END AS label FROM (SELECT *, g = 'plant' AND th AND lu AS lt FROM ({_SIG}))"
+
+
+@query(f"SELECT doc_id, reason, CASE WHEN reason = '' THEN label END AS label FROM ({_STRICT})")
+def strict_labels(spark, sf_dir):
+    return _texts(spark, sf_dir).select("doc_id", labels.strict_label(F.col("t"), F.col("g")).alias("x")).select("doc_id", "x.reason", "x.label")
+
+
+_LINEAGES = ("2759, 33090, 3193", "2759 33208 7742", "2759; 4751", "2759 5794", "2 1224", "", "no taxon")
+_LINEAGE_SQL = f"SELECT doc_id, [{', '.join(repr(x) for x in _LINEAGES)}][(doc_id % 7 + 1)::INT] AS x FROM documents"
+
+
+@query(f"""SELECT doc_id, p.preset FROM (SELECT doc_id, regexp_extract_all(x, '[0-9]+') AS ids FROM ({_LINEAGE_SQL})) l JOIN (SELECT unnest(['viridiplantae', 'metazoa', 'fungi', 'non_viridiplantae_euk', 'protist_core']) AS preset) p ON list_contains(ids, '2759') AND CASE preset WHEN 'viridiplantae' THEN list_contains(ids, '33090') WHEN 'metazoa' THEN list_contains(ids, '33208') WHEN 'fungi' THEN list_contains(ids, '4751')
+WHEN 'non_viridiplantae_euk' THEN NOT list_contains(ids, '33090') ELSE NOT (list_contains(ids, '33090') OR list_contains(ids, '33208') OR list_contains(ids, '4751')) END""")
+def lineage_presets(spark, sf_dir):
+    x = F.element_at(F.array(*[F.lit(p) for p in _LINEAGES]), (F.col("doc_id") % 7 + 1).cast("int"))
+    return labels.split_by_preset(table(spark, sf_dir, "documents").select("doc_id", x.alias("lineage_ids"))).select("doc_id", "preset")
+
+
+@query(f"SELECT CASE WHEN concat(x, ' ') LIKE '%33090 %' THEN 'Viridiplantae' WHEN concat(x, ' ') LIKE '%33208 %' THEN 'Metazoa' WHEN concat(x, ' ') LIKE '%4751 %' THEN 'Fungi' ELSE 'Other' END AS kingdom, count(*) AS n FROM ({_LINEAGE_SQL}) GROUP BY 1")
+def kingdoms(spark, sf_dir):
+    x = F.element_at(F.array(*[F.lit(p) for p in _LINEAGES]), (F.col("doc_id") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").groupBy(labels.kingdom(x).alias("kingdom")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT label, count(*) AS n FROM (SELECT unnest(CASE WHEN quality = 1 AND toxic = 1 THEN ['quality', 'toxic'] WHEN quality = 1 THEN ['quality'] WHEN toxic = 1 THEN ['toxic'] ELSE [] END) AS label FROM labels) GROUP BY label")
+def label_summary(spark, sf_dir):
+    both = F.concat_ws(";", F.when(F.col("quality") == 1, "quality"), F.when(F.col("toxic") == 1, "toxic"))
+    return labels.label_summary(table(spark, sf_dir, "labels").select(both.alias("localization_labels")))
+
+
+@query(None)
+def stratified_folds(spark, sf_dir):
+    return labels.stratified_folds(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("input_order"), F.col("quality").alias("label")), 5)
+
+
+@query(None)
+def capped_sample(spark, sf_dir):
+    return labels.capped_sample(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("input_order"), F.col("quality").alias("label")), 100)
+
+
+# --- evaluation
+
+_PAIRS = "SELECT l.doc_id, CASE WHEN quality = 1 AND toxic = 1 THEN 'both' WHEN quality = 1 THEN 'good' WHEN toxic = 1 THEN 'bad' ELSE 'plain' END AS truth, CASE WHEN n_chars % 5 = 0 THEN 'bad' WHEN n_chars % 3 = 0 THEN 'plain' ELSE 'good' END AS predicted FROM labels l JOIN documents d ON l.doc_id = d.doc_id"
+_CLASSES = ("good", "bad", "plain", "both", "none")
+
+
+def _pairs(spark, sf_dir):
+    n, q, t = F.col("n_chars"), F.col("quality") == 1, F.col("toxic") == 1
+    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return both.select("doc_id", F.when(q & t, "both").when(q, "good").when(t, "bad").otherwise("plain").alias("truth"), F.when(n % 5 == 0, "bad").when(n % 3 == 0, "plain").otherwise("good").alias("predicted"))
+
+
+_CLASS_SQL = f"SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM (SELECT label, count(*) FILTER (truth = label) AS support, count(*) FILTER (truth = label AND predicted = label) AS tp, count(*) FILTER (truth <> label AND predicted = label) AS fp, count(*) FILTER (truth = label AND predicted <> label) AS fn FROM ({_PAIRS}), (SELECT unnest({list(_CLASSES)}) AS label) GROUP BY label)"
+
+
+@query(f"SELECT label, support, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM ({_CLASS_SQL})")
+def class_metrics(spark, sf_dir):
+    out = metrics.class_metrics(_pairs(spark, sf_dir), _CLASSES)
+    return out.withColumns({c: r6(c) for c in ("precision", "recall", "f1")})
+
+
+@query(f"SELECT (SELECT count(*) FROM ({_PAIRS})) AS n, round(sum(tp) / (SELECT count(*) FROM ({_PAIRS})), 6) AS accuracy, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END), 6) AS macro_f1 FROM ({_CLASS_SQL})")
+def overall_metrics(spark, sf_dir):
+    return metrics.overall(_pairs(spark, sf_dir), _CLASSES).withColumns({c: r6(c) for c in ("accuracy", "macro_f1")})
+
+
+_MULTI = "SELECT l.doc_id, quality = 1 AS t1, toxic = 1 AS t2, n_chars % 2 = 0 AS p1, n_chars % 7 = 0 AS p2 FROM labels l JOIN documents d ON l.doc_id = d.doc_id"
+
+
+def _multi(spark, sf_dir):
+    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    of = lambda a, b: F.array_compact(F.array(F.when(a, "quality"), F.when(b, "toxic")))
+    return metrics.multilabel(both.select(of(F.col("quality") == 1, F.col("toxic") == 1).alias("truth"), of(F.col("n_chars") % 2 == 0, F.col("n_chars") % 7 == 0).alias("predicted")), ("quality", "toxic"))
+
+
+_BY = f"SELECT label, count(*) FILTER (t) AS support, count(*) FILTER (t AND p) AS tp, count(*) FILTER (p AND NOT t) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn FROM (SELECT 'quality' AS label, t1 AS t, p1 AS p FROM ({_MULTI}) UNION ALL SELECT 'toxic', t2, p2 FROM ({_MULTI})) GROUP BY label"
+_BYR = f"SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r, CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0.0 END AS s, (tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn) AS d FROM ({_BY})"
+_F1 = "CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END"
+
+
+@query(f"SELECT label, support, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(s, 6) AS specificity, round({_F1}, 6) AS f1, round(CASE WHEN d > 0 THEN (tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt(d) ELSE 0.0 END, 6) AS mcc FROM ({_BYR})")
+def multilabel_by_label(spark, sf_dir):
+    out = _multi(spark, sf_dir)[0]
+    return out.withColumns({c: r6(c) for c in ("precision", "recall", "specificity", "f1", "mcc")})
+
+
+@query(f"""SELECT n_rows, round(subset_accuracy, 6) AS subset_accuracy, round(jaccard, 6) AS jaccard, round(sample_f1, 6) AS sample_f1, round(hamming_loss, 6) AS hamming_loss, round(p, 6) AS micro_precision, round(r, 6) AS micro_recall, round({_F1}, 6) AS micro_f1, round(macro_f1, 6) AS macro_f1, round(macro_f1, 6) AS macro_f1_observed FROM
+(SELECT count(*) AS n_rows, avg((t1 = p1 AND t2 = p2)::INT) AS subset_accuracy, avg(CASE WHEN t1 OR p1 OR t2 OR p2 THEN ((t1 AND p1)::INT + (t2 AND p2)::INT) / ((t1 OR p1)::INT + (t2 OR p2)::INT) ELSE 1.0 END) AS jaccard, avg(CASE WHEN t1 OR p1 OR t2 OR p2 THEN 2.0 * ((t1 AND p1)::INT + (t2 AND p2)::INT) / (t1::INT + t2::INT + p1::INT + p2::INT) ELSE 1.0 END) AS sample_f1, avg(((t1 <> p1)::INT + (t2 <> p2)::INT) / 2) AS hamming_loss FROM ({_MULTI})),
+(SELECT sum(tp) / sum(tp + fp) AS p, sum(tp) / sum(tp + fn) AS r FROM ({_BY})), (SELECT avg({_F1}) AS macro_f1 FROM ({_BYR}))""")
+def multilabel_overall(spark, sf_dir):
+    out = _multi(spark, sf_dir)[1]
+    return out.withColumns({c: r6(c) for c in out.columns if c != "n_rows"})
+
+
+_SCORES = "SELECT quality AS truth, (n_chars % 101) / 100 AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id"
+_STEP = f"SELECT *, sum(pos) OVER (ORDER BY score DESC) AS cp, sum(neg) OVER (ORDER BY score DESC) AS cn, sum(pos) OVER () AS tpos, sum(neg) OVER () AS tneg FROM (SELECT score, count(*) FILTER (truth = 1) AS pos, count(*) FILTER (truth <> 1) AS neg FROM ({_SCORES}) GROUP BY score)"
+_AT = f"SELECT count(*) AS n_rows, count(*) FILTER (truth = 1 AND score >= 0.5) AS tp, count(*) FILTER (truth <> 1 AND score >= 0.5) AS fp, count(*) FILTER (truth = 1 AND score < 0.5) AS fn, count(*) FILTER (truth <> 1 AND score < 0.5) AS tn FROM ({_SCORES})"
+
+
+def _scores(spark, sf_dir):
+    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return both.select(F.col("quality").alias("truth"), (F.col("n_chars") % 101 / 100).alias("score"))
+
+
+@query(f"SELECT n_rows, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(tn / (tn + fp), 6) AS specificity, round((tp + tn) / n_rows, 6) AS accuracy, round({_F1}, 6) AS f1, round((tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc, round(auprc, 6) AS auprc, round(auroc, 6) AS auroc FROM (SELECT *, tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM ({_AT})), (SELECT sum(pos / tpos * (cp / (cp + cn))) AS auprc, sum(neg * (cp - pos / 2.0) / (tpos * tneg)) AS auroc FROM ({_STEP}))")
+def binary_metrics(spark, sf_dir):
+    out = metrics.binary(_scores(spark, sf_dir))
+    return out.withColumns({c: r6(c) for c in out.columns[5:]})
+
+
+@query(f"SELECT threshold, round(f1, 6) AS f1 FROM (SELECT threshold, round(CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 12) AS f1 FROM (SELECT g / 100 AS threshold, count(*) FILTER (truth = 1 AND score >= g / 100) AS tp, count(*) FILTER (truth <> 1 AND score >= g / 100) AS fp, count(*) FILTER (truth = 1 AND score < g / 100) AS fn FROM ({_SCORES}), (SELECT unnest(range(1, 100)) AS g) GROUP BY g)) ORDER BY f1 DESC, abs(threshold - 0.5), threshold LIMIT 1")
+def best_threshold(spark, sf_dir):
+    return metrics.best_threshold(_scores(spark, sf_dir)).withColumn("f1", r6("f1"))
+
+
+_FEATURES = ("aa_len", "n40_hydrophobic_frac", "n40_hydropathy_mean", "global_basic_frac", "global_acidic_frac", "c10_hydrophobic_frac")
+_LANGS = ("en", "fr", "de", "es")
+_TRAIN = f"SELECT input_order, lang AS label, {', '.join(f'{_BASE[f]} AS {f}' for f in _FEATURES)} FROM ({_AA})"
+
+
+def _training(spark, sf_dir):
+    found = P.base_features(F.col("seq"))
+    return _proteins(spark, sf_dir).select("input_order", F.col("lang").alias("label"), *[found[f].alias(f) for f in _FEATURES])
+
+
+_MODEL = f"SELECT label AS class, count(*) AS n, {', '.join(f'avg({f}) AS c_{f}' for f in _FEATURES)} FROM t WHERE label IN {_LANGS} GROUP BY label"
+_TOTAL = f"SELECT count(*) AS total, {', '.join(f'avg({f}) AS m_{f}, CASE WHEN stddev_pop({f}) < 1e-9 THEN 1.0 ELSE stddev_pop({f}) END AS s_{f}' for f in _FEATURES)} FROM t WHERE label IN {_LANGS}"
+
+
+@query(f"WITH t AS ({_TRAIN}), m AS ({_MODEL}), a AS ({_TOTAL}) SELECT class, round(ln((n + 1) / (total + (SELECT count(*) FROM m))), 6) AS log_prior, " + ", ".join(f"round((c_{f} - m_{f}) / s_{f}, 6) AS {f}" for f in _FEATURES) + " FROM m, a")
+def centroid_model(spark, sf_dir):
+    model = centroid.fit(_training(spark, sf_dir), _FEATURES, classes=_LANGS)
+    return model.select("class", r6("log_prior").alias("log_prior"), *[r6(F.get("centroid", k)).alias(f) for k, f in enumerate(_FEATURES)])
+
+
+@query(f"WITH t AS ({_TRAIN}), m AS ({_MODEL}), a AS ({_TOTAL}), l AS (SELECT input_order, class, -0.5 * (" + " + ".join(f"power((t.{f} - m_{f}) / s_{f} - (c_{f} - m_{f}) / s_{f}, 2)" for f in _FEATURES) + f") + ln((n + 1) / (total + (SELECT count(*) FROM m))) AS v FROM t, m, a), e AS (SELECT *, max(v) OVER (PARTITION BY input_order) AS top FROM l) SELECT input_order, arg_max(class, v) AS predicted, round(max(exp(v - top)) / sum(exp(v - top)), 6) AS probability FROM e GROUP BY input_order")
+def centroid_predictions(spark, sf_dir):
+    data = _training(spark, sf_dir)
+    out = centroid.predict(data, centroid.fit(data, _FEATURES, classes=_LANGS), _FEATURES)
+    return out.select("input_order", "predicted", r6(F.array_max(F.map_values("probabilities"))).alias("probability"))
+
+
+@query(None)
+def cross_validation(spark, sf_dir):
+    data = labels.stratified_folds(_training(spark, sf_dir).where(F.col("label").isin(*_LANGS)), 5)
+    out = centroid.predict(data, centroid.fit(data, _FEATURES, classes=_LANGS, fold="fold"), _FEATURES, fold="fold")
+    return metrics.class_metrics(out, _LANGS, truth="label").withColumns({c: r6(c) for c in ("precision", "recall", "f1")})
+
+
+_PROBS = "SELECT vec_id, greatest(embedding[1], 0)::DOUBLE AS a, greatest(embedding[2], 0)::DOUBLE AS b, greatest(embedding[3], 0)::DOUBLE AS c, greatest(embedding[4], 0)::DOUBLE AS d, greatest(embedding[5], 0)::DOUBLE AS e, label % 2 = 0 AS plant FROM embeddings"
+
+
+def _scaled(x: str) -> str:
+    return f"CASE WHEN w > 0 THEN {x} / w ELSE {1.0 if x == 'a' else 0.0} END AS {x}"
+
+
+@query(f"WITH p AS ({_PROBS}), n AS (SELECT *, a + b + c + d + e AS w FROM p), o AS (SELECT vec_id, plant, {', '.join(map(_scaled, 'abcde'))} FROM n), g AS (SELECT vec_id, a, b, c, CASE WHEN plant THEN d ELSE 0.0 END AS d, CASE WHEN plant THEN e ELSE 0.0 END AS e FROM o), h AS (SELECT *, a + b + c + d + e AS w FROM g), f AS (SELECT vec_id, {', '.join(map(_scaled, 'abcde'))} FROM h) SELECT vec_id, " + ", ".join(f"round({x}, 6) AS {y}" for x, y in zip("abcde", labels.CLASSES, strict=True)) + " FROM f")
+def organism_gate(spark, sf_dir):
+    p = {c: F.greatest(F.get("embedding", k), F.lit(0.0)).cast("double") for k, c in enumerate(labels.CLASSES)}
+    group = F.when(F.col("label") % 2 == 0, "plant").otherwise("non_plant")
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[r6(v).alias(c) for c, v in centroid.constrain(p, group).items()])
