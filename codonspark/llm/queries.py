@@ -109,9 +109,9 @@ FROM m
 """
 
 URL_SQL = """
-WITH u AS (SELECT page_id, instr(coalesce(url, ''), '://') AS at, coalesce(url, '') AS url FROM pages),
-p AS (SELECT page_id, CASE WHEN at > 0 THEN translate(regexp_extract(substr(url, at + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
-  CASE WHEN at > 0 THEN regexp_extract(substr(url, at + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
+WITH u AS (SELECT page_id, instr(coalesce(url, ''), '://') AS pos, coalesce(url, '') AS url FROM pages),
+p AS (SELECT page_id, CASE WHEN pos > 0 THEN translate(regexp_extract(substr(url, pos + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+  CASE WHEN pos > 0 THEN regexp_extract(substr(url, pos + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
 rules(rhost, rpath, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 f AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict FROM p, rules
   WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
