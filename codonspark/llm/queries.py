@@ -1,4 +1,4 @@
-"""The operators' queries over the driver's tables, and the SQL of those that SQL can express.
+"""The operators' queries over the driver's tables.
 
 Each query applies its operator with production parameters to the whole table and derives the digest columns from it.
 """
@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard, licenses, mixing, quality, secrets, sharding, urls, warc
+from . import bpe, fingerprints, jaccard, licenses, mixing, oracles, quality, secrets, sharding, urls, warc
 from .common import Workspace
 
 SHARDS = 8
@@ -92,33 +92,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-_WORD = r"[^\x20\x09-\x0D]+"
-
-QUALITY_SQL = f"""
-WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
-g AS (SELECT doc_id, unnest(range(len(ws) - 2)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda k: ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2])) AS tri FROM w WHERE len(ws) > 2),
-d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, tri) AS n FROM g) WHERE n > 1),
-r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM d, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
-m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
-  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-  (len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{_WORD}'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{_WORD}')))))::BIGINT AS n_dup_lines,
-  coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r ON w.doc_id = r.doc_id)
-SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 2 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 3 * n_words OR word_chars > 20 * n_words OR word_chars < 2 * n_words) AS kept
-FROM m
-"""
-
-URL_SQL = """
-WITH u AS (SELECT page_id, instr(coalesce(url, ''), '://') AS pos, coalesce(url, '') AS url FROM pages),
-p AS (SELECT page_id, CASE WHEN pos > 0 THEN translate(regexp_extract(substr(url, pos + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
-  CASE WHEN pos > 0 THEN regexp_extract(substr(url, pos + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
-rules(rhost, rpath, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
-f AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict FROM p, rules
-  WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
-SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f ON p.page_id = f.page_id
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    """op5's SQL holds where pages link to no other, as in the driver's tables; the tests cover links by brute force."""
-    return {"op5_url_filter": URL_SQL, "op8_quality": QUALITY_SQL}
+    return dict(oracles.SQL)
