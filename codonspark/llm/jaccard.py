@@ -10,9 +10,10 @@ D <= (1 - t) / (1 + t) * (|x| + |y|). All pruning is by the triangle inequality
    most, so in one part at least its distance is 0. The pivots of a part are the restrictions to it that documents have;
    each document lies in the Voronoi cell of its own restriction, and with a distance of 0 the window reaches no other
    cell. Cells with one set only are dropped: most documents end here, without any pair being formed.
-3. Each cell that is left takes as its pivot the document that meets most others in all its cells, and the cells of one pivot
-   make a region. A document is in the regions of all pivots it shares a cell with (its window); any linked pair has a
-   region in common.
+3. Each cell that is left takes as its pivot the document that meets most others in all its cells. A document's home is the
+   region of the pivot it shares most cells with; its window are the other pivots it shares a cell with. Home regions are
+   joined first. Then cells whose members are all connected are dropped, and the members of the others are replicated to
+   the regions of their pivots: any linked pair that isn't connected yet has such a region in common.
 4. A small region is joined exactly in one task. In a large one every member is compared with the pivot p, in salted groups.
    Members linked to p form its ball and need no comparison with each other. For x outside the ball D(x, p) is over the
    bound, so x and any partner y must share elements of x ^ p and y ^ p, at least half the excess; members are dealt out by
@@ -47,6 +48,8 @@ MOST_ROUNDS = 5
 #: Candidate representatives that may be broadcast (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 KNOWN_WORDS = 1_000_000
+#: Sets that a task remembers, so that copies in it give their cells once.
+KNOWN_NODES = 500_000
 U = np.uint64
 
 
@@ -233,31 +236,40 @@ class JaccardJoin:
         self.docs = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
 
     def sets(self) -> DataFrame:
-        """(id, node, n_shingles, cells): node stands for the set itself, equal sets are one node."""
+        """(id, node, n_shingles, cells): node stands for the set itself, equal sets are one node.
+
+        A task gives the cells of equal sets once, so that a large group of copies shrinks before the shuffle.
+        """
         t, n, lows = self.t, self.n, rings(self.t)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = Hashes()
+            known, seen, none = Hashes(), set(), np.zeros(0, np.uint64)
             for batch in batches:
                 found = [shingles(x.as_py(), known, n) for x in batch.column(1)]
                 nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in found]
-                own = [cells(s, t, lows) for s in found]
+                own = []
+                for node, s in zip(nodes, found, strict=True):
+                    own.append(none if node in seen else cells(s, t, lows))
+                    if len(seen) >= KNOWN_NODES:
+                        seen.clear()
+                    seen.add(node)
                 offsets = np.cumsum([0, *map(len, own)]).astype(np.int32)
-                flat = pa.array(np.concatenate(own or [np.zeros(0, np.uint64)]).view(np.int64))
+                flat = pa.array(np.concatenate(own or [none]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(map(len, found), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["id", "node", "n_shingles", "cells"])
 
         return self.docs.mapInArrow(run, "id long, node long, n_shingles long, cells array<long>")
 
-    def regions(self, sets: DataFrame) -> DataFrame:
-        """(region, node): regions are named by their pivot, which is a member; every linked pair has a region in common."""
-        rows = sets.where("n_shingles > 0").select("node", F.explode("cells").alias("cell"))
+    def members(self, sets: DataFrame) -> DataFrame:
+        """(cell, node) of the cells with several nodes. One shuffle by cell serves both the count and the join with it."""
+        rows = sets.where("n_shingles > 0").select("node", F.explode("cells").alias("cell")).repartition("cell")
         shared = rows.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("cell")
-        # copies of one set come together before they meet the shared cells again
-        members = self.work.keep(rows.join(shared, "cell").distinct(), "members")
+        return rows.join(shared, "cell").select("cell", "node").distinct()
+
+    def pivots(self, members: DataFrame) -> DataFrame:
+        """(cell, region): a region is named by its pivot, the member of the cell that meets most others in all its cells."""
         weight = members.groupBy("cell").agg((F.count("*") - 1).alias("others"))
         score = members.join(weight, "cell").groupBy("node").agg(F.sum("others").alias("score"))
-        pivots = members.join(score, "node").groupBy("cell").agg(F.max(F.struct("score", "node")).alias("p")).select("cell", F.col("p.node").alias("region"))
-        return members.join(pivots, "cell").select("region", "node").distinct()
+        return members.join(score, "node").groupBy("cell").agg(F.max(F.struct("score", "node")).alias("p")).select("cell", F.col("p.node").alias("region"))
 
     def elements(self, sets: DataFrame, nodes: DataFrame) -> DataFrame:
         """(node, size, elements) of ``nodes``, from one document of each."""
@@ -359,29 +371,45 @@ class JaccardJoin:
     def links(self, sets: DataFrame) -> DataFrame:
         """(a, b) pairs of nodes whose sets link, enough of them to connect all that is connected."""
         work = self.work
-        regions = work.keep(self.regions(sets), "regions")
-        work.drop("members")
-        elements = work.keep(self.elements(sets, regions.select("node").distinct()), "elements")
-        rows = regions.join(elements, "node").select("region", "node", F.col("node").alias("class"), "size", "elements")
-        out, before = self.spark.createDataFrame([], "a long, b long"), None
+        members = work.keep(self.members(sets), "members")
+        pivots = work.keep(self.pivots(members), "pivots")
+        elements = work.keep(self.elements(sets, members.select("node").distinct()), "elements")
+        # a pivot is at home in its own region
+        own = pivots.select(F.col("region").alias("node")).distinct().withColumn("pivot", F.col("node"))
+        shared = members.join(pivots, "cell").groupBy("node", "region").agg(F.count("*").alias("cells")).groupBy("node").agg(F.max(F.struct("cells", "region")).alias("best"))
+        home = work.keep(shared.join(own, "node", "left").select(F.coalesce("pivot", "best.region").alias("region"), "node"), "home")
+        out = self.resolve(home, elements, None, "home")
+        classes = work.keep(components(out, work, "cc_home_"), "classes_home")
+        open_ = members.join(classes, "node", "left").withColumn("class", F.coalesce("root", "node")).groupBy("cell").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("cell")
+        windows = work.keep(members.join(open_.join(pivots, "cell"), "cell").select("region", "node").distinct(), "windows")
+        return out.union(self.resolve(windows, elements, classes, "window"))
+
+    def resolve(self, places: DataFrame, elements: DataFrame, classes: DataFrame | None, name: str) -> DataFrame:
+        """Links inside regions, given (region, node) places, the nodes' elements, and (node, root) classes connected so far."""
+        work, out, before = self.work, self.spark.createDataFrame([], "a long, b long"), None
+        own = places.withColumn("class", F.col("node")) if classes is None else places.join(classes, "node", "left").select("region", "node", F.coalesce("root", "node").alias("class"))
+        rows = own.join(elements, "node").select("region", "node", "class", "size", "elements")
+        facts = own.join(elements.select("node", F.col("size").alias("k")), "node")
         for step in range(self.most_rounds + 1):
-            count = rows.groupBy("region").agg(F.count("*").alias("m"), F.sum(F.size("elements")).alias("held"))
-            large = work.keep(count.where((F.col("m") > self.small) | (F.col("held") > SMALL_ELEMENTS)).select("region", "m"), f"large{step}")
+            count = facts.groupBy("region").agg(F.count("*").alias("m"), F.sum("k").alias("held"))
+            large = work.keep(count.where((F.col("m") > self.small) | (F.col("held") > SMALL_ELEMENTS)).select("region", "m"), f"{name}_large{step}")
             total = large.agg(F.sum("m")).first()[0] or 0
             small = rows if not total else rows.join(large, "region", "left_anti")
-            out = out.union(work.keep(self.join_regions(small), f"links{step}"))
+            out = out.union(work.keep(self.join_regions(small), f"{name}_links{step}"))
             if not total:
                 break
             big = rows.join(large, "region", "left_semi")
             if step == self.most_rounds or before is not None and total > 4 * before:
-                out = out.union(work.keep(self.join_blocks(big), f"blocks{step}"))
+                out = out.union(work.keep(self.join_blocks(big), f"{name}_blocks{step}"))
                 break
             before = total
-            near = work.keep(self.around_pivots(big, step == 0), f"near{step}")
+            near = work.keep(self.around_pivots(big, step == 0), f"{name}_near{step}")
             out = out.union(near.where("near").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-            classes = work.keep(components(out, work, f"cc{step}_"), f"classes{step}")
-            near = near.drop("class").join(classes, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
-            rows = work.keep(self.deal(near), f"rows{step + 1}")
+            known = out if classes is None else out.union(classes.select("node", "root"))
+            roots = work.keep(components(known, work, f"{name}_cc{step}_"), f"{name}_classes{step}")
+            near = near.drop("class").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
+            rows = work.keep(self.deal(near), f"{name}_rows{step + 1}")
+            facts = rows.select("region", "node", F.size("elements").alias("k"))
         return out
 
     def classes(self, sets: DataFrame | None = None) -> DataFrame:
