@@ -115,3 +115,28 @@ def perox_features(seq: Column, kingdom: Column | None = None) -> dict[str, Colu
 def vector(features: dict[str, Column]) -> Column:
     """The features as array<double>, in their order."""
     return F.array(*features.values())
+
+
+def residue_codes(seq: Column, length: int, from_end: bool = False) -> Column:
+    """array<int> of ``length``: places of residues in AA from 1, 21 for others, 0 after (or before) the sequence's end."""
+    part = F.right(seq, F.lit(length)) if from_end else F.left(seq, F.lit(length))
+    own = F.transform(F.filter(F.split(part, ""), lambda c: c != ""), lambda c: F.when(F.instr(F.lit(AA), c) > 0, F.instr(F.lit(AA), c)).otherwise(21))
+    blank = F.array_repeat(F.lit(0), F.greatest(F.lit(0), F.lit(length) - F.length(part)))
+    return F.concat(blank, own) if from_end else F.concat(own, blank)
+
+
+#: Fixed: residues that may stand before a cleavage site at -3 and -1.
+SMALL_BEFORE_CUT = "AGSTCV"
+
+
+def best_cut(seq: Column, first: int = 12, last: int = 44) -> Column:
+    """struct(score, cut): of the places a signal peptide may be cut at, the first with the best score; null for short sequences.
+
+    A place's score adds small residues at -1 and -3, the hydrophobic share of the twelve residues before the last five, and
+    basic residues among the first five.
+    """
+    score = lambda k: (flag(F.instr(F.lit(SMALL_BEFORE_CUT), F.substr(seq, k, F.lit(1))) > 0) + flag(F.instr(F.lit(SMALL_BEFORE_CUT), F.substr(seq, k - 2, F.lit(1))) > 0)
+                       + fraction(F.substr(seq, F.greatest(F.lit(1), k - 16), F.lit(12)), HYDROPHOBIC) + fraction(F.left(seq, F.lit(5)), BASIC_STRICT))
+    places = F.sequence(F.lit(first), F.least(F.lit(last), F.length(seq) - 2))
+    best = F.array_max(F.transform(places, lambda k: F.struct(score(k).alias("score"), (-k).alias("cut"))))
+    return F.when(F.length(seq) - 2 >= first, F.struct(best["score"].alias("score"), (-best["cut"]).alias("cut")))

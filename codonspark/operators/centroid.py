@@ -92,3 +92,40 @@ def two_stage(is_tp: Column, by_kind: dict[str, Column], ctp_ltp: dict[str, Colu
         plastid = kinds["cTP"] + kinds["lTP"]
         kinds |= {c: plastid * ctp_ltp[c] for c in ("cTP", "lTP")}
     return normalize({"noTP": 1 - is_tp, **{c: is_tp * kinds[c] for c in CLASSES[1:]}})
+
+
+def fit_multilabel(rows: DataFrame, features: Sequence[str], labels: Sequence[str], column: str = "labels") -> DataFrame:
+    """(label, label_order, mean, std, yes, no, log_odds): a pair of centroids for each label of an array column."""
+    flagged = rows.select(*features, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("label"), F.array_contains(column, x).alias("has")) for k, x in enumerate(labels)])).alias("l")).select(*features, "l.*")
+    names = range(len(features))
+    sums = flagged.groupBy("k", "label").agg(F.count("*").alias("n"), F.count_if("has").alias("m"), *[F.avg(f).alias(f"a{i}") for i, f in enumerate(features)], *[F.stddev_pop(f).alias(f"d{i}") for i, f in enumerate(features)],
+                                             *[F.avg(F.when(F.col("has"), F.col(f))).alias(f"y{i}") for i, f in enumerate(features)], *[F.avg(F.when(~F.col("has"), F.col(f))).alias(f"x{i}") for i, f in enumerate(features)])
+    std = [F.when(F.col(f"d{i}") < 1e-9, F.lit(1.0)).otherwise(F.col(f"d{i}")) for i in names]
+    z = lambda c: F.array(*[F.coalesce((F.col(f"{c}{i}") - F.col(f"a{i}")) / std[i], F.lit(0.0)) for i in names])
+    odds = F.ln((F.col("m") + 1.0) / (F.col("n") - F.col("m") + 1.0))
+    return sums.select("label", F.col("k").alias("label_order"), F.array(*[F.col(f"a{i}") for i in names]).alias("mean"), F.array(*std).alias("std"), z("y").alias("yes"), z("x").alias("no"), odds.alias("log_odds"))
+
+
+def predict_multilabel(rows: DataFrame, model: DataFrame, features: Sequence[str], thresholds: dict[str, float] | None = None) -> DataFrame:
+    """``rows`` with ``probabilities`` (map) and ``predicted`` (array): labels whose probability reaches their threshold (0.5), and
+    if none does the one with the highest probability over its threshold."""
+    packed = model.agg(F.array_sort(F.collect_list(F.struct("label_order", "label", "mean", "std", "yes", "no", "log_odds"))).alias("_m"))
+    joined = rows.withColumn("_x", F.array(*[F.col(f).cast("double") for f in features])).join(F.broadcast(packed))
+    z = lambda m: F.zip_with(F.zip_with("_x", m["mean"], lambda a, b: a - b), m["std"], lambda a, b: a / b)
+    far = lambda m, side: F.aggregate(F.zip_with(z(m), m[side], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    joined = joined.withColumn("_p", F.transform("_m", lambda m: F.struct(m["label"].alias("label"), (1 / (1 + F.exp(-(0.5 * (far(m, "no") - far(m, "yes")) + m["log_odds"])))).alias("p"))))
+    limit = F.create_map(*[F.lit(x) for pair in (thresholds or {"": 0.5}).items() for x in pair])
+    joined = joined.withColumn("_r", F.transform("_p", lambda x: F.struct(x["label"].alias("label"), (x["p"] / F.coalesce(F.element_at(limit, x["label"]), F.lit(0.5))).alias("r"))))
+    chosen = F.transform(F.filter("_r", lambda x: x["r"] >= 1), lambda x: x["label"])
+    top = F.get(F.transform(F.filter("_r", lambda x: x["r"] == F.array_max(F.transform("_r", lambda y: y["r"]))), lambda x: x["label"]), 0)
+    out = joined.withColumn("probabilities", F.map_from_arrays(F.transform("_p", lambda x: x["label"]), F.transform("_p", lambda x: x["p"])))
+    return out.withColumn("predicted", F.when(F.size(chosen) > 0, chosen).otherwise(F.array(top))).drop("_x", "_m", "_p", "_r")
+
+
+def save(model: DataFrame, path: str) -> None:
+    """A model as JSON lines, a line for each class."""
+    model.coalesce(1).write.mode("overwrite").json(path)
+
+
+def load(spark, path: str) -> DataFrame:
+    return spark.read.schema("fold int, class string, class_order long, mean array<double>, std array<double>, centroid array<double>, log_prior double").json(path)

@@ -97,3 +97,22 @@ def back_align(cds: DataFrame, proteins: DataFrame, table: int | str = 1) -> Dat
     threaded = F.aggregate("_aa", F.struct(F.lit(0).alias("k"), F.lit("").alias("out")), step, lambda s: s["out"])
     rows = rows.withColumn("error", error)
     return rows.withColumn("seq", F.when(F.col("error").isNull(), threaded)).select(*cds.columns, "error")
+
+
+def benchmark_table(sequences: DataFrame, labels: DataFrame, folds: DataFrame, key: str = "accession") -> DataFrame:
+    """Sequences, labels and folds of the same keys in one table. ValueError if a key is repeated or missing on some side."""
+    sides = {"sequences": sequences, "labels": labels, "folds": folds}
+    seen = None
+    for name, df in sides.items():
+        counts = df.groupBy(key).agg(F.count("*").alias(f"n_{name}"))
+        seen = counts if seen is None else seen.join(counts, key, "full")
+    if not seen.where(" OR ".join(f"coalesce(n_{name}, 0) <> 1" for name in sides)).isEmpty():
+        raise ValueError("keys are repeated or missing")
+    return sequences.join(labels, key).join(folds, key)
+
+
+def leakage(train: DataFrame, test: DataFrame, accession: str = "accession", sequence: str = "sequence") -> DataFrame:
+    """One row: accessions and sequences that two sets have in common."""
+    both = lambda c: train.select(c.alias("k")).distinct().join(test.select(c.alias("k")).distinct(), "k").agg(F.count("*"))
+    one = both(F.substring_index(accession, ".", 1)).toDF("shared_accessions")
+    return one.join(F.broadcast(both(F.sha2(F.upper(sequence), 256)).toDF("shared_sequences")))
