@@ -43,9 +43,9 @@ from .common import Workspace, components, text_or_empty
 #: Members and elements of a region that one task joins; elements of a large region's group that one task compares with the pivot.
 SMALL, SMALL_ELEMENTS, SALT = 512, 4_000_000, 4_000_000
 COLUMNS = 8192
-RING = 1.3
+RING = 1.7
 MOST_ROUNDS = 5
-#: Candidate representatives that may be broadcast (16 bytes each); beyond, they are joined by a shuffle.
+#: Rows of ids that may be broadcast (some 24 bytes each) to join texts or sets where they lie; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 KNOWN_WORDS = 1_000_000
 #: Sets that a task remembers, so that copies in it give their cells once.
@@ -271,25 +271,29 @@ class JaccardJoin:
         score = members.join(weight, "cell").groupBy("node").agg(F.sum("others").alias("score"))
         return members.join(score, "node").groupBy("cell").agg(F.max(F.struct("score", "node")).alias("p")).select("cell", F.col("p.node").alias("region"))
 
+    @staticmethod
+    def beside(small: DataFrame, large: DataFrame, on, how: str = "inner") -> DataFrame:
+        """``large`` joined with a kept table of ids, without moving ``large`` if the ids are few enough to broadcast."""
+        return large.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+
     def elements(self, sets: DataFrame, nodes: DataFrame) -> DataFrame:
         """(node, size, elements) of ``nodes``, from one document of each."""
-        chosen = self.work.keep(sets.where("n_shingles > 0").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "chosen")
-        side = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-        n = self.n
+        chosen = sets.where("n_shingles > 0").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("chosen"))
+        chosen, n = self.work.keep(chosen, "chosen"), self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = Hashes()
             for batch in batches:
-                found = [shingles(x.as_py(), known, n) for x in batch.column(1)]
-                nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
-                offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                flat = pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(map(len, found), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["node", "size", "elements"])
+                found = [(int(k), shingles(x.as_py(), known, n)) for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+                # a null or repeated id may bring other documents along
+                found = [(k, s) for k, s in found if np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64) == k]
+                offsets = np.cumsum([0, *(len(s) for _, s in found)]).astype(np.int32)
+                flat = pa.array(np.concatenate([s for _, s in found] or [np.zeros(0, np.uint64)]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["node", "size", "elements"])
 
-        # a null or repeated id may bring other documents along: they go, as no one asked for their nodes
-        texts = self.docs.join(side, self.docs["id"].eqNullSafe(side["id"]), "left_semi").select("id", "text")
-        found = texts.mapInArrow(run, "node long, size long, elements array<long>")
-        return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        texts = self.beside(chosen, self.docs, self.docs["id"].eqNullSafe(chosen["chosen"])).select("node", "text")
+        found = self.work.keep(texts.mapInArrow(run, "node long, size long, elements array<long>"), "elements")
+        return self.work.keep(found.dropDuplicates(["node"]), "elements_once") if found.count() > chosen.count() else found
 
     def join_regions(self, rows: DataFrame) -> DataFrame:
         """Links inside small regions; rows: (region, node, class, size, elements)."""
@@ -373,7 +377,7 @@ class JaccardJoin:
         work = self.work
         members = work.keep(self.members(sets), "members")
         pivots = work.keep(self.pivots(members), "pivots")
-        elements = work.keep(self.elements(sets, members.select("node").distinct()), "elements")
+        elements = self.elements(sets, members.select("node").distinct())
         # a pivot is at home in its own region
         own = pivots.select(F.col("region").alias("node")).distinct().withColumn("pivot", F.col("node"))
         shared = members.join(pivots, "cell").groupBy("node", "region").agg(F.count("*").alias("cells")).groupBy("node").agg(F.max(F.struct("cells", "region")).alias("best"))
@@ -388,7 +392,8 @@ class JaccardJoin:
         """Links inside regions, given (region, node) places, the nodes' elements, and (node, root) classes connected so far."""
         work, out, before = self.work, self.spark.createDataFrame([], "a long, b long"), None
         own = places.withColumn("class", F.col("node")) if classes is None else places.join(classes, "node", "left").select("region", "node", F.coalesce("root", "node").alias("class"))
-        rows = own.join(elements, "node").select("region", "node", "class", "size", "elements")
+        own = work.keep(own, f"{name}_places")
+        rows = self.beside(own, elements, "node").select("region", "node", "class", "size", "elements")
         facts = own.join(elements.select("node", F.col("size").alias("k")), "node")
         for step in range(self.most_rounds + 1):
             count = facts.groupBy("region").agg(F.count("*").alias("m"), F.sum("k").alias("held"))
