@@ -119,7 +119,7 @@ def in_turn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     each text once. The bounds are a sketch's quantiles over all ids, at most MOST_BUCKETS.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     n = rows.count()
     buckets = max(1, min(MOST_BUCKETS, n // ROWS_OF_A_BUCKET))
     cuts = rows.agg(F.percentile_approx("id", [k / buckets for k in range(1, buckets)], 20 * buckets)).first()[0] if n and buckets > 1 else []

@@ -84,16 +84,16 @@ def _times(block: Column) -> Column:
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1),
         share: float = 1.5, most: float = 2.0, seed: int = 17, work: Workspace | None = None) -> DataFrame:
-    """(id, key, size, source_size, target, taken, start, block, n_blocks, seats, salt) of every row.
+    """(id, key, size, source_size, target, taken, start, block, n_blocks, seats, salt, mark) of every row.
 
     size: words of the text, 0 for null. taken: words that the mix takes of it, repeats counted, at most ``most`` (rounded
-    up) times its size. Documents are ordered within their source by a hash of id and size with ``seed``; rows equal in
-    both are interchangeable. The same rows and seed give the same result in every run. A null source is a source of its
+    up) times its size. Documents are ordered within their source by a hash of id and text with ``seed``; rows equal in
+    both are interchangeable. mark: the text's hash. The same rows and seed give the same result in every run. A null source is a source of its
     own, last in order. Empty tables give no rows; other columns aren't read.
     """
     work = work or Workspace(df.sparkSession, "mixing")
-    rows = df.select(F.col(id_col).alias("id"), source_key(source_col).alias("key"), word_count(F.col(text_col)).alias("size"))
-    rows = rows.withColumn("h", F.xxhash64("id", "size", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
+    rows = df.select(F.col(id_col).alias("id"), source_key(source_col).alias("key"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("mark"))
+    rows = rows.withColumn("h", F.xxhash64("id", "mark", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
     rows = work.keep(rows, "sizes")  # texts are read once
     buckets = rows.groupBy("key", "bucket").agg(F.sum("size").alias("held"))
     table = targets(buckets.groupBy("key").agg(F.sum("held").alias("source_size")), weights, share, most)
@@ -112,17 +112,18 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     taken = F.when(F.col("size") == 0, F.lit(0)).otherwise(words_before(F.col("start") + F.col("size")) - words_before(F.col("start")))
     return rows.select(F.col("id").alias(id_col), "key", "size", F.col("source_size").cast("long").alias("source_size"), "target",
-                       taken.cast("long").alias("taken"), "start", "block", "n_blocks", "seats", "salt")
+                       taken.cast("long").alias("taken"), "start", "block", "n_blocks", "seats", "salt", "mark")
 
 
 def pieces(mixed: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``texts`` as the mix takes them: pass k (0, 1, ...) of a document has the words whose block is taken more than k times.
 
     Words keep the white space that follows them. Each pass of a document that takes any word is one row with the columns of
-    ``texts``; a document's row is joined by its id, which must be unique.
+    ``texts``. Rows are joined by id and text, so an id may repeat or be null; rows equal in both must have been merged.
     """
-    names = {id_col: "_id", "start": "_start", "block": "_block", "n_blocks": "_n", "seats": "_seats", "salt": "_salt", "size": "_size"}
-    rows = texts.join(mixed.where("taken > 0").select(*[F.col(a).alias(b) for a, b in names.items()]), F.col(id_col) == F.col("_id"))
+    names = {id_col: "_id", "start": "_start", "block": "_block", "n_blocks": "_n", "seats": "_seats", "salt": "_salt", "size": "_size", "mark": "_mark"}
+    spans = mixed.where("taken > 0").select(*[F.col(a).alias(b) for a, b in names.items()])
+    rows = texts.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_mark")))
     first, last = "(_start div _block)", "((_start + _size - 1) div _block)"
     times = f"transform(sequence({first}, {last}), b -> cast(((b + 1) * _seats + _salt) div _n - (b * _seats + _salt) div _n as int))"
     rows = rows.withColumn("_times", F.expr(times))
