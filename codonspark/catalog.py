@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from codonspark.functions import codes
 from codonspark.functions import proteins as P
 from codonspark.functions import sequences as S
-from codonspark.operators import centroid, checks, gaps, joins, labels, metrics, orf, rows, sites
+from codonspark.operators import calibration, centroid, checks, gaps, joins, labels, metrics, orf, rows, sites
 from codonspark.plans.frames import AS_BASES, AS_RESIDUES, LETTERS, document_alignments, document_sequences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -722,3 +722,46 @@ def organism_gate(spark, sf_dir):
     p = {c: F.greatest(F.get("embedding", k), F.lit(0.0)).cast("double") for k, c in enumerate(labels.CLASSES)}
     group = F.when(F.col("label") % 2 == 0, "plant").otherwise("non_plant")
     return table(spark, sf_dir, "embeddings").select("vec_id", *[r6(v).alias(c) for c, v in centroid.constrain(p, group).items()])
+
+
+@query(f"SELECT input_order, list_aggregate(list_transform(range(1, 61), lambda k: CASE WHEN k > length(seq) THEN 0 WHEN instr('{P.AA}', substr(seq, k::INT, 1)) > 0 THEN instr('{P.AA}', substr(seq, k::INT, 1)) ELSE 21 END), 'string_agg', ',') AS codes FROM ({_AA})")
+def residue_codes(spark, sf_dir):
+    return _proteins(spark, sf_dir).select("input_order", F.array_join(P.residue_codes(F.col("seq"), 60), ",").alias("codes"))
+
+
+_CUT = f"(CASE WHEN contains('{P.SMALL_BEFORE_CUT}', substr(seq, k::INT, 1)) THEN 1.0 ELSE 0.0 END) + (CASE WHEN contains('{P.SMALL_BEFORE_CUT}', substr(seq, (k - 2)::INT, 1)) THEN 1.0 ELSE 0.0 END) + {_frac('substr(seq, greatest(1, k - 16)::INT, 12)', P.HYDROPHOBIC)} + {_frac('left(seq, 5)', P.BASIC_STRICT)}"
+
+
+@query(f"SELECT input_order, round(score, 6) AS score, k::INT AS cut FROM (SELECT *, row_number() OVER (PARTITION BY input_order ORDER BY round(score, 9) DESC, k) AS r FROM (SELECT input_order, k, {_CUT} AS score FROM (SELECT input_order, seq, unnest(range(12, least(44, length(seq) - 2) + 1)) AS k FROM ({_AA})))) WHERE r = 1")
+def signal_cuts(spark, sf_dir):
+    return _proteins(spark, sf_dir).select("input_order", P.best_cut(F.col("seq")).alias("c")).where("c IS NOT NULL").select("input_order", r6("c.score").alias("score"), F.col("c.cut").alias("cut"))
+
+
+@query(f"SELECT (SELECT count(*) FROM (SELECT string_split(accession, '.')[1] FROM ({_ACC}) INTERSECT SELECT string_split(accession, '.')[1] FROM ({_OTHER}))) AS shared_accessions, (SELECT count(*) FROM (SELECT upper(sequence) FROM ({_ACC}) INTERSECT SELECT upper(sequence) FROM ({_OTHER}))) AS shared_sequences")
+def leakage(spark, sf_dir):
+    return joins.leakage(*_accessions(spark, sf_dir))
+
+
+@query("SELECT label AS row_idx, round(avg(greatest(embedding[1], 0)), 6) AS p0, round(avg(greatest(embedding[2], 0)), 6) AS p1, round(avg(greatest(embedding[3], 0)), 6) AS p2 FROM embeddings GROUP BY label")
+def average_folds(spark, sf_dir):
+    part = [F.greatest(F.get("embedding", k), F.lit(0.0)).cast("double") for k in range(3)]
+    oof = table(spark, sf_dir, "embeddings").select(F.col("label").alias("row_idx"), F.lit("x").alias("truth"), F.array(*part).alias("probs"))
+    return calibration.average_folds(oof).select("row_idx", *[r6(F.get("probs", k)).alias(f"p{k}") for k in range(3)])
+
+
+@query(None)
+def multilabel_predictions(spark, sf_dir):
+    data = _training(spark, sf_dir).withColumn("labels", F.array_compact(F.array(F.when(F.col("label").isin("en", "de"), "germanic"), F.when(F.col("label").isin("fr", "es"), "romance"))))
+    out = centroid.predict_multilabel(data, centroid.fit_multilabel(data, _FEATURES, ("germanic", "romance")), _FEATURES)
+    return out.select("input_order", F.array_join("predicted", ",").alias("predicted"))
+
+
+@query(None)
+def hash_split(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("sequence"), F.col("lang").alias("label"))
+    return calibration.split_by_hash(docs, 0.2).select("doc_id", "is_valid")
+
+
+@query(None)
+def cluster_folds(spark, sf_dir):
+    return calibration.cluster_folds(table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("cluster"), (F.col("lang") == "en").alias("positive")), 5)
