@@ -231,13 +231,19 @@ class Memo(dict):
         return ids, b" ".join(map(self.decoded.__getitem__, chunks))
 
 
+@lru_cache(maxsize=1)
+def memo_of(path: str) -> Memo:
+    """The worker's memo, which the tasks that follow each other in it share."""
+    return Memo(path)
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``df`` with the token ids of its text as array<int>. A null text has no tokens; a column ``out_col`` is replaced."""
     df = df.drop(out_col)
     where = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(path)
+        memo = memo_of(path)
         for whole in batches:
             for at in range(0, whole.num_rows, OUT_ROWS):
                 batch = whole.slice(at, OUT_ROWS)
@@ -270,7 +276,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, sha = Memo(path), hashlib.sha256
+        memo, sha = memo_of(path), hashlib.sha256
         for batch in batches:
             n, a, b = [], [], []
             for data in batch.column(1):

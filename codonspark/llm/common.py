@@ -65,28 +65,28 @@ def components(edges: DataFrame, work: Workspace, name: str = "cc", most: int =
     aggregation and joins it back, so that no neighbourhood is gathered in one task. Edges with a null end are ignored,
     repeated edges and loops do no harm, an empty table gives an empty result.
     """
-    def table(df: DataFrame, step: int) -> tuple[DataFrame, tuple]:
+    def table(df: DataFrame, step: int) -> tuple[DataFrame, bool]:
+        """The kept edges, and whether they are stars: each node points to one other, to which no other edge leads away."""
         kept = work.keep(df.distinct(), f"{name}{step}")
-        state = kept.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return kept, tuple(state)
+        n, nodes = kept.agg(F.count("*"), F.count_distinct("a")).first()
+        return kept, n == nodes and kept.join(kept.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()
 
     def lowest(df: DataFrame) -> DataFrame:
         return df.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
 
-    now, state = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), 0)
-    for step in range(1, most):
+    now, done = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), 0)
+    step = 0
+    while not done:
+        step += 1
+        if step > most:
+            raise RuntimeError(f"components did not settle in {most} steps")
         both = now.union(now.select("b", "a").toDF("a", "b"))
         large = both.join(lowest(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = large.join(lowest(large), "a").select(
             F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")
         ).select("e.a", "e.b").where("a <> b")
-        now, was = None, state
-        now, state = table(small, step)
+        now, done = table(small, step)
         work.drop(f"{name}{step - 1}")
-        if state == was:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {most} steps")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

@@ -43,7 +43,9 @@ from .common import Workspace, components, text_or_empty
 #: Members and elements of a region that one task joins; elements of a large region's group that one task compares with the pivot.
 SMALL, SMALL_ELEMENTS, SALT = 512, 4_000_000, 4_000_000
 COLUMNS = 8192
-RING = 1.7
+RING, RINGS = 1.7, 64
+#: One part in so many is spare: linked pairs agree in about as many.
+SPARE = 4
 MOST_ROUNDS = 5
 #: Rows of ids that may be broadcast (some 24 bytes each) to join texts or sets where they lie; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
@@ -99,31 +101,36 @@ def rings(t: Fraction, most: int = 1 << 40) -> list[int]:
     return out
 
 
-def cells(s: np.ndarray, t: Fraction, lows: list[int]) -> np.ndarray:
-    """Keys of the Voronoi cells that a set of shingles lies in, over all rings that its window reaches.
+def cells(s: np.ndarray, t: Fraction, lows: list[int]) -> tuple[np.ndarray, list[int]]:
+    """Keys of the Voronoi cells that a set of shingles lies in, over all rings that its window reaches, and for each ring its
+    number, plus RINGS times the number of cells that the set shares with any partner there at least.
 
-    Cells of empty restrictions would gather unlike documents. They are left out wherever the number of parts, less the
-    differences allowed and the parts that are empty here, still leaves one that any partner must share.
+    Keys end in the ring's number. Cells of empty restrictions would gather unlike documents. They are left out wherever the
+    number of parts, less the differences allowed and the parts that are empty here, still leaves one that any partner
+    must share.
     """
-    n, out = len(s), []
+    n, out, needs = len(s), [], []
     ring = int(np.searchsorted(lows, n, "right")) - 1
     last = int(np.searchsorted(lows, int(n / t), "right")) - 1
     spread = mixed(s + U(0x9E3779B97F4A7C15))
     for r in range(max(ring, 1), last + 1):
         top = lows[r + 1] - 1
         parts = bound(2 * top, t) + 2
+        parts += parts // SPARE
         blank = parts * exp(-top / parts)  # parts expected to be empty
         parts += ceil(blank + 4 * sqrt(blank))
         part = (spread >> U(20)) % U(parts)
         at = np.argsort(part, kind="stable")
         own = part[at]
         starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        keys = np.add.reduceat(mixed(spread[at]), starts) + mixed(own[starts] + U(r << 32))
-        out.append(mixed(keys))
+        keys = mixed(np.add.reduceat(mixed(spread[at]), starts) + mixed(own[starts] + U(r << 32)))
         empty = parts - len(starts)
-        if empty and parts - bound(n + min(int(n / t), top), t) - empty < 1:
-            out.append(mixed(mixed(np.setdiff1d(np.arange(parts, dtype=np.uint64), own) + U(r << 32))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        need = parts - bound(n + min(int(n / t), top), t) - empty
+        if empty and need < 1:
+            keys = np.concatenate((keys, mixed(mixed(np.setdiff1d(np.arange(parts, dtype=np.uint64), own) + U(r << 32)))))
+        out.append(keys // U(RINGS) * U(RINGS) + U(r % RINGS))
+        needs.append(max(need, 1) * RINGS + r % RINGS)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), needs
 
 
 def linked(common: int, a: int, b: int, t: Fraction) -> bool:
@@ -236,14 +243,14 @@ class JaccardJoin:
         self.docs = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
 
     def sets(self) -> DataFrame:
-        """(id, node, n_shingles, cells): node stands for the set itself, equal sets are one node.
+        """(id, node, n_shingles, cells, needs): node stands for the set itself, equal sets are one node.
 
         A task gives the cells of equal sets once, so that a large group of copies shrinks before the shuffle.
         """
         t, n, lows = self.t, self.n, rings(self.t)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, seen, none = Hashes(), set(), np.zeros(0, np.uint64)
+            known, seen, none = Hashes(), set(), (np.zeros(0, np.uint64), [])
             for batch in batches:
                 found = [shingles(x.as_py(), known, n) for x in batch.column(1)]
                 nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in found]
@@ -253,17 +260,24 @@ class JaccardJoin:
                     if len(seen) >= KNOWN_NODES:
                         seen.clear()
                     seen.add(node)
-                offsets = np.cumsum([0, *map(len, own)]).astype(np.int32)
-                flat = pa.array(np.concatenate(own or [none]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(map(len, found), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["id", "node", "n_shingles", "cells"])
+                offsets = np.cumsum([0, *(len(c) for c, _ in own)]).astype(np.int32)
+                flat = pa.array(np.concatenate([none[0], *(c for c, _ in own)]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(map(len, found), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat),
+                                                  pa.array([x for _, x in own], pa.list_(pa.int64()))], ["id", "node", "n_shingles", "cells", "needs"])
 
-        return self.docs.mapInArrow(run, "id long, node long, n_shingles long, cells array<long>")
+        return self.docs.mapInArrow(run, "id long, node long, n_shingles long, cells array<long>, needs array<long>")
 
     def members(self, sets: DataFrame) -> DataFrame:
-        """(cell, node) of the cells with several nodes. One shuffle by cell serves both the count and the join with it."""
+        """(cell, node) of the cells with several nodes that share enough cells. One shuffle by cell serves both the search for
+        shared cells and the join with them."""
         rows = sets.where("n_shingles > 0").select("node", F.explode("cells").alias("cell")).repartition("cell")
         shared = rows.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("cell")
-        return rows.join(shared, "cell").select("cell", "node").distinct()
+        met = self.work.keep(rows.join(shared, "cell").select("cell", "node").distinct(), "met")
+        ring = F.pmod("cell", F.lit(RINGS)).alias("ring")
+        needs = sets.select("node", F.explode("needs").alias("v")).groupBy("node", F.pmod("v", F.lit(RINGS)).alias("ring")).agg(F.min(F.col("v")).alias("v"))
+        have = met.groupBy("node", ring).agg(F.count("*").alias("n")).join(needs, ["node", "ring"]).where(F.col("n") * RINGS + F.col("ring") >= F.col("v")).select("node", "ring")
+        rest = met.select("cell", "node", ring).join(have, ["node", "ring"], "left_semi").select("cell", "node")
+        return rest.join(rest.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "cell", "left_semi")
 
     def pivots(self, members: DataFrame) -> DataFrame:
         """(cell, region): a region is named by its pivot, the member of the cell that meets most others in all its cells."""

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,16 +206,23 @@ def test_driver_table(spark):
 
 
 def test_every_linked_pair_shares_a_cell():
-    rnd, t = random.Random(9), Fraction(9, 10)
+    rnd = random.Random(9)
+    for t in (Fraction(9, 10), Fraction(4, 5)):
+        linked_pairs_share_cells(rnd, t)
+
+
+def linked_pairs_share_cells(rnd, t):
     lows = jaccard.rings(t)
-    import numpy as np
     for n in [*range(1, 60), 100, 333, 1000]:
         for _ in range(20):
             x = np.unique(np.array([rnd.getrandbits(64) for _ in range(n)], np.uint64))
-            common = rnd.randint(int(0.88 * n), n)
-            y = np.unique(np.concatenate((x[:common], np.array([rnd.getrandbits(64) for _ in range(rnd.randint(0, n // 9 + 1))], np.uint64))))
+            common = rnd.randint(int((float(t) - 0.02) * n), n)
+            y = np.unique(np.concatenate((x[:common], np.array([rnd.getrandbits(64) for _ in range(rnd.randint(0, int(n * (1 - t)) + 1))], np.uint64))))
             if jaccard.linked(len(np.intersect1d(x, y)), len(x), len(y), t) and not np.array_equal(x, y):
-                assert len(np.intersect1d(jaccard.cells(x, t, lows), jaccard.cells(y, t, lows))), (len(x), len(y))
+                (a, need), (b, _) = jaccard.cells(x, t, lows), jaccard.cells(y, t, lows)
+                both = np.intersect1d(a, b)
+                enough = [v for v in need if np.count_nonzero(both % np.uint64(jaccard.RINGS) == v % jaccard.RINGS) >= v // jaccard.RINGS]
+                assert len(both) and enough, (len(x), len(y))
 
 
 def test_components(spark):
