@@ -21,7 +21,7 @@ SAMPLE_ROWS = 2000
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), 0)
+    return F.get(F.transform(F.array(value), lambda x: use(x)), 0)
 
 
 def n_chars_in_words(text: Column) -> Column:
@@ -38,8 +38,12 @@ def n_dup_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def n_repeat_words(text: Column, window: int = 3) -> Column:
-    """Words in windows of ``window`` words that are found twice or more in the text, the first included.
+def n_repeat_words(text: Column) -> Column:
+    return let(words(text), repeat_words)
+
+
+def repeat_words(w: Column, window: int = 3) -> Column:
+    """Of an array of words, those in windows of ``window`` words that are found twice or more in it, the first included.
 
     Windows are compared by 64-bit hashes. Only a text with a repeated hash has its windows sorted, as (hash, place)
     structs; neighbours with equal hashes give the repeated places, and the places' gaps give the words they cover.
@@ -53,12 +57,9 @@ def n_repeat_words(text: Column, window: int = 3) -> Column:
         places = lambda s: F.filter(F.transform(s, lambda x, k: F.when((F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]), x["i"])), lambda i: i.isNotNull())
         return let(pairs, lambda s: let(F.array_sort(places(s)), cover))
 
-    def count(w: Column) -> Column:
-        starts = F.slice(w, 1, F.greatest(F.size(w) - (window - 1), F.lit(0)))
-        hashes = F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, window)]))
-        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), repeated(h)).otherwise(F.lit(0)))
-
-    return let(words(text), count).cast("long")
+    starts = F.slice(w, 1, F.greatest(F.size(w) - (window - 1), F.lit(0)))
+    hashes = F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, window)]))
+    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), repeated(h)).otherwise(F.lit(0))).cast("long")
 
 
 def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -103,15 +104,16 @@ def order_rules(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     """(rule, rejected share, cost) by falling rejection per cost, from at most ``sample_rows`` rows.
 
     Costs are passes over a mean text: COST of the measures that a rule needs times the sample's mean length. The sample
-    decides the order only. Without rows the given order stays.
+    decides the order only. It is taken from the first partitions that hold so many rows, no others are read; what comes to
+    the driver is a length and a flag for each rule. Without rows the given order stays.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sample = df.select(text.alias("t")).limit(sample_rows)
-    sample = sample.select(F.length("t").alias("chars"), *[MEASURES[k](F.col("t")).alias(k) for k in sorted({k for r in rules for k in r.needs})])
+    sample = df.select(F.length(text).alias("chars"), *[MEASURES[k](text).alias(k) for k in sorted({k for r in rules for k in r.needs})])
     m = {k: F.col(k) for k in sample.columns}
-    row = sample.agg(F.avg("chars").alias("chars"), *[F.avg(r.rejects(m).cast("int")).alias(r.name) for r in rules]).first()
-    chars = row["chars"] or 1.0
-    found = [(r, row[r.name] or 0.0, chars * (r.cost + sum(COST[k] for k in r.needs))) for r in rules]
+    rows = sample.select("chars", *[r.rejects(m).cast("int").alias(r.name) for r in rules]).take(sample_rows)
+    mean = lambda k: sum(row[k] for row in rows) / max(len(rows), 1)
+    chars = mean("chars") or 1.0
+    found = [(r, mean(r.name), chars * (r.cost + sum(COST[k] for k in r.needs))) for r in rules]
     return sorted(found, key=lambda x: -x[1] / x[2])
 
 
@@ -127,10 +129,12 @@ def verdict(text: Column, order: list[Rule], known: dict[str, Column] | None = N
 def cascade(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``df`` with ``rejected_by`` (null: kept). A null or empty text has no words, so few_words or an earlier rule rejects it.
 
-    Other columns pass unchanged; a column named rejected_by is replaced. An empty table stays empty.
+    Other columns pass unchanged; a column named rejected_by is replaced. An empty table stays empty. A text is split into
+    words once for all rules.
     """
     order = [r for r, _, _ in order_rules(df, text_col, rules, sample_rows)]
-    return df.withColumn("rejected_by", verdict(F.coalesce(F.col(text_col), F.lit("")), order))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return df.withColumn("rejected_by", let(words(text), lambda w: verdict(text, order, {"n_words": F.size(w).cast("long"), "n_repeat_words": repeat_words(w)})))
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
