@@ -83,10 +83,23 @@ def label_summary(rows: DataFrame, labels: str = "localization_labels") -> DataF
     return rows.select(one.alias("label")).where("label <> ''").groupBy("label").agg(F.count("*").alias("n"))
 
 
+#: Stretches of the hash's range that a class is laid out over; only their counts are put in order.
+BUCKET_BITS = 12
+
+
 def stratified_folds(rows: DataFrame, k: int, label: str = "label", key: str = "input_order", seed: int = 1) -> DataFrame:
-    """``rows`` with fold (from 0): each class is dealt round in the order of a seeded hash of the key."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    return rows.withColumn("fold", ((rank - 1) % k).cast("int"))
+    """``rows`` with fold (from 0): each class is dealt round in the order of a seeded hash of the key.
+
+    A class is never brought into one task: rows are numbered within stretches of the hash's range, and a stretch starts at
+    the count of those before it.
+    """
+    rows = rows.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_bucket", F.call_function("shiftright", "_h", F.lit(64 - BUCKET_BITS)))
+    held = rows.groupBy(F.col(label).alias("_label"), F.col("_bucket").alias("_at")).agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy("_label").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("_label", "_at", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    rank = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_h", key))
+    out = rows.withColumn("_rank", rank).join(held, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_at")))
+    return out.withColumn("fold", ((F.col("_ahead") + F.col("_rank") - 1) % k).cast("int")).drop("_h", "_bucket", "_label", "_at", "_ahead", "_rank")
 
 
 def capped_sample(rows: DataFrame, most: int, label: str = "label", key: str = "input_order", seed: int = 1) -> DataFrame:

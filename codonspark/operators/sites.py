@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codonspark.functions import codes
 from codonspark.functions import sequences as S
-from codonspark.plans.frames import codon_rows, keep_sites
+from codonspark.plans.frames import codon_rows, keep_sites, stored
 
 A = "alignment_id"
 
@@ -183,52 +184,161 @@ def max_align(seqs: DataFrame, missing: str = "-?.", most_sequences: int = 16, *
     return complete_columns(both, missing)
 
 
-def greedy_area(seqs: DataFrame, missing: str = "-?.", max_removed: int | None = None) -> DataFrame:
-    """(alignment_id, kept_orders, area): drops, as long as the area grows, the set of sequences that wins most area a head.
+#: Classes of equal sequences times columns of an alignment that one task may get.
+TASK_CELLS = 4_000_000
+#: Unions whose gain is counted at once.
+PAIRS = 512
 
-    Candidates are the sets of sequences that some column lacks, and unions of two; of equal gains the set that completes
-    more columns wins, then the one met first, from the last column's set back. A task gets an alignment's merged columns
-    as sets of missing sequences, not its sequences.
+
+def _shortlist(shared: np.ndarray, sites: np.ndarray, n: int, base: int, left: int | None) -> list[tuple[float, int, int]]:
+    """(bound, i, j): the best single set as (i, i), and unions (i, j) of two sets, i > j, whose area a head may reach its.
+
+    ``shared[i, j]`` sequences are in both sets; sets are in order, and all can be dropped. A set that lies in neither of two
+    can lie in their union only if its parts in both come to its size, one of them to half of it. That bounds what a union
+    wins, first for all pairs by products of matrices, then for those left. Highest bounds come first.
     """
-    rank = F.row_number().over(Window.partitionBy(A).orderBy("input_order")) - 1
-    placed = seqs.withColumn("place", rank.cast("int"))
-    lacks = F.length(F.translate("codon", missing, "")) < F.length("codon")
-    columns = placed.select(A, "place", F.posexplode(S.codons(F.col("seq"))).alias("site", "codon")).groupBy(A, "site").agg(F.array_sort(F.collect_list(F.when(lacks, F.col("place")))).alias("absent"))
-    merged = columns.groupBy(A, "absent").agg(F.count("*").alias("sites"), F.min("site").alias("first"))
-    members = placed.groupBy(A).agg(F.array_sort(F.collect_list(F.struct("place", "input_order"))).alias("members"))
+    size, area = np.diag(shared), n * base
+    inside, half = shared == size[:, None], 2 * shared >= size[:, None]  # [k, i]: set k lies in set i
+    won = sites @ inside
+    rate = ((n - size) * (base + won) - area) / size
+    top = max(range(len(size)), key=lambda i: (rate[i], won[i], i))
+    part = (shared > 0) & ~inside
+    more, full, own = (x.astype(np.float32) for x in (part & half, part, inside))
+    weigh = lambda x, y: np.rint((x * sites[:, None].astype(np.float32)).T @ y).astype(int)
+    cross = weigh(more, full)
+    most = won[:, None] + won - weigh(own, own) + cross + cross.T - weigh(more, more)
+    drop = size[:, None] + size - shared
+    hope = np.tril(((n - drop) * (base + most) - area) / drop >= rate[top], -1) & (True if left is None else drop <= left)
+    out = [(rate[top], top, top)]
+    for i in np.flatnonzero(hope.any(axis=1)):
+        js, ks = np.flatnonzero(hope[i]), np.flatnonzero(shared[:, i])
+        least = won[js] + sites[ks] @ ((shared[np.ix_(ks, js)] + shared[ks, i][:, None] >= size[ks][:, None]) & ~inside[np.ix_(ks, js)])
+        bound = ((n - drop[i, js]) * (base + least) - area) / drop[i, js]
+        out += [(float(x), int(i), int(j)) for x, j in zip(bound, js, strict=True) if x >= rate[top]]
+    return sorted(out, key=lambda x: -x[0])
+
+
+def _search(absent: np.ndarray, weight: np.ndarray, total: int, width: int, most: int | None, area: int) -> tuple[list[int], int]:
+    """(cut, area) after all rounds, from classes (rows) by the columns that some class misses, in order of site."""
+    cut: list[int] = []
+    active = np.ones(len(weight), bool)
+    while (n := int(weight[active].sum())) > 1:
+        left = None if most is None else most - (total - n)
+        kinds: dict[bytes, list[int]] = {}
+        for k, column in enumerate(np.ascontiguousarray(absent[active].T)):
+            if column.any():
+                kinds.setdefault(column.tobytes(), []).append(k)
+        base = width - sum(map(len, kinds.values()))
+        first, sites = np.array([k[0] for k in kinds.values()], int), np.array([len(k) for k in kinds.values()], int)
+        sets, w = absent[active][:, first], weight[active]
+        if left is not None:
+            fits = w @ sets <= left
+            first, sites, sets = first[fits], sites[fits], sets[:, fits]
+        if not len(first):
+            break
+        shared = np.rint((sets * w[:, None].astype(float)).T @ sets.astype(float)).astype(int)
+        best, found = None, _shortlist(shared, sites, n, base, left)
+        for at in range(0, len(found), PAIRS):
+            if best is not None and found[at][0] < best[0]:
+                break
+            i, j = (np.array([x[k] for x in found[at:at + PAIRS]]) for k in (1, 2))
+            drop = sets[:, i] | sets[:, j]
+            dropped, won = w @ drop, sites @ ~((sets.T.astype(np.float32) @ ~drop) > 0)
+            new = (n - dropped) * (base + won)
+            own = max(zip(((new - area) / dropped).tolist(), won.tolist(), i.tolist(), (i == j).tolist(), j.tolist(), new.tolist(), strict=True))
+            best = own if best is None or own > best else best
+        if best[-1] <= area:
+            break
+        cut, area = cut + [int(first[best[2]]), int(first[best[4]])], best[-1]
+        active = ~absent[:, cut].any(axis=1)
+    return cut, area
+
+
+def greedy_cuts(seqs: DataFrame, missing: str = "-?.", max_removed: int | None = None, task_cells: int = TASK_CELLS) -> tuple[DataFrame, DataFrame]:
+    """(``seqs`` with ``gone``, cuts): the columns that each sequence misses, and (alignment_id, cut, area).
+
+    The search drops all sequences that miss a column of ``cut``, so no ids go through it, and sequences that miss the same
+    columns are one class with a weight. An alignment of at most ``task_cells`` classes times columns is searched in one
+    task. Of a larger one no task gets more than figures of pairs of columns: each round counts columns, the sequences that
+    two of them share and the shortlisted unions by aggregations over the classes, until the rest is small enough or no
+    area is won.
+    """
+    codons = S.codons(F.col("seq"))
+    lacks = F.transform(codons, lambda c, k: F.when(F.length(F.translate(c, missing, "")) < F.length(c), k))
+    placed = seqs.withColumn("gone", F.array_compact(lacks).cast("array<int>"))
+    classes = stored(placed.select(A, "gone", F.size(codons).alias("width")).groupBy(A, "gone").agg(F.count("*").alias("w"), F.max("width").alias("width")), "classes")
+    whole = classes.groupBy(A).agg(F.sum("w").alias("total"), F.max("width").alias("width"))
+    missed = classes.select(A, F.explode("gone").alias("k")).groupBy(A, "k").count().groupBy(A).agg(F.count("*").alias("missed"))
+    area = F.col("total") * (F.col("width") - F.coalesce("missed", F.lit(0)))
+    state = stored(whole.join(missed, A, "left").select(A, "total", "width", F.array().cast("array<int>").alias("cut"), area.cast("bigint").alias("area"), F.lit(False).alias("done")), "state")
+    while True:
+        rest = classes.drop("width").join(state.where("NOT done"), A).where(~F.arrays_overlap("gone", "cut"))
+        large = stored(rest.groupBy(A).agg((F.count("*") * F.max("width")).alias("cells")).where(F.col("cells") > task_cells).select(A), "large")
+        if large.isEmpty():
+            break
+        state = stored(_round(stored(rest.join(large, A, "left_semi"), "live"), state, max_removed), "state")
+    kind = seqs.schema[A].dataType.simpleString()
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        n = int(rows["n"].iloc[0])
-        columns = [(frozenset(a), int(s)) for a, s in zip(rows.sort_values("first")["absent"], rows.sort_values("first")["sites"], strict=True)]
-        active, removed = set(range(n)), 0
-        area = n * sum(s for a, s in columns if not a)
-        while len(active) > 1:
-            left = None if max_removed is None else max_removed - removed
-            sets: dict[frozenset, int] = {}
-            for absent, sites in columns:
-                here = absent & active
-                if here and (left is None or len(here) <= left):
-                    sets[here] = sets.get(here, 0) + sites
-            base = sum(s for a, s in columns if not (a & active))
-            order, best = list(sets), None
-            for i in range(len(order) - 1, -1, -1):
-                for drop in [order[i], *(order[i] | order[j] for j in range(i - 1, -1, -1))]:
-                    if left is not None and len(drop) > left:
-                        continue
-                    won = sum(s for a, s in sets.items() if a <= drop)
-                    new = (len(active) - len(drop)) * (base + won)
-                    rate = ((new - area) / len(drop), won)
-                    if best is None or rate > best[0]:
-                        best = (rate, new, drop)
-            if best is None or best[1] <= area:
-                break
-            active, area, removed = active - best[2], best[1], removed + len(best[2])
-        orders = {int(m["place"]): int(m["input_order"]) for m in rows["members"].iloc[0]}
-        return pd.DataFrame({A: [key[0]], "kept_orders": [[orders[k] for k in sorted(active)]], "area": [area]})
+        columns = np.unique(np.concatenate([*rows["gone"]])).astype(int)
+        absent = np.zeros((len(rows), len(columns)), bool)
+        for k, gone in enumerate(rows["gone"]):
+            absent[k, np.searchsorted(columns, gone)] = True
+        one = rows.iloc[0]
+        cut, area = _search(absent, rows["w"].to_numpy(), int(one["total"]), int(one["width"]), max_removed, int(one["area"]))
+        return pd.DataFrame({A: [key[0]], "cut": [[*map(int, one["cut"]), *(int(columns[k]) for k in cut)]], "area": [area]})
+
+    small = rest.groupBy(A).applyInPandas(solve, f"{A} {kind}, cut array<int>, area bigint")
+    return placed, state.where("done").select(A, "cut", "area").unionByName(small)
+
+
+def _round(live: DataFrame, state: DataFrame, most: int | None) -> DataFrame:
+    """``state`` after a round of the alignments in ``live``, the classes that are left of them."""
+    digest = lambda seed: F.sum(F.xxhash64("gone", F.lit(seed)).cast("decimal(38,0)"))
+    columns = live.select(A, "w", "gone", F.explode("gone").alias("k")).groupBy(A, "k").agg(F.sum("w").alias("size"), digest(1).alias("d1"), digest(2).alias("d2"))
+    sets = columns.groupBy(A, "size", "d1", "d2").agg(F.min("k").alias("k"), F.count("*").alias("sites"))
+    head = live.groupBy(A).agg(F.sum("w").alias("n"), F.first("total").alias("total"), F.first("width").alias("width"), F.first("area").alias("area"))
+    head = head.join(sets.groupBy(A).agg(F.sum("sites").alias("open")), A).select(A, "n", "area", (F.col("width") - F.col("open")).alias("base"), (F.lit(most).cast("bigint") - F.col("total") + F.col("n")).alias("left"))
+    sets = stored(sets.join(head, A).where("left IS NULL OR size <= left"), "sets")
+    own = live.join(sets.groupBy(A).agg(F.collect_list("k").alias("firsts")), A).select(A, "w", "gone", F.array_intersect("gone", "firsts").alias("own"))
+    pairs = own.select(A, "w", "own", F.explode("own").alias("x")).select(A, "w", "x", F.explode("own").alias("y")).where("x <= y").groupBy(A, "x", "y").agg(F.sum("w").alias("shared"))
+
+    def shortlist(key: tuple, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        sets = sets.sort_values("k")
+        first, one = sets["k"].to_numpy(), sets.iloc[0]
+        shared = np.zeros((len(first), len(first)), int)
+        x, y = (np.searchsorted(first, pairs[c].to_numpy()) for c in "xy")
+        shared[x, y] = shared[y, x] = pairs["shared"].to_numpy()
+        found = _shortlist(shared, sets["sites"].to_numpy(), int(one["n"]), int(one["base"]), None if most is None else int(one["left"]))
+        return pd.DataFrame([(key[0], int(first[i]), int(first[j]), int(shared[i, i] + shared[j, j] - shared[i, j])) for _, i, j in found], columns=[A, "x", "y", "dropped"])
+
+    kind = live.schema[A].dataType.simpleString()
+    short = stored(pairs.groupBy(A).cogroup(sets.groupBy(A)).applyInPandas(shortlist, f"{A} {kind}, x int, y int, dropped bigint"), "short")
+    hit = own.join(short, A).where(F.array_contains("gone", F.col("x")) | F.array_contains("gone", F.col("y")))
+    won = hit.select(A, "x", "y", "dropped", "w", F.explode("own").alias("k")).groupBy(A, "x", "y", "dropped", "k").agg(F.sum("w").alias("part")).join(sets, [A, "k"]).where("part = size")
+    won = won.groupBy(A, "x", "y", "dropped", "n", "base", "area").agg(F.sum("sites").alias("won"))
+    won = won.withColumn("new", (F.col("n") - F.col("dropped")) * (F.col("base") + F.col("won")))
+    rank = F.struct(((F.col("new") - F.col("area")) / F.col("dropped")).alias("rate"), "won", "x", (F.col("x") == F.col("y")).alias("single"), "y", "new")
+    best = won.groupBy(A).agg(F.max(rank).alias("b"))
+    tried = state.join(live.select(A, F.lit(True).alias("tried")).distinct(), A, "left").join(best, A, "left")
+    wins = F.col("b.new") > F.col("area")
+    return tried.select(A, "total", "width", F.when(wins, F.array_distinct(F.concat("cut", F.array("b.x", "b.y")))).otherwise(F.col("cut")).alias("cut"),
+                        F.when(wins, F.col("b.new")).otherwise(F.col("area")).alias("area"), (F.col("done") | (F.col("tried").isNotNull() & ~F.coalesce(wins, F.lit(False)))).alias("done"))
+
+
+def _greedy_rows(seqs: DataFrame, *options) -> DataFrame:
+    """``seqs`` that the greedy search keeps, with ``area``."""
+    placed, cuts = greedy_cuts(seqs, *options)
+    return placed.join(cuts, A).where(~F.arrays_overlap("gone", "cut")).select(*seqs.columns, "area")
+
+
+def greedy_area(seqs: DataFrame, missing: str = "-?.", max_removed: int | None = None, task_cells: int = TASK_CELLS) -> DataFrame:
+    """(alignment_id, kept_orders, area): drops, as long as the area grows, the set of sequences that wins most area a head.
 
-    kind = seqs.schema[A].dataType.simpleString()
-    rows = merged.join(members, A).withColumn("n", F.size("members"))
-    return rows.groupBy(A).applyInPandas(solve, f"{A} {kind}, kept_orders array<bigint>, area bigint")
+    Candidates are the sets of sequences that some column lacks, and unions of two; of equal gains the set that completes
+    more columns wins, then the one met first, from the last column's set back. The ids are gathered for the result only.
+    """
+    return _greedy_rows(seqs, missing, max_removed, task_cells).groupBy(A).agg(F.array_sort(F.collect_list("input_order")).alias("kept_orders"), F.first("area").alias("area"))
 
 
 def back_trim(cds: DataFrame, trimmed: DataFrame, table: int | str = 1) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,3 +57,15 @@ def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group of ``keys`` in ``order``, with all columns."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder that all executors share (spark.checkpoint.dir, else a temporary one) and read again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="codonspark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

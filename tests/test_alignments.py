@@ -99,6 +99,57 @@ def test_greedy_area(spark):
     assert all(len(r.kept_orders) == len(groups[r.alignment_id]) for r in sites.greedy_area(align(spark, *groups), max_removed=0).collect())
 
 
+def greedy_by_brute_force(group, max_removed=None, keep=(), missing="-?."):
+    columns = [{k for k, s in enumerate(group) if set(s[c:c + 3]) & set(missing)} for c in range(0, len(group[0]), 3)]
+    active, area = set(range(len(group))), len(group) * sum(not c for c in columns)
+    while len(active) > 1:
+        left = len(group) if max_removed is None else max_removed - len(group) + len(active)
+        order, best = list(dict.fromkeys(frozenset(c & active) for c in columns)), None
+        order = [s for s in order if s and len(s) <= left and not s & set(keep)]
+        for i in range(len(order) - 1, -1, -1):
+            for drop in [order[i], *(order[i] | order[j] for j in range(i - 1, -1, -1))]:
+                if len(drop) > left:
+                    continue
+                won = sum(bool(c & active) and c & active <= drop for c in columns)
+                new = (len(active) - len(drop)) * (sum(not c & active for c in columns) + won)
+                if best is None or ((new - area) / len(drop), won) > best[0]:
+                    best = ((new - area) / len(drop), won), new, drop
+        if best is None or best[1] <= area:
+            break
+        active, area = active - best[2], best[1]
+    return sorted(active), area
+
+
+def uneven_alignments(seed, n=20):
+    """Up to 40 sequences, many of them equal, with gaps at random and at their ends."""
+    rnd = random.Random(seed)
+    one = lambda w: ("".join(rnd.choice(["ATG"] * 9 + ["A-G"]) for _ in range(w - rnd.choice([0, 0, 0, 1, 2, 5]))) + "---" * w)[:3 * w]
+    return [[rnd.choice(pool) for _ in range(rnd.randint(2, 40))] for pool in ([one(w) for _ in range(rnd.randint(2, 25))] for w in [rnd.randint(6, 14) for _ in range(n)])]
+
+
+@pytest.mark.parametrize("max_removed", [None, 4])
+def test_greedy_rounds_equal_one_task(spark, max_removed):
+    groups = uneven_alignments(5) + random_alignments(6, 6)
+    few = groups[:6] + groups[-2:]
+    whole, rounds = (sites.greedy_area(align(spark, *g), max_removed=max_removed, task_cells=c).collect() for g, c in ((groups, sites.TASK_CELLS), (few, 0)))
+    for own, got in ((groups, whole), (few, rounds)):
+        assert len(got) == len(own)
+        for r in got:
+            kept, area = greedy_by_brute_force(own[r.alignment_id], max_removed)
+            assert ([k - 100 * r.alignment_id for k in r.kept_orders], r.area) == (kept, area)
+
+
+def test_folds_take_bounded_tasks(spark):
+    df = spark.range(3000).select(F.col("id").alias("input_order"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("label"))
+    folds = labels.stratified_folds(df, 7)
+    plan = folds._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(label#" in plan and "_bucket#" in plan.split("row_number() windowspecdefinition(")[1].split("_h#")[0]
+    want = {}
+    for r in df.withColumn("h", F.xxhash64("input_order", F.lit(1))).orderBy("h").collect():
+        want.setdefault(r.label, []).append(r.input_order)
+    assert {r.input_order: r.fold for r in folds.collect()} == {x: k % 7 for v in want.values() for k, x in enumerate(v)}
+
+
 def test_consensus_and_logo(spark):
     df = align(spark, ["ATGCCC---N-A", "ATGCCA---NTA", "CCCCCA---NTC"])
     got = [(r.codon, r.aa) for r in sites.consensus(df).orderBy("site").collect()]
