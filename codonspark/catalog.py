@@ -349,6 +349,11 @@ def greedy_area(spark, sf_dir):
     return sites.greedy_area(document_alignments(spark, sf_dir)).withColumn("kept_orders", F.array_join("kept_orders", ","))
 
 
+@query(None)
+def max_align(spark, sf_dir):
+    return sites.max_align(document_alignments(spark, sf_dir), most_sequences=_EXACT).select("alignment_id", "input_order", "seq")
+
+
 @query(f"SELECT alignment_id, input_order, seq FROM ({_kept_sql(f'SELECT alignment_id, site FROM ({_SITES}) WHERE missing = 0')})")
 def complete_columns(spark, sf_dir):
     return sites.complete_columns(document_alignments(spark, sf_dir)).select("alignment_id", "input_order", "seq")

@@ -175,13 +175,14 @@ def complete_columns(seqs: DataFrame, missing: str = "-?.") -> DataFrame:
 
 
 def max_align(seqs: DataFrame, missing: str = "-?.", most_sequences: int = 16, **options) -> DataFrame:
-    """Sequences of the largest-area subset, with their complete columns: exact up to ``most_sequences``, greedy beyond."""
+    """Sequences of the largest-area subset, with their complete columns: exact up to ``most_sequences``, greedy beyond.
+
+    ``keep`` (a pattern of ids that must stay) and ``max_removed`` hold in both.
+    """
     exact = largest_area(seqs, missing, most_sequences, **options)
     small = seqs.join(exact.select(A, F.explode("kept_orders").alias("input_order")), [A, "input_order"], "left_semi")
-    large = seqs.join(exact.select(A), A, "left_anti")
-    greedy = greedy_area(large, missing, options.get("max_removed")).select(A, F.explode("kept_orders").alias("input_order"))
-    both = small.unionByName(large.join(greedy, [A, "input_order"], "left_semi"))
-    return complete_columns(both, missing)
+    large = seqs.join(seqs.groupBy(A).agg(F.count("*").alias("_n")).where(F.col("_n") > most_sequences).select(A), A, "left_semi")
+    return complete_columns(small.unionByName(_greedy_rows(large, missing, **options).drop("area")), missing)
 
 
 #: Classes of equal sequences times columns of an alignment that one task may get.
@@ -218,7 +219,7 @@ def _shortlist(shared: np.ndarray, sites: np.ndarray, n: int, base: int, left: i
     return sorted(out, key=lambda x: -x[0])
 
 
-def _search(absent: np.ndarray, weight: np.ndarray, total: int, width: int, most: int | None, area: int) -> tuple[list[int], int]:
+def _search(absent: np.ndarray, weight: np.ndarray, must: np.ndarray, total: int, width: int, most: int | None, area: int) -> tuple[list[int], int]:
     """(cut, area) after all rounds, from classes (rows) by the columns that some class misses, in order of site."""
     cut: list[int] = []
     active = np.ones(len(weight), bool)
@@ -231,9 +232,8 @@ def _search(absent: np.ndarray, weight: np.ndarray, total: int, width: int, most
         base = width - sum(map(len, kinds.values()))
         first, sites = np.array([k[0] for k in kinds.values()], int), np.array([len(k) for k in kinds.values()], int)
         sets, w = absent[active][:, first], weight[active]
-        if left is not None:
-            fits = w @ sets <= left
-            first, sites, sets = first[fits], sites[fits], sets[:, fits]
+        fits = ~sets[must[active]].any(axis=0) & (True if left is None else w @ sets <= left)
+        first, sites, sets = first[fits], sites[fits], sets[:, fits]
         if not len(first):
             break
         shared = np.rint((sets * w[:, None].astype(float)).T @ sets.astype(float)).astype(int)
@@ -254,7 +254,7 @@ def _search(absent: np.ndarray, weight: np.ndarray, total: int, width: int, most
     return cut, area
 
 
-def greedy_cuts(seqs: DataFrame, missing: str = "-?.", max_removed: int | None = None, task_cells: int = TASK_CELLS) -> tuple[DataFrame, DataFrame]:
+def greedy_cuts(seqs: DataFrame, missing: str = "-?.", max_removed: int | None = None, keep: str | None = None, task_cells: int = TASK_CELLS) -> tuple[DataFrame, DataFrame]:
     """(``seqs`` with ``gone``, cuts): the columns that each sequence misses, and (alignment_id, cut, area).
 
     The search drops all sequences that miss a column of ``cut``, so no ids go through it, and sequences that miss the same
@@ -266,7 +266,9 @@ def greedy_cuts(seqs: DataFrame, missing: str = "-?.", max_removed: int | None =
     codons = S.codons(F.col("seq"))
     lacks = F.transform(codons, lambda c, k: F.when(F.length(F.translate(c, missing, "")) < F.length(c), k))
     placed = seqs.withColumn("gone", F.array_compact(lacks).cast("array<int>"))
-    classes = stored(placed.select(A, "gone", F.size(codons).alias("width")).groupBy(A, "gone").agg(F.count("*").alias("w"), F.max("width").alias("width")), "classes")
+    must = F.regexp_like("id", F.lit(rf"\A(?:{keep})\z")) if keep else F.lit(False)
+    classes = placed.select(A, "gone", F.size(codons).alias("width"), F.coalesce(must, F.lit(False)).alias("must"))
+    classes = stored(classes.groupBy(A, "gone").agg(F.count("*").alias("w"), F.max("width").alias("width"), F.max("must").alias("must")), "classes")
     whole = classes.groupBy(A).agg(F.sum("w").alias("total"), F.max("width").alias("width"))
     missed = classes.select(A, F.explode("gone").alias("k")).groupBy(A, "k").count().groupBy(A).agg(F.count("*").alias("missed"))
     area = F.col("total") * (F.col("width") - F.coalesce("missed", F.lit(0)))
@@ -285,7 +287,7 @@ def greedy_cuts(seqs: DataFrame, missing: str = "-?.", max_removed: int | None =
         for k, gone in enumerate(rows["gone"]):
             absent[k, np.searchsorted(columns, gone)] = True
         one = rows.iloc[0]
-        cut, area = _search(absent, rows["w"].to_numpy(), int(one["total"]), int(one["width"]), max_removed, int(one["area"]))
+        cut, area = _search(absent, rows["w"].to_numpy(), rows["must"].to_numpy(bool), int(one["total"]), int(one["width"]), max_removed, int(one["area"]))
         return pd.DataFrame({A: [key[0]], "cut": [[*map(int, one["cut"]), *(int(columns[k]) for k in cut)]], "area": [area]})
 
     small = rest.groupBy(A).applyInPandas(solve, f"{A} {kind}, cut array<int>, area bigint")
@@ -295,11 +297,11 @@ def greedy_cuts(seqs: DataFrame, missing: str = "-?.", max_removed: int | None =
 def _round(live: DataFrame, state: DataFrame, most: int | None) -> DataFrame:
     """``state`` after a round of the alignments in ``live``, the classes that are left of them."""
     digest = lambda seed: F.sum(F.xxhash64("gone", F.lit(seed)).cast("decimal(38,0)"))
-    columns = live.select(A, "w", "gone", F.explode("gone").alias("k")).groupBy(A, "k").agg(F.sum("w").alias("size"), digest(1).alias("d1"), digest(2).alias("d2"))
-    sets = columns.groupBy(A, "size", "d1", "d2").agg(F.min("k").alias("k"), F.count("*").alias("sites"))
+    columns = live.select(A, "w", "must", "gone", F.explode("gone").alias("k")).groupBy(A, "k").agg(F.sum("w").alias("size"), F.max("must").alias("held"), digest(1).alias("d1"), digest(2).alias("d2"))
+    sets = columns.groupBy(A, "size", "d1", "d2").agg(F.min("k").alias("k"), F.count("*").alias("sites"), F.max("held").alias("held"))
     head = live.groupBy(A).agg(F.sum("w").alias("n"), F.first("total").alias("total"), F.first("width").alias("width"), F.first("area").alias("area"))
     head = head.join(sets.groupBy(A).agg(F.sum("sites").alias("open")), A).select(A, "n", "area", (F.col("width") - F.col("open")).alias("base"), (F.lit(most).cast("bigint") - F.col("total") + F.col("n")).alias("left"))
-    sets = stored(sets.join(head, A).where("left IS NULL OR size <= left"), "sets")
+    sets = stored(sets.join(head, A).where("NOT held AND (left IS NULL OR size <= left)"), "sets")
     own = live.join(sets.groupBy(A).agg(F.collect_list("k").alias("firsts")), A).select(A, "w", "gone", F.array_intersect("gone", "firsts").alias("own"))
     pairs = own.select(A, "w", "own", F.explode("own").alias("x")).select(A, "w", "x", F.explode("own").alias("y")).where("x <= y").groupBy(A, "x", "y").agg(F.sum("w").alias("shared"))
 
@@ -326,19 +328,20 @@ def _round(live: DataFrame, state: DataFrame, most: int | None) -> DataFrame:
                         F.when(wins, F.col("b.new")).otherwise(F.col("area")).alias("area"), (F.col("done") | (F.col("tried").isNotNull() & ~F.coalesce(wins, F.lit(False)))).alias("done"))
 
 
-def _greedy_rows(seqs: DataFrame, *options) -> DataFrame:
+def _greedy_rows(seqs: DataFrame, *places, **options) -> DataFrame:
     """``seqs`` that the greedy search keeps, with ``area``."""
-    placed, cuts = greedy_cuts(seqs, *options)
+    placed, cuts = greedy_cuts(seqs, *places, **options)
     return placed.join(cuts, A).where(~F.arrays_overlap("gone", "cut")).select(*seqs.columns, "area")
 
 
-def greedy_area(seqs: DataFrame, missing: str = "-?.", max_removed: int | None = None, task_cells: int = TASK_CELLS) -> DataFrame:
+def greedy_area(seqs: DataFrame, missing: str = "-?.", max_removed: int | None = None, keep: str | None = None, task_cells: int = TASK_CELLS) -> DataFrame:
     """(alignment_id, kept_orders, area): drops, as long as the area grows, the set of sequences that wins most area a head.
 
     Candidates are the sets of sequences that some column lacks, and unions of two; of equal gains the set that completes
     more columns wins, then the one met first, from the last column's set back. The ids are gathered for the result only.
+    No set with a sequence whose id fits ``keep`` is dropped.
     """
-    return _greedy_rows(seqs, missing, max_removed, task_cells).groupBy(A).agg(F.array_sort(F.collect_list("input_order")).alias("kept_orders"), F.first("area").alias("area"))
+    return _greedy_rows(seqs, missing, max_removed, keep, task_cells).groupBy(A).agg(F.array_sort(F.collect_list("input_order")).alias("kept_orders"), F.first("area").alias("area"))
 
 
 def back_trim(cds: DataFrame, trimmed: DataFrame, table: int | str = 1) -> DataFrame:

@@ -139,6 +139,25 @@ def test_greedy_rounds_equal_one_task(spark, max_removed):
             assert ([k - 100 * r.alignment_id for k in r.kept_orders], r.area) == (kept, area)
 
 
+def test_max_align_of_all_sizes(spark):
+    groups = random_alignments(11, 3) + [g for g in uneven_alignments(12, 12) if len(g) > 16][:4]
+    lost = [next(k for k, s in enumerate(g) if k not in greedy_by_brute_force(g)[0]) for g in groups[3:] if len(greedy_by_brute_force(g)[0]) < len(g)]
+    assert lost
+    for pattern, keep in ((None, ()), (f"s{lost[0]}", (lost[0],))):
+        got = {}
+        for r in sites.max_align(align(spark, *groups), keep=pattern).collect():
+            got.setdefault(r.alignment_id, {})[r.input_order - 100 * r.alignment_id] = r.seq
+        for a, group in enumerate(groups):
+            if len(group) <= 16 and keep:
+                continue
+            kept = greedy_by_brute_force(group, keep=keep)[0] if len(group) > 16 else exact_by_brute_force(group)[0]
+            whole = [c for c in range(0, len(group[0]), 3) if not any(set(group[k][c:c + 3]) & set("-?.") for k in kept)]
+            assert got[a] == {k: "".join(group[k][c:c + 3] for c in whole) for k in kept}
+    small = groups[3:4]
+    rounds = sites.greedy_area(align(spark, *small), keep=f"s{lost[0]}", task_cells=0).first()
+    assert list(rounds.kept_orders) == greedy_by_brute_force(small[0], keep=(lost[0],))[0]
+
+
 def test_folds_take_bounded_tasks(spark):
     df = spark.range(3000).select(F.col("id").alias("input_order"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("label"))
     folds = labels.stratified_folds(df, 7)
