@@ -42,8 +42,15 @@ BASE = (
     Pattern("access", r"AKIA[A-Z0-9]{12,}"),
     Pattern("hex", r"[0-9a-f]{32,}"),
 )
+#: A key block runs to its END line, before which no other line of dashes stands (a body has few dashes: headers and
+#: armour), or, where END is missing, over the header fields and the lines of base64 letters that follow. Line breaks may be
+#: written as \\n. Repeats are bounded, as Java's matcher recurses over them: 400 lines hold the longest keys in use.
+_BREAK = r"(?:[ \t]*\r?\n[ \t]*|(?:\\r)?\\n)"
+_TO_END = r"[^-]*(?:-{1,4}[^-]+){0,64}-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_LINE = "[A-Za-z0-9+/]" * 16 + "[A-Za-z0-9+/]*={0,2}"  # written out: RE2 limits the product of nested repeats
+_TO_LAST_LINE = rf"(?:{_BREAK}[A-Za-z-]+: [^\n\\]*){{0,8}}{_BREAK}{{1,2}}{_LINE}(?:{_BREAK}{_LINE}){{0,400}}(?:{_BREAK}[A-Za-z0-9+/]{{1,15}}={{0,2}}(?:{_BREAK}|\z))?"
 MORE = (
-    Pattern("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Pattern("pem", rf"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:{_TO_END}|{_TO_LAST_LINE})?", version=2),
     Pattern("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Pattern("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
