@@ -25,14 +25,38 @@ VARIABLE_WORDS = 8
 
 #: Fixed phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: label, template.
+_MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so[[,]]")
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND'
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: [[1.]] Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. [[2.]] Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.")
+
+
+def _gnu(name: str, version: str) -> str:
+    return (f"is free software: you can redistribute it and/or modify it under the terms of the GNU {name} Public License as published by the Free Software Foundation[[,]] "
+            f"either version {version} of the License[[, or (at your option) any later version]]")
+
+
+#: label, template. mit-grant is the first clause alone, which several licenses share.
 TEMPLATES = (
-    ("apache-2.0", "Licensed under the Apache License[[, Version 2.0]]"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("cc-by-nc-4.0", "Licensed under [[a]] [[the]] [[Creative Commons]] CC BY-NC 4.0[[ License]]"),
     ("cc-by-4.0", "Licensed under [[a]] [[the]] [[Creative Commons]] CC BY 4.0[[ International]][[ License]]"),
     ("gpl-3.0", "This {{work:2}} is licensed under the GNU General Public License[[,]] version 3[[ or {{any:4}} later version]]"),
     ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ("mit", f"{_MIT} subject to the following conditions: The above copyright notice and this permission notice [[(including the next paragraph)]] shall be included in all copies or substantial portions of the Software. {_AS_IS}"),
+    ("mit-0", f"{_MIT} {_AS_IS}"),
+    ("isc", "Permission to use, copy, modify, and[[/or]] distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED"),
+    ("bsd-2-clause", f"{_BSD} THIS SOFTWARE IS PROVIDED"),
+    ("bsd-3-clause", f"{_BSD} [[3.]] Neither the name of {{{{holder:12}}}} nor the names of [[its]] [[any]] [[other]] contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED"),
+    ("mpl-2.0", "This Source Code [[Form]] is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("gpl-2.0", _gnu("General", "2")),
+    ("gpl-3.0", _gnu("General", "3")),
+    ("lgpl-2.1", _gnu("Lesser General", "2.1")),
+    ("lgpl-3.0", _gnu("Lesser General", "3")),
+    ("agpl-3.0", _gnu("Affero General", "3")),
     ("copyright", "Copyright [[(c)]] {{year:2}} [[by]] {{holder:6}} All rights reserved"),
 )
 

@@ -126,6 +126,25 @@ def test_license_phrases(spark, tmp_path):
     assert got[501][0].labels == "cc-by,cc-by-nc-4.0,gpl,gpl-3.0,mit,reserved"
 
 
+def test_license_texts():
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+    mit = grant + """ and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
+        sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
+    notice = ", subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    as_is = '\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED'
+    bsd = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        {}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        {}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"""
+    third = "* Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    want = {"Licensed under the Apache License, Version 1.1": set(), "Licensed under the Apache License, Version 2.0 (the License)": {"apache-2.0"}, grant: {"mit-grant"}, mit + notice + as_is: {"mit-grant", "mit"}, mit + "." + as_is: {"mit-grant", "mit-0"},
+            bsd.format("1. ", "2. ") + "THIS SOFTWARE IS PROVIDED": {"bsd-2-clause"}, bsd.format("* ", "* ") + third + "THIS SOFTWARE IS PROVIDED": {"bsd-3-clause"}, gnu.format("General", "3"): {"gpl-3.0"}, gnu.format("General", "2"): {"gpl-2.0"},
+            gnu.format("Lesser General", "2.1"): {"lgpl-2.1"}, gnu.format("Affero General", "3"): {"agpl-3.0"}, "is subject to the terms of the Mozilla Public License, v. 2.0": set(),
+            "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": {"mpl-2.0"}, "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": {"isc"}}
+    scanner = licenses.Scanner()
+    assert {t: {label for label, _, _ in scanner.scan(t.encode())[2]} for t in want} == want
+
+
 def test_template_markup():
     a = licenses.compile_template("x", "one [[two [[three]]]] {{v:2}} four")
     longest = lambda text: a.longest(text.encode().split(), 0)
