@@ -56,14 +56,33 @@ def by_rule(h: Column, p: Column, rules: tuple[Rule, ...] = RULES) -> tuple[Colu
     return name, verdict
 
 
+def decoded(text: Column) -> Column:
+    """``text`` with &amp; and numeric entities of Unicode characters replaced, each once."""
+    entity = "&(?:[aA][mM][pP]|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});"
+    found = F.regexp_extract_all(text, F.lit(entity), F.lit(0))
+
+    def letter(e: Column) -> Column:
+        n = F.when(F.lower(F.substring(e, 3, 1)) == "x", F.conv(F.regexp_extract(e, "[xX]([^;]+)", 1), 16, 10)).otherwise(F.regexp_extract(e, "[0-9]+", 0)).try_cast("int")
+        real = ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n < 0x110000))
+        return F.when(F.lower(e) == "&amp;", "&").when(real, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(e)
+    return F.array_join(F.transform(F.split(text, entity, -1), lambda g, k: F.concat(g, F.coalesce(letter(F.get(found, k)), F.lit("")))), "")
+
+
+def without_dots(path: Column) -> Column:
+    """A path from the root without its segments . and .. (which takes back the one before)."""
+    parts = F.split(F.concat(path, F.when(F.regexp_like(path, F.lit(r"/\.\.?$")), "/").otherwise("")), "/", -1)
+    step = lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(1)))).otherwise(F.concat(out, F.array(x)))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
 def link_targets(html: Column) -> Column:
-    """URLs that a page declares itself an alias of: canonical links and immediate refreshes, as an array without repeats."""
+    """URLs that a page declares itself an alias of: canonical links and refreshes, as an array without repeats."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\s[^>]*>"), F.lit(0))
     href = lambda t: F.regexp_extract(t, r"""(?is)\shref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = lambda t: F.regexp_extract(t, r"""(?is)\scontent\s*=\s*["']?\s*0\s*;\s*url\s*=\s*['"]?([^"'\s>]+)""", 1)
+    refresh = lambda t: F.regexp_extract(t, r"""(?is)\scontent\s*=\s*["']?\s*\d+(?:\.\d*)?\s*;\s*url\s*=\s*['"]?([^"'\s>]+)""", 1)
     canonical = F.transform(F.filter(tags, lambda t: F.regexp_like(t, F.lit(r"""(?is)^<link.*\srel\s*=\s*["']?canonical\b"""))), href)
     moved = F.transform(F.filter(tags, lambda t: F.regexp_like(t, F.lit(r"""(?is)^<meta.*\shttp-equiv\s*=\s*["']?refresh\b"""))), refresh)
-    return F.array_distinct(F.filter(F.concat(canonical, moved), lambda u: u != ""))
+    return F.array_distinct(F.transform(F.filter(F.concat(canonical, moved), lambda u: u != ""), decoded))
 
 
 def key(url: Column) -> Column:
@@ -73,11 +92,14 @@ def key(url: Column) -> Column:
 
 
 def resolve(base: Column, target: Column) -> Column:
-    """An absolute URL for a link's target: whole, without a scheme, from the host's root, or beside the page."""
+    """An absolute URL for a link's target: whole, without a scheme, from the host's root, beside the page, or a query or fragment of it."""
     scheme, root = F.regexp_extract(base, "^[^:/?#]*", 0), F.regexp_extract(base, "^[^:/?#]*://[^/?#]*", 0)
-    folder = F.concat(root, F.coalesce(F.nullif(F.regexp_extract(path(base), "^.*/", 0), F.lit("")), F.lit("/")))
-    return (F.when(F.instr(target, "://") > 0, target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-            .when(target.startswith("/"), F.concat(root, target)).otherwise(F.concat(folder, target)))
+    folder = F.coalesce(F.nullif(F.regexp_extract(path(base), "^.*/", 0), F.lit("")), F.lit("/"))
+    own, tail = F.regexp_extract(target, "^[^?#]*", 0), F.regexp_extract(target, "[?#].*", 0)
+    rooted = lambda p: F.concat(root, without_dots(p), tail)
+    return (F.when(F.regexp_like(target, F.lit("^[A-Za-z][A-Za-z0-9+.-]*://")), target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+            .when(target.startswith("/"), rooted(own))
+            .when(target.startswith("?"), F.concat(root, path(base), target)).when(target.startswith("#"), base).otherwise(rooted(F.concat(folder, own))))
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",

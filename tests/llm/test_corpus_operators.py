@@ -321,3 +321,13 @@ def test_classes_propagate_blocks(spark):
     got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), moved).collect()}
     assert got[8] == got[9] == "block"
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_forms_of_link_targets(spark):
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    base = "http://a.org/x/y/p?q=1"
+    want = {link("http://b.org/?page=2&amp;ref=x"): "http://b.org/?page=2&ref=x", link("/a&#38;b&#x3D;&#233;&amp;amp;&#0;"): "http://a.org/a&b=é&amp;&#0;", '<meta http-equiv="refresh" content="5; url=/z">': "http://a.org/z", link("../k/./l?u=../v"): "http://a.org/x/k/l?u=../v",
+            link("../../../k"): "http://a.org/k", link(".."): "http://a.org/x/", link("?page=2"): "http://a.org/x/y/p?page=2", link("#top"): base, link("k"): "http://a.org/x/y/k", link("/m/../n"): "http://a.org/n", link("//c.org/1"): "http://c.org/1", link("/go?to=http://b.org/"): "http://a.org/go?to=http://b.org/"}
+    df = spark.createDataFrame([(h, base) for h in want], "html string, url string")
+    got = df.select("html", F.explode(urls.link_targets(F.col("html"))).alias("t"), "url").select("html", urls.resolve(F.col("url"), F.col("t")).alias("t"))
+    assert {r.html: r.t for r in got.collect()} == want
