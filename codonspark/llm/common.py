@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,32 +16,76 @@ GAP = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one of our own where that is unset."""
+    """The folder that all executors share, spark.checkpoint.dir. In local mode, where one machine is all there is, a folder
+    of our own is set where that is unset; on a cluster its absence raises."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="codonspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 class Workspace:
-    """Tables in the shared folder. ``keep`` writes and rereads a frame, which cuts its lineage; ``drop`` deletes one."""
+    """Tables in the shared folder. ``keep`` writes and rereads a frame, which cuts its lineage; ``drop`` deletes tables.
+
+    Shuffle files of a write are deleted when it is done: the table stands for them.
+    """
+
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
+        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        before = self.spark.conf.get(self.CLEANUP, None)
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        finally:
+            self.spark.conf.unset(self.CLEANUP) if before is None else self.spark.conf.set(self.CLEANUP, before)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for name in self.names & set(names):
+            self._delete(self.path(name))
+            self.names.remove(name)
+
+    def only(self, *names: str) -> None:
+        """Drops all tables but these."""
+        self.drop(*self.names - set(names))
+
+
+#: A key's rows are split where it has more than this many and more than one in SPLIT_SHARE of all rows, so that the table of
+#: split keys, which is broadcast, has at most SPLIT_SHARE rows.
+SPLIT_ROWS, SPLIT_SHARE = 1_000, 50_000
+
+
+def split_limit(n_rows: int) -> int:
+    return max(SPLIT_ROWS, n_rows // SPLIT_SHARE)
+
+
+def spread_join(large: DataFrame, small: DataFrame, key: str, limit: int, how: str = "inner") -> DataFrame:
+    """``large`` joined with ``small``, which has one row for each ``key``, without a task that gets all rows of a frequent key.
+
+    Keys with more than ``limit`` (see split_limit) rows in ``large`` are split into groups of about that many; their rows of
+    ``small`` are repeated for each group. The counts are combined before they are shuffled. Null keys match nothing.
+    """
+    hot = large.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__parts"))
+    others = [c for c in large.columns if c != key]
+    rows = large.join(F.broadcast(hot), key, "left").withColumn("__part", F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*others), F.col("__parts")).cast("int"))).drop("__parts")
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)).alias("__part")
+    return rows.join(small.join(F.broadcast(hot), key, "left").select(*small.columns, parts), [key, "__part"], how).drop("__part")
 
 
 def text_or_empty(column: str | Column) -> Column:
@@ -62,31 +107,33 @@ def components(edges: DataFrame, work: Workspace, name: str = "cc", most: int =
     """Connected components of (a, b) edges as (node, root), root being the smallest node; isolated nodes aren't listed.
 
     Alternating large-star and small-star steps: each step groups by node, takes a minimum with map-side partial
-    aggregation and joins it back, so that no neighbourhood is gathered in one task. Edges with a null end are ignored,
-    repeated edges and loops do no harm, an empty table gives an empty result.
+    aggregation and joins it back with the edges of frequent nodes split, so that no neighbourhood is gathered in one task.
+    Edges with a null end are ignored, repeated edges and loops do no harm, an empty table gives an empty result.
     """
-    def table(df: DataFrame, step: int) -> tuple[DataFrame, bool]:
-        """The kept edges, and whether they are stars: each node points to one other, to which no other edge leads away."""
+    def table(df: DataFrame, step: int) -> tuple[DataFrame, int, bool]:
+        """The kept edges, their number, and whether they are stars: each node points to one other, to which no edge leads away."""
         kept = work.keep(df.distinct(), f"{name}{step}")
         n, nodes = kept.agg(F.count("*"), F.count_distinct("a")).first()
-        return kept, n == nodes and kept.join(kept.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()
+        done = n == nodes and (not n or kept.join(kept.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty())
+        return kept, n, done
 
     def lowest(df: DataFrame) -> DataFrame:
         return df.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
 
-    now, done = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), 0)
+    now, n, done = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), 0)
     step = 0
     while not done:
         step += 1
         if step > most:
             raise RuntimeError(f"components did not settle in {most} steps")
         both = now.union(now.select("b", "a").toDF("a", "b"))
-        large = both.join(lowest(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = large.join(lowest(large), "a").select(
+        large = spread_join(both, lowest(both), "a", split_limit(n)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = work.keep(large, f"{name}{step}_large")
+        small = spread_join(large, lowest(large), "a", split_limit(n)).select(
             F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")
         ).select("e.a", "e.b").where("a <> b")
-        now, done = table(small, step)
-        work.drop(f"{name}{step - 1}")
+        now, n, done = table(small, step)
+        work.drop(f"{name}{step - 1}", f"{name}{step}_large")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codonspark.llm import jaccard, mixing, queries, sharding, urls, warc
+from codonspark.llm import common, jaccard, mixing, queries, sharding, urls, warc
 from codonspark.llm.common import Workspace, components, word_count
 from tests.conftest import SMALL
 from tests.llm.fixtures import awkward, frame, table
@@ -219,10 +219,31 @@ def linked_pairs_share_cells(rnd, t):
             common = rnd.randint(int((float(t) - 0.02) * n), n)
             y = np.unique(np.concatenate((x[:common], np.array([rnd.getrandbits(64) for _ in range(rnd.randint(0, int(n * (1 - t)) + 1))], np.uint64))))
             if jaccard.linked(len(np.intersect1d(x, y)), len(x), len(y), t) and not np.array_equal(x, y):
-                (a, need), (b, _) = jaccard.cells(x, t, lows), jaccard.cells(y, t, lows)
-                both = np.intersect1d(a, b)
-                enough = [v for v in need if np.count_nonzero(both % np.uint64(jaccard.RINGS) == v % jaccard.RINGS) >= v // jaccard.RINGS]
-                assert len(both) and enough, (len(x), len(y))
+                both = np.intersect1d(jaccard.cells(x, t, lows), jaccard.cells(y, t, lows))
+                per_ring = Counter((both % np.uint64(jaccard.RINGS)).tolist())
+                assert any(m > jaccard.spare(r, t, lows) for r, m in per_ring.items()), (len(x), len(y))
+
+
+@pytest.mark.parametrize("n,threshold,small", [(3, "0.9", 512), (5, "0.8", 10)])
+def test_link_counts(spark, n, threshold, small):
+    rows, t = near_copies(n + small, groups=4), Fraction(threshold)
+    rows.append((9000, rows[0][1]))
+    sets = {k: {tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))} for k, text in rows if (w := text.split())}
+    links = lambda x, y: t.denominator * len(x & y) >= t.numerator * len(x | y)
+    want = {k: sum(links(x, y) for m, y in sets.items() if m != k) for k, x in sets.items()}
+    df = spark.createDataFrame([*rows, (9001, None)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_links for r in jaccard.JaccardJoin(df, n=n, threshold=threshold, small=small, salt=3000).link_counts().collect()}
+    assert got == want | {9001: 0} and max(want.values()) > 5
+
+
+def test_frequent_cells_and_hubs_are_split(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CELL_HITS", 2)
+    monkeypatch.setattr(jaccard, "CELL_SAMPLE", 2)
+    monkeypatch.setattr(common, "SPLIT_ROWS", 3)
+    rows = near_copies(11, groups=3, copies=50)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.near_duplicates(df, n=3, threshold="0.9", small=8, salt=2000).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == components_by_brute_force(rows, 3, 9, 10)
 
 
 def test_components(spark):
