@@ -21,10 +21,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, 0.8) the document with the smallest id; repeated rows once."""
     work = Workspace(spark, "stage-jaccard")
-    classes = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    firsts = work.keep(classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")), "firsts")
-    stay = docs.join(firsts.distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "text"]) if firsts.count() > firsts.distinct().count() else stay
+    classes = jaccard.near_duplicates(docs.select("doc_id", "text"), work=work)
+    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("__first"))
+    firsts = work.keep(first.groupBy("__first").agg(F.count("*").alias("__n")), "firsts")
+    work.only("firsts")
+    stay = docs.join(firsts, F.struct("doc_id") == F.col("__first"), "left_semi")
+    return stay if firsts.where("__n > 1").isEmpty() else stay.dropDuplicates(["doc_id", "text"])
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", jaccard_join), ("secret scans", secret_scan), ("mixing sources", mix_sources), ("BPE encoding", encode)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", jaccard_join),
+    ("secret scans", secret_scan),
+    ("mixing sources", mix_sources),
+    ("BPE encoding", encode),
+]
 
 #: SQL can't express the Jaccard join's components and the BPE merges; tests/llm hold run() against a brute-force version.
 ORACLE_SQL = None
@@ -54,4 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = work.keep(stage(spark, docs, sf_dir), f"stage{k}")
+        work.only(f"stage{k}")
     return docs
