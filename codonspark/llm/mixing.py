@@ -1,18 +1,19 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, in DataFrame functions only.
 
-A source's documents stand in a seeded order as one line of words, which is cut into blocks of equally many words.
-Seats (blocks that the mix takes) go to the sources by the highest quotients target / (2k - 1): all seats whose quotient
-is at least half a block, which is the apportionment with the block as divisor. So a source with a target of x blocks
-gets floor(x + 1/2) seats. A mix that is written as several shards gets integer quotas in the same way: the first j of K
-shards together get the apportionment of j/K of the target, and a shard what lies between two of these.
+1. All sources' words are cut into blocks of one length B. The mix has as many seats (blocks that it takes) as all targets have
+   blocks. Seats go to the sources by the highest quotients target / (2k - 1), the target being counted in blocks.
+2. A source's documents are dealt to SHARDS shards by a seeded hash. Its seats go to its shards in the same way, by the highest
+   quotients blocks / (2k - 1): integer quotas of each source in each shard.
+3. In a shard, a source's documents stand in a seeded order as one line of n blocks. With a quota of q seats every block is taken
+   floor(q / n) times, and the q mod n blocks from a seeded place on, around the line's end, once more. What a document gives
+   follows from its place alone; blocks are never listed, and few documents are cut.
 
-Seeded selection: with q seats over n blocks, block j is taken floor(((j + 1) q + u) / n) - floor((j q + u) / n) times,
-u being seeded: q in all, evenly along the line, floor(q / n) or ceil(q / n) of each. A document's taken words follow from
-the two ends of its place in the line alone, without listing blocks.
+Quotients are not listed either: seats that any divisor near the right one gives are counted by rounding, and only the last few
+quotients of each party, two for each party in all, are ranked.
 
 A source is never brought into one task: its line is laid out over ``BUCKETS`` hash buckets with running sums inside each,
 and only the buckets' sums (a bounded number for each source) are put in order. The sources themselves are ranked in one
-window with a row for each source; that table has passed two aggregations and holds four numbers a row.
+window with a row for each source; that table has passed two aggregations and holds a few numbers a row.
 """
 
 from __future__ import annotations
@@ -24,12 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Workspace, word_count
 
-BUCKETS = 1024
-BLOCKS = 1 << 16
-LEAST_BLOCK = 16
+BUCKETS, SHARDS = 4096, 8
+#: Words of a block at most; fewer where the smallest source would have under LEAST_BLOCKS blocks, as its target would be missed.
+BLOCK, LEAST_BLOCKS = 512, 128
 SPACES = "[\\x20\\x09-\\x0D]*"
-#: A small source's blocks are shorter, so that its target can be met.
-BLOCKS_OF_A_SOURCE = 64
 
 
 def source_key(column: str) -> Column:
@@ -38,7 +37,7 @@ def source_key(column: str) -> Column:
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(key, source_size, target, block, n_blocks, seats) from (key, source_size).
+    """(key, source_size, target, block) from (key, source_size), block being the same for all.
 
     Sources in key order weigh ``weights``, repeating. They share ``share`` times all words by weight; a target stops at
     ``most`` times its source's size and the excess is shared again by weight, until none is above: target =
@@ -52,82 +51,106 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     before, after = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
     rows = (sizes.withColumn("weight", weight)
             .withColumn("total", F.sum("source_size").over(everything))
+            .withColumn("least", F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).over(everything))
             .withColumn("cap", F.col("source_size") * F.lit(most))
             .withColumn("ratio", F.col("cap") / F.col("weight"))
             # the level if all sources before this one are at their caps, and this and later ones aren't
             .withColumn("level", (F.col("total") * share - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
             .withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)))
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight")))
-    block = F.greatest(F.lit(1), F.least(F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("total") / BLOCKS)), F.floor(F.col("source_size") / BLOCKS_OF_A_SOURCE)))
-    rows = rows.withColumn("target", target.cast("double")).withColumn("block", block.cast("long"))
-    rows = rows.withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
-    seats = F.least(F.floor(F.col("target") / F.col("block") + 0.5).cast("long"), (F.col("n_blocks") * F.lit(most)).cast("long"))
-    return rows.select("key", "source_size", "weight", "target", "block", "n_blocks", seats.alias("seats"))
+    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.coalesce("least", F.lit(1)) / LEAST_BLOCKS)))
+    return rows.select("key", "source_size", target.cast("double").alias("target"), block.cast("long").alias("block"))
 
 
-def quotas(table: DataFrame, shards: int) -> DataFrame:
-    """(key, shard, quota): integer seats of each source in each of ``shards`` shards of the mix."""
-    upto = lambda j: F.floor(F.col("seats") * j / shards + 0.5)
-    shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    return table.select("key", "seats", shard).select("key", "shard", (upto(F.col("shard") + 1) - upto(F.col("shard"))).cast("long").alias("quota"))
+def apportion(parties: DataFrame, group: Sequence[str], party: str, weight: str, house: Column, most: str, spare: int) -> DataFrame:
+    """``parties`` with ``seats``: the ``house`` of each group's seats goes to its parties by the highest quotients weight / (2k - 1),
+    equal ones to the earlier party, but at most ``most`` to each.
 
-
-def _div(a: Column, b: Column) -> Column:
-    """Whole quotient of two longs that aren't negative."""
-    return F.call_function("div", a.cast("long"), b.cast("long"))
-
-
-def _times(block: Column) -> Column:
-    """Number of seats that fall on the blocks of the line before ``block``, plus a constant."""
-    return _div(block.cast("long") * F.col("seats") + F.col("salt"), F.col("n_blocks"))
+    With divisor d a party gets floor(weight / d + 1/2) seats, and M parties together get sum / d seats with an error of M / 2 at most. So
+    with d = sum / (house - M / 2) none gets too many, and with d = sum / (house + M / 2) they get enough; the seats between
+    the two, 2 M at most and ``spare`` more for each party where ``most`` stops others, are ranked by their quotients.
+    """
+    all_ = Window.partitionBy(*group)
+    rows = parties.withColumn("__house", house.cast("long")).withColumn("__sum", F.sum(weight).over(all_)).withColumn("__m", F.count("*").over(all_))
+    upto = lambda seats: F.when(F.col("__sum") > 0, F.floor(F.col(weight) * F.greatest(seats, F.lit(0.0)) / F.col("__sum") + 0.5)).otherwise(F.lit(0)).cast("long")
+    # one seat either way, against rounding
+    rows = rows.withColumn("__sure", F.least(F.greatest(upto(F.col("__house") - F.col("__m") / 2) - 1, F.lit(0)), F.col(most)))
+    rows = rows.withColumn("__upto", F.least(upto(F.col("__house") + F.col("__m") / 2) + 1 + spare, F.col(most)))
+    rows = rows.withColumn("__left", F.col("__house") - F.sum("__sure").over(all_))
+    seats = F.when(F.col("__upto") > F.col("__sure"), F.sequence(F.col("__sure") + 1, F.col("__upto"))).otherwise(F.array().cast("array<bigint>"))
+    listed = rows.select(*group, party, "__left", F.col(weight).alias("__weight"), F.explode(seats).alias("__k"))
+    quotient = F.col("__weight") / (2 * F.col("__k") - 1)
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(quotient.desc(), F.col(party), F.col("__k")))
+    more = listed.withColumn("__rank", rank).where("__rank <= __left AND __weight > 0").groupBy(*group, party).agg(F.count("*").alias("__more"))
+    rows = rows.join(more, [*group, party], "left").withColumn("seats", (F.col("__sure") + F.coalesce("__more", F.lit(0))).cast("long"))
+    return rows.drop("__house", "__sum", "__m", "__sure", "__upto", "__left", "__more")
+
+
+def quotas(lines: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, shards: int = SHARDS) -> DataFrame:
+    """(key, shard, words, n_blocks, source_size, target, block, source_seats, seats): the seats of each source in each shard,
+    from (key, shard, words)."""
+    table = targets(lines.groupBy("key").agg(F.sum("words").alias("source_size")), weights, share, float(most))
+    lines = lines.join(table, "key").withColumn("n_blocks", F.ceil(F.col("words") / F.col("block")).cast("long")).withColumn("most", F.col("n_blocks") * most)
+    sources = lines.groupBy("key", "source_size", "target").agg(F.sum("n_blocks").alias("blocks"), F.sum("most").alias("most"))
+    # a line's last block is short: the target in blocks of the source as they are
+    sources = sources.withColumn("due", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(F.lit(0.0)))
+    house = F.floor(F.sum("due").over(Window.partitionBy()) + 0.5)
+    sources = apportion(sources, [], "key", "due", house, "most", 1).select("key", F.col("seats").alias("source_seats"))
+    return apportion(lines.join(sources, "key"), ["key"], "shard", "n_blocks", F.col("source_seats"), "most", shards).drop("most")
+
+
+def _overlap(a: Column, b: Column, low: Column, high: Column) -> Column:
+    return F.greatest(F.least(b, high) - F.greatest(a, low), F.lit(0)).cast("long")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1),
-        share: float = 1.5, most: float = 2.0, seed: int = 17, work: Workspace | None = None) -> DataFrame:
-    """(id, key, size, source_size, target, taken, start, block, n_blocks, seats, salt, mark) of every row.
+        share: float = 1.5, most: int = 2, seed: int = 17, shards: int = SHARDS, work: Workspace | None = None) -> DataFrame:
+    """(id, key, size, source_size, target, taken, shard, whole, from1, n1, from2, n2, mark) of every row.
 
-    size: words of the text, 0 for null. taken: words that the mix takes of it, repeats counted, at most ``most`` (rounded
-    up) times its size. Documents are ordered within their source by a hash of id and text with ``seed``; rows equal in
-    both are interchangeable. mark: the text's hash. The same rows and seed give the same result in every run. A null source is a source of its
-    own, last in order. Empty tables give no rows; other columns aren't read.
+    size: words of the text, 0 for null. taken: words that the mix takes of it, repeats counted, at most ``most`` times its
+    size: ``whole`` times the whole text, and once more n1 words from word from1 on and n2 from from2 on. Shard and order are from an
+    MD5 of seed, id and text; rows equal in both are interchangeable. The same rows and seed give the same result in every
+    run. A null source is a source of its own, last in order. Empty tables give no rows; other columns aren't read.
     """
     work = work or Workspace(df.sparkSession, "mixing")
-    rows = df.select(F.col(id_col).alias("id"), source_key(source_col).alias("key"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("mark"))
-    rows = rows.withColumn("h", F.xxhash64("id", "mark", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
+    number = lambda x: F.conv(F.substring(x, 1, 15), 16, 10).cast("long")
+    mark = F.md5(F.concat_ws("/", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))))
+    rows = df.select(F.col(id_col).alias("id"), source_key(source_col).alias("key"), word_count(F.col(text_col)).alias("size"), mark.alias("mark"))
+    rows = rows.withColumn("bucket", F.pmod(number(F.col("mark")), F.lit(BUCKETS)).cast("int")).withColumn("shard", F.pmod("bucket", F.lit(shards)))
     rows = work.keep(rows, "sizes")  # texts are read once
-    buckets = rows.groupBy("key", "bucket").agg(F.sum("size").alias("held"))
-    table = targets(buckets.groupBy("key").agg(F.sum("held").alias("source_size")), weights, share, most)
-    ahead = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.withColumn("ahead", F.coalesce(F.sum("held").over(ahead), F.lit(0))).select("key", "bucket", "ahead").join(table, "key")
-    within = Window.partitionBy("key", "bucket").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = work.keep(rows.groupBy("key", "shard", "bucket").agg(F.sum("size").alias("held")), "buckets")
+    table = quotas(buckets.groupBy("key", "shard").agg(F.sum("held").alias("words")), weights, share, most, shards)
+    ahead = Window.partitionBy("key", "shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.when(F.col("n_blocks") > 0, F.pmod(number(F.md5(F.concat_ws("/", F.lit(str(seed)), "shard", "key"))), F.greatest("n_blocks", F.lit(1)))).otherwise(F.lit(0))
+    times = F.when(F.col("n_blocks") > 0, F.floor(F.col("seats") / F.greatest("n_blocks", F.lit(1)))).otherwise(F.lit(0)).cast("long")
+    table = table.withColumn("whole", times).withColumn("low", first * F.col("block")).withColumn("extra", F.col("seats") - F.col("whole") * F.col("n_blocks"))
+    table = table.withColumn("high", F.least(F.col("low") + F.col("extra") * F.col("block"), F.col("words"))).withColumn(
+        "round", F.greatest(first + F.col("extra") - F.col("n_blocks"), F.lit(0)) * F.col("block"))
+    offsets = buckets.withColumn("ahead", F.coalesce(F.sum("held").over(ahead), F.lit(0))).join(table.select("key", "shard", "source_size", "target", "whole", "low", "high", "round"), ["key", "shard"])
+    offsets = work.keep(offsets.drop("held", "shard"), "offsets")
+    within = Window.partitionBy("key", "bucket").orderBy("mark", "id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["key", "bucket"])
-    rows = rows.withColumn("start", (F.col("ahead") + F.col("inside")).cast("long"))
-    salt = F.when(F.col("n_blocks") > 0, F.pmod(F.xxhash64("key", F.lit(seed)), F.greatest("n_blocks", F.lit(1)))).otherwise(F.lit(0))
-    rows = rows.withColumn("salt", salt.cast("long"))
-
-    def words_before(at: Column) -> Column:
-        block = F.least(_div(at, F.col("block")), F.col("n_blocks") - 1)
-        own = _times(block + 1) - _times(block)
-        return (_times(block) - _times(F.lit(0))) * F.col("block") + (at - block * F.col("block")) * own
-
-    taken = F.when(F.col("size") == 0, F.lit(0)).otherwise(words_before(F.col("start") + F.col("size")) - words_before(F.col("start")))
+    start, end = F.col("ahead") + F.col("inside"), F.col("ahead") + F.col("inside") + F.col("size")
+    rows = rows.withColumns({"n1": _overlap(start, end, F.lit(0), F.col("round")), "n2": _overlap(start, end, F.col("low"), F.col("high")),
+                             "from2": F.greatest(F.col("low") - start, F.lit(0)).cast("long")})
     return rows.select(F.col("id").alias(id_col), "key", "size", F.col("source_size").cast("long").alias("source_size"), "target",
-                       taken.cast("long").alias("taken"), "start", "block", "n_blocks", "seats", "salt", "mark")
+                       (F.col("whole") * F.col("size") + F.col("n1") + F.col("n2")).cast("long").alias("taken"), "shard",
+                       "whole", F.lit(0).cast("long").alias("from1"), "n1", "from2", "n2", "mark")
 
 
-def pieces(mixed: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``texts`` as the mix takes them: pass k (0, 1, ...) of a document has the words whose block is taken more than k times.
+def pieces(mixed: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
+    """``texts`` as the mix takes them: each pass of a document that takes any word is one row with the columns of ``texts``.
 
-    Words keep the white space that follows them. Each pass of a document that takes any word is one row with the columns of
-    ``texts``. Rows are joined by id and text, so an id may repeat or be null; rows equal in both must have been merged.
+    Whole passes have the text as it is; in a part, words keep the white space that follows them. ``seed`` is that of the mix. Rows are
+    joined by id and text, so an id may repeat or be null; rows equal in both must have been merged. Other columns may have any names.
     """
-    names = {id_col: "_id", "start": "_start", "block": "_block", "n_blocks": "_n", "seats": "_seats", "salt": "_salt", "size": "_size", "mark": "_mark"}
-    spans = mixed.where("taken > 0").select(*[F.col(a).alias(b) for a, b in names.items()])
-    rows = texts.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_mark")))
-    first, last = "(_start div _block)", "((_start + _size - 1) div _block)"
-    times = f"transform(sequence({first}, {last}), b -> cast(((b + 1) * _seats + _salt) div _n - (b * _seats + _salt) div _n as int))"
-    rows = rows.withColumn("_times", F.expr(times))
-    rows = rows.withColumn("_words", F.regexp_extract_all(F.col(text_col), F.lit(f"(?:^{SPACES})?{WORD}{SPACES}"), F.lit(0)))
-    rows = rows.withColumn("_pass", F.explode(F.expr("sequence(0, array_max(_times) - 1)")))
-    piece = F.expr(f"array_join(filter(_words, (w, i) -> get(_times, cast((_start + i) div _block - {first} as int)) > _pass), '')")
-    return rows.withColumn(text_col, piece).select(*texts.columns)
+    spans = mixed.where("taken > 0").select(F.col("mark").alias("__mark"), *[F.col(c).alias(f"__{c}") for c in ("whole", "size", "from1", "n1", "from2", "n2")])
+    mark = F.md5(F.concat_ws("/", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))))
+    rows = texts.select(F.struct(*[F.col(f"`{c}`") for c in texts.columns]).alias("__row"), mark.alias("__mark")).join(spans, "__mark")
+    part = F.col("__n1") + F.col("__n2")
+    rows = rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), (F.col("__whole") + (part > 0).cast("long")).cast("int"))))
+    words = F.regexp_extract_all(F.col("__row")[text_col], F.lit(f"(?:^{SPACES})?{WORD}{SPACES}"), F.lit(0))
+    cut = lambda w, a, n: F.slice(w, (F.col(a) + 1).cast("int"), F.col(n).cast("int"))
+    some = F.array_join(F.get(F.transform(F.array(words), lambda w: F.concat(cut(w, "__from1", "__n1"), cut(w, "__from2", "__n2"))), 0), "")
+    text = F.when((F.col("__pass") <= F.col("__whole")) | (part == F.col("__size")), F.col("__row")[text_col]).otherwise(some)
+    return rows.select(*[text.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in texts.columns])
