@@ -1,9 +1,9 @@
 """Secret scans over an incremental ledger of blobs, in DataFrame functions only.
 
-Every version of a file is addressed by the SHA-256 of its content (its blob). The ledger holds the (blob, rule) pairs
-that were scanned, with their findings; a scan takes one text of each blob that has a pair missing, runs the missing rules
-over it, appends to the ledger and joins the findings back to all paths with that content. New rule versions are new rule
-names in the ledger, so they rescan what they must and nothing else.
+Every version of a file is addressed by the SHA-256 of its content (its blob). The ledger is a table in the shared folder of the (blob,
+rule version) pairs that were scanned, with their findings. A scan takes one text of each blob that has a pair missing, runs the missing
+rules over it, appends to the ledger, and joins the findings that the ledger holds back to all paths with that content. New rule versions
+are new rule names in the ledger, so they rescan what they must and nothing else.
 """
 
 from __future__ import annotations
@@ -13,17 +13,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_or_empty
+from .common import Workspace, split_limit, spread_join, text_or_empty
 
-#: Blobs with findings that may be broadcast (some 150 bytes each).
-BROADCAST_ROWS = 50_000
-SPANS = "array<struct<kind:string,at:int,start:int,end:int>>"
+#: Blobs with findings (some 150 bytes each), and keys of unseen blobs (12 bytes each), that may be broadcast.
+BROADCAST_ROWS, BROADCAST_KEYS = 50_000, 500_000
+SPANS = "array<struct<rule:string,start:int,end:int>>"
 
 
 @dataclass(frozen=True)
 class Pattern:
     """A kind of secret. ``group`` of a match must have ``least`` code points, else the match is dropped; it hides others all
-    the same. ``hint`` is a cheaper pattern that every text with a match contains."""
+    the same. A changed pattern needs a new ``version``."""
 
     kind: str
     regex: str
@@ -57,84 +57,122 @@ MORE = (
 PATTERNS = BASE + MORE
 
 
-def spans(text: Column, pattern: Pattern, at: int) -> Column:
+def spans(text: Column, pattern: Pattern) -> Column:
     """The pattern's matches in ``text`` as SPANS: leftmost, not overlapping, in code points, end exclusive.
 
     The text between matches and the matches themselves give the places: a match starts after all that stands before it.
     """
-    regex = F.lit(pattern.regex)
+    regex, empty = F.lit(pattern.regex), F.array().cast(SPANS)
     gaps = F.transform(F.split(text, pattern.regex, -1), lambda x: F.length(x))
     whole = F.transform(F.regexp_extract_all(text, regex, F.lit(0)), lambda x: F.length(x))
     held = whole if not pattern.group else F.transform(F.regexp_extract_all(text, regex, F.lit(pattern.group)), lambda x: F.length(x))
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(SPANS).alias("out"))
+    zero = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
     step = lambda s, x: F.struct(
         (s["pos"] + x["gap"] + x["len"]).alias("pos"),
-        F.when(x["held"] >= pattern.least, F.concat(s["out"], F.array(F.struct(F.lit(pattern.kind).alias("kind"), F.lit(at).alias("at"), (s["pos"] + x["gap"]).alias("start"), (s["pos"] + x["gap"] + x["len"]).alias("end"))))).otherwise(s["out"]).alias("out"))
+        F.when(x["held"] >= pattern.least, F.concat(s["out"], F.array(F.struct(F.lit(pattern.rule).alias("rule"), (s["pos"] + x["gap"]).alias("start"), (s["pos"] + x["gap"] + x["len"]).alias("end"))))).otherwise(s["out"]).alias("out"))
     rows = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("len"), held.alias("held"))
-    found = F.aggregate(rows, zero, step, lambda s: s["out"])
-    return F.when(F.regexp_like(text, regex), found).otherwise(F.array().cast(SPANS))
+    return F.when(F.regexp_like(text, regex), F.aggregate(rows, zero, step, lambda s: s["out"])).otherwise(empty)
 
 
-def by_place(a: Column, b: Column) -> Column:
-    """Order of spans: by start, then by the patterns' order."""
-    return F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["at"] - b["at"])
+def blob_of(text: Column) -> Column:
+    """The lower-case hex SHA-256 of a text in UTF-8; null counts as empty."""
+    return F.sha2(text_or_empty(text).cast("binary"), 256)
 
 
-def blobs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, blob) of every row: the lower-case hex SHA-256 of its text in UTF-8; null counts as empty."""
-    return df.select(F.col(id_col).alias("id"), F.sha2(text_or_empty(F.col(text_col)).cast("binary"), 256).alias("blob"))
+class Ledger:
+    """A table (blob, rules, spans) at ``path``: a row says that these rules were run over the blob, and all that they found."""
 
+    SCHEMA = f"blob string, rules array<string>, spans {SPANS}"
 
-def scan(df: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
-         patterns: tuple[Pattern, ...] = PATTERNS, work: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
-    """(paths, entries): (id, blob, spans) of every row, and the ledger's new entries (blob, rule, spans).
+    def __init__(self, work: Workspace, name: str = "ledger"):
+        self.work, self.name = work, name
+        self.spark, self.path = work.spark, work.path(name)
 
-    The caller appends ``entries`` to the ledger it passes next time. Each unseen blob is read at one of its paths: ids go
-    through an aggregation, then a join on the id brings that path's text, so that a group of copies never meets in one
-    task. Rows with a null id are paths too. An empty table gives no paths; columns with other names don't matter.
+    def read(self) -> DataFrame:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        found = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path) if found else self.spark.createDataFrame([], self.SCHEMA)
+
+    def append(self, entries: DataFrame) -> None:
+        entries.write.mode("append").option("compression", "zstd").parquet(self.path)
+
+    def seen(self, patterns: tuple[Pattern, ...]) -> DataFrame:
+        """(blob, seen): bit k is set where pattern k was run over the blob."""
+        bit = lambda k, p: F.when(F.array_contains("rules", p.rule), F.lit(1 << k)).otherwise(F.lit(0))
+        bits = sum((bit(k, p) for k, p in enumerate(patterns)), F.lit(0)).cast("long")
+        return self.read().groupBy("blob").agg(F.bit_or(bits).alias("seen"))
+
+    def findings(self, patterns: tuple[Pattern, ...]) -> DataFrame:
+        """(blob, spans) of the blobs in which ``patterns`` found something: (kind, start, end), by start, then in the order of ``patterns``."""
+        rules = F.array(*[F.lit(p.rule) for p in patterns])
+        known = self.read().where(F.size("spans") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+        own = F.filter("spans", lambda s: F.array_contains(rules, s["rule"]))
+        order = F.array_sort(F.transform(own, lambda s: F.struct(s["start"].alias("start"), F.array_position(rules, s["rule"]).alias("at"), s["end"].alias("end"))))
+        kinds = F.array(*[F.lit(p.kind) for p in patterns])
+        out = F.transform(order, lambda s: F.struct(F.get(kinds, s["at"].cast("int") - 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+        return known.select("blob", out.alias("spans")).where(F.size("spans") > 0)
+
+
+def update(df: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col: str = "text", patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
+    """Scans the pairs of the texts' blobs and the patterns that the ledger lacks, appends them, and returns (id, blob) of every row.
+
+    Each unseen blob is read at one of its paths: keys of rows go through an aggregation, then a join by key brings those paths'
+    texts, so that a group of copies never meets in one task. Few keys are broadcast, so that no text moves.
     """
-    work = work or Workspace(df.sparkSession, "secrets")
+    work = ledger.work
     keyed = df.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text")).withColumn("key", F.xxhash64("id", "text"))
-    paths = work.keep(keyed.select("id", "key", F.sha2(F.col("text").cast("binary"), 256).alias("blob")), "paths")
+    paths = work.keep(keyed.select("id", "key", blob_of(F.col("text")).alias("blob")), f"paths{len(work.names)}")
     unique = paths.groupBy("blob").agg(F.min("key").alias("key"))
-    rules = [p.rule for p in patterns]
-    if ledger is not None:
-        seen = ledger.where(F.col("rule").isin(rules)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        unique = unique.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
-        unique = unique.where(F.size("seen") < len(rules))
-    else:
-        unique = unique.withColumn("seen", F.array().cast("array<string>"))
-    texts = keyed.select("key", "text").join(unique, "key").where(F.sha2(F.col("text").cast("binary"), 256) == F.col("blob"))
-    entry = lambda k, p: F.when(~F.array_contains("seen", p.rule), F.struct(F.lit(p.rule).alias("rule"), spans(F.col("text"), p, k).alias("spans")))
-    entries = texts.select("blob", F.explode(F.filter(F.array(*[entry(k, p) for k, p in enumerate(patterns)]), lambda x: x.isNotNull())).alias("e")).select("blob", "e.rule", "e.spans")
-    # equal rows bring equal texts of one blob: they count once
-    entries = work.keep(entries.dropDuplicates(["blob", "rule"]), "entries")
-    known = entries if ledger is None else ledger.where(F.col("rule").isin(rules)).select("blob", "rule", "spans").unionByName(entries)
-    found = known.where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    found = found.withColumn("spans", F.array_sort("spans", by_place))
-    joined = paths.select("id", "blob").join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
-    return joined.select(F.col("id").alias(id_col), "blob", "spans"), entries
+    all_seen = (1 << len(patterns)) - 1
+    unseen = unique.join(ledger.seen(patterns), "blob", "left").select("key", F.coalesce("seen", F.lit(0)).cast("long").alias("seen")).where(F.col("seen") < all_seen)
+    unseen = work.keep(unseen, f"unseen{len(work.names)}")
+    n = unseen.count()
+    if n:
+        texts = keyed.select("key", "text").join(F.broadcast(unseen) if n <= BROADCAST_KEYS else unseen, "key")
+        missing = lambda k: F.expr(f"(seen & {1 << k}L) = 0")
+        rules = F.filter(F.array(*[F.when(missing(k), F.lit(p.rule)) for k, p in enumerate(patterns)]), lambda x: x.isNotNull())
+        found = F.concat(*[F.when(missing(k), spans(F.col("text"), p)).otherwise(F.array().cast(SPANS)) for k, p in enumerate(patterns)])
+        ledger.append(texts.select(blob_of(F.col("text")).alias("blob"), rules.alias("rules"), found.alias("spans")))
+    return paths.select("id", "blob")
+
+
+def scan(df: DataFrame, ledger: Ledger | None = None, id_col: str = "doc_id", text_col: str = "text", patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
+    """(id, blob, spans) of every row, from the ledger after an update (a new one, if none is given).
+
+    Rows with a null id are paths too, a null text counts as empty. An empty table gives no paths; columns with other names
+    don't matter.
+    """
+    ledger = ledger or Ledger(Workspace(df.sparkSession, "secrets"))
+    paths = update(df, ledger, id_col, text_col, patterns)
+    found = ledger.work.keep(ledger.findings(patterns), f"found{len(ledger.work.names)}")
+    joined = paths.join(F.broadcast(found), "blob", "left") if (n := found.count()) <= BROADCAST_ROWS else spread_join(paths, found, "blob", split_limit(n), "left")
+    return joined.select(F.col("id").alias(id_col), "blob", F.coalesce("spans", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("spans"))
 
 
 def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each stretch that spans cover replaced by ``mark``. ``found`` is ordered by start."""
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    """The text with each stretch that spans cover replaced by ``mark``. ``found`` is ordered by start.
+
+    A span puts out what stands between the furthest end before it and its start, then the mark, unless it starts within.
+    """
+    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
     step = lambda s, x: F.when(x["end"] <= s["pos"], s).otherwise(F.struct(
-        x["end"].alias("pos"), F.concat(s["out"], F.when(x["start"] >= s["pos"], F.concat(F.substring(text, s["pos"] + 1, x["start"] - s["pos"]), F.lit(mark))).otherwise(F.lit(""))).alias("out")))
-    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["pos"] + 1, F.length(text)))))
+        x["end"].alias("pos"), F.when(x["start"] >= s["pos"], F.concat(s["out"], F.array(F.substring(text, s["pos"] + 1, x["start"] - s["pos"]), F.lit(mark)))).otherwise(s["out"]).alias("out")))
+    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["pos"] + 1, F.length(text)))))
 
 
-def redacted(df: DataFrame, text_col: str = "text", patterns: tuple[Pattern, ...] = PATTERNS, work: Workspace | None = None) -> DataFrame:
+def redacted(df: DataFrame, text_col: str = "text", patterns: tuple[Pattern, ...] = PATTERNS, ledger: Ledger | None = None) -> DataFrame:
     """``df`` with all secrets of its text replaced. Findings meet the rows by blob, so ids don't matter; a text without
-    secrets stays as it is, null included. Findings of at most BROADCAST_ROWS blobs are broadcast, more are joined by shuffle."""
-    work = work or Workspace(df.sparkSession, "redact")
-    keyed = df.withColumn("_blob", F.sha2(text_or_empty(F.col(text_col)).cast("binary"), 256))
-    _, entries = scan(df.select(F.lit(0).alias("_id"), F.col(text_col).alias("_text")), None, "_id", "_text", patterns, work)
-    found = entries.where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("_spans"))
-    found = work.keep(found.withColumn("_spans", F.array_sort("_spans", by_place)), "found")
-    side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    rows = keyed.join(side, keyed["_blob"] == side["blob"], "left")
-    return rows.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col("_spans")))).select(*df.columns)
+    secrets stays as it is, null included; other columns may have any names. Findings of at most BROADCAST_ROWS blobs are
+    broadcast, more are joined by a shuffle in which frequent blobs are split."""
+    ledger = ledger or Ledger(Workspace(df.sparkSession, "redact"))
+    # the other columns tell copies apart, of which one is read
+    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+    update(df.select(row.alias("id"), F.col(text_col).alias("text")), ledger, "id", "text", patterns)
+    found = ledger.work.keep(ledger.findings(patterns), f"found{len(ledger.work.names)}")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), blob_of(F.col(text_col)).alias("blob"))
+    rows = rows.join(F.broadcast(found), "blob", "left") if (n := found.count()) <= BROADCAST_ROWS else spread_join(rows, found, "blob", split_limit(n), "left")
+    text = F.col("row")[text_col]
+    return rows.select(*[F.when(F.col("spans").isNull(), text).otherwise(redact(text, F.col("spans"))).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns])
 
 
 def listing(found: Column) -> Column:

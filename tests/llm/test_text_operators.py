@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from codonspark.llm import bpe, fingerprints, licenses, oracles, quality, queries, secrets
+from codonspark.llm import bpe, common, fingerprints, licenses, oracles, quality, queries, secrets
+from codonspark.llm.common import Workspace
 from tests.conftest import SMALL
 from tests.llm.fixtures import awkward, frame, table
 
@@ -180,12 +181,28 @@ def test_cascade_order_changes_no_verdict(spark):
     df = frame(spark).withColumnRenamed("node", "rejected_by")
     kept = lambda rules: sorted(r.doc_id for r in quality.cascade(df, rules=rules).where("rejected_by IS NULL").collect())
     assert kept(quality.RULES) == kept(quality.RULES[::-1]) == sorted(r.doc_id for r in quality.judge(df).where("kept").collect())
-    order = quality.order_rules(df)
-    assert [r / c for _, r, c in order] == sorted((r / c for _, r, c in order), reverse=True)
     empty = df.limit(0)
     assert quality.cascade(empty).count() == 0 and quality.judge(empty).count() == 0
 
 
+def test_rules_are_ordered_by_rejection_per_measured_cost(spark):
+    texts = ["a b"] * 4 + ["word " * 60] * 3 + [" ".join(f"w##{k}" for k in range(60))] * 2 + [" ".join(f"w{k}" for k in range(70))] * 3
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+
+    def order(*price):
+        took = dict(zip(("n_words", "n_dup_lines", "n_repeat_words", "n_symbols", "word_chars"), price, strict=True))
+        calls = iter([0.0, took["n_words"], took["n_dup_lines"], took["n_repeat_words"] + took["n_words"], took["n_symbols"], took["word_chars"]])
+        return [(r.name, round(share, 3), round(cost, 3)) for r, share, cost in quality.order_rules(df, sample_rows=1000, clock=lambda *_: next(calls))]
+
+    one = order(1.0, 1.0, 5.0, 1.0, 1.0)
+    assert [x[0] for x in one[:3]] == ["few_words", "symbols", "repeated_words"]
+    # shares are those of what is left, and the words are paid for once
+    assert one[0][1:] == (round(4 / 12, 3), 1.0) and one[1][1:] == (round(2 / 8, 3), 1.0) and one[2][1:] == (round(3 / 6, 3), 5.0)
+    assert [x[0] for x in order(1.0, 1.0, 0.1, 50.0, 1.0)[:3]] == ["few_words", "repeated_words", "symbols"]
+    assert all(cost > 0 for _, _, cost in quality.order_rules(df))
+    assert [r for r, _, _ in quality.order_rules(df.limit(0))] == list(quality.RULES)
+
+
 def find(text):
     base = {
         "assign": [(m.start(), m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8],
@@ -212,17 +229,45 @@ def test_secret_spans(spark, tmp_path):
 
 
 def test_ledger_scans_new_pairs_only(spark):
+    ledger = secrets.Ledger(Workspace(spark, "t"))
+    held = lambda: Counter((r.blob, rule) for r in ledger.read().collect() for rule in r.rules)
     old = spark.createDataFrame([(1, "token=aaaaaaaaaa"), (2, "plain"), (3, None)], "doc_id long, text string")
-    _, first = secrets.scan(old, patterns=secrets.BASE)
-    assert first.count() == 9  # three blobs, three rules
+    assert secrets.scan(old.limit(0), ledger).count() == 0 and not held()
+    secrets.update(old, ledger, patterns=secrets.BASE)
+    first = held()
+    assert len(first) == 9 and set(first.values()) == {1}  # three blobs, three rules
     new = old.union(spark.createDataFrame([(4, "plain"), (5, "token=aaaaaaaaaa"), (6, "AKIA" + "B" * 16)], old.schema))
-    paths, second = secrets.scan(new, first, patterns=secrets.BASE)
-    assert {r.rule for r in second.collect()} == {p.rule for p in secrets.BASE} and second.count() == 3
+    paths = secrets.scan(new, ledger, patterns=secrets.BASE)
+    second = held() - first
+    assert len({blob for blob, _ in second}) == 1 and {rule for _, rule in second} == {p.rule for p in secrets.BASE}
     assert {r.doc_id: [s.kind for s in r.spans] for r in paths.collect()} == {1: ["assign"], 2: [], 3: [], 4: [], 5: ["assign"], 6: ["access"]}
-    newer = (secrets.Pattern("access", "AKIA[A-Z0-9]{16,}", version=2),)
-    _, third = secrets.scan(new, first.union(second), patterns=newer)
-    assert third.count() == 4
-    assert secrets.scan(old.limit(0))[0].count() == 0
+    newer = (secrets.Pattern("access", "AKIA[A-Z0-9]{17,}", version=2),)
+    paths = secrets.scan(new, ledger, patterns=newer)
+    assert {r.doc_id: [s.kind for s in r.spans] for r in paths.collect()} == {k: [] for k in range(1, 7)}
+    third = held() - first - second
+    assert len(third) == 4 and {rule for _, rule in third} == {"access@2"} and set(held().values()) == {1}
+    secrets.scan(new, ledger, patterns=newer + secrets.BASE)
+    assert len(held()) == 16
+
+
+def test_findings_come_from_the_ledger(spark):
+    ledger = secrets.Ledger(Workspace(spark, "t"))
+    df = spark.createDataFrame([(1, "token=aaaaaaaaaa"), (None, "token=aaaaaaaaaa"), (None, None)], "doc_id long, text string")
+    blob = hashlib.sha256(b"token=aaaaaaaaaa").hexdigest()
+    ledger.append(spark.createDataFrame([(blob, [p.rule for p in secrets.PATTERNS], [("hex@1", 3, 5)])], secrets.Ledger.SCHEMA))
+    got = Counter((r.doc_id, tuple((s.kind, s.start, s.end) for s in r.spans)) for r in secrets.scan(df, ledger).collect())
+    assert got == Counter([(1, (("hex", 3, 5),)), (None, (("hex", 3, 5),)), (None, ())])
+
+
+def test_clashing_names_and_large_joins(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(secrets, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(common, "SPLIT_ROWS", 2)
+    rows = [(k, f"x token=aaaaaaaa{k % 3}a y", "b", "k", "s", None) for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, blob string, key string, spans string, row string")
+    got = secrets.redacted(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [(k, "x [SECRET] y", "b", "k", "s", None) for k in range(9)]
+    assert {(r.doc_id, len(r.spans)) for r in secrets.scan(df).collect()} == {(k, 1) for k in range(9)}
 
 
 def test_redaction(spark):
@@ -251,7 +296,7 @@ def test_redaction_of_whole_keys(spark):
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(keys)))
     found = {r[0]: r[5] for r in con.execute(oracles.SECRET_SQL).fetchall()}
-    assert {r.doc_id: r.s for r in secrets.scan(rows)[0].select("doc_id", secrets.listing(F.col("spans")).alias("s")).collect()} == found
+    assert {r.doc_id: r.s for r in secrets.scan(rows).select("doc_id", secrets.listing(F.col("spans")).alias("s")).collect()} == found
 
 
 def test_queries_on_the_driver_table(spark):
