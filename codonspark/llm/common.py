@@ -88,6 +88,16 @@ def spread_join(large: DataFrame, small: DataFrame, key: str, limit: int, how: s
     return rows.join(small.join(F.broadcast(hot), key, "left").select(*small.columns, parts), [key, "__part"], how).drop("__part")
 
 
+#: Rows of a joined table (a key and a few numbers, some 50 bytes each) that may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def join_beside(large: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``large`` joined with a kept table of one row for each ``key``: broadcast if it has at most BROADCAST_ROWS rows, so that
+    ``large`` stays where it is, else by spread_join."""
+    return large.join(F.broadcast(small), key, how) if small.count() <= BROADCAST_ROWS else spread_join(large, small, key, split_limit(large.count()), how)
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
@@ -110,30 +120,29 @@ def components(edges: DataFrame, work: Workspace, name: str = "cc", most: int =
     aggregation and joins it back with the edges of frequent nodes split, so that no neighbourhood is gathered in one task.
     Edges with a null end are ignored, repeated edges and loops do no harm, an empty table gives an empty result.
     """
-    def table(df: DataFrame, step: int) -> tuple[DataFrame, int, bool]:
-        """The kept edges, their number, and whether they are stars: each node points to one other, to which no edge leads away."""
-        kept = work.keep(df.distinct(), f"{name}{step}")
-        n, nodes = kept.agg(F.count("*"), F.count_distinct("a")).first()
-        done = n == nodes and (not n or kept.join(kept.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty())
-        return kept, n, done
+    def lowest(df: DataFrame, step: str) -> DataFrame:
+        return work.keep(df.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}{step}")
 
-    def lowest(df: DataFrame) -> DataFrame:
-        return df.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    def is_forest_of_stars(df: DataFrame) -> bool:
+        """Whether each node points to one other, to which no edge leads away."""
+        ends = df.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(df.select("b", F.lit(0), F.lit(1)))
+        facts = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return facts.where("up > 1 OR up > 0 AND down > 0").isEmpty()
 
-    now, n, done = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), 0)
+    now = work.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
     step = 0
-    while not done:
+    while not is_forest_of_stars(now):
         step += 1
         if step > most:
             raise RuntimeError(f"components did not settle in {most} steps")
         both = now.union(now.select("b", "a").toDF("a", "b"))
-        large = spread_join(both, lowest(both), "a", split_limit(n)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = join_beside(both, lowest(both, f"{step}_lowest"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = work.keep(large, f"{name}{step}_large")
-        small = spread_join(large, lowest(large), "a", split_limit(n)).select(
+        small = join_beside(large, lowest(large, f"{step}_least"), "a").select(
             F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")
         ).select("e.a", "e.b").where("a <> b")
-        now, n, done = table(small, step)
-        work.drop(f"{name}{step - 1}", f"{name}{step}_large")
+        now = work.keep(small.distinct(), f"{name}{step}")
+        work.drop(f"{name}{step - 1}", f"{name}{step}_large", f"{name}{step}_lowest", f"{name}{step}_least")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, split_limit, spread_join, text_or_empty
+from .common import BROADCAST_ROWS, Workspace, components, join_beside, split_limit, text_or_empty
 
 #: Members and elements of a region that one task joins; elements of a large region's group that one task compares with the pivot.
 SMALL, SMALL_ELEMENTS, SALT = 512, 1_000_000, 1_000_000
@@ -50,8 +50,6 @@ RING, RINGS = 1.7, 64
 #: Linked pairs share one cell more for each so many shingles in which they may differ.
 SPARE = 6
 MOST_ROUNDS = 5
-#: Rows of ids that may be broadcast (some 24 bytes each) to join texts or sets where they lie; beyond, both sides are shuffled.
-BROADCAST_ROWS = 500_000
 KNOWN_WORDS = 200_000
 #: Sets that a task remembers, so that copies in it give their cells once.
 KNOWN_NODES = 200_000
@@ -317,14 +315,8 @@ class JaccardJoin:
         ring = F.pmod("cell", F.lit(RINGS)).cast("int")
         have = met.groupBy("node", ring.alias("ring")).agg(F.count("*").alias("n")).where(F.col("n") >= F.get(least, F.col("ring"))).select("node", "ring")
         rest = self.work.keep(met.select("cell", "node", ring.alias("ring")).join(have, ["node", "ring"], "left_semi").select("cell", "node"), "rest")
-        pivots = rest.groupBy("cell").agg(F.min("node").alias("region"), F.max("node").alias("high")).where("region < high").select("cell", "region")
-        pairs = spread_join(rest, pivots, "cell", split_limit(rest.count())).select("region", "node").distinct()
-        return self.work.keep(pairs, "edges")
-
-    @staticmethod
-    def beside(small: DataFrame, large: DataFrame, on: str, how: str = "inner") -> DataFrame:
-        """``large`` joined with a kept table of one row for each ``on``, without moving ``large`` if that is small enough to broadcast."""
-        return large.join(F.broadcast(small), on, how) if small.count() <= BROADCAST_ROWS else spread_join(large, small, on, split_limit(large.count()), how)
+        pivots = self.work.keep(rest.groupBy("cell").agg(F.min("node").alias("region"), F.max("node").alias("high")).where("region < high").select("cell", "region"), "pivots")
+        return self.work.keep(join_beside(rest, pivots, "cell").select("region", "node").distinct(), "edges")
 
     def elements(self, sets: DataFrame, nodes: DataFrame) -> DataFrame:
         """(node, size, elements) of ``nodes``, from one document of each."""
@@ -343,7 +335,7 @@ class JaccardJoin:
                     flat = pa.array(np.concatenate([s for _, s in found] or [np.zeros(0, np.uint64)]).view(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["node", "size", "elements"])
 
-        texts = self.beside(chosen, self.docs, "mark").select("node", "text")
+        texts = join_beside(self.docs, chosen, "mark").select("node", "text")
         found = self.work.keep(texts.mapInArrow(run, "node long, size long, elements array<long>"), "elements")
         return self.work.keep(found.dropDuplicates(["node"]), "elements_once") if found.count() > chosen.count() else found
 
@@ -355,7 +347,7 @@ class JaccardJoin:
         facts = places.groupBy("region").agg(F.sum(F.col("k") + 1).alias("held"), F.min(F.struct("k", "node")).alias("p"))
         facts = facts.select("region", F.col("region" if pivot == "region" else "p.node").alias("pivot"), F.ceil(F.col("held") / self.salt).cast("int").alias("salts"))
         facts = self.work.keep(facts if pivot != "region" else facts.where("salts > 1"), "salts")
-        rows = self.beside(facts, places, "region", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("pivot", F.coalesce("pivot", "region"))
+        rows = join_beside(places, facts, "region", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("pivot", F.coalesce("pivot", "region"))
         own = F.array(F.struct(F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("after")))
         lead = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: F.struct(k.alias("salt"), F.lit(0).alias("after")))
         rows = rows.select("region", "node", F.explode(F.when(F.col("node") == F.col("pivot"), lead).otherwise(own)).alias("at"))
@@ -364,8 +356,7 @@ class JaccardJoin:
     def distances(self, edges: DataFrame, elements: DataFrame) -> DataFrame:
         """(region, node, distance, shell, linked): exact Jaccard distances of all edges, counted in groups led by the pivot."""
         t = self.t
-        held = edges.join(elements.select("node", F.col("size").alias("k")), "node")
-        groups = self.groups(self.work.keep(held, "held"), "region")
+        groups = self.groups(join_beside(edges, elements.select("node", F.col("size").alias("k")), "node"), "region")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pivot, at = None, None
@@ -397,15 +388,15 @@ class JaccardJoin:
 
     def undecided(self, distances: DataFrame, classes: DataFrame, name: str) -> DataFrame:
         """(region, node, class) of the members whose own and next shells hold members of several classes, and of their pivots."""
-        rows = self.work.keep(distances.join(classes, "node", "left").select("region", "node", "shell", F.coalesce("root", "node").alias("class")), f"{name}_classed")
+        rows = self.work.keep(join_beside(distances, classes, "node", "left").select("region", "node", "shell", F.coalesce("root", "node").alias("class")), f"{name}_classed")
         shells = rows.groupBy("region", "shell").agg(F.min("class").alias("low"), F.max("class").alias("high"))
         reach = shells.select("region", "low", "high", F.explode(F.sequence(F.col("shell") - 1, F.col("shell") + 1)).alias("shell"))
         open_ = reach.groupBy("region", "shell").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
         key = F.xxhash64("region", "shell")  # an equal key of another shell only keeps more
         open_ = self.work.keep(open_.select("region", key.alias("at")), f"{name}_open")
         regions = self.work.keep(open_.select("region").distinct(), f"{name}_regions")
-        members = self.beside(open_.select("at").distinct(), rows.withColumn("at", key), "at", "left_semi").where("node <> region")
-        pivots = self.beside(regions, rows.where("node = region"), "region", "left_semi")
+        members = join_beside(rows.withColumn("at", key), open_.select("at"), "at", "left_semi").where("node <> region")
+        pivots = join_beside(rows.where("node = region"), regions, "region", "left_semi")
         return members.select("region", "node", "class").union(pivots.select("region", "node", "class"))
 
     def join_regions(self, rows: DataFrame, every: bool = False) -> DataFrame:
@@ -422,7 +413,7 @@ class JaccardJoin:
     def join_blocks(self, rows: DataFrame, counts: DataFrame, every: bool = False) -> DataFrame:
         """Links inside regions of any size, by exact comparison of all pairs of blocks of members; counts: (region, m) of all."""
         t, size = self.t, self.small
-        rows = self.beside(counts, rows, "region").withColumn("blocks", F.ceil(F.col("m") / size).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rows = join_beside(rows, counts, "region").withColumn("blocks", F.ceil(F.col("m") / size).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         with_all = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))).alias("at")
         rows = rows.select("region", with_all, "block", "node", "class", "size", "elements").select("region", "at.i", "at.j", "block", "node", "class", "size", "elements")
 
@@ -477,7 +468,7 @@ class JaccardJoin:
         """
         seen = near.select(F.col("region").alias("old"), "node", "class", "near", F.explode("first").alias("e")).select(F.xxhash64("old", "e").alias("region"), "old", "node", "class", "near")
         use = seen.groupBy("region").agg(F.min("near").alias("all_near"), F.min("class").alias("low"), F.max("class").alias("high")).where("NOT all_near AND low < high").select("region")
-        dealt = spread_join(seen, use, "region", split_limit(near.agg(F.sum(F.size("first"))).first()[0] or 0)).select("region", "old", "node")
+        dealt = join_beside(seen, self.work.keep(use, "dealt"), "region").select("region", "old", "node")
         return dealt.join(near.select(F.col("region").alias("old"), "node", "class", "size", "elements"), ["old", "node"]).select("region", "node", "class", "size", "elements")
 
     def prepare(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -495,8 +486,8 @@ class JaccardJoin:
         distances = self.distances(edges, elements)
         out = distances.where("linked AND node <> region").select(F.col("node").alias("a"), F.col("region").alias("b"))
         classes = work.keep(components(out, work, "cc_pivots_"), "classes_pivots")
-        nearest = distances.groupBy("node").agg(F.min(F.struct("distance", "region")).alias("p")).select("node", F.col("p.region").alias("region"))
-        home = distances.join(nearest, ["node", "region"], "left_semi")
+        by_node = Window.partitionBy("node").orderBy("distance", "region")
+        home = distances.withColumn("rank", F.row_number().over(by_node)).where("rank = 1").drop("rank")
         out = out.union(self.resolve(self.undecided(home, classes, "home"), elements, out, "home"))
         classes = work.keep(components(out, work, "cc_home_"), "classes_home")
         return out.union(self.resolve(self.undecided(distances, classes, "window"), elements, out, "window"))
@@ -505,13 +496,15 @@ class JaccardJoin:
         """Links inside regions, given (region, node, class) places, the nodes' elements, and the links known so far."""
         work, out, before = self.work, self.spark.createDataFrame([], "a long, b long"), None
         own = work.keep(places, f"{name}_places")
+        if own.isEmpty():
+            return out
         rows = self.with_elements(own, elements).select("region", "node", "class", "size", "elements")
-        facts = own.join(elements.select("node", F.col("size").alias("k")), "node").select("region", "node", "k")
+        facts = join_beside(own, elements.select("node", F.col("size").alias("k")), "node").select("region", "node", "k")
         for step in range(self.most_rounds + 1):
             count = facts.groupBy("region").agg(F.count("*").alias("m"), F.sum("k").alias("held"))
             large = work.keep(count.where((F.col("m") > self.small) | (F.col("held") > SMALL_ELEMENTS)).select("region", "m"), f"{name}_large{step}")
             total = large.agg(F.sum("m")).first()[0] or 0
-            small = rows if not total else self.beside(large, rows, "region", "left_anti")
+            small = rows if not total else join_beside(rows, large, "region", "left_anti")
             out = out.union(work.keep(self.join_regions(small), f"{name}_links{step}"))
             if not total:
                 break
@@ -519,8 +512,8 @@ class JaccardJoin:
                 out = out.union(work.keep(self.join_blocks(rows, large), f"{name}_blocks{step}"))
                 break
             before = total
-            big = self.beside(large.drop("m"), rows, "region", "left_semi")
-            near = work.keep(self.around_pivots(big, self.beside(large.drop("m"), facts, "region", "left_semi"), step == 0), f"{name}_near{step}")
+            big = join_beside(rows, large.drop("m"), "region", "left_semi")
+            near = work.keep(self.around_pivots(big, join_beside(facts, large.drop("m"), "region", "left_semi"), step == 0), f"{name}_near{step}")
             out = out.union(work.keep(near.where("near").select(F.col("node").alias("a"), F.col("pivot").alias("b")), f"{name}_ball{step}"))
             roots = work.keep(components(known.union(out), work, f"{name}_cc{step}_"), f"{name}_classes{step}")
             near = near.drop("class").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
@@ -533,10 +526,10 @@ class JaccardJoin:
         """(node, low) of the sets that several documents have or that are linked: the smallest id of their component."""
         work = self.work
         roots = work.keep(components(links, work, "all_"), "roots")
-        nodes = sets.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("n")).join(roots, "node", "left").where("n > 1 OR root IS NOT NULL")
+        nodes = join_beside(sets.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("n")), roots, "node", "left").where("n > 1 OR root IS NOT NULL")
         nodes = work.keep(nodes.select("node", "low", F.coalesce("root", "node").alias("root")), "nodes")
-        lows = nodes.groupBy("root").agg(F.min("low").alias("lowest"))
-        low = work.keep(spread_join(nodes, lows, "root", split_limit(nodes.count())).select("node", F.col("lowest").alias("low")), "lowest")
+        lows = work.keep(nodes.groupBy("root").agg(F.min("low").alias("lowest")), "lows")
+        low = work.keep(join_beside(nodes, lows, "root").select("node", F.col("lowest").alias("low")), "lowest")
         work.only("sets", "lowest")
         return low
 
@@ -548,7 +541,7 @@ class JaccardJoin:
         """
         sets, edges, elements = self.prepare()
         low = self.lowest(sets, self.links(edges, elements))
-        rows = self.beside(low, sets, "node", "left")
+        rows = join_beside(sets, low, "node", "left")
         return rows.select(F.col("id").alias(self.id_col), "n_shingles", F.coalesce("low", "id").alias("component_id"))
 
     def link_counts(self) -> DataFrame:
@@ -559,16 +552,16 @@ class JaccardJoin:
         """
         sets, edges, elements = self.prepare()
         work, places = self.work, edges.withColumn("class", F.col("node"))
-        count = edges.join(elements.select("node", "size"), "node").groupBy("region").agg(F.count("*").alias("m"), F.sum("size").alias("held"))
+        count = join_beside(edges, elements.select("node", "size"), "node").groupBy("region").agg(F.count("*").alias("m"), F.sum("size").alias("held"))
         large = work.keep(count.where((F.col("m") > self.small) | (F.col("held") > SMALL_ELEMENTS)).select("region", "m"), "large")
         rows = self.with_elements(places, elements).select("region", "node", "class", "size", "elements")
-        pairs = work.keep(self.join_regions(self.beside(large, rows, "region", "left_anti"), True), "pairs").union(work.keep(self.join_blocks(rows, large, True), "pairs_of_blocks"))
+        pairs = work.keep(self.join_regions(join_beside(rows, large, "region", "left_anti"), True), "pairs").union(work.keep(self.join_blocks(rows, large, True), "pairs_of_blocks"))
         pairs = work.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "all_pairs")
         both = work.keep(pairs.union(pairs.select("b", "a").toDF("a", "b")).toDF("node", "other"), "both")
         copies = work.keep(sets.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("n")), "copies")
-        met = self.beside(copies.withColumnRenamed("node", "other"), both, "other").groupBy("node").agg(F.sum("n").alias("linked"))
+        met = join_beside(both, copies.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("n").alias("linked"))
         known = work.keep(copies.join(met, "node", "left").where("n > 1 OR linked IS NOT NULL").select("node", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links")), "counts")
-        return self.beside(known, sets, "node", "left").select(F.col("id").alias(self.id_col), "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        return join_beside(sets, known, "node", "left").select(F.col("id").alias(self.id_col), "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: str = "0.8", **options) -> DataFrame:
