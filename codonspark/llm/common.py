@@ -89,7 +89,7 @@ def spread_join(large: DataFrame, small: DataFrame, key: str, limit: int, how: s
 
 
 #: Rows of a joined table (a key and a few numbers, some 50 bytes each) that may be broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def join_beside(large: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -113,36 +113,29 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(words(text)), F.lit(0)).cast("long")
 
 
-def components(edges: DataFrame, work: Workspace, name: str = "cc", most: int = 40) -> DataFrame:
+def components(edges: DataFrame, work: Workspace, name: str = "cc", most: int = 60) -> DataFrame:
     """Connected components of (a, b) edges as (node, root), root being the smallest node; isolated nodes aren't listed.
 
-    Alternating large-star and small-star steps: each step groups by node, takes a minimum with map-side partial
-    aggregation and joins it back with the edges of frequent nodes split, so that no neighbourhood is gathered in one task.
-    Edges with a null end are ignored, repeated edges and loops do no harm, an empty table gives an empty result.
+    Every node has a label, at first the smallest of itself and its neighbours. In each step the labels at the two ends of an edge
+    are compared; the larger one is hooked to the smallest that it meets, and labels are replaced by the labels of the nodes they
+    name, twice. Labels only fall, and when no edge has two of them they are the components' smallest nodes. Minima are combined
+    before they are shuffled, and joins split frequent keys, so that no neighbourhood is gathered in one task. Edges with a null
+    end are ignored, repeated edges and loops do no harm, an empty table gives an empty result.
     """
-    def lowest(df: DataFrame, step: str) -> DataFrame:
-        return work.keep(df.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}{step}")
-
-    def is_forest_of_stars(df: DataFrame) -> bool:
-        """Whether each node points to one other, to which no edge leads away."""
-        ends = df.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(df.select("b", F.lit(0), F.lit(1)))
-        facts = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-        return facts.where("up > 1 OR up > 0 AND down > 0").isEmpty()
-
-    now = work.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
-    step = 0
-    while not is_forest_of_stars(now):
-        step += 1
-        if step > most:
-            raise RuntimeError(f"components did not settle in {most} steps")
-        both = now.union(now.select("b", "a").toDF("a", "b"))
-        large = join_beside(both, lowest(both, f"{step}_lowest"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = work.keep(large, f"{name}{step}_large")
-        small = join_beside(large, lowest(large, f"{step}_least"), "a").select(
-            F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")
-        ).select("e.a", "e.b").where("a <> b")
-        now = work.keep(small.distinct(), f"{name}{step}")
-        work.drop(f"{name}{step - 1}", f"{name}{step}_large", f"{name}{step}_lowest", f"{name}{step}_least")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-        now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    )
+    edges = work.keep(edges.where("a <> b").select("a", "b"), f"{name}_edges")
+    both = edges.union(edges.select("b", "a").toDF("a", "b"))
+    now = work.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).select("node", F.least("node", "root").alias("root")), f"{name}0")
+
+    def renamed(column: str, label: str) -> DataFrame:
+        return now.select(F.col("node").alias(column), F.col("root").alias(label))
+
+    for step in range(1, most + 1):
+        ends = join_beside(join_beside(edges, renamed("a", "x"), "a"), renamed("b", "y"), "b").where("x <> y")
+        hooks = work.keep(ends.groupBy(F.greatest("x", "y").alias("root")).agg(F.min(F.least("x", "y")).alias("to")), f"{name}{step}_hooks")
+        if hooks.isEmpty():
+            return now
+        for jump in range(3):
+            by_root = hooks if jump == 0 else now.select(F.col("node").alias("root"), F.col("root").alias("to"))
+            now = work.keep(join_beside(now, by_root, "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"{name}{step}_{jump}")
+        work.drop(f"{name}{step}_hooks", f"{name}{step}_0", f"{name}{step}_1", f"{name}{step - 1}_2", f"{name}{step - 1}")
+    raise RuntimeError(f"components did not settle in {most} steps")

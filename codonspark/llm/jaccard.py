@@ -313,14 +313,15 @@ class JaccardJoin:
         lows = rings(self.t)
         least = F.array(*[F.lit(1 + spare(r, self.t, lows) if r else 1) for r in range(min(RINGS, len(lows) - 1))])
         ring = F.pmod("cell", F.lit(RINGS)).cast("int")
-        have = met.groupBy("node", ring.alias("ring")).agg(F.count("*").alias("n")).where(F.col("n") >= F.get(least, F.col("ring"))).select("node", "ring")
-        rest = self.work.keep(met.select("cell", "node", ring.alias("ring")).join(have, ["node", "ring"], "left_semi").select("cell", "node"), "rest")
+        # a node's cells in a ring are no more than its shingles
+        held = F.count("*").over(Window.partitionBy("node", "ring"))
+        rest = self.work.keep(met.select("cell", "node", ring.alias("ring")).withColumn("n", held).where(F.col("n") >= F.get(least, F.col("ring"))).select("cell", "node"), "rest")
         pivots = self.work.keep(rest.groupBy("cell").agg(F.min("node").alias("region"), F.max("node").alias("high")).where("region < high").select("cell", "region"), "pivots")
         return self.work.keep(join_beside(rest, pivots, "cell").select("region", "node").distinct(), "edges")
 
     def elements(self, sets: DataFrame, nodes: DataFrame) -> DataFrame:
         """(node, size, elements) of ``nodes``, from one document of each."""
-        chosen = sets.where("n_shingles > 0").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark"))
+        chosen = join_beside(sets.where("n_shingles > 0"), self.work.keep(nodes, "wanted"), "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark"))
         chosen, n = self.work.keep(chosen, "chosen"), self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,14 +390,12 @@ class JaccardJoin:
     def undecided(self, distances: DataFrame, classes: DataFrame, name: str) -> DataFrame:
         """(region, node, class) of the members whose own and next shells hold members of several classes, and of their pivots."""
         rows = self.work.keep(join_beside(distances, classes, "node", "left").select("region", "node", "shell", F.coalesce("root", "node").alias("class")), f"{name}_classed")
-        shells = rows.groupBy("region", "shell").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-        reach = shells.select("region", "low", "high", F.explode(F.sequence(F.col("shell") - 1, F.col("shell") + 1)).alias("shell"))
-        open_ = reach.groupBy("region", "shell").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+        reach = rows.select("region", "class", F.explode(F.sequence(F.col("shell") - 1, F.col("shell") + 1)).alias("shell"))
+        open_ = reach.groupBy("region", "shell").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
         key = F.xxhash64("region", "shell")  # an equal key of another shell only keeps more
         open_ = self.work.keep(open_.select("region", key.alias("at")), f"{name}_open")
-        regions = self.work.keep(open_.select("region").distinct(), f"{name}_regions")
         members = join_beside(rows.withColumn("at", key), open_.select("at"), "at", "left_semi").where("node <> region")
-        pivots = join_beside(rows.where("node = region"), regions, "region", "left_semi")
+        pivots = join_beside(rows.where("node = region"), open_.select("region"), "region", "left_semi")
         return members.select("region", "node", "class").union(pivots.select("region", "node", "class"))
 
     def join_regions(self, rows: DataFrame, every: bool = False) -> DataFrame:

@@ -44,7 +44,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = Workspace(spark, "warc").keep(warc.write_archives(pages(spark, sf_dir)), "archives")
+    archives = warc.write_archives(pages(spark, sf_dir), Workspace(spark, "warc"))
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

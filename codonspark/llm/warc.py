@@ -1,10 +1,11 @@
 """WARC records in ZIP-packaged archives: writing, and reading by range without extraction.
 
-An archive is a ZIP file with two stored (uncompressed) members: ``archive/data.warc`` with the records and
-``indexes/index.jsonl`` with a line for each record (its URI, place and length in the data member). The reader starts at the
-end of the file: end record, ZIP64 locator and end record where the sizes need them, central directory, the members' local
-headers; then it reads the index and each record's own range. It needs a function that returns a range of bytes, so it works
-over any store; over DataFrames the archives are (path, content) rows, as Spark's ``binaryFile`` source gives them.
+An archive is a ZIP file in the shared folder with two stored (uncompressed) members: ``archive/data.warc`` with the records and
+``indexes/index.jsonl`` with a line for each record (its URI, place and length in the data member). The reader opens the file where it
+lies and starts at its end: end record, ZIP64 locator and end record where the sizes need them, central directory, the members' local
+headers; then it reads the index, and the records by their ranges, neighbours in one read of at most RANGE_BYTES. Nothing else is read,
+and no archive is in memory as a whole. Archives of others may have several data members, records that are gzip members of their own,
+CDXJ indexes, and records of other types.
 
 Records with equal payloads are written once, as a response; the others are revisits that refer to it.
 """
@@ -12,21 +13,29 @@ Records with equal payloads are written once, as a response; the others are revi
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Workspace, join_beside
+
 DATA, INDEX = "archive/data.warc", "indexes/index.jsonl"
-#: An archive is closed at this many bytes of records, or with its task's rows.
+#: An archive is closed at this many bytes of records, or with its task's rows. A record that is larger is one archive; it is a cell of
+#: the table before, so its size is bounded by what a row may hold.
 ARCHIVE_BYTES = 8 << 20
+#: Neighbouring records are read together up to this many bytes; archives of so many bytes are read by one task.
+RANGE_BYTES, TASK_BYTES = 1 << 20, 64 << 20
 DATE = "2020-01-01T00:00:00Z"
 URN = "urn:x-page:"
 U32, U16 = 0xFFFFFFFF, 0xFFFF
@@ -119,56 +128,116 @@ def members(read: Callable[[int, int], bytes], size: int) -> list[Member]:
 
 
 def parse(raw: bytes) -> dict:
-    """type, page_id, uri, digest, refers_to, payload_bytes and payload (None in a revisit) of one record."""
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[:int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    lengths = [int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-    number = lambda x: int(x) if (x := x.removeprefix(f"<{URN}").removesuffix(">")) not in ("", "None") else None
-    revisit = fields["WARC-Type"] == "revisit"
-    return {"type": fields["WARC-Type"], "page_id": number(fields["WARC-Record-ID"]), "uri": fields["WARC-Target-URI"], "digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
-            "refers_to": number(fields["WARC-Refers-To"]) if revisit else None, "payload_bytes": lengths[0], "payload": None if revisit else payload}
-
-
-def records(read: Callable[[int, int], bytes], size: int) -> Iterator[dict]:
-    """The records of an archive, each read by its own range of the data member."""
-    found = {m.name: m for m in members(read, size)}
-    data, index = found[DATA], found[INDEX]
-    if not (data.stored and index.stored):
-        raise ValueError("members must be stored")
-    for line in read(index.start, index.size).splitlines():
-        entry = json.loads(line)
-        if entry["offset"] + entry["length"] > data.size:
-            raise ValueError("a record lies outside its member")
-        yield parse(read(data.start + entry["offset"], entry["length"]))
-
+    """type, record_id, page_id, uri, digest, refers_to, payload_bytes and payload of one record, which may be a gzip member.
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """(path, content): ZIP archives with a record for every row.
+    payload: what follows the HTTP headers, or the whole block where there are none; None in a revisit, whose payload_bytes are
+    what its HTTP headers say, else None. page_id and refers_to are numbers in ids of this module's form, else None.
+    """
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
+    head, gap, rest = raw.partition(b"\r\n\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    fields = {k.strip().lower(): v.strip() for k, colon, v in (line.partition(":") for line in lines[1:]) if colon}
+    if not lines[0].startswith("WARC/") or not gap or not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
+        raise ValueError("not a WARC record")
+    block, kind = rest[:int(fields["content-length"])], fields["warc-type"].lower()
+    revisit, length, payload = kind == "revisit", None, block
+    if fields.get("content-type", "").replace(" ", "").startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        length = next((int(v) for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.strip().lower() == b"content-length" and v.strip().isdigit()), None)
+    number = lambda x: int(m[1]) if (m := re.fullmatch(rf"<{URN}(-?\d+)>", x or "")) else None
+    return {"type": kind, "record_id": fields.get("warc-record-id"), "page_id": number(fields.get("warc-record-id")), "uri": fields.get("warc-target-uri"),
+            "digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, "refers_to": number(fields.get("warc-refers-to")) if revisit else None,
+            "payload_bytes": length if revisit else len(payload), "payload": None if revisit else payload}
+
+
+def index_entries(body: bytes) -> Iterator[dict]:
+    """The entries of an index: lines of JSON, or of a sort key, a time and JSON (CDXJ); may be compressed as a whole."""
+    if body[:2] == b"\x1f\x8b":
+        body = gzip.decompress(body)
+    for line in body.splitlines():
+        at = line.find(b"{")
+        if at >= 0 and not line.startswith(b"!"):
+            entry = json.loads(line[at:])
+            if "offset" in entry and "length" in entry:
+                yield {"offset": int(entry["offset"]), "length": int(entry["length"]), "filename": entry.get("filename")}
+
+
+def records(read: Callable[[int, int], bytes], size: int, range_bytes: int = RANGE_BYTES) -> Iterator[dict]:
+    """The records of an archive that its indexes list, read by their ranges of the data members."""
+    found = members(read, size)
+    data = {m.name.removeprefix("archive/"): m for m in found if m.name.startswith("archive/") and not m.name.endswith("/")}
+    indexes = [m for m in found if m.name.startswith("indexes/") and not m.name.endswith("/")]
+    if not data or not indexes:
+        raise ValueError("an archive has data members and an index")
+    if not all(m.stored for m in (*data.values(), *indexes)):
+        raise ValueError("members must be stored")
+    only = next(iter(data.values())) if len(data) == 1 else None
+
+    def flush(entries: list[tuple[int, int]]) -> Iterator[dict]:
+        if entries:
+            start = entries[0][0]
+            piece = read(start, entries[-1][0] + entries[-1][1] - start)
+            for at, n in entries:
+                yield parse(piece[at - start:at - start + n])
+
+    held: list[tuple[int, int]] = []
+    for index in indexes:
+        for entry in index_entries(read(index.start, index.size)):
+            member = data.get((entry["filename"] or "").removeprefix("archive/")) or only
+            if member is None:
+                raise ValueError("an index entry names no data member")
+            if entry["offset"] < 0 or entry["offset"] + entry["length"] > member.size:
+                raise ValueError("a record lies outside its member")
+            at = member.start + entry["offset"]
+            if held and (at != held[-1][0] + held[-1][1] or at + entry["length"] - held[0][0] > range_bytes):
+                yield from flush(held)
+                held = []
+            held.append((at, entry["length"]))
+    yield from flush(held)
+
+
+def _file(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The store that a URI or a path names, as tasks see it, and the path in it."""
+    path = re.sub("^file:/(?!/)", "file:///", path)
+    return pyarrow.fs.FileSystem.from_uri(path)
+
+
+def write_archives(pages: DataFrame, work: Workspace, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes ZIP archives with a record for every row to the workspace's folder, and returns (path, size) of them.
 
     Of rows with equal payloads of at least ``least`` bytes the one with the smallest id is a response, the others revisit it;
-    rows that repeat that id are responses too. A null html is an empty payload, a null url an empty URI; line breaks in a URI
-    are escaped. Null ids come after all others. Digests are grouped with partial aggregation and joined back, so copies
-    aren't gathered; payloads are shuffled once, for that join.
+    rows that repeat that id are responses too, and so are rows without an id where no equal one has one. A null html is an empty
+    payload, a null url an empty URI; line breaks in a URI are escaped. Digests are grouped with partial aggregation; a revisit is
+    found by its row's key, few keys are broadcast, so that payloads aren't shuffled and copies aren't gathered. An archive's name is
+    the hash of its content, so a task that runs twice leaves the same files.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("sha", F.when(F.length("payload") >= least, F.sha1("payload")))
-    first = rows.where("sha IS NOT NULL").groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("sha", "first")
-    rows = rows.join(first, "sha", "left").select("id", "url", "payload", "first")
+    html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), html.alias("payload"))
+    rows = rows.withColumn("sha", F.when(F.length("payload") >= least, F.sha1("payload"))).withColumn("key", F.xxhash64("id", "sha"))
+    keys = work.keep(rows.where("sha IS NOT NULL").select("id", "sha", "key"), "keys")
+    first = work.keep(keys.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1 AND first IS NOT NULL").select("sha", "first"), "firsts")
+    again = work.keep(join_beside(keys, first, "sha").where("NOT id <=> first").select("key", "first").distinct(), "revisits")
+    rows = join_beside(rows.select("key", "id", "url", "payload"), again, "key", "left").select("id", "url", "payload", "first")
+    folder = work.path("archives")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def close() -> pa.RecordBatch:
             content = pack(held)
-            name = f"{hashlib.sha256(content).hexdigest()[:32]}.wacz"
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], ["path", "content"])
+            path = f"{folder}/{hashlib.sha256(content).hexdigest()}.wacz"
+            store, inside = _file(path)
+            store.create_dir(inside.rpartition("/")[0])
+            with store.open_output_stream(inside) as out:
+                out.write(content)
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(content)], pa.int64())], ["path", "size"])
 
         for batch in batches:
-            for key, url, payload, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                uri = url.replace("\r", "%0D").replace("\n", "%0A")
-                held.append((uri, record(key, uri, payload, first, first is not None and key != first)))
+            for key, url, payload, first in zip(*batch.columns, strict=True):
+                key, first = key.as_py(), first.as_py()
+                uri = url.as_py().replace("\r", "%0D").replace("\n", "%0A")
+                held.append((uri, record(key, uri, payload.as_py(), first, first is not None)))
                 size += len(held[-1][1])
                 if size >= archive_bytes:
                     yield close()
@@ -176,26 +245,46 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         if held:
             yield close()
 
-    return rows.mapInArrow(run, "path string, content binary")
+    # equal archives are one file: the list keeps both rows, so that repeated rows stay repeated
+    return work.keep(rows.mapInArrow(run, "path string, size long"), "archive_list")
 
 
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
-    """The records of (path, content) rows: page_id, uri, payload_bytes, payload_digest, record_type, refers_to and, if asked
-    for, payload (null in revisits). The digest of a payload that is there is checked. A broken archive raises."""
-    schema = "page_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
+    """The records of the archives that (path, size) rows name: page_id, record_id, uri, payload_bytes, payload_digest, record_type,
+    refers_to and, if asked for, payload (null in revisits).
+
+    Paths are those of a store that tasks can open. Records of any type come; the digest of a payload that is there is checked.
+    A broken archive raises.
+    """
+    schema = "page_id long, record_id string, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
+    fields = ("page_id", "record_id", "uri", "payload_bytes", "digest", "type", "refers_to", "payload")[:7 + payloads]
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())[:7 + payloads]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                view = memoryview(content.as_buffer())
-                out: list[list] = [[] for _ in range(6 + payloads)]
-                for r in records(lambda at, n: bytes(view[at:at + n]), len(view)):
-                    if r["payload"] is not None and (digest(r["payload"]) != r["digest"] or len(r["payload"]) != r["payload_bytes"]):
-                        raise ValueError(f"payload of record {r['page_id']} does not match its digest")
-                    for k, name in enumerate(("page_id", "uri", "payload_bytes", "digest", "type", "refers_to", "payload")[:6 + payloads]):
-                        out[k].append(r[name])
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                names = [x.split()[0] for x in schema.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
-
-    return archives.select("content").mapInArrow(run, schema)
+            for path, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store, inside = _file(path)
+                out, held = [], 0
+
+                def close() -> pa.RecordBatch:
+                    return pa.RecordBatch.from_arrays([pa.array([r[f] for r in out], t) for f, t in zip(fields, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
+
+                with store.open_input_file(inside) as file:
+                    def read(at: int, n: int) -> bytes:
+                        file.seek(at)
+                        return file.read(n)
+
+                    for r in records(read, size):
+                        if r["payload"] is not None and r["digest"] and digest(r["payload"]) != r["digest"]:
+                            raise ValueError(f"payload of record {r['record_id']} does not match its digest")
+                        held += len(r["payload"] or b"") if payloads else 0
+                        out.append({f: r[f] for f in fields})
+                        if len(out) >= 10_000 or held > RANGE_BYTES:
+                            yield close()
+                            out, held = [], 0
+                if out:
+                    yield close()
+
+    n, total = archives.selectExpr("count(*)", "coalesce(sum(size), 0)").first()
+    tasks = max(1, min(n, max(archives.sparkSession.sparkContext.defaultParallelism, total // TASK_BYTES)))
+    return archives.select("path", "size").repartition(tasks).mapInArrow(run, schema)

@@ -1,6 +1,7 @@
 """Sharding, mixing, the Jaccard join, archives, URL classes and the pipeline against brute force."""
 
 import base64
+import gzip
 import hashlib
 import io
 import random
@@ -363,23 +364,64 @@ def test_archives_round_trip(spark, tmp_path):
 
 def test_archives_keep_payloads(spark):
     df = spark.createDataFrame([(k, f"u{k}", "y" * k) for k in range(50)] + [(None, "n", "none")], "page_id long, url string, html string")
-    out = warc.read_archives(warc.write_archives(df, archive_bytes=2000), payloads=True)
+    work = lambda: Workspace(spark, "t")
+    archives = warc.write_archives(df, work(), archive_bytes=2000)
+    assert archives.count() > 3
+    out = warc.read_archives(archives, payloads=True)
     assert sorted((r.payload.decode(), r.uri) for r in out.collect()) == sorted([("y" * k, f"u{k}") for k in range(50)] + [("none", "n")])
-    assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
-    small = warc.read_archives(warc.write_archives(df.union(df.where("page_id is null")), least=5)).where("record_type = 'revisit'")
+    assert warc.read_archives(warc.write_archives(df.limit(0), work())).count() == 0
+    small = warc.read_archives(warc.write_archives(df.union(df.where("page_id is null")), work(), least=5)).where("record_type = 'revisit'")
     assert small.count() == 0
 
 
-def test_binary_files_and_zip64(spark, tmp_path):
+def test_copies_are_found_by_key(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "SPLIT_ROWS", 2)
+    df = spark.createDataFrame([(k, "u", "same" if k % 2 else f"x{k}") for k in range(20)] + [(None, "u", "same")] * 2, "page_id long, url string, html string")
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(df, Workspace(spark, "t"))).collect())
+    assert got == Counter([(k, "revisit" if k % 2 and k > 1 else "response", 1 if k % 2 and k > 1 else None) for k in range(20)] + [(None, "revisit", 1)] * 2)
+
+
+def test_zip64_files(spark, tmp_path):
     raw = [("u", warc.record(1, "u", b"one")), ("v", warc.record(2, "v", b"one", 1, True))]
+    rows = []
     for name, force in (("a.wacz", False), ("b.wacz", True)):
         content = warc.pack(raw, force)
         assert zipfile.ZipFile(io.BytesIO(content)).testzip() is None
         (tmp_path / name).write_bytes(content)
-    got = warc.read_archives(spark.read.format("binaryFile").load(f"{tmp_path}/*.wacz").select("path", "content")).collect()
+        rows.append((f"file://{tmp_path}/{name}", len(content)))
+    got = warc.read_archives(spark.createDataFrame(rows, "path string, size long")).collect()
     assert Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got) == Counter({(1, "response", None, 3): 2, (2, "revisit", 1, 3): 2})
 
 
+def test_archives_of_others():
+    made = lambda kind, block, *more: b"\r\n".join([b"WARC/1.0", b"warc-type: " + kind, b"WARC-Record-ID: <urn:uuid:1-2>", *more, b"Content-Length: %d" % len(block)]) + b"\r\n\r\n" + block + b"\r\n\r\n"
+    http = b"Content-Type: application/http;msgtype=response"
+    own = [made(b"warcinfo", b"software: x"), gzip.compress(made(b"response", b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nbody", http, b"WARC-Target-URI: http://a/")), made(b"request", b"GET / HTTP/1.1\r\n\r\n", http), made(b"revisit", b"HTTP/1.1 200 OK\r\n\r\n", http)]
+    offsets = [sum(map(len, own[:k])) for k in range(len(own))]
+    index = "\n".join(["!meta {}", *(f'com,a)/ 2020 {{"offset": "{at}", "length": "{len(r)}", "filename": "d.warc.gz"}}' for at, r in zip(offsets, own, strict=True))])
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for name, body in (("archive/other.warc", b""), ("archive/d.warc.gz", b"".join(own)), ("indexes/index.cdx.gz", gzip.compress(index.encode())), ("datapackage.json", b"{}")):
+            z.writestr(name, body)
+    content = out.getvalue()
+    for range_bytes in (1, 1 << 20):
+        got = list(warc.records(lambda at, n: content[at:at + n], len(content), range_bytes))
+        assert [(r["type"], r["payload"], r["payload_bytes"]) for r in got] == [("warcinfo", b"software: x", 11), ("response", b"body", 4), ("request", b"", 0), ("revisit", None, None)]
+    assert got[1]["uri"] == "http://a/" and got[1]["page_id"] is None and got[1]["record_id"] == "<urn:uuid:1-2>"
+    for bad in (b"", b"WARC/1.0\r\nwarc-type: x\r\n\r\n", b"HTTP/1.1\r\n\r\n"):
+        with pytest.raises(ValueError):
+            warc.parse(bad)
+
+
+def test_only_asked_for_ranges_are_read():
+    raw = [(f"u{k}", warc.record(k, f"u{k}", b"x" * 5000)) for k in range(40)]
+    content, asked = warc.pack(raw), []
+    got = warc.records(lambda at, n: asked.append((at, n)) or content[at:at + n], len(content), 12_000)
+    assert next(got)["page_id"] == 0 and max(n for at, n in asked[1:]) <= 12_000 and sum(n for _, n in asked) < len(content) * 0.6
+    assert len(list(got)) == 39
+
+
 def test_zip64_directory_and_broken_archives(monkeypatch):
     body = warc.pack([("u", warc.record(1, "u", b"one"))])
     monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 10)
