@@ -14,6 +14,7 @@ from codonspark.functions import codes
 from codonspark.functions import proteins as P
 from codonspark.functions import sequences as S
 from codonspark.operators import calibration, centroid, checks, gaps, joins, labels, metrics, orf, rows, sites
+from codonspark.operators import localize as localize_
 from codonspark.plans.frames import AS_BASES, AS_RESIDUES, LETTERS, document_alignments, document_sequences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -470,7 +471,20 @@ def shift_annotations(spark, sf_dir):
     return gaps.shift_annotations(_gff(spark, sf_dir), gaps.justify_gaps(_docs(spark, sf_dir), 5, 1, 2))
 
 
-@query(None)
+#: Codons of all frames of both strands; stops cut a frame into stretches, whose first start or whole length is a candidate.
+_STRANDS = f"SELECT input_order, id, lang, length(seq) AS n, unnest([1, 0]) AS sign, unnest([seq, reverse(translate(seq, 'ACGTRYMKWSBDHVN', 'TGCAYRKMWSVHDBN'))]) AS s FROM ({SEQS})"
+_CODONS = f"SELECT input_order, n, sign, k % 3 AS frame, k, substr(s, k::INT + 1, 3) AS codon FROM (SELECT *, unnest(range(length(s) - 2)) AS k FROM ({_STRANDS}))"
+_STRETCHES = (f"SELECT *, coalesce(sum((codon IN ('TAA', 'TAG', 'TGA'))::INT) OVER (PARTITION BY input_order, sign, frame ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM ({_CODONS})")
+_ORFS = ("SELECT input_order, n, sign, frame, min(k) AS opened, min(k) FILTER (codon IN ('" + "', '".join(codes.starts(1)) + "')) AS first, bool_or(codon IN ('TAA', 'TAG', 'TGA')) AS closed, max(k) + 3 AS past "
+         f"FROM ({_STRETCHES}) GROUP BY input_order, n, sign, frame, part")
+_CANDIDATES = ("SELECT *, CASE WHEN first IS NULL THEN 0 WHEN closed THEN 2 ELSE 1 END AS rank, coalesce(first, opened) AS a, CASE WHEN first IS NULL AND closed THEN past - 3 ELSE past END AS b FROM (" + _ORFS + ")")
+_BEST_ORF = ("SELECT *, CASE WHEN sign = 1 THEN a + 1 ELSE n - b + 1 END AS spot, CASE WHEN sign = 1 THEN b ELSE n - a END AS until FROM (" + _CANDIDATES + ") WHERE b - a >= 3 "
+             "QUALIFY row_number() OVER (PARTITION BY input_order ORDER BY rank DESC, b - a DESC, sign DESC, frame, spot) = 1")
+
+
+@query(f"WITH s AS ({_STRANDS}), o AS ({_BEST_ORF}), r AS (SELECT DISTINCT input_order, id, lang FROM s) SELECT r.input_order, r.id, r.lang, coalesce(substr(s.s, o.a::INT + 1, (o.b - o.a)::INT), '') AS seq, CASE o.sign WHEN 1 THEN '+' WHEN 0 THEN '-' END AS strand, "
+       "(o.frame + 1)::INT AS frame, o.spot::INT AS orf_start, o.until::INT AS orf_end, CASE o.rank WHEN 2 THEN 'complete' WHEN 1 THEN 'partial' WHEN 0 THEN 'no_start' END AS category "
+       "FROM r LEFT JOIN o ON r.input_order = o.input_order LEFT JOIN s ON s.input_order = o.input_order AND s.sign = o.sign")
 def longest_orf(spark, sf_dir):
     return orf.longest_orf(document_sequences(spark, sf_dir))
 
@@ -596,12 +610,21 @@ def label_summary(spark, sf_dir):
     return labels.label_summary(table(spark, sf_dir, "labels").select(both.alias("localization_labels")))
 
 
-@query(None)
+def _seeded(*columns: str) -> str:
+    text = ", ".join(f"coalesce(({c})::VARCHAR, '')" for c in columns)
+    return f"('0x' || substr(md5(concat_ws('/', '1', {text})), 1, 15))::BIGINT"
+
+
+_LABELS = "SELECT doc_id AS input_order, quality AS label FROM labels"
+_DEALT = "SELECT *, row_number() OVER (PARTITION BY label ORDER BY {0}, {1}) - 1 AS place, count(*) OVER (PARTITION BY label) AS held FROM ({2})"
+
+
+@query(f"SELECT input_order, label, (place % 5)::INT AS fold FROM ({_DEALT.format(_seeded('input_order'), 'input_order', _LABELS)})")
 def stratified_folds(spark, sf_dir):
     return labels.stratified_folds(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("input_order"), F.col("quality").alias("label")), 5)
 
 
-@query(None)
+@query(f"SELECT input_order, label FROM ({_DEALT.format(_seeded('input_order'), 'input_order', _LABELS)}) WHERE place < 100")
 def capped_sample(spark, sf_dir):
     return labels.capped_sample(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("input_order"), F.col("quality").alias("label")), 100)
 
@@ -708,7 +731,17 @@ def centroid_predictions(spark, sf_dir):
     return out.select("input_order", "predicted", r6(F.array_max(F.map_values("probabilities"))).alias("probability"))
 
 
-@query(None)
+_FOLDED = f"SELECT *, (place % 5)::INT AS fold FROM ({_DEALT.format(_seeded('input_order'), 'input_order', f'SELECT * FROM ({_TRAIN}) WHERE label IN {_LANGS}')})"
+_CV = (f"WITH t AS ({_FOLDED}), k AS (SELECT unnest(range(5))::INT AS k), m AS (SELECT k, label AS class, count(*) AS n, {', '.join(f'avg({f}) AS c_{f}' for f in _FEATURES)} FROM t, k WHERE fold <> k GROUP BY k, label), "
+       f"a AS (SELECT k, count(*) AS total, {', '.join(f'avg({f}) AS m_{f}, CASE WHEN stddev_pop({f}) < 1e-9 THEN 1.0 ELSE stddev_pop({f}) END AS s_{f}' for f in _FEATURES)} FROM t, k WHERE fold <> k GROUP BY k), "
+       "l AS (SELECT input_order, label, class, -0.5 * (" + " + ".join(f"power((t.{f} - c_{f}) / s_{f}, 2)" for f in _FEATURES) + ") + ln((n + 1) / (total + 4)) AS v FROM t JOIN m ON t.fold = m.k JOIN a ON t.fold = a.k), "
+       "o AS (SELECT input_order, label, arg_max(class, v) AS predicted FROM l GROUP BY input_order, label), "
+       f"c AS (SELECT class AS label, count(*) FILTER (o.label = class) AS support, count(*) FILTER (o.label = class AND predicted = class) AS tp, count(*) FILTER (o.label <> class AND predicted = class) AS fp, count(*) FILTER (o.label = class AND predicted <> class) AS fn FROM o, (SELECT unnest({list(_LANGS)}) AS class) GROUP BY class), "
+       "r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS q FROM c) "
+       "SELECT label, support, tp, fp, fn, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0.0 END, 6) AS f1 FROM r")
+
+
+@query(_CV)
 def cross_validation(spark, sf_dir):
     data = labels.stratified_folds(_training(spark, sf_dir).where(F.col("label").isin(*_LANGS)), 5)
     out = centroid.predict(data, centroid.fit(data, _FEATURES, classes=_LANGS, fold="fold"), _FEATURES, fold="fold")
@@ -734,12 +767,39 @@ def residue_codes(spark, sf_dir):
     return _proteins(spark, sf_dir).select("input_order", F.array_join(P.residue_codes(F.col("seq"), 60), ",").alias("codes"))
 
 
-_CUT = f"(CASE WHEN contains('{P.SMALL_BEFORE_CUT}', substr(seq, k::INT, 1)) THEN 1.0 ELSE 0.0 END) + (CASE WHEN contains('{P.SMALL_BEFORE_CUT}', substr(seq, (k - 2)::INT, 1)) THEN 1.0 ELSE 0.0 END) + {_frac('substr(seq, greatest(1, k - 16)::INT, 12)', P.HYDROPHOBIC)} + {_frac('left(seq, 5)', P.BASIC_STRICT)}"
+_PIECE = "substr(seq, ({0}) + 1, greatest(0, ({1}) - ({0})))"
+_CORE, _AROUND = _PIECE.format("greatest(0, k - 18)", "greatest(0, k - 7)"), _PIECE.format("greatest(0, k - 7)", "k + 2")
+_HEAD, _BEFORE = _PIECE.format("0", "greatest(1, k - 18)"), _PIECE.format("0", "k")
+_CUT_TERMS = {
+    "hydrophobic": _frac(_CORE, P.HYDROPHOBIC), "hydrophobic_run": _run(_CORE), "small_3": _flag("substr(seq, k - 2, 1) IN ('A', 'V', 'S', 'G', 'T', 'C')"), "small_1": _flag("substr(seq, k, 1) IN ('A', 'S', 'G', 'T', 'C')"),
+    "ala_1": _flag("substr(seq, k, 1) = 'A'"), "proline": _flag("contains(substr(seq, k - 2, 4), 'P')"), "small": _frac(_AROUND, P.SMALL), "charge": f"{_frac(_HEAD, P.BASIC)} - {_frac(_HEAD, P.ACIDIC)}", "ser_thr": _frac(_BEFORE, P.SER_THR)}
+_CUT_SCORE = "2.2::DOUBLE * hydrophobic + 0.15::DOUBLE * hydrophobic_run + 0.8::DOUBLE * small_3 + small_1 + 0.4::DOUBLE * ala_1 + 0.5::DOUBLE * small + 0.4::DOUBLE * charge - 0.9::DOUBLE * proline - 0.25::DOUBLE * ser_thr"
+_CUT_ROWS = f"SELECT input_order, seq, k, {', '.join(f'({v})::DOUBLE AS {n}' for n, v in _CUT_TERMS.items())} FROM (SELECT input_order, seq, unnest(range(12, least(44, length(seq) - 2) + 1))::INT AS k FROM ({_AA}))"
+_CUT_BEST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY input_order ORDER BY score DESC, k) AS r FROM (SELECT *, {_CUT_SCORE} AS score FROM ({_CUT_ROWS}))) WHERE r = 1"
+_SCAN = ({"score": "coalesce(score, -99.0)", "cut": "coalesce(k, 0)::DOUBLE", "cut_share": "coalesce(k, 0)::DOUBLE / greatest(length(seq), 1)"} | {f"cut_{n}": f"coalesce({n}, 0.0)" for n in _CUT_TERMS}
+         | {f"w{a}_{b}_{n}": f.replace("WINDOW", f"substr(seq, {a + 1}, {b - a})") for a, b in ((0, 15), (0, 25), (0, 35), (0, 50), (0, 80), (5, 30), (20, 60), (40, 100))
+            for n, f in {"hydropathy": _hyd("WINDOW"), "run": _run("WINDOW"), **{n: _frac("WINDOW", v) for n, v in (_GROUPS | {"small": P.SMALL}).items()}}.items()})
+
+
+@query(f"SELECT a.input_order, {', '.join(f'round({v}, 6) AS {n}' for n, v in _SCAN.items())} FROM (SELECT input_order, seq FROM ({_AA})) a LEFT JOIN (SELECT * EXCLUDE (seq) FROM ({_CUT_BEST})) b ON a.input_order = b.input_order")
+def signal_scan(spark, sf_dir):
+    return _proteins(spark, sf_dir).select("input_order", *[r6(v).alias(n) for n, v in P.signal_scan(F.col("seq")).items()])
+
+
+def _motif(m: str) -> str:
+    at = f"instr(left(seq, 140), '{m}')"
+    return f"({at} > 0)::INT::DOUBLE AS {m}_found, (CASE WHEN {at} > 0 THEN {at} - 1 ELSE 999 END)::DOUBLE AS {m}_at"
 
 
-@query(f"SELECT input_order, round(score, 6) AS score, k::INT AS cut FROM (SELECT *, row_number() OVER (PARTITION BY input_order ORDER BY round(score, 9) DESC, k) AS r FROM (SELECT input_order, k, {_CUT} AS score FROM (SELECT input_order, seq, unnest(range(12, least(44, length(seq) - 2) + 1)) AS k FROM ({_AA})))) WHERE r = 1")
-def signal_cuts(spark, sf_dir):
-    return _proteins(spark, sf_dir).select("input_order", P.best_cut(F.col("seq")).alias("c")).where("c IS NOT NULL").select("input_order", r6("c.score").alias("score"), F.col("c.cut").alias("cut"))
+@query(f"SELECT input_order, {', '.join(map(_motif, P.TRANSIT_MOTIFS))} FROM ({_AA})")
+def transit_motifs(spark, sf_dir):
+    return _proteins(spark, sf_dir).select("input_order", *[v.alias(n) for n, v in P.motif_places(F.col("seq")).items()])
+
+
+@query(f"SELECT input_order, CASE WHEN length(seq) > 0 AND length(regexp_replace(seq, '[ACGTRYSWKMBDHVNX?.-]', '', 'g')) = 0 THEN 'dna' ELSE 'protein' END AS mode FROM ({PROTEINS} UNION ALL {SEQS})")
+def sequence_mode(spark, sf_dir):
+    both = document_sequences(spark, sf_dir, residues=True).union(document_sequences(spark, sf_dir))
+    return both.select("input_order", F.when(P.is_dna_like(F.col("seq")), "dna").otherwise("protein").alias("mode"))
 
 
 @query(f"SELECT (SELECT count(*) FROM (SELECT string_split(accession, '.')[1] FROM ({_ACC}) INTERSECT SELECT string_split(accession, '.')[1] FROM ({_OTHER}))) AS shared_accessions, (SELECT count(*) FROM (SELECT upper(sequence) FROM ({_ACC}) INTERSECT SELECT upper(sequence) FROM ({_OTHER}))) AS shared_sequences")
@@ -761,12 +821,47 @@ def multilabel_predictions(spark, sf_dir):
     return out.select("input_order", F.array_join("predicted", ",").alias("predicted"))
 
 
-@query(None)
+_GROUPED = f"SELECT sha256(seq) AS g, max(lang) AS label FROM ({PROTEINS}) GROUP BY g"
+
+
+@query(f"SELECT d.input_order, place < round(held * 0.2::DOUBLE) AS is_valid FROM ({PROTEINS}) d JOIN ({_DEALT.format(_seeded('g'), 'g', _GROUPED)}) x ON sha256(d.seq) = x.g")
 def hash_split(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("sequence"), F.col("lang").alias("label"))
-    return calibration.split_by_hash(docs, 0.2).select("doc_id", "is_valid")
+    rows = document_sequences(spark, sf_dir, residues=True).select("input_order", F.col("seq").alias("sequence"), F.col("lang").alias("label"))
+    return calibration.split_by_hash(rows, 0.2).select("input_order", "is_valid")
 
 
 @query(None)
 def cluster_folds(spark, sf_dir):
     return calibration.cluster_folds(table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("cluster"), (F.col("lang") == "en").alias("positive")), 5)
+
+
+_SCORED = "SELECT doc_id, quality AS truth, round((doc_id * 7919 % 1000) / 1000.0::DOUBLE, 2) AS score FROM labels"
+_STEPS = f"SELECT s, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(neg) OVER (ORDER BY s DESC) AS fp, sum(pos) OVER () AS p FROM (SELECT score AS s, count(*) FILTER (truth = 1) AS pos, count(*) FILTER (truth <> 1) AS neg FROM ({_SCORED}) GROUP BY score)"
+_F1S = f"SELECT s AS threshold, 2 * tp / (tp + fp + p) AS f1, tp::BIGINT AS tp, fp::BIGINT AS fp, (p - tp)::BIGINT AS fn FROM ({_STEPS})"
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("truth"), F.round((F.col("doc_id") * 7919 % 1000) / 1000.0, 2).alias("score"))
+
+
+@query(f"SELECT threshold, round(f1, 6) AS f1, tp, fp, fn FROM (SELECT * FROM ({_F1S}) ORDER BY f1 DESC, threshold DESC LIMIT 1)")
+def best_f1_threshold(spark, sf_dir):
+    return metrics.best_f1_threshold(_scored(spark, sf_dir)).withColumn("f1", r6("f1"))
+
+
+@query(f"SELECT threshold, round(f1, 6) AS f1, tp, fp, fn FROM (SELECT * FROM ({_F1S}) ORDER BY f1 DESC, fp, tp DESC, threshold LIMIT 20)")
+def f1_thresholds(spark, sf_dir):
+    return metrics.f1_thresholds(_scored(spark, sf_dir), most=20).withColumn("f1", r6("f1"))
+
+
+@query(None)
+def localize(spark, sf_dir):
+    """The classes of a fixed table are learned from texts of known language, and all texts are placed by them."""
+    data = document_sequences(spark, sf_dir, residues=True)
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in zip(("en", "fr", "de", "es"), labels.CLASSES, strict=False) for x in pair]), F.col("lang"))
+    training = data.withColumn("localization", named).withColumn("peroxisome", F.when(F.col("lang") == "es", "yes").otherwise("no")).where("localization IS NOT NULL")
+    rows = localize_.training_rows(training, "seq", "protein")
+    names = localize_.feature_names()
+    model = localize_.Model(centroid.fit(rows, names, "label", labels.CLASSES), centroid.fit(rows, names, "perox", localize_.PEROX), 0.5, {"mTP": 1.5})
+    out = localize_.localize(data, model, "protein", group=F.when(F.col("input_order") % 2 == 0, "non_plant"))
+    return out.select("input_order", "seq_id", "predicted_class", *[r6(c).alias(c) for c in out.columns if c.startswith("p_")], "perox_signal_type")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import sequences as S
+
 AA = "ACDEFGHIKLMNPQRSTVWY"
 HYDROPHOBIC, BASIC, BASIC_STRICT, ACIDIC, SER_THR, AROMATIC, SMALL = "AILMFWVY", "KRH", "KR", "DE", "ST", "FWY", "AGSTCP"
 #: Hydropathy of the residues in the order of AA.
@@ -17,17 +19,19 @@ NES = "[LIVMF].{1,4}[LIVMF].{1,4}[LIVMF].{1,4}[LIVMF]"
 
 
 def canonical(aa: Column) -> Column:
-    """Upper-case residues without blanks and one last stop; letters that aren't one of the twenty become X. Null if a stop is inside."""
+    """Upper-case residues without blanks and one last stop; letters that aren't one of the twenty become X. Raises if a stop is inside."""
     up = F.regexp_replace(F.replace(F.upper(aa), F.lit(" "), F.lit("")), r"\*\z", "")
-    return F.when(F.instr(up, "*") == 0, F.regexp_replace(up, f"[^{AA}]", "X"))
+    return F.when(F.instr(up, "*") > 0, F.raise_error(F.lit("a stop inside a protein")).cast("string")).otherwise(F.regexp_replace(up, f"[^{AA}]", "X"))
 
 
 def count(seq: Column, chars: str) -> Column:
-    return F.length(seq) - F.length(F.translate(seq, chars, ""))
+    """Residues of ``seq`` that are among ``chars``. Counts of single residues are shared by all features of a window."""
+    return sum((F.length(seq) - F.length(F.replace(seq, F.lit(c), F.lit(""))) for c in chars[1:]), F.length(seq) - F.length(F.replace(seq, F.lit(chars[0]), F.lit(""))))
 
 
 def fraction(seq: Column, chars: str) -> Column:
-    return F.when(F.length(seq) == 0, F.lit(0.0)).otherwise(count(seq, chars) / F.length(seq))
+    """Share of ``chars``; 0 for an empty sequence. Without a condition, so that what features share is computed once."""
+    return count(seq, chars) / F.greatest(F.length(seq), F.lit(1))
 
 
 def hydropathy(seq: Column) -> Column:
@@ -36,7 +40,7 @@ def hydropathy(seq: Column) -> Column:
     for aa, value in HYDROPATHY.items():
         by_value[value] = by_value.get(value, "") + aa
     total = sum((count(seq, chars) * F.lit(value) for value, chars in by_value.items()), F.lit(0.0))
-    return F.when(F.length(seq) == 0, F.lit(0.0)).otherwise(total / F.length(seq))
+    return total / F.greatest(F.length(seq), F.lit(1))
 
 
 def longest_run(seq: Column, chars: str = HYDROPHOBIC) -> Column:
@@ -125,18 +129,119 @@ def residue_codes(seq: Column, length: int, from_end: bool = False) -> Column:
     return F.concat(blank, own) if from_end else F.concat(own, blank)
 
 
-#: Fixed: residues that may stand before a cleavage site at -3 and -1.
-SMALL_BEFORE_CUT = "AGSTCV"
+#: Fixed: residues that fit at -3 and -1 of a signal peptide's cut, and the weights of a cut's nine terms.
+FITS_3, FITS_1 = "AVSGTC", "ASGTC"
+CUT_WEIGHTS = {"hydrophobic": 2.2, "hydrophobic_run": 0.15, "small_3": 0.8, "small_1": 1.0, "ala_1": 0.4, "small": 0.5, "charge": 0.4, "proline": -0.9, "ser_thr": -0.25}
+FIRST_CUT, LAST_CUT = 12, 44
+
+
+def cut_terms(seq: Column, cut: Column) -> dict[str, Column]:
+    """The terms of a signal peptide that ends before residue ``cut`` (from 0): the eleven residues before the last seven, the last seven and
+    two more, what stands around the cut, and the charge of what comes before all that."""
+    piece = lambda start, end: F.substr(seq, start + 1, F.greatest(end - start, F.lit(0)))
+    core = piece(F.greatest(F.lit(0), cut - 18), F.greatest(F.lit(0), cut - 7))
+    around, head = piece(F.greatest(F.lit(0), cut - 7), cut + 2), piece(F.lit(0), F.greatest(F.lit(1), cut - 18))
+    at = lambda k: F.substr(seq, cut - k + 1, F.lit(1))
+    held = lambda letters, c: flag(F.instr(F.lit(letters), c) > 0)
+    return {"hydrophobic": fraction(core, HYDROPHOBIC), "hydrophobic_run": longest_run(core), "small_3": held(FITS_3, at(3)), "small_1": held(FITS_1, at(1)), "ala_1": flag(at(1) == "A"),
+            "small": fraction(around, SMALL), "charge": fraction(head, BASIC) - fraction(head, ACIDIC), "proline": flag(F.instr(piece(cut - 3, cut + 1), "P") > 0), "ser_thr": fraction(piece(F.lit(0), cut), SER_THR)}
+
+
+def best_cut(seq: Column) -> Column:
+    """struct(score, cut, and the nine terms) of the first cut with the best score from residue 12 to 44, two residues from the end at
+    least; null for shorter sequences."""
+    head = F.left(seq, F.lit(LAST_CUT + 2))
+    cuts = F.sequence(F.lit(FIRST_CUT), F.least(F.lit(LAST_CUT), F.length(seq) - 2))
+
+    def one(s: Column, k: Column) -> Column:
+        terms = cut_terms(s, k)
+        score = sum((terms[name] * F.lit(w) for name, w in CUT_WEIGHTS.items()), F.lit(0.0))
+        return F.struct(score.alias("score"), (-k).alias("before"), k.alias("cut"), *[v.alias(n) for n, v in terms.items()])
+
+    best = F.get(F.transform(F.array(head), lambda s: F.array_max(F.transform(cuts, lambda k: one(s, k)))), 0)
+    return F.when(F.length(seq) - 2 >= FIRST_CUT, best)
+
 
+#: Fixed windows (start, end) whose composition follows the scan.
+SCAN_WINDOWS = ((0, 15), (0, 25), (0, 35), (0, 50), (0, 80), (5, 30), (20, 60), (40, 100))
+
+
+def signal_scan(seq: Column) -> dict[str, Column]:
+    """The 68 features of a signal-peptide scan: score, place and relative place of the best cut, its nine terms, and the composition of
+    eight windows. Sequences without a cut have the score -99 and zeros."""
+    best = best_cut(seq)
+    term = lambda name, other=0.0: F.coalesce(best[name].cast("double"), F.lit(other))
+    out = {"score": term("score", -99.0), "cut": term("cut"), "cut_share": term("cut") / F.greatest(F.length(seq), F.lit(1))}
+    out |= {f"cut_{n}": term(n) for n in ("hydrophobic", "hydrophobic_run", "small_3", "small_1", "ala_1", "proline", "small", "charge", "ser_thr")}
+    for a, b in SCAN_WINDOWS:
+        w = F.substring(seq, a + 1, b - a)
+        out |= {f"w{a}_{b}_hydropathy": hydropathy(w), f"w{a}_{b}_run": longest_run(w)}
+        out |= {f"w{a}_{b}_{n}": fraction(w, v) for n, v in (("hydrophobic", HYDROPHOBIC), ("basic", BASIC), ("acidic", ACIDIC), ("ser_thr", SER_THR), ("small", SMALL))}
+    return out
+
+
+#: Fixed: motifs whose first places are features of transit peptides.
+TRANSIT_MOTIFS = ("RR", "KR", "RK", "KK", "RA", "RS", "SR", "ST", "TS", "SS", "TP", "SP")
+
+
+def motif_places(seq: Column, within: int = 140) -> dict[str, Column]:
+    """Whether each motif stands among the first residues, and where (from 0; 999: nowhere)."""
+    out: dict[str, Column] = {}
+    for motif in TRANSIT_MOTIFS:
+        at = F.instr(F.left(seq, F.lit(within)), motif)
+        out |= {f"{motif}_found": flag(at > 0), f"{motif}_at": F.when(at > 0, at - 1).otherwise(999).cast("double")}
+    return out
 
-def best_cut(seq: Column, first: int = 12, last: int = 44) -> Column:
-    """struct(score, cut): of the places a signal peptide may be cut at, the first with the best score; null for short sequences.
 
-    A place's score adds small residues at -1 and -3, the hydrophobic share of the twelve residues before the last five, and
-    basic residues among the first five.
-    """
-    score = lambda k: (flag(F.instr(F.lit(SMALL_BEFORE_CUT), F.substr(seq, k, F.lit(1))) > 0) + flag(F.instr(F.lit(SMALL_BEFORE_CUT), F.substr(seq, k - 2, F.lit(1))) > 0)
-                       + fraction(F.substr(seq, F.greatest(F.lit(1), k - 16), F.lit(12)), HYDROPHOBIC) + fraction(F.left(seq, F.lit(5)), BASIC_STRICT))
-    places = F.sequence(F.lit(first), F.least(F.lit(last), F.length(seq) - 2))
-    best = F.array_max(F.transform(places, lambda k: F.struct(score(k).alias("score"), (-k).alias("cut"))))
-    return F.when(F.length(seq) - 2 >= first, F.struct(best["score"].alias("score"), (-best["cut"]).alias("cut")))
+#: Fixed: substitution scores of residues (rows and columns in the order of BLOSUM_ORDER).
+BLOSUM_ORDER = "ARNDCQEGHILKMFPSTWYV"
+BLOSUM62 = """
+ 4 -1 -2 -2  0 -1 -1  0 -2 -1 -1 -1 -1 -2 -1  1  0 -3 -2  0
+-1  5  0 -2 -3  1  0 -2  0 -3 -2  2 -1 -3 -2 -1 -1 -3 -2 -3
+-2  0  6  1 -3  0  0  0  1 -3 -3  0 -2 -3 -2  1  0 -4 -2 -3
+-2 -2  1  6 -3  0  2 -1 -1 -3 -4 -1 -3 -3 -1  0 -1 -4 -3 -3
+ 0 -3 -3 -3  9 -3 -4 -3 -3 -1 -1 -3 -1 -2 -3 -1 -1 -2 -2 -1
+-1  1  0  0 -3  5  2 -2  0 -3 -2  1  0 -3 -1  0 -1 -2 -1 -2
+-1  0  0  2 -4  2  5 -2  0 -3 -3  1 -2 -3 -1  0 -1 -3 -2 -2
+ 0 -2  0 -1 -3 -2 -2  6 -2 -4 -4 -2 -3 -3 -2  0 -2 -2 -3 -3
+-2  0  1 -1 -3  0  0 -2  8 -3 -3 -1 -2 -1 -2 -1 -2 -2  2 -3
+-1 -3 -3 -3 -1 -3 -3 -4 -3  4  2 -3  1  0 -3 -2 -1 -3 -1  3
+-1 -2 -3 -4 -1 -2 -3 -4 -3  2  4 -2  2  0 -3 -2 -1 -2 -1  1
+-1  2  0 -1 -3  1  1 -2 -1 -3 -2  5 -1 -3 -1  0 -1 -3 -2 -2
+-1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5  0 -2 -1 -1 -1 -1  1
+-2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6 -4 -2 -2  1  3 -1
+-1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7 -1 -1 -4 -3 -2
+ 1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4  1 -3 -2 -2
+ 0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5 -2 -2  0
+-3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11  2 -3
+-2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7 -1
+ 0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4
+"""
+
+
+def blosum_codes(seq: Column, length: int) -> Column:
+    """array<array<int>> of ``length``: the scores of each residue with all twenty; zeros for other letters and after the end."""
+    rows = [[int(x) for x in line.split()] for line in BLOSUM62.strip().splitlines()]
+    scores = F.array(*[F.array(*map(F.lit, r)) for r in [[0] * len(BLOSUM_ORDER), *rows]])
+    places = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda k: F.when(k <= F.length(seq), F.instr(F.lit(BLOSUM_ORDER), F.substr(seq, k, F.lit(1)))).otherwise(F.lit(0)))
+    return F.get(F.transform(F.array(scores), lambda m: F.transform(places, lambda i: F.get(m, i))), 0)
+
+
+#: Fixed: letters that a nucleotide sequence may have.
+DNA_LETTERS = "ACGTRYSWKMBDHVNXacgtryswkmbdhvnx?.-"
+
+
+def is_dna_like(seq: Column) -> Column:
+    return (F.length(seq) > 0) & (F.length(F.translate(seq, DNA_LETTERS, "")) == 0)
+
+
+def protein_of(seq: Column, mode: str = "auto", table: int | str = 1) -> Column:
+    """The canonical protein of a row. ``mode``: dna (a coding sequence in frame), protein, or auto: dna where the letters allow it and the
+    length is a multiple of three. Raises where a coding sequence isn't in frame, or a stop stands inside."""
+    if mode not in ("auto", "dna", "protein"):
+        raise ValueError(f"no such mode: {mode}")
+    whole = F.when(F.length(seq) % 3 == 0, F.upper(seq)).otherwise(F.raise_error(F.lit("a coding sequence's length isn't a multiple of three")).cast("string"))
+    coded = canonical(S.translate_cds(whole, table))
+    if mode != "auto":
+        return coded if mode == "dna" else canonical(seq)
+    return F.when(is_dna_like(seq) & (F.length(seq) % 3 == 0), canonical(S.translate_cds(F.upper(seq), table))).otherwise(canonical(seq))

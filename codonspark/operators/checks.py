@@ -16,6 +16,13 @@ class InvalidInput(ValueError):
     """Input that a check refuses."""
 
 
+def same_count(a: DataFrame, b: DataFrame) -> None:
+    """ValueError if the frames have different numbers of records."""
+    n, m = a.count(), b.count()
+    if n != m:
+        raise ValueError(f"numbers of records differ: {n} and {m}")
+
+
 def not_triplets(seqs: DataFrame, ignore_gaps: bool = False) -> DataFrame:
     """(id, length) of sequences whose length, without gaps if asked for, isn't a multiple of three."""
     seq = F.translate("seq", S.GAPS, "") if ignore_gaps else F.col("seq")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codonspark.plans.frames import seeded
+
 CLASSES = ("noTP", "SP", "mTP", "cTP", "lTP")
 #: Fixed taxon numbers.
 EUKARYOTA, VIRIDIPLANTAE, METAZOA, FUNGI = "2759", "33090", "33208", "4751"
@@ -87,22 +89,28 @@ def label_summary(rows: DataFrame, labels: str = "localization_labels") -> DataF
 BUCKET_BITS = 12
 
 
-def stratified_folds(rows: DataFrame, k: int, label: str = "label", key: str = "input_order", seed: int = 1) -> DataFrame:
-    """``rows`` with fold (from 0): each class is dealt round in the order of a seeded hash of the key.
+def ranked(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """``rows`` with _rank (from 0) within their class, in the order of a seeded hash of the key, then the key; and _count, the class's rows.
 
     A class is never brought into one task: rows are numbered within stretches of the hash's range, and a stretch starts at
     the count of those before it.
     """
-    rows = rows.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_bucket", F.call_function("shiftright", "_h", F.lit(64 - BUCKET_BITS)))
+    rows = rows.withColumn("_h", seeded(seed, key)).withColumn("_bucket", F.call_function("shiftright", "_h", F.lit(60 - BUCKET_BITS)))
     held = rows.groupBy(F.col(label).alias("_label"), F.col("_bucket").alias("_at")).agg(F.count("*").alias("_n"))
-    ahead = Window.partitionBy("_label").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.select("_label", "_at", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    every = Window.partitionBy("_label")
+    ahead = every.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("_label", "_at", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"), F.sum("_n").over(every).alias("_count"))
     rank = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_h", key))
-    out = rows.withColumn("_rank", rank).join(held, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_at")))
-    return out.withColumn("fold", ((F.col("_ahead") + F.col("_rank") - 1) % k).cast("int")).drop("_h", "_bucket", "_label", "_at", "_ahead", "_rank")
+    out = rows.withColumn("_inside", rank).join(held, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_at")))
+    return out.withColumn("_rank", F.col("_ahead") + F.col("_inside") - 1).drop("_h", "_bucket", "_label", "_at", "_ahead", "_inside")
+
+
+def stratified_folds(rows: DataFrame, k: int, label: str = "label", key: str = "input_order", seed: int = 1) -> DataFrame:
+    """``rows`` with fold (from 0): each class is dealt round in the order of a seeded hash of the key."""
+    return ranked(rows, label, key, seed).withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank", "_count")
 
 
 def capped_sample(rows: DataFrame, most: int, label: str = "label", key: str = "input_order", seed: int = 1) -> DataFrame:
-    """At most ``most`` rows of each class, by a seeded hash of the key."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
+    """At most ``most`` rows of each class, by a seeded hash of the key. Tasks keep no more than that of a class before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(seeded(seed, key), key))
     return rows.withColumn("_k", rank).where(F.col("_k") <= most).drop("_k")

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codonspark.plans.frames import stored
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -78,15 +80,53 @@ def binary(rows: DataFrame, truth: str = "truth", score: str = "score", threshol
 
 
 def ranking(rows: DataFrame, truth: str = "truth", score: str = "score") -> DataFrame:
-    """One row (auprc, auroc). Rows with equal scores are one step of the curves; distinct scores are ranked in one window."""
-    steps = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg"))
-    upto, everything = Window.orderBy(F.desc("s")), Window.partitionBy()
-    steps = steps.select("pos", "neg", F.sum("pos").over(upto).alias("cp"), F.sum("neg").over(upto).alias("cn"), F.sum("pos").over(everything).alias("P"), F.sum("neg").over(everything).alias("N"))
+    """One row (auprc, auroc). Rows with equal scores are one step of the curves."""
+    steps = score_steps(rows, truth, score)
     ap, roc = F.sum(F.col("pos") / F.col("P") * (F.col("cp") / (F.col("cp") + F.col("cn")))), F.sum(F.col("neg") * (F.col("cp") - F.col("pos") / 2.0) / (F.col("P") * F.col("N")))
     usable = steps.where("P > 0 AND N > 0")
     return usable.agg(ap.alias("auprc"), roc.alias("auroc"))
 
 
+def score_steps(rows: DataFrame, truth: str = "truth", score: str = "score") -> DataFrame:
+    """(s, pos, neg, cp, cn, P, N) of each distinct score: rows with it, rows with it or a higher one, and all rows, by truth (1 or not).
+
+    Scores are dealt to ranges, which are summed up on their own; only the ranges' sums are put in order in one place. Rows without
+    a score or truth don't count.
+    """
+    steps = rows.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg"))
+    ranges = stored(steps.repartitionByRange(F.desc("s")).withColumn("part", F.spark_partition_id()), "scores")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranges.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    sums = sums.select("part", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}_before") for x in "pn"], F.sum("p").over(Window.partitionBy()).alias("P"), F.sum("n").over(Window.partitionBy()).alias("N"))
+    upto = Window.partitionBy("part").orderBy(F.desc("s"))
+    own = ranges.withColumn("cp", F.sum("pos").over(upto)).withColumn("cn", F.sum("neg").over(upto)).join(F.broadcast(sums), "part")
+    return own.select("s", "pos", "neg", (F.col("cp") + F.col("p_before")).alias("cp"), (F.col("cn") + F.col("n_before")).alias("cn"), "P", "N")
+
+
+def f1_thresholds(rows: DataFrame, truth: str = "truth", score: str = "score", most: int = 80) -> DataFrame:
+    """(threshold, f1, tp, fp, fn): of all distinct scores the ``most`` with the highest F1 of predicting 1 from there up; of equals those
+    with fewer false positives, more true ones, then the lower score. Without rows one row (0.5, 0, 0, 0, 0)."""
+    steps = score_steps(rows, truth, score)
+    fn = F.col("P") - F.col("cp")
+    own = steps.select(F.col("s").alias("threshold"), F.coalesce(2 * F.col("cp") / F.nullif(2 * F.col("cp") + F.col("cn") + fn, F.lit(0)), F.lit(0.0)).alias("f1"), F.col("cp").alias("tp"), F.col("cn").alias("fp"), fn.alias("fn"))
+    best = stored(own.orderBy(F.desc("f1"), "fp", F.desc("tp"), "threshold").limit(most), "thresholds")
+    none = rows.sparkSession.createDataFrame([(0.5, 0.0, 0, 0, 0)], best.schema)
+    return none if best.isEmpty() else best.orderBy(F.desc("f1"), "fp", F.desc("tp"), "threshold")
+
+
+def best_f1_threshold(rows: DataFrame, truth: str = "truth", score: str = "score") -> DataFrame:
+    """One row (threshold, f1, tp, fp, fn): of all distinct scores the one with the highest F1, of equals the highest; where F1 is 0
+    everywhere, the highest score, with all positives missed. Without rows (0.5, 0, 0, 0, 0)."""
+    steps = score_steps(rows, truth, score)
+    fn = F.col("P") - F.col("cp")
+    f1 = F.coalesce(2 * F.col("cp") / F.nullif(2 * F.col("cp") + F.col("cn") + fn, F.lit(0)), F.lit(0.0))
+    best = steps.agg(F.max(F.struct(f1.alias("f1"), F.col("s").alias("threshold"), F.col("cp").alias("tp"), F.col("cn").alias("fp"), fn.alias("fn"))).alias("b"), F.max("s").alias("top"), F.coalesce(F.max("P"), F.lit(0)).alias("P"))
+    found = F.coalesce(F.col("b.f1"), F.lit(0.0)) > 0
+    zero = F.lit(0).cast("long")
+    return best.select(F.coalesce(F.when(found, F.col("b.threshold")), "top", F.lit(0.5)).alias("threshold"), F.when(found, F.col("b.f1")).otherwise(0.0).alias("f1"), F.when(found, F.col("b.tp")).otherwise(zero).alias("tp"),
+                       F.when(found, F.col("b.fp")).otherwise(zero).alias("fp"), F.when(found, F.col("b.fn")).otherwise(F.col("P")).alias("fn"))
+
+
 def best_threshold(rows: DataFrame, truth: str = "truth", score: str = "score", grid: Sequence[float] = tuple(k / 100 for k in range(1, 100))) -> DataFrame:
     """One row (threshold, f1): the threshold of the grid with the highest F1, of equals the nearest to 0.5, then the lowest.
 

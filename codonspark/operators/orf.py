@@ -2,25 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codonspark.functions import codes
 from codonspark.functions import sequences as S
 
-RANK = {"complete": 2, "partial": 1, "no_start": 0}
+CATEGORIES = ("no_start", "partial", "complete")
+
 
+def _marks(letters: np.ndarray, codons: tuple[str, ...]) -> np.ndarray:
+    """Whether one of ``codons`` starts at each place of an array of bytes."""
+    out = np.zeros(max(len(letters) - 2, 0), bool)
+    for a, b, c in (x.encode() for x in codons):
+        out |= (letters[:-2] == a) & (letters[1:-1] == b) & (letters[2:] == c)
+    return out
 
-def _segments(strand: Column, frame: int, table: int | str) -> Column:
-    """Stretches between stops of one frame: struct(at, codons, closed), at from 0 on the strand."""
-    stops = "(?:" + "|".join(codes.stops(table)) + ")"
-    own = S.codons(F.substring(strand, frame + 1, F.length(strand)))
-    # one blank between codons keeps matches in frame
-    joined = F.concat(F.array_join(own, " "), F.lit(" "))
-    parts = F.split(joined, f"(?<![^ ]){stops} ", -1)
-    zero = F.struct(F.lit(frame).alias("at"), F.array().cast("array<struct<at:int,codons:string>>").alias("out"))
-    step = lambda s, p: F.struct((s["at"] + F.length(p) / 4 * 3 + 3).cast("int").alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("at"), p.alias("codons")))).alias("out"))
-    return F.aggregate(parts, zero, step, lambda s: s["out"])
+
+def _best_of_strand(strand: bytes, sign: int, stops: tuple[str, ...], starts: tuple[str, ...]) -> tuple | None:
+    """(rank, length, sign, -frame, -start, begin, end) of a strand's best candidate, by that order.
+
+    Stops cut a frame into stretches. In a stretch the first start codon gives the longest ORF; without one, the stretch itself is a
+    candidate of rank 0.
+    """
+    letters, best = np.frombuffer(strand, np.uint8), None
+    n, stop_at, start_at = len(letters), _marks(letters, stops), _marks(letters, starts)
+    for frame in range(min(3, n)):
+        end = frame + (n - frame) // 3 * 3
+        closing = frame + 3 * np.flatnonzero(stop_at[frame::3])
+        opening, begins, ends = frame + 3 * np.flatnonzero(start_at[frame::3]), np.r_[frame, closing + 3], np.r_[closing, end]
+        first = np.r_[opening, end][np.searchsorted(opening, begins)]
+        found, closed = first < ends, np.arange(len(ends)) < len(closing)
+        begins, ends = np.where(found, first, begins), np.where(found & closed, ends + 3, ends)
+        rank = np.where(found, np.where(closed, 2, 1), 0)
+        size = ends - begins
+        if not (size >= 3).any():
+            continue
+        start = begins + 1 if sign else n - ends + 1
+        k = np.lexsort((-start, size, np.where(size >= 3, rank, -1)))[-1]
+        own = (int(rank[k]), int(size[k]), sign, -(frame + 1), -int(start[k]), int(begins[k]), int(ends[k]))
+        best = own if best is None else max(best, own)
+    return best
 
 
 def longest_orf(seqs: DataFrame, table: int | str = 1) -> DataFrame:
@@ -28,35 +55,31 @@ def longest_orf(seqs: DataFrame, table: int | str = 1) -> DataFrame:
 
     Complete ORFs (start to stop, both included) come before partial ones (start to the frame's end); stretches without a
     stop count only if neither strand has a start codon that begins an ORF. Then come length, the plus strand, the lower
-    frame and the lower start. In a stretch between stops the first start codon gives the longest ORF, so that one
-    candidate for each stretch is enough; rows don't multiply.
+    frame and the lower start. Places of stops and starts are found by comparing whole arrays of letters, a sequence at a time in
+    Arrow batches; the work is linear in the letters, and rows don't multiply. A null sequence counts as empty.
     """
-    starts = "(?:" + "|".join(codes.starts(table)) + ")"
-    up = F.upper("seq")
-    rows = seqs.withColumn("_plus", up).withColumn("_minus", S.reverse_complement(F.col("seq"))).withColumn("_n", F.length("seq"))
-
-    def candidates(strand: str, sign: int, frame: int) -> Column:
-        segments = _segments(F.col(strand), frame, table)
-
-        def one(x: Column, k: Column, count: Column) -> Column:
-            closed = k < count - 1
-            first = F.regexp_instr(F.concat(F.lit(" "), x["codons"]), F.lit(f" {starts} "))
-            size = (F.length(x["codons"]) / 4).cast("int") * 3
-            begin = F.when(first > 0, x["at"] + ((first - 1) / 4).cast("int") * 3).otherwise(x["at"])
-            rank = F.when(first == 0, RANK["no_start"]).when(closed, RANK["complete"]).otherwise(RANK["partial"])
-            end = x["at"] + size + F.when((first > 0) & closed, 3).otherwise(0)
-            at = begin + 1 if sign > 0 else F.col("_n") - end + 1
-            to = end if sign > 0 else F.col("_n") - begin
-            return F.struct(rank.alias("rank"), (end - begin).alias("len"), F.lit(sign).alias("sign"), F.lit(-(frame + 1)).alias("frame"), (-at).alias("start"), begin.alias("begin"), end.alias("end"), to.alias("to"))
-
-        return S.let(segments, lambda s: F.filter(F.transform(s, lambda x, k: one(x, k, F.size(s))), lambda c: c["len"] >= 3))
-
-    every = F.concat(*[candidates(strand, sign, frame) for strand, sign in (("_plus", 1), ("_minus", 0)) for frame in range(3)])
-    rows = rows.withColumn("_best", F.array_max(every))
-    best, on = F.col("_best"), F.when(F.col("_best.sign") == 1, F.col("_plus")).otherwise(F.col("_minus"))
-    category = F.when(best["rank"] == 2, "complete").when(best["rank"] == 1, "partial").when(best["rank"] == 0, "no_start")
-    return rows.select(*[c for c in seqs.columns if c != "seq"], F.coalesce(F.substr(on, best["begin"] + 1, best["len"]), F.lit("")).alias("seq"),
-                       F.when(best["sign"] == 1, "+").when(best["sign"] == 0, "-").alias("strand"), (-best["frame"]).alias("frame"), (-best["start"]).alias("orf_start"), best["to"].alias("orf_end"), category.alias("category"))
+    stops, starts = codes.stops(table), codes.starts(table)
+    others = [f for f in seqs.schema.fields if f.name != "seq"]
+    rows = seqs.select(*[F.col(f"`{f.name}`") for f in others], F.coalesce(F.upper("seq"), F.lit("")).alias("seq")).withColumn("__minus", S.reverse_complement(F.col("seq")))
+    added = [T.StructField("seq", T.StringType()), T.StructField("strand", T.StringType()), T.StructField("frame", T.IntegerType()), T.StructField("orf_start", T.IntegerType()),
+             T.StructField("orf_end", T.IntegerType()), T.StructField("category", T.StringType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for plus, minus in zip(batch.column(len(others)), batch.column(len(others) + 1), strict=True):
+                strands = {1: plus.as_py(), 0: minus.as_py()}
+                # a letter that isn't ASCII takes one byte here, so that places stay those of letters
+                found = [b for sign, s in strands.items() if (b := _best_of_strand(s.encode("ascii", "replace"), sign, stops, starts))]
+                if not found:
+                    out.append(("", None, None, None, None, None))
+                    continue
+                rank, _, sign, frame, start, begin, end = max(found)
+                out.append((strands[sign][begin:end], "+" if sign else "-", -frame, -start, end if sign else len(strands[sign]) - begin, CATEGORIES[rank]))
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(others)], *[pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]], [*[f.name for f in others], *[f.name for f in added]])
+
+    return rows.mapInArrow(run, T.StructType([*others, *added]))
 
 
 def annotate_name(orfs: DataFrame) -> DataFrame:

@@ -99,14 +99,16 @@ def sequence_stats(seqs: DataFrame) -> DataFrame:
 def codon_stats(seqs: DataFrame, table: int | str = 1) -> DataFrame:
     """(input_order, seq_id, nt_length, codon counts, GC percent in all and by codon position) of each sequence."""
     up = F.upper("seq")
-    rows = seqs.select("input_order", F.col("id").alias("seq_id"), F.length("seq").cast("long").alias("nt_length"), S.chunks(up).alias("_chunks"), *[S.position(up, k).alias(f"_p{k}") for k in (1, 2, 3)])
-    whole = F.filter("_chunks", lambda c: F.length(c) == 3)
-    known = F.filter(whole, lambda c: ~S.has_missing(c))
+    # one letter for each codon: what it is; a small one where it is incomplete
+    kind = lambda c: F.when(F.length(c) < 3, F.when(S.has_missing(c), "m").otherwise("p")).when(S.has_missing(c), "M").when(~S.unambiguous(c), "A").when(c.isin(*codes.stops(table)), "S").otherwise("C")
+    every = lambda k: F.regexp_replace(up, "(?s)" + "." * (k - 1) + ("(.)" if k == 3 else "(.).{0," + str(3 - k) + "}"), "$1")
+    rows = seqs.select("input_order", F.col("id").alias("seq_id"), F.length("seq").cast("long").alias("nt_length"), F.array_join(F.transform(S.chunks(up), kind), "").alias("_kinds"),
+                       *[F.when(F.length("seq") >= k, F.substr(every(k), F.lit(1), F.floor((F.length("seq") + 3 - k) / 3).cast("int"))).otherwise("").alias(f"_p{k}") for k in (1, 2, 3)])
     percent = lambda g, n: F.when(n > 0, g / n * 100).otherwise(F.lit(0.0))
     gc, acgt = [S.count_chars(F.col(f"_p{k}"), "GC") for k in (1, 2, 3)], [S.count_chars(F.col(f"_p{k}"), "ACGT") for k in (1, 2, 3)]
-    size = lambda a: F.size(a).cast("long")
-    return rows.select("input_order", "seq_id", "nt_length", size(whole).alias("codons_total"), size(known).alias("codons_complete"), size(F.filter("_chunks", S.has_missing)).alias("codons_missing"),
-                       size(F.filter(known, lambda c: ~S.unambiguous(c))).alias("codons_ambiguous"), size(F.filter(known, lambda c: c.isin(*codes.stops(table)))).alias("codons_stop"),
+    of = lambda letters: S.count_chars(F.col("_kinds"), letters)
+    return rows.select("input_order", "seq_id", "nt_length", of("MASC").alias("codons_total"), of("ASC").alias("codons_complete"), of("Mm").alias("codons_missing"),
+                       of("A").alias("codons_ambiguous"), of("S").alias("codons_stop"),
                        percent(gc[0] + gc[1] + gc[2], acgt[0] + acgt[1] + acgt[2]).alias("gc_all"), *[percent(gc[k], acgt[k]).alias(f"gc{k + 1}") for k in range(3)])
 
 

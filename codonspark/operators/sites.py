@@ -49,18 +49,20 @@ def hammer_sites(seqs: DataFrame, nail: int | str = 4, prevent_gap_only: bool =
     """
     if nail != "all" and int(nail) <= 0:
         raise ValueError("nail must be over 0")
-    rows = codon_rows(seqs, (A, "input_order"))
-    aa = S.translate_codon(F.col("codon"), table)
-    occupied = rows.groupBy(A, "site").agg(F.count_if(~aa.isin("-", "?", "X", "*")).alias("occupied"))
-    most = seqs.groupBy(A).agg(F.count("*").alias("n"))
-    most = most.select(A, (F.col("n") if nail == "all" else F.least(F.lit(int(nail)), F.col("n"))).cast("long").alias("nail"))
+    # a digit for each codon: 0 for gaps only, 2 for a residue, 1 for others
+    digit = lambda c: F.when(~S.translate_codon(c, table).isin("-", "?", "X", "*"), "2").when(S.gap_only(c), "0").otherwise("1")
+    rows = stored(seqs.select(A, F.array_join(F.transform(S.codons(F.upper("seq")), digit), "").alias("digits")), "hammer")
+    occupied = rows.select(A, F.posexplode(F.split("digits", "")).alias("site", "digit")).where("digit <> ''").groupBy(A, "site").agg(F.count_if(F.col("digit") == "2").cast("int").alias("occupied"))
+    per_site = occupied.groupBy(A).agg(F.transform(F.array_sort(F.collect_list(F.struct("site", "occupied"))), lambda x: x["occupied"]).alias("occupied"))
+    most = rows.groupBy(A).agg(F.count("*").alias("n"))
+    most = most.select(A, (F.col("n") if nail == "all" else F.least(F.lit(int(nail)), F.col("n"))).cast("long").alias("nail")).join(per_site, A, "left")
     if prevent_gap_only:
         # a sequence has no gap-only rest under nail k if one of its columns with letters has an occupancy of k or more
-        solid = rows.where(~S.gap_only(F.col("codon"))).join(occupied, [A, "site"]).groupBy(A, "input_order").agg(F.max("occupied").alias("best"))
-        reach = seqs.select(A, "input_order").join(solid, [A, "input_order"], "left").groupBy(A).agg(F.min(F.coalesce("best", F.lit(0))).alias("reach"))
-        most = most.join(reach, A).select(A, F.greatest(F.lit(1), F.least("nail", "reach")).cast("long").alias("nail"))
-    kept = occupied.join(most, A).where(F.col("occupied") >= F.col("nail"))
-    return most.join(sites_of(kept), A, "left").select(A, "nail", F.coalesce("sites", F.array().cast("array<int>")).alias("sites"))
+        best = F.array_max(F.zip_with(F.split("digits", ""), "occupied", lambda d, k: F.when(d.isin("1", "2"), k)))
+        reach = rows.join(per_site, A, "left").groupBy(A).agg(F.min(F.coalesce(best, F.lit(0))).alias("reach"))
+        most = most.join(reach, A).select(A, F.greatest(F.lit(1), F.least("nail", "reach")).cast("long").alias("nail"), "occupied")
+    kept = F.filter(F.transform("occupied", lambda k, site: F.when(k >= F.col("nail"), site)), lambda x: x.isNotNull())
+    return most.select(A, "nail", F.coalesce(kept, F.array().cast("array<int>")).alias("sites"))
 
 
 def hammer(seqs: DataFrame, nail: int | str = 4, prevent_gap_only: bool = True, table: int | str = 1) -> DataFrame:
@@ -100,14 +102,21 @@ def consensus(seqs: DataFrame, table: int | str = 1) -> DataFrame:
     counts = codon_rows(seqs, (A,)).groupBy(A, "site", "codon").agg(F.count("*").alias("n"))
     best = lambda test, what: F.min(F.when(test, F.struct((-F.col("n")).alias("k"), what.alias("v"))))["v"]
     codon = F.col("codon")
-    whole = counts.groupBy(A, "site").agg(best(S.unambiguous(codon), codon).alias("codon"), F.every(F.length(F.translate(codon, "-?.", "")) == 0).alias("gaps"))
-    letters = counts.select(A, "site", "n", F.posexplode(F.split("codon", "")).alias("position", "letter")).where(~F.col("letter").isin("-", "?", "."))
-    letters = letters.groupBy(A, "site", "position", "letter").agg(F.sum("n").alias("n")).groupBy(A, "site", "position").agg(best(F.lit(True), F.col("letter")).alias("letter"))
-    single = letters.groupBy(A, "site").agg(*[F.coalesce(F.max(F.when(F.col("position") == k, F.col("letter"))), F.lit("-")).alias(f"l{k}") for k in range(3)])
-    rows = whole.join(single, [A, "site"], "left")
-    codon = F.when(F.col("codon").isNotNull(), F.col("codon")).when(F.col("gaps"), "---").otherwise(F.concat(*[F.coalesce(f"l{k}", F.lit("-")) for k in range(3)]))
-    rows = rows.select(A, "site", codon.alias("codon"))
-    return rows.withColumn("aa", msa_residue(F.col("codon"), table))
+    known = S.unambiguous(codon)
+    # columns without a codon of A, C, G and T need their letters; all figures of a column come from its few different codons
+    own = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.substr(codon, k, F.lit(1)))
+    whole = counts.groupBy(A, "site").agg(best(known, codon).alias("whole"), F.every(F.length(F.translate(codon, "-?.", "")) == 0).alias("gaps"),
+                                          F.collect_list(F.when(~known, F.struct("n", own.alias("letters")))).alias("others"))
+
+    def letter(k: int):
+        """The most frequent letter of a position that isn't a gap, the smallest of equals."""
+        there = F.filter(F.transform("others", lambda x: F.struct(F.get(x["letters"], k).alias("c"), x["n"].alias("n"))), lambda x: ~x["c"].isin("-", "?", "."))
+        kinds = F.array_distinct(F.transform(there, lambda x: x["c"]))
+        total = lambda c: F.aggregate(F.filter(there, lambda x: x["c"] == c), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+        return F.array_min(F.transform(kinds, lambda c: F.struct((-total(c)).alias("n"), c.alias("c"))))["c"]
+
+    whole = whole.select(A, "site", F.when(F.col("whole").isNotNull(), F.col("whole")).when(F.col("gaps"), "---").otherwise(F.concat(*[F.coalesce(letter(k), F.lit("-")) for k in range(3)])).alias("codon"))
+    return whole.withColumn("aa", msa_residue(F.col("codon"), table))
 
 
 def msa_residue(codon, table: int | str = 1):

@@ -49,6 +49,12 @@ def keep_sites(seqs: DataFrame, kept: DataFrame, key: str = "alignment_id") -> D
     return rows.withColumn("seq", F.coalesce(F.array_join(S.let(own, lambda c: F.transform(F.col("sites"), lambda s: F.get(c, s))), ""), F.lit(""))).select(*seqs.columns)
 
 
+def seeded(seed: int, *columns: str) -> Column:
+    """A number below 2^60 from the MD5 of seed and columns (null as ''), which other engines can repeat."""
+    text = F.concat_ws("/", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def in_order(df: DataFrame) -> DataFrame:
     return df.orderBy("input_order")
 

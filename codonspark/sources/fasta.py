@@ -7,18 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codonspark.functions import sequences as S
+from codonspark.sources.tables import records
 
 WRAP = 60
 
 
-def _records(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """(input_order, value) of the records that ``separator`` divides, in the order of file and place.
-
-    input_order is increasing along each file and over files by their path; it has gaps.
-    """
-    return spark.read.option("lineSep", separator).text(path).select(F.monotonically_increasing_id().alias("input_order"), "value")
-
-
 def parse_fasta(value: Column) -> Column:
     """struct(id, description, seq) of a record without its leading > (or with it, as a file's first one)."""
     text = F.replace(value, F.lit("\r"), F.lit(""))
@@ -30,7 +23,7 @@ def parse_fasta(value: Column) -> Column:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(input_order, id, name, description, seq) of FASTA files. Wrapped lines, CRLF and empty sequences are fine; files split."""
-    rows = _records(spark, path, "\n>").where(F.regexp_like("value", F.lit(r"\S")))
+    rows = records(spark, path, "input_order", "\n>").where(F.regexp_like("value", F.lit(r"\S")))
     rows = rows.select("input_order", parse_fasta(F.col("value")).alias("r"))
     return rows.select("input_order", "r.id", F.col("r.id").alias("name"), "r.description", "r.seq")
 
@@ -63,14 +56,18 @@ def parse_genbank(value: Column) -> Column:
 
 def read_genbank(spark: SparkSession, path: str) -> DataFrame:
     """(input_order, id, description, annotations, cds, seq) of GenBank files; cds is the first CDS feature's location, '' without one."""
-    rows = _records(spark, path, "\n//").where(F.col("value").contains("LOCUS"))
+    rows = records(spark, path, "input_order", "\n//").where(F.col("value").contains("LOCUS"))
     return rows.select("input_order", parse_genbank(F.col("value")).alias("r")).select("input_order", "r.*")
 
 
 def record_name(annotations: Column, form: str = "organism_accessions") -> Column:
-    """Annotations by their keys in ``form``, joined by _; a list counts by its first element, blanks become _."""
-    parts = [F.coalesce(F.get(F.element_at(annotations, k), 0), F.lit("")) for k in form.split("_")]
-    return F.replace(F.concat_ws("_", *parts), F.lit(" "), F.lit("_"))
+    """Annotations by their keys in ``form``, joined by _; a list counts by its first element, blanks become _.
+
+    Raises where a record lacks an annotation, or has an empty list of it.
+    """
+    lacks = lambda k: F.raise_error(F.concat(F.lit(f"no annotation {k}; there are: "), F.array_join(F.map_keys(annotations), ", "))).cast("string")
+    parts = [F.coalesce(F.get(F.element_at(annotations, k), 0), lacks(k)) for k in form.split("_")]
+    return F.replace(F.regexp_replace(F.concat_ws("_", *parts), "^_", ""), F.lit(" "), F.lit("_"))
 
 
 def extract_cds(records: DataFrame) -> DataFrame:

@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codonspark.plans.frames import stored
+
 GFF = "seqid string, source string, type string, start int, `end` int, score string, strand string, phase string, attributes string"
 UNIPROT = ("accession", "sequence", "cc_subcellular_location", "organism_id", "lineage_ids")
 
 
+#: White space at both ends, of all kinds that a line may hold.
+BLANKS = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+
+
+def records(spark: SparkSession, path: str, number: str, separator: str | None = None) -> DataFrame:
+    """(number, value) of the records of text files, numbered from 0 without gaps in the order of the files' paths and of their places.
+
+    Spark packs blocks of files into tasks by size. So the rows of each block are counted first (a row for each block), and their sums
+    in the order of path and start shift the numbers that the tasks give.
+    """
+    reader = spark.read.option("lineSep", separator) if separator else spark.read
+    rows = reader.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
+    blocks = rows.groupBy("__file", "__block").agg(F.min("__id").alias("__first"), F.count("*").alias("__rows"))
+    before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("__file", "__block", (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return rows.join(blocks, ["__file", "__block"]).select((F.col("__id") + F.col("__shift")).cast("long").alias(number), "value")
+
+
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", r"\r\z", "").alias("line"))
+    return records(spark, path, "line_no").select("line_no", F.regexp_replace("value", r"\r\z", "").alias("line"))
 
 
 def read_gff(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -19,7 +39,7 @@ def read_gff(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     fields = F.split("line", "\t")
     names = ("seqid", "source", "type", "start", "end", "score", "strand", "phase", "attributes")
     cells = [F.get(fields, k).cast("int").alias(n) if n in ("start", "end") else F.get(fields, k).alias(n) for k, n in enumerate(names)]
-    body = lines.where(~F.col("line").startswith("#") & (F.trim("line") != "")).select("line_no", *cells)
+    body = lines.where(~F.col("line").startswith("#") & (F.regexp_replace("line", BLANKS, "") != "")).select("line_no", *cells)
     return body, lines.where(F.col("line").startswith("#"))
 
 
@@ -37,8 +57,8 @@ def write_gff(gff: DataFrame, path: str, header: DataFrame | None = None) -> Non
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value): lines that aren't blank, stripped."""
-    return _numbered(spark, path).select("line_no", F.trim("line").alias("value")).where("value <> ''")
+    """(line_no, value): lines that aren't blank, without white space at their ends."""
+    return _numbered(spark, path).select("line_no", F.regexp_replace("line", BLANKS, "").alias("value")).where("value <> ''")
 
 
 def read_tsv(spark: SparkSession, path: str, required: tuple[str, ...] = (), separator: str = "\t") -> DataFrame:
@@ -67,7 +87,14 @@ def batches(wanted: DataFrame, size: int = 1000) -> DataFrame:
     """(batch, accessions): accessions in the order of line_no, ``size`` to a batch, for a service that takes lists."""
     if size < 1:
         raise ValueError("size must be over 0")
-    numbered = wanted.rdd.map(lambda r: (r["line_no"], r["value"])).sortByKey().zipWithIndex().map(lambda x: (x[1] // size, x[0][0], x[0][1])).toDF("batch long, line_no long, value string")
+    # ranges of line_no first, then each range's place among them: no task ranks all rows
+    part = F.spark_partition_id().alias("part")
+    ranged = wanted.select("line_no", "value").repartitionByRange("line_no").select("line_no", "value", part)
+    ranged = stored(ranged, "batches")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("line_no", "value")) - 1
+    numbered = ranged.withColumn("place", place).join(F.broadcast(offsets), "part").withColumn("batch", F.floor((F.col("first") + F.col("place")) / size).cast("long"))
     return numbered.groupBy("batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]).alias("accessions"))
 
 

@@ -164,7 +164,8 @@ def test_folds_take_bounded_tasks(spark):
     plan = folds._jdf.queryExecution().analyzed().toString()
     assert "windowspecdefinition(label#" in plan and "_bucket#" in plan.split("row_number() windowspecdefinition(")[1].split("_h#")[0]
     want = {}
-    for r in df.withColumn("h", F.xxhash64("input_order", F.lit(1))).orderBy("h").collect():
+    h = F.conv(F.substring(F.md5(F.concat(F.lit("1/"), F.col("input_order").cast("string"))), 1, 15), 16, 10).cast("long")
+    for r in df.withColumn("h", h).orderBy("h").collect():
         want.setdefault(r.label, []).append(r.input_order)
     assert {r.input_order: r.fold for r in folds.collect()} == {x: k % 7 for v in want.values() for k, x in enumerate(v)}
 
@@ -278,6 +279,20 @@ def test_fasta(spark, tmp_path):
     (tmp_path / "a.fa").write_text("\n>s1 first one\nACGT\nAC GT\n\n>s2\r\nAC\r\n>empty\n>s>3 x>y\nAA")
     got = fasta.read_fasta(spark, f"{tmp_path}/a.fa").orderBy("input_order").collect()
     assert [(r.id, r.description, r.seq) for r in got] == [("s1", "s1 first one", "ACGTACGT"), ("s2", "s2", "AC"), ("empty", "empty", ""), ("s>3", "s>3 x>y", "AA")]
+    # small files first by name, large ones first for Spark
+    (tmp_path / "many").mkdir()
+    wanted = []
+    for name, n in (("a", 3), ("b", 4000), ("c", 40), ("d", 20000)):
+        ids = [f"{name}{k}" for k in range(n)]
+        wanted += ids
+        (tmp_path / f"many/{name}.fa").write_text("".join(f">{x}\nACGTACGTACGTACGTACGT\n" for x in ids))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        got = fasta.read_fasta(spark, f"{tmp_path}/many").orderBy("input_order").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert [r.id for r in got] == wanted and [r.input_order for r in got] == list(range(len(wanted)))
     df = seqs(spark, [(f"r{k}", "ACGT" * k) for k in range(50)])
     fasta.write_fasta(df, f"{tmp_path}/out")
     back = fasta.read_fasta(spark, f"{tmp_path}/out").orderBy("input_order").collect()
@@ -315,19 +330,23 @@ def test_genbank(spark, tmp_path):
     assert r[0].description == "Some gene of something"
     named = got.select("input_order", fasta.record_name(F.col("annotations")).alias("n")).orderBy("input_order").first().n
     assert named == "Homo_sapiens_AB1"
+    with pytest.raises(Exception, match="no annotation"):
+        got.select(fasta.record_name(F.col("annotations"), "organism_taxonomy")).collect()
     assert [x.seq for x in fasta.extract_cds(got).collect()] == ["TTTCAT"]
 
 
 def test_tables(spark, tmp_path):
-    (tmp_path / "a.gff").write_text("##gff-version 3\ns1\tx\tgene\t1\t9\t.\t+\t.\tID=a\n\n#note\ns2\tx\tCDS\t5\t7\t.\t-\t0\tID=b;c\n")
+    (tmp_path / "a.gff").write_text("##gff-version 3\ns1\tx\tgene\t1\t9\t.\t+\t.\tID=a\n\n \t\n#note\ns2\tx\tCDS\t5\t7\t.\t-\t0\tID=b;c\n")
     gff, header = tables.read_gff(spark, f"{tmp_path}/a.gff")
     assert [(r.seqid, r.start, r.end, r.attributes) for r in gff.orderBy("line_no").collect()] == [("s1", 1, 9, "ID=a"), ("s2", 5, 7, "ID=b;c")] and header.count() == 2
     tables.write_gff(gff, f"{tmp_path}/out", header)
     again, _ = tables.read_gff(spark, f"{tmp_path}/out")
     assert sorted(map(str, again.drop("line_no").collect())) == sorted(map(str, gff.drop("line_no").collect()))
-    (tmp_path / "l.txt").write_text("AB1\n\n CD2 \r\nEF3\n")
+    (tmp_path / "l.txt").write_text("AB1\n\n\t CD2 \t\r\n \t \nEF3\n")
     lines = tables.read_lines(spark, f"{tmp_path}/l.txt")
     assert sorted(list(r.accessions) for r in tables.batches(lines, 2).collect()) == [["AB1", "CD2"], ["EF3"]]
+    many = spark.range(1000).selectExpr("id * 3 AS line_no", "concat('v', id) AS value").repartition(7)
+    assert {r.batch: list(r.accessions) for r in tables.batches(many, 64).collect()} == {k: [f"v{x}" for x in range(64 * k, min(1000, 64 * k + 64))] for k in range(16)}
     (tmp_path / "t.tsv").write_text("id\tsequence\na\tMK\nb\t\n")
     assert [tuple(r) for r in tables.read_tsv(spark, f"{tmp_path}/t.tsv", ("id",)).collect()] == [("a", "MK"), ("b", "")]
     with pytest.raises(ValueError):

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,5 +119,44 @@ def test_benchmark_tables(spark):
 def test_residue_codes_and_cuts(spark):
     got = spark.createDataFrame([("ACX",), ("",), ("ACDEFG",)], "s string").select(P.residue_codes(F.col("s"), 4).alias("a"), P.residue_codes(F.col("s"), 4, True).alias("b")).collect()
     assert [list(r.a) for r in got] == [[1, 2, 21, 0], [0, 0, 0, 0], [1, 2, 3, 4]] and [list(r.b) for r in got] == [[0, 1, 2, 21], [0, 0, 0, 0], [3, 4, 5, 6]]
-    cut = spark.createDataFrame([("MKKLLLLLLLLLLLLLLAGARRRRRRRRRRRR",), ("MK",)], "s string").select(P.best_cut(F.col("s")).alias("c")).collect()
-    assert 12 <= cut[0].c.cut <= 20 and cut[1].c is None
+
+
+def cut_by_brute_force(s):
+    share = lambda piece, letters: sum(c in letters for c in piece) / len(piece) if piece else 0.0
+    best = (-99.0, 0)
+    for cut in range(12, min(45, len(s) - 1)):
+        core, around, head = s[max(0, cut - 18):max(0, cut - 7)], s[max(0, cut - 7):cut + 2], s[:max(1, cut - 18)]
+        run = max((len(x) for x in re.findall("[AILMFWVY]+", core)), default=0)
+        score = 2.2 * share(core, "AILMFWVY") + 0.15 * run + 0.8 * (s[cut - 3] in "AVSGTC") + (s[cut - 1] in "ASGTC") + 0.4 * (s[cut - 1] == "A") + 0.5 * share(around, "AGSTCP")
+        score += 0.4 * (share(head, "KRH") - share(head, "DE")) - 0.9 * ("P" in s[cut - 3:cut + 1]) - 0.25 * share(s[:cut], "ST")
+        if score > best[0] + 1e-12:
+            best = (score, cut)
+    return best
+
+
+def test_signal_scan(spark):
+    rnd = random.Random(3)
+    items = ["MKKLLLLLLLLLLLLLLAGARRRRRRRRRRRR", "MK", "", "M" * 13, "M" * 14] + ["".join(rnd.choice("ACDEFGHIKLMNPQRSTVWYX") for _ in range(rnd.randint(1, 120))) for _ in range(60)]
+    got = spark.createDataFrame([(k, s) for k, s in enumerate(items)], "k int, s string").select("k", *[v.alias(n) for n, v in P.signal_scan(F.col("s")).items()]).collect()
+    assert len(got[0]) == 69
+    for r in got:
+        score, cut = cut_by_brute_force(items[r.k])
+        assert r.score == pytest.approx(score) and r["cut"] == cut and r.cut_share == pytest.approx(cut / max(1, len(items[r.k]))), items[r.k]
+    assert got[2].w0_15_basic == 0.0 and got[1].w0_15_basic == 0.5
+    motifs = spark.createDataFrame([("MAARRKK",), ("",)], "s string").select(*[v.alias(n) for n, v in P.motif_places(F.col("s")).items()]).collect()
+    assert (motifs[0].RR_found, motifs[0].RR_at, motifs[0].RK_at, motifs[0].SP_at, motifs[1].RR_at) == (1.0, 3.0, 4.0, 999.0, 999.0)
+
+
+def test_blosum_and_proteins(spark):
+    got = spark.createDataFrame([("AW-",)], "s string").select(P.blosum_codes(F.col("s"), 4).alias("b")).first().b
+    at = P.BLOSUM_ORDER.index
+    assert len(got) == 4 and got[0][at("A")] == 4 and got[1][at("W")] == 11 and got[1][at("A")] == -3 and set(got[2]) == set(got[3]) == {0}
+    table = [[int(x) for x in line.split()] for line in P.BLOSUM62.strip().splitlines()]
+    assert len(table) == 20 and all(table[i][j] == table[j][i] for i in range(20) for j in range(20))
+    one = lambda s, mode="auto": spark.createDataFrame([(s,)], "s string").select(P.protein_of(F.col("s"), mode).alias("p")).first().p
+    assert one("ATGAAATAA") == "MK" and one("ATGAAATAA", "protein") == "ATGAAATAA" and one("ATGA") == "ATGA" and one("MKX*") == "MKX" and one("atgnnn", "dna") == "MX"
+    for bad, mode in (("ATGA", "dna"), ("ATGTAAATG", "auto"), ("M*K", "auto")):
+        with pytest.raises(Exception, match="stop inside|multiple of three"):
+            one(bad, mode)
+    with pytest.raises(ValueError):
+        one("A", "x")

@@ -213,7 +213,9 @@ def test_protein_features(spark):
     assert len(P.base_features(F.lit("M"))) == 33 and len(P.broad_features(F.lit("M"))) == 58 and len(P.perox_features(F.lit("M"))) == 325
     got = spark.createDataFrame([("MSKL",), ("",), ("MRRAAAAAAWFLVIYSRL",)], "s string").select("s", P.canonical(F.col("s")).alias("c"), *[v.alias(k) for k, v in P.broad_features(P.canonical(F.col("s"))).items()]).collect()
     assert got[0].pts1_match == 1.0 and got[0].pts1_skl == 1.0 and got[1].aa_len == 0.0 and got[1].n20_basic_frac == 0.0 and got[2].rr_hydrophobic_after == 1.0
-    assert value(spark, P.canonical(F.lit("mk b*"))) == "MKX" and value(spark, P.canonical(F.lit("M*K"))) is None
+    assert value(spark, P.canonical(F.lit("mk b*"))) == "MKX" and value(spark, P.canonical(F.lit("M*"))) == "M"
+    with pytest.raises(Exception, match="stop inside"):
+        value(spark, P.canonical(F.concat(F.lit("M*"), F.lit("K"))))
     assert value(spark, P.hydropathy(F.lit("AR"))) == pytest.approx(-1.35)
 
 
