@@ -143,8 +143,11 @@ def cut_terms(seq: Column, cut: Column) -> dict[str, Column]:
     around, head = piece(F.greatest(F.lit(0), cut - 7), cut + 2), piece(F.lit(0), F.greatest(F.lit(1), cut - 18))
     at = lambda k: F.substr(seq, cut - k + 1, F.lit(1))
     held = lambda letters, c: flag(F.instr(F.lit(letters), c) > 0)
-    return {"hydrophobic": fraction(core, HYDROPHOBIC), "hydrophobic_run": longest_run(core), "small_3": held(FITS_3, at(3)), "small_1": held(FITS_1, at(1)), "ala_1": flag(at(1) == "A"),
-            "small": fraction(around, SMALL), "charge": fraction(head, BASIC) - fraction(head, ACIDIC), "proline": flag(F.instr(piece(cut - 3, cut + 1), "P") > 0), "ser_thr": fraction(piece(F.lit(0), cut), SER_THR)}
+    without = lambda p, chars: F.length(p) - F.length(F.translate(p, chars, ""))
+    # within a lambda nothing is shared, so each piece is named
+    share = lambda p, chars: S.let(p, lambda x: without(x, chars) / F.greatest(F.length(x), F.lit(1)))
+    return {"hydrophobic": share(core, HYDROPHOBIC), "hydrophobic_run": longest_run(core), "small_3": held(FITS_3, at(3)), "small_1": held(FITS_1, at(1)), "ala_1": flag(at(1) == "A"),
+            "small": share(around, SMALL), "charge": share(head, BASIC) - share(head, ACIDIC), "proline": flag(F.instr(piece(cut - 3, cut + 1), "P") > 0), "ser_thr": share(piece(F.lit(0), cut), SER_THR)}
 
 
 def best_cut(seq: Column) -> Column:
@@ -155,8 +158,9 @@ def best_cut(seq: Column) -> Column:
 
     def one(s: Column, k: Column) -> Column:
         terms = cut_terms(s, k)
-        score = sum((terms[name] * F.lit(w) for name, w in CUT_WEIGHTS.items()), F.lit(0.0))
-        return F.struct(score.alias("score"), (-k).alias("before"), k.alias("cut"), *[v.alias(n) for n, v in terms.items()])
+        score = lambda t: sum((t[name] * F.lit(w) for name, w in CUT_WEIGHTS.items()), F.lit(0.0))
+        own = F.struct(k.alias("cut"), *[v.alias(n) for n, v in terms.items()])
+        return S.let(own, lambda t: F.struct(score(t).alias("score"), (-t["cut"]).alias("before"), *[t[n].alias(n) for n in ("cut", *terms)]))
 
     best = F.get(F.transform(F.array(head), lambda s: F.array_max(F.transform(cuts, lambda k: one(s, k)))), 0)
     return F.when(F.length(seq) - 2 >= FIRST_CUT, best)
