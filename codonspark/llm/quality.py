@@ -134,8 +134,8 @@ def order_rules(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     sample = work.keep(df.select(text).sample(False, min(1.0, sample_rows / n_rows), seed), "sample")
     cost = costs(sample, {k for r in rules for k in r.needs}, clock)
-    flags = sample.select(*[m.alias(k) for k, m in computed(words(F.col("text")), F.col("text")).items()])
-    m = {k: F.col(k) for k in flags.columns}
+    flags = sample.select(let(words(F.col("text")), lambda w: F.struct(*[m.alias(k) for k, m in computed(w, F.col("text")).items()])).alias("m"))
+    m = {k: F.col("m")[k] for k in flags.schema["m"].dataType.names}
     found = flags.select(*[r.rejects(m).alias(f"r{k}") for k, r in enumerate(rules)]).groupBy(*[f"r{k}" for k in range(len(rules))]).count().collect()
     out, known, rest = [], set(), list(range(len(rules)))
     while rest:
