@@ -36,10 +36,10 @@ def test_genetic_codes():
 
 
 def test_codon_stats(spark):
-    got = rows.codon_stats(seqs(spark, [("seq1", "GCTGCTGCT"), ("seq2", "ATGNNNTAA"), ("e", ""), ("t", "AT"), ("g", "A-GATGA-")])).orderBy("input_order").collect()
-    assert tuple(got[0])[1:7] == ("seq1", 9, 3, 3, 0, 0) and got[0].codons_stop == 0
-    assert [round(got[0][k], 6) for k in ("gc_all", "gc1", "gc2", "gc3")] == [66.666667, 100, 100, 0]
-    assert (got[1].nt_length, got[1].codons_total, got[1].codons_complete, got[1].codons_missing, got[1].codons_ambiguous, got[1].codons_stop) == (9, 3, 3, 0, 1, 1)
+    got = rows.codon_stats(seqs(spark, [("p", "GGATGCTACTTT"), ("q", "CATRYKTGAACC"), ("e", ""), ("t", "AT"), ("g", "A-GATGA-")])).orderBy("input_order").collect()
+    assert tuple(got[0])[1:7] == ("p", 12, 4, 4, 0, 0) and got[0].codons_stop == 0
+    assert [round(got[0][k], 6) for k in ("gc_all", "gc1", "gc2", "gc3")] == [41.666667, 25, 50, 50]
+    assert (got[1].nt_length, got[1].codons_total, got[1].codons_complete, got[1].codons_missing, got[1].codons_ambiguous, got[1].codons_stop) == (12, 4, 4, 0, 1, 1)
     assert (got[2].codons_total, got[2].gc_all) == (0, 0.0)
     assert (got[4].codons_total, got[4].codons_missing) == (2, 2)  # an incomplete codon with a gap counts as missing
 
@@ -123,9 +123,9 @@ def test_print_and_remove(spark):
 
 
 def test_stats(spark):
-    r = rows.sequence_stats(seqs(spark, [("a", "GCGCGCGCGC"), ("b", "ATATATATAT")])).first()
-    assert tuple(r) == (2, 20, 0, 0, 0, 50.0)
-    assert tuple(rows.sequence_stats(seqs(spark, [("a", "acGTn-N-")])).first()) == (1, 8, 3, 2, 2, 25.0)
+    r = rows.sequence_stats(seqs(spark, [("x1", "GGGAAATTTT"), ("x2", "CATCATTTAA")])).first()
+    assert tuple(r) == (2, 20, 0, 0, 0, 25.0)
+    assert tuple(rows.sequence_stats(seqs(spark, [("x3", "ggATnN--CAAA")])).first()) == (1, 12, 3, 2, 2, 25.0)
     assert tuple(rows.sequence_stats(seqs(spark, []).limit(0)).first()) == (0, 0, 0, 0, 0, 0.0)
 
 
