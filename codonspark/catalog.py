@@ -276,6 +276,16 @@ def site_summary(spark, sf_dir):
     return sites.site_summary(document_alignments(spark, sf_dir)).withColumn("clean_fraction", r6("clean_fraction"))
 
 
+@query(f"SELECT alignment_id, max(n) AS num_sequences, count(*) AS num_input_codon_sites, count(*) FILTER (clean / n >= 0.5) AS num_output_codon_sites, count(*) FILTER (clean / n < 0.5) AS num_removed_codon_sites, 0.5::DOUBLE AS min_clean_fraction FROM ({_SITES}) GROUP BY alignment_id")
+def trim_report(spark, sf_dir):
+    return sites.trim_report(document_alignments(spark, sf_dir))[0]
+
+
+@query(f"SELECT alignment_id, site + 1 AS codon_site_1based, round(clean / n, 6) AS clean_fraction, clean AS clean_codons, n - clean AS unclean_codons, missing AS missing_codons, ambiguous AS ambiguous_codons, stop AS stop_codons, clean / n >= 0.5 AS keep FROM ({_SITES})")
+def trim_report_columns(spark, sf_dir):
+    return sites.trim_report(document_alignments(spark, sf_dir))[1].withColumn("clean_fraction", r6("clean_fraction"))
+
+
 @query(_kept_sql(f"SELECT alignment_id, site FROM ({_SITES}) WHERE clean / n >= 0.5"))
 def trim_codons(spark, sf_dir):
     return sites.trim_codons(document_alignments(spark, sf_dir)).select("alignment_id", "input_order", "seq")
@@ -295,6 +305,15 @@ _FOLD = f"CASE WHEN regexp_full_match(codon, '[ACGT]{{3}}') THEN nullif(substr('
 _DEG = f"""SELECT alignment_id, site, p AS position, CASE WHEN count(DISTINCT f) = 1 THEN min(f)::INT END AS fold, CASE count(DISTINCT f) WHEN 0 THEN 'unassigned' WHEN 1 THEN 'assigned' ELSE 'conflict' END AS status FROM (SELECT alignment_id, site, p, {_FOLD} AS f FROM ({_COLS}), (SELECT unnest([0, 1, 2])::INT AS p)) GROUP BY alignment_id, site, p"""
 
 
+_FOLD_COUNTS = ", ".join(f"count(*) FILTER (fold = {k}) AS num_{k}fold_sites" for k in (0, 2, 3, 4))
+
+
+@query(f"SELECT a.alignment_id, num_sequences, num_input_nt_sites, num_input_nt_sites // 3 AS num_input_codon_sites, count(*) FILTER (status = 'conflict') AS num_conflict_sites, count(*) FILTER (status = 'unassigned') AS num_unassigned_sites, {_FOLD_COUNTS} "
+       f"FROM (SELECT alignment_id, count(*) AS num_sequences, max(length(seq)) AS num_input_nt_sites FROM ({ALIGNED}) GROUP BY alignment_id) a JOIN ({_DEG}) d ON a.alignment_id = d.alignment_id GROUP BY a.alignment_id, num_sequences, num_input_nt_sites")
+def degeneracy_report(spark, sf_dir):
+    return sites.degeneracy_report(document_alignments(spark, sf_dir))
+
+
 @query(_DEG)
 def degeneracy_columns(spark, sf_dir):
     return sites.degeneracy_columns(document_alignments(spark, sf_dir))

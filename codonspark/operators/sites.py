@@ -392,3 +392,44 @@ def back_trim(cds: DataFrame, trimmed: DataFrame, table: int | str = 1) -> DataF
     kind = cds.schema[A].dataType.simpleString()
     sites = columns(left, "codon_keys").join(columns(right, "aa_keys"), A).mapInPandas(match, f"{A} {kind}, sites array<int>")
     return keep_sites(cds, sites)
+
+
+def trim_report(seqs: DataFrame, min_clean_fraction: float = 0.5, table: int | str = 1) -> tuple[DataFrame, DataFrame]:
+    """(one row an alignment, one row a codon column) of what trim_codons does.
+
+    (alignment_id, num_sequences, num_input_codon_sites, num_output_codon_sites, num_removed_codon_sites, min_clean_fraction), and
+    (alignment_id, codon_site_1based, clean_fraction, clean_codons, unclean_codons, missing_codons, ambiguous_codons, stop_codons, keep).
+    """
+    keep = F.col("clean_fraction") >= min_clean_fraction
+    columns = site_summary(seqs, table).select(
+        A, (F.col("site") + 1).alias("codon_site_1based"), "clean_fraction", F.col("clean").alias("clean_codons"), (F.col("n") - F.col("clean")).alias("unclean_codons"), F.col("missing").alias("missing_codons"),
+        F.col("ambiguous").alias("ambiguous_codons"), F.col("stop").alias("stop_codons"), keep.alias("keep"))
+    sums = columns.groupBy(A).agg(F.count("*").alias("k"), F.count_if("keep").alias("kept"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    rows = seqs.groupBy(A).agg(F.count("*").alias("num_sequences")).join(sums, A, "left")
+    return rows.select(A, "num_sequences", n("k").alias("num_input_codon_sites"), n("kept").alias("num_output_codon_sites"), (n("k") - n("kept")).alias("num_removed_codon_sites"),
+                       F.lit(float(min_clean_fraction)).alias("min_clean_fraction")), columns
+
+
+def degeneracy_report(seqs: DataFrame, table: int | str = 1) -> DataFrame:
+    """(alignment_id, num_sequences, num_input_nt_sites, num_input_codon_sites, num_conflict_sites, num_unassigned_sites, num_0fold_sites, num_2fold_sites,
+    num_3fold_sites, num_4fold_sites) of each alignment; sites are nucleotide columns of complete codons."""
+    columns = degeneracy_columns(seqs, table)
+    counts = columns.groupBy(A).agg(*[F.count_if(F.col("status") == s).alias(f"num_{s}_sites") for s in ("conflict", "unassigned")], *[F.count_if(F.col("fold") == k).alias(f"num_{k}fold_sites") for k in (0, 2, 3, 4)])
+    rows = seqs.groupBy(A).agg(F.count("*").alias("num_sequences"), F.max(F.length("seq")).cast("long").alias("num_input_nt_sites"))
+    rows = rows.withColumn("num_input_codon_sites", F.floor(F.col("num_input_nt_sites") / 3)).join(counts, A, "left")
+    return rows.select(A, "num_sequences", "num_input_nt_sites", "num_input_codon_sites", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts.columns if c != A])
+
+
+def max_align_report(seqs: DataFrame, missing: str = "-?.", most_sequences: int = 16, **options) -> DataFrame:
+    """(alignment_id, mode, num_input_sequences, num_kept_sequences, num_removed_sequences, initial_complete_codon_sites, final_complete_codon_sites,
+    initial_area, final_area, area_delta) of what max_align does; mode: exact or greedy."""
+    whole = F.length(F.translate("codon", missing, "")) == F.length("codon")
+    complete = codon_rows(seqs, (A,)).groupBy(A, "site").agg(F.every(whole).alias("ok")).groupBy(A).agg(F.count_if("ok").alias("before"))
+    kept = max_align(seqs, missing, most_sequences, **options).groupBy(A).agg(F.count("*").alias("kept"), F.floor(F.max(F.length("seq")) / 3).alias("after"))
+    rows = seqs.groupBy(A).agg(F.count("*").alias("n")).join(complete, A, "left").join(kept, A, "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    first, last = n("n") * n("before"), n("kept") * n("after")
+    return rows.select(A, F.when(F.col("n") <= most_sequences, "exact").otherwise("greedy").alias("mode"), n("n").alias("num_input_sequences"), n("kept").alias("num_kept_sequences"),
+                       (n("n") - n("kept")).alias("num_removed_sequences"), n("before").alias("initial_complete_codon_sites"), n("after").alias("final_complete_codon_sites"), first.alias("initial_area"),
+                       last.alias("final_area"), (last - first).alias("area_delta"))

@@ -158,6 +158,19 @@ def test_max_align_of_all_sizes(spark):
     assert list(rounds.kept_orders) == greedy_by_brute_force(small[0], keep=(lost[0],))[0]
 
 
+def test_reports(spark):
+    df = align(spark, ["ATGAAA---", "ATG---TTT", "ATGNAATTT", "ATGTAATTT"])
+    one, columns = sites.trim_report(df, 0.5)
+    assert tuple(one.first())[1:] == (4, 3, 2, 1, 0.5)
+    assert [tuple(r)[1:] for r in columns.orderBy("codon_site_1based").collect()] == [(1, 1.0, 4, 0, 0, 0, 0, True), (2, 0.25, 1, 3, 1, 1, 1, False), (3, 0.75, 3, 1, 1, 0, 0, True)]
+    assert tuple(sites.degeneracy_report(df).first())[1:5] == (4, 9, 3, 0)
+    r = sites.max_align_report(df).first()
+    assert (r.mode, r.num_input_sequences, r.initial_complete_codon_sites, r.initial_area) == ("exact", 4, 1, 4)
+    assert (r.final_area, r.area_delta) == (6, 2) and r.num_kept_sequences * r.final_complete_codon_sites == 6 and r.num_removed_sequences == 4 - r.num_kept_sequences
+    large = sites.max_align_report(align(spark, [*["ATGAAA"] * 17, "ATG---"])).first()
+    assert (large.mode, large.num_kept_sequences, large.final_area, large.area_delta) == ("greedy", 17, 34, 16)
+
+
 def test_folds_take_bounded_tasks(spark):
     df = spark.range(3000).select(F.col("id").alias("input_order"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("label"))
     folds = labels.stratified_folds(df, 7)
