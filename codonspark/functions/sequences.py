@@ -42,6 +42,12 @@ def codon_class(codon: Column, table: int | str = 1) -> Column:
     return F.when(has_missing(up), "missing").when(~unambiguous(up), "ambiguous").when(up.isin(*codes.stops(table)), "stop").otherwise("clean")
 
 
+def codon_states(seq: Column, table: int | str = 1) -> Column:
+    """A letter for each complete codon: m missing, a ambiguous, s stop, c clean. One pass over the codons serves all counts."""
+    letter = lambda c: F.when(has_missing(c), "m").when(~unambiguous(c), "a").when(c.isin(*codes.stops(table)), "s").otherwise("c")
+    return F.array_join(F.transform(codons(F.upper(seq)), letter), "")
+
+
 def _digit(codon: Column, k: int, letters: str) -> Column:
     return F.instr(F.lit(letters), F.substring(codon, k, 1)) - 1
 

@@ -18,9 +18,9 @@ def full_match(column: Column, pattern: str) -> Column:
 def codon_metrics(seqs: DataFrame, table: int | str = 1, inspect_internal_stop: bool = True) -> DataFrame:
     """``seqs`` with length_nt, tail_nt, non_triplet, internal_stop, counts of codons by class and clean_codon_fraction."""
     n = F.length("seq")
-    rows = seqs.withColumn("_cls", F.transform(S.codons(F.col("seq")), lambda c: S.codon_class(c, table)))
-    of = lambda name: F.size(F.filter("_cls", lambda c: c == name)).cast("long")
-    total = F.size("_cls").cast("long")
+    rows = seqs.withColumn("_cls", S.codon_states(F.col("seq"), table))
+    of = lambda name: S.count_chars(F.col("_cls"), name[0])
+    total = F.length("_cls").cast("long")
     return rows.withColumns({
         "length_nt": n.cast("long"), "tail_nt": (n % 3).cast("long"), "non_triplet": n % 3 != 0,
         "internal_stop": S.internal_stop(F.col("seq"), table) if inspect_internal_stop else F.lit(False),

@@ -132,8 +132,7 @@ def logo(seqs: DataFrame, table: int | str = 1) -> DataFrame:
 
 def state_matrix(seqs: DataFrame, table: int | str = 1) -> DataFrame:
     """(alignment_id, input_order, id, states): a letter for each codon: m missing, s stop, a ambiguous, c clean."""
-    one = lambda c: F.substring(S.codon_class(c, table), 1, 1)
-    return seqs.select(A, "input_order", "id", F.array_join(F.transform(S.codons(F.col("seq")), one), "").alias("states"))
+    return seqs.select(A, "input_order", "id", S.codon_states(F.col("seq"), table).alias("states"))
 
 
 def presence(seqs: DataFrame, missing: str = "-?.") -> DataFrame:
