@@ -93,8 +93,9 @@ def back_align(cds: DataFrame, proteins: DataFrame, table: int | str = 1) -> Dat
     misfit = F.exists(F.zip_with("_solid", F.slice("_codons", 1, F.col("_k")), lambda a, c: ~_residue_fits(c, a, table)), lambda x: x)
     error = (F.when(F.length(seq) % 3 != 0, NOT_TRIPLET).when(F.col("_k") > F.col("_n"), TOO_MANY).when(bad_letter, INVALID)
              .when((F.col("_k") < F.col("_n")) & ~spare, TOO_FEW).when(misfit, MISMATCH))
-    step = lambda s, a: F.when(a.isin("-", "."), F.struct(s["k"].alias("k"), F.concat(s["out"], F.lit("---")).alias("out"))).otherwise(F.struct((s["k"] + 1).alias("k"), F.concat(s["out"], F.coalesce(F.get("_codons", s["k"]), F.lit(""))).alias("out")))
-    threaded = F.aggregate("_aa", F.struct(F.lit(0).alias("k"), F.lit("").alias("out")), step, lambda s: s["out"])
+    # the gaps before each residue, and after the last one, each with the codon that follows
+    before = F.split(aa, "[^-.]", -1)
+    threaded = F.array_join(F.zip_with(before, F.slice("_codons", 1, F.col("_k")), lambda g, c: F.concat(F.repeat(F.lit("---"), F.length(g)), F.coalesce(c, F.lit("")))), "")
     rows = rows.withColumn("error", error)
     return rows.withColumn("seq", F.when(F.col("error").isNull(), threaded)).select(*cds.columns, "error")
 
