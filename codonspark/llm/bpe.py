@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 #: Unicode's White_Space, which the pre-tokenizer's \\s stands for.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Distinct stretches of text whose tokens a worker remembers; memory stays bounded whatever the corpus has.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
+#: Bytes of stretches, ids and decoded texts in a generation, and the longest stretch that is remembered.
+REMEMBERED_BYTES, LONG = 16 << 20, 200
 OUT_ROWS = 500
 
 
@@ -131,7 +133,7 @@ class Tokenizer:
         key = (left, right)
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             found = self.fits[key] = self.border(left, right)
         return found
@@ -197,13 +199,15 @@ def tokenizer(path: str) -> Tokenizer:
 class Memo(dict):
     """Stretches without ASCII white space -> their ids; ``decoded`` has the same of the decoded ids; both as joined bytes.
 
-    No token spans such white space, so that a text's ids are those of its stretches. When REMEMBERED stretches are known,
-    they become the older generation, from which those still met are taken over.
+    No token spans such white space, so that a text's ids are those of its stretches. When REMEMBERED stretches or REMEMBERED_BYTES
+    of them are known, they become the older generation, from which those still met are taken over. Stretches over LONG bytes, as
+    texts without blanks have, are forgotten with their text.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tok, self.decoded, self.older, self.empty = tokenizer(path), {}, ({}, {}), set()
+        self.held, self.long, self.special = 0, [], [a.encode() for a in self.tok.added]
 
     def __missing__(self, chunk: bytes) -> bytes:
         if chunk in self.older[0]:
@@ -212,18 +216,25 @@ class Memo(dict):
             found = self.tok.encode(chunk.decode())
             ids, text = " ".join(map(str, found)).encode(), self.tok.decode(found).encode()
         self[chunk], self.decoded[chunk] = ids, text
+        self.held += len(chunk) + len(ids) + len(text)
+        if len(chunk) > LONG:
+            self.long.append(chunk)
         if not ids:
             self.empty.add(chunk)
         return ids
 
     def text(self, data: bytes) -> tuple[bytes, bytes]:
         """(ids, decoded text) of a whole text in UTF-8, each joined by spaces."""
-        if len(self) >= REMEMBERED:
+        for chunk in self.long:  # of the text before
+            self.held -= len(chunk) + len(self.pop(chunk)) + len(self.decoded.pop(chunk))
+            self.empty.discard(chunk)
+        self.long = []
+        if len(self) >= REMEMBERED or self.held >= REMEMBERED_BYTES:
             self.older = dict(self), self.decoded
             self.clear()
-            self.decoded, self.empty = {}, set()
+            self.decoded, self.empty, self.held = {}, set(), 0
         # the strings of added tokens count as they are written, all else is lowered anyway
-        chunks = data.split() if b"<|" in data else data.lower().split()
+        chunks = data.split() if any(a in data for a in self.special) else data.lower().split()
         ids = b" ".join(map(self.__getitem__, chunks))
         if self.empty and not self.empty.isdisjoint(chunks):
             chunks = [c for c in chunks if self[c]]
@@ -239,6 +250,7 @@ def memo_of(path: str) -> Memo:
 
 def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``df`` with the token ids of its text as array<int>. A null text has no tokens; a column ``out_col`` is replaced."""
+    small_batches(df.sparkSession)
     df = df.drop(out_col)
     where = df.columns.index(text_col)
 
@@ -273,6 +285,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     The same as encode() then decode(), without carrying ids or texts out of the task. A null text counts as empty.
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Arrow batches have ``rows`` rows, for texts of several kilobytes each; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, str(rows))
+
+
 class Workspace:
     """Tables in the shared folder. ``keep`` writes and rereads a frame, which cuts its lineage; ``drop`` deletes tables.
 

@@ -15,6 +15,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ from .common import text_or_empty
 RUN = 8
 SHORT = 8  # hex digits of a node below the root
 ROWS_OF_A_BUCKET = 1000
-MOST_BUCKETS = 2000
+MOST_BUCKETS = 20_000
 OUT_ROWS = 500
 _SECTION = re.compile(r"(?s).+?(?:\n[ \t\r]*\n\s*|\Z)")
 _PARAGRAPH = re.compile(r"[^\n]*\n|[^\n]+")
@@ -82,19 +83,25 @@ def likeness(a: str, b: str) -> float:
     return (total - unlike) / total
 
 
+def _aligned(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> list[tuple[int, str, str]]:
+    """(place in a, body, body in b or '') of the branches of ``a`` that have no equal in order in ``b``: a changed run of branches meets
+    the run that stands in its place, so that inserted branches don't shift the later ones."""
+    match, out = SequenceMatcher(None, [k for k, _ in a], [k for k, _ in b], autojunk=False), []
+    for kind, i, j, m, n in match.get_opcodes():
+        if kind in ("replace", "delete"):
+            out += [(k, a[k][1], b[m + k - i][1] if m + k - i < n else "") for k in range(i, j)]
+    return out
+
+
 def differing(a: str, b: str) -> list[tuple[int, int, int]]:
-    """(section, paragraph, leaf) of the leaves of ``a`` below branches that ``b`` does not have in that place."""
+    """(section, paragraph, leaf) of the leaves of ``a`` that ``b`` does not have in that place, found below differing branches only."""
+    if a[:32] == b[:32]:
+        return []
     out = []
-    there = [(k, _BRANCH.findall(body)) for k, body in _TREE.findall(b)]
-    for i, (key, body) in enumerate(_TREE.findall(a)):
-        other = there[i] if i < len(there) else ("", [])
-        if key == other[0]:
-            continue
-        for j, (branch, leaves) in enumerate(_BRANCH.findall(body)):
-            same = other[1][j] if j < len(other[1]) else ("", "")
-            if branch != same[0]:
-                held = same[1].split(",")
-                out += [(i, j, k) for k, leaf in enumerate(leaves.split(",")) if k >= len(held) or leaf != held[k]]
+    for i, body, other in _aligned(_TREE.findall(a), _TREE.findall(b)):
+        for j, leaves, held in _aligned(_BRANCH.findall(body), _BRANCH.findall(other)):
+            pairs = [[(x, "") for x in side.split(",") if x] for side in (leaves, held)]
+            out += [(i, j, k) for k, _, _ in _aligned(*pairs)]
     return out
 
 
@@ -125,16 +132,13 @@ def in_turn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     cuts = rows.agg(F.percentile_approx("id", [k / buckets for k in range(1, buckets)], 20 * buckets)).first()[0] if n and buckets > 1 else []
     bounds = sorted(set(cuts or []))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        for batch in batches:
-            ids = batch.column(0)
-            at = len(bounds) - np.searchsorted(np.array(bounds, np.int64), ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), "left")
-            at = np.where(ids.is_null().to_numpy(zero_copy_only=False), len(bounds) + 1, at)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns], ["bucket", "id", "text", "h"])
-
-    placed = rows.mapInArrow(place, "bucket int, id long, text string, h long")
+    # a search by halves over the bounds, whose places below an id are counted
+    table, below, step = F.array(*map(F.lit, bounds)).cast("array<bigint>"), F.lit(0), 1 << len(bounds).bit_length()
+    while step := step >> 1:
+        further = lambda at, n=step: F.when(F.coalesce(F.get(table, at + (n - 1)) < F.col("id"), F.lit(False)), at + n).otherwise(at)
+        below = F.get(F.transform(F.array(below), further), 0)
+    bucket = F.when(F.col("id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - below).cast("int")
+    placed = rows.select(bucket.alias("bucket"), "id", "text", "h")
     first = placed.groupBy("bucket").agg(F.max(F.struct("id", "h")).alias("top")).orderBy("bucket").collect()
     before = [(r.bucket, r.top.id, r.top.h, first[k - 1].bucket) for k, r in enumerate(first)]
     table = spark.createDataFrame(before, "b int, top long, top_h long, before int")

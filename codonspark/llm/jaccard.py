@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Workspace, components, join_beside, split_limit, text_or_empty
+from .common import BROADCAST_ROWS, Workspace, components, join_beside, small_batches, split_limit, text_or_empty
 
 #: Members and elements of a region that one task joins; elements of a large region's group that one task compares with the pivot.
 SMALL, SMALL_ELEMENTS, SALT = 512, 1_000_000, 1_000_000
@@ -50,9 +50,9 @@ RING, RINGS = 1.7, 64
 #: Linked pairs share one cell more for each so many shingles in which they may differ.
 SPARE = 6
 MOST_ROUNDS = 5
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 100_000
 #: Sets that a task remembers, so that copies in it give their cells once.
-KNOWN_NODES = 200_000
+KNOWN_NODES = 100_000
 #: Frequent cells are found in one of so many documents' cells; the others need no pre-aggregation.
 CELL_SAMPLE, CELL_HITS = 16, 64
 #: Rows of an Arrow batch that are worked on at once.
@@ -253,6 +253,7 @@ class JaccardJoin:
         self.t, self.n, self.small, self.most_rounds, self.salt = Fraction(threshold), n, small, most_rounds, salt
         self.spark, self.id_col = df.sparkSession, id_col
         self.work = work or Workspace(self.spark, "jaccard")
+        small_batches(self.spark)
         docs = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
         #: mark tells rows apart that have no id
         self.docs = docs.select("id", F.xxhash64("id", "text").alias("mark"), F.col("text").cast("binary").alias("text"))

@@ -155,9 +155,9 @@ class Scanner:
         joined = b" " + b" ".join(words) + b" "
         base, more = [], []
         for phrase, label in self.phrases:
-            at = joined.find(phrase)
+            at, seen, first = joined.find(phrase), 0, 0
             while at >= 0:
-                first = joined.count(b" ", 0, at)
+                first, seen = first + joined.count(b" ", seen, at), at
                 base.append((label, first, first + phrase.count(b" ") - 1))
                 at = joined.find(phrase, at + 1)
         for word in self.starts.keys() & set(words) if self.starts else ():

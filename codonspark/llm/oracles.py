@@ -107,4 +107,28 @@ SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER
 FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id
 """
 
-SQL = {"op4_warc": WARC_SQL, "op5_url_filter": URL_SQL, "op6_licenses": LICENSE_SQL, "op8_quality": QUALITY_SQL, "op9_secrets": SECRET_SQL}
+_MIX_NUMBER = "('0x' || substr({}, 1, 15))::BIGINT"
+_MIX_OVERLAP = "greatest(least(start + size, {1}) - greatest(start, {0}), 0)"
+#: Seats are listed one by one here, and dealt by their quotients.
+MIXING_SQL = f"""
+WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'b' ELSE concat('a', source) END AS key, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,
+  md5(concat_ws('/', '17', coalesce(doc_id::VARCHAR, ''), coalesce(text, ''))) AS mark FROM documents),
+e AS (SELECT *, ({_MIX_NUMBER.format('mark')} % 4096)::INT AS bucket FROM d), g AS (SELECT *, bucket % 8 AS shard FROM e),
+s AS (SELECT key, sum(size)::BIGINT AS source_size FROM d GROUP BY key),
+w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY key) - 1) % 3 + 1)::INT] AS weight, (sum(source_size) OVER ())::BIGINT AS total,
+  coalesce(min(CASE WHEN source_size > 0 THEN source_size END) OVER (), 1)::BIGINT AS smallest, source_size * 2.0::DOUBLE AS cap FROM s),
+v AS (SELECT *, (total * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(weight) OVER (ORDER BY cap / weight, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS own FROM w),
+l AS (SELECT *, max(CASE WHEN own <= cap / weight THEN own END) OVER () AS level FROM v),
+t AS (SELECT key, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target, greatest(1, least(512, smallest // 128))::BIGINT AS block FROM l),
+n AS (SELECT g.key, shard, sum(size)::BIGINT AS words, any_value(source_size) AS source_size, any_value(target) AS target, any_value(block) AS block, ceil(sum(size) / any_value(block))::BIGINT AS blocks FROM g JOIN t ON g.key = t.key GROUP BY g.key, shard),
+a AS (SELECT key, sum(blocks)::BIGINT AS blocks, CASE WHEN any_value(source_size) > 0 THEN any_value(target) * sum(blocks)::BIGINT / any_value(source_size) ELSE 0.0 END AS due FROM n GROUP BY key),
+p AS (SELECT key, count(*) AS seats FROM (SELECT key, row_number() OVER (ORDER BY due / (2 * k - 1) DESC, key, k) AS place, floor((SELECT sum(due ORDER BY key) FROM a) + 0.5) AS house FROM (SELECT *, unnest(range(1, 2 * blocks + 1)) AS k FROM a WHERE due > 0)) WHERE place <= house GROUP BY key),
+q AS (SELECT key, shard, count(*) AS seats FROM (SELECT x.key, shard, seats, row_number() OVER (PARTITION BY x.key ORDER BY blocks / (2 * k - 1) DESC, shard, k) AS place FROM (SELECT *, unnest(range(1, 2 * blocks + 1)) AS k FROM n) x JOIN p ON x.key = p.key) WHERE place <= seats GROUP BY key, shard),
+r AS (SELECT n.*, coalesce(seats, 0)::BIGINT AS seats, CASE WHEN blocks > 0 THEN {_MIX_NUMBER.format("md5(concat_ws('/', '17', n.shard::VARCHAR, n.key))")} % blocks ELSE 0 END AS first FROM n LEFT JOIN q ON n.key = q.key AND n.shard = q.shard),
+c AS (SELECT *, CASE WHEN blocks > 0 THEN seats // blocks ELSE 0 END AS whole FROM r), x AS (SELECT *, seats - whole * blocks AS extra FROM c),
+o AS (SELECT g.doc_id, g.key, g.shard, g.size, coalesce(sum(size) OVER (PARTITION BY key, shard ORDER BY bucket, mark, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM g)
+SELECT doc_id, size, source_size, target, (whole * size + {_MIX_OVERLAP.format('0', 'greatest(first + extra - blocks, 0) * block')} + {_MIX_OVERLAP.format('first * block', 'least((first + extra) * block, words)')})::BIGINT AS taken
+FROM o JOIN x ON o.key = x.key AND o.shard = x.shard
+"""
+
+SQL = {"op7_mixing": MIXING_SQL, "op4_warc": WARC_SQL, "op5_url_filter": URL_SQL, "op6_licenses": LICENSE_SQL, "op8_quality": QUALITY_SQL, "op9_secrets": SECRET_SQL}

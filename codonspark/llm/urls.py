@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components
+from .common import Workspace, components, join_beside
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -128,5 +128,6 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, id_col: str = "p
         ends = links.select("url").union(links.select("target")).distinct().withColumn("node", key(F.col("url"))).withColumn("own", by_rule(host(F.col("url")), path(F.col("url")), rules)[1])
         decided = ends.join(classes, "node").groupBy("root").agg(F.max((F.col("own") == "allow").cast("int")).alias("allowed"), F.max((F.col("own") == "block").cast("int")).alias("blocked"))
         decided = decided.select("root", F.when(F.col("allowed") == 1, F.lit("allow")).when(F.col("blocked") == 1, F.lit("block")).alias("class_verdict"))
-        rows = rows.join(classes.join(decided, "root").select("node", "class_verdict"), "node", "left")
+        verdicts = work.keep(join_beside(classes, work.keep(decided, "decided"), "root").select("node", "class_verdict"), "verdicts")
+        rows = join_beside(rows, verdicts, "node", "left")
     return rows.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("own", "class_verdict", F.lit(default)).alias("verdict"), "class_verdict")

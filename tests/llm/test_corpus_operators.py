@@ -11,11 +11,12 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codonspark.llm import common, jaccard, mixing, queries, sharding, urls, warc
+from codonspark.llm import common, jaccard, mixing, oracles, queries, sharding, urls, warc
 from codonspark.llm.common import Workspace, components, word_count
 from tests.conftest import SMALL
 from tests.llm.fixtures import awkward, frame, table
@@ -53,6 +54,34 @@ def test_loads_are_bounded_and_moves_limited(spark):
     assert sharding.shard(df.limit(0), 8).count() == 0
 
 
+def shards_by_brute_force(rows, shards):
+    """Ring, virtual nodes and bounded loads once more: the heaviest places first, each to the first shard clockwise that has room."""
+    place = lambda shard, k: int.from_bytes(hashlib.sha256(f"{shard}/{k}".encode()).digest()[:8], "big") % sharding.POSITIONS
+    ring = sorted((place(s, k), s) for s in range(shards) for k in range(sharding.VIRTUAL_NODES))
+    loads = Counter()
+    for at, size in rows:
+        loads[at] += size
+    most = (1 + sharding.SLACK) * sum(loads.values()) / shards
+    full, to = Counter(), {}
+    for at, load in sorted(loads.items(), key=lambda x: (-x[1], x[0])):
+        clockwise = [s for p, s in ring if p >= at] + [s for _, s in ring]
+        fits = [s for s in clockwise if full[s] + load <= most]
+        to[at] = fits[0] if fits else min(range(shards), key=lambda s: (full[s], s))
+        full[to[at]] += load
+    return to
+
+
+def test_shards_equal_brute_force(spark):
+    rows = [(k, "x" * (k * 7919 % 400)) for k in range(3000)] + [(9000, None), (9001, "é" * 5000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5).collect()
+    want = shards_by_brute_force([(r.place, r["size"]) for r in got], 5)
+    assert len(got) == len(rows) and all(r.shard == want[r.place] for r in got)
+    places = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.place, r.doc_id)):
+        places[r.shard].append(r.slot)
+    assert all(x == list(range(len(x))) for x in places.values())
+
+
 def test_overfull_shards_pass_keys_on():
     loads = {k: 100 for k in range(0, 1000, 10)} | {5: 100000}
     to = sharding.walk(loads, 4, positions=1000)
@@ -198,6 +227,28 @@ def test_pieces_are_what_was_taken(spark):
             assert out[r.doc_id] == [rows[r.doc_id][1]] * 2
 
 
+def test_sql_twin_of_the_mix(spark, tmp_path):
+    rows = awkward(4, plain=150)
+    rows = [r for r in rows if r[0] != 7]
+    folder = table(spark, tmp_path, rows)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    want = {r[0]: r[1:] for r in con.execute(oracles.MIXING_SQL).fetchall()}
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op7_mixing(spark, folder).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][:2] + got[k][3:] == want[k][:2] + want[k][3:] and got[k][2] == pytest.approx(want[k][2]) for k in got)
+
+
+def test_hub_of_links(spark, monkeypatch):
+    """Ten thousand pages whose canonical links lead to one hub, which a rule blocks, and as many to one that is allowed."""
+    monkeypatch.setattr(common, "SPLIT_ROWS", 500)
+    rows = [(k, f"http://a{k}.org/x", f'<link rel="canonical" href="http://{"example.com/en/" if k % 2 else "www.example.com/en/"}hub">') for k in range(10_000)]
+    rows += [(-1, "http://example.com/en/hub", ""), (-2, "http://www.example.com/en/hub", ""), (-3, None, None), (-4, "http://b.org/", "")]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert all(got[k] == ("block" if k % 2 else "allow") for k in range(10_000))
+    assert (got[-1], got[-2], got[-3], got[-4]) == ("block", "allow", "allow", "allow")
+
+
 def test_word_count(spark):
     texts = [None, "", " ", "a", " a\tb\x0bc ", "\u00a0x \u2003 y"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")

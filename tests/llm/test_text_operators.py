@@ -1,6 +1,7 @@
 """Tokenising, fingerprints, licenses, quality rules and secrets against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -62,6 +63,20 @@ def test_encode_and_decode_frames(spark, library):
     assert bpe.encode(spark.createDataFrame([], "text string"), queries.vocabulary()).count() == 0
 
 
+def test_memo_is_bounded_by_bytes(library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 2000)
+    monkeypatch.setattr(bpe, "LONG", 20)
+    memo, rnd = bpe.Memo(queries.vocabulary()), random.Random(1)
+    for k in range(60):
+        text = " ".join("".join(rnd.choice("abcdeé日") for _ in range(rnd.choice([1, 3, 8, 60]))) for _ in range(rnd.randint(0, 12))) + (" <|endoftext|>x" if k % 7 == 0 else "")
+        ids, decoded = memo.text(text.encode())
+        want = library.encode(text, add_special_tokens=False).ids
+        assert [int(x) for x in ids.split()] == want and decoded.decode() == library.decode(want, skip_special_tokens=False)
+        assert memo.held < 2000 + 12 * 1500 and len(memo) == len(memo.decoded)
+    memo.text(b"")
+    assert all(len(c) <= 20 for c in memo)
+
+
 def test_fingerprints(spark, tmp_path):
     rows = awkward()
     got = queries.op10_fingerprints(spark, table(spark, tmp_path)).collect()
@@ -111,6 +126,43 @@ def test_edits_are_located():
     changed[30] = "new"
     assert fingerprints.differing(fingerprints.fingerprint(text(changed)), fingerprints.fingerprint(text(words))) == [(0, 1, 1)]
     assert fingerprints.differing(fingerprints.fingerprint("a"), fingerprints.fingerprint("a")) == []
+    tree = fingerprints.fingerprint
+    lines = [f"line {k} with some words" for k in range(6)]
+    inserted = [*lines[:2], "one line more", *lines[2:]]
+    assert fingerprints.differing(tree("\n".join(inserted)), tree("\n".join(lines))) == [(0, 2, 0)]
+    assert fingerprints.differing(tree("\n".join(lines)), tree("\n".join(inserted))) == []
+    assert fingerprints.differing(tree("new\n\n" + "\n".join(lines)), tree("\n".join(lines))) == [(0, 0, 0), (0, 1, 0)]
+
+
+def likeness_by_brute_force(a, b):
+    """Share of pieces (eight words of a line, blanks with them) that two texts of words and lines have in common."""
+    def pieces(text):
+        out = Counter()
+        for line in text.splitlines(keepends=True):
+            own = re.findall(r"\S+\s*", line)
+            out.update("".join(own[k:k + 8]) for k in range(0, len(own), 8)) if own else out.update([line])
+        return out
+
+    x, y = pieces(a), pieces(b)
+    total = sum(x.values()) + sum(y.values())
+    return 1.0 if a == b else 2 * sum((x & y).values()) / total if total else 0.0
+
+
+def test_likeness_equals_brute_force(spark):
+    rnd = random.Random(5)
+    line = lambda: " ".join(f"w{rnd.randrange(30)}" for _ in range(rnd.randint(1, 30)))
+    pool = [line() for _ in range(12)]
+    texts = ["\n".join(rnd.choice(pool) + rnd.choice(["", "\n"]) for _ in range(rnd.randint(0, 9))) for _ in range(60)]
+    rows = list(enumerate([*texts, texts[3], ""]))
+    got = {r.doc_id: r for r in fingerprints.against_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for k, text in rows:
+        following = rows[k - 1][1]
+        half = len(text) // 2
+        new = text[:len(text) - half] + following[:half]
+        assert got[k].near_next == pytest.approx(likeness_by_brute_force(text, following)), k
+        assert got[k].near_edited == pytest.approx(likeness_by_brute_force(text, new)), k
+        for m, other in rows:
+            assert (got[k].fingerprint == got[m].fingerprint) == (text == other)
 
 
 def test_license_phrases(spark, tmp_path):
