@@ -833,7 +833,16 @@ def average_folds(spark, sf_dir):
     return calibration.average_folds(oof).select("row_idx", *[r6(F.get("probs", k)).alias(f"p{k}") for k in range(3)])
 
 
-@query(None)
+_HAS = "coalesce(CASE l WHEN 'germanic' THEN label IN ('en', 'de') ELSE label IN ('fr', 'es') END, FALSE)"
+_FAR = {side: " + ".join(f"power((t.{f} - {side}_{f}) / s_{f}, 2)" for f in _FEATURES) for side in "xy"}
+_MULTI_SQL = (f"WITH t AS ({_TRAIN}), g AS (SELECT unnest(['germanic', 'romance']) AS l, unnest([0, 1]) AS k), h AS (SELECT t.*, l, k, {_HAS} AS has FROM t, g), "
+              f"a AS (SELECT {', '.join(f'CASE WHEN stddev_pop({f}) < 1e-9 THEN 1.0 ELSE stddev_pop({f}) END AS s_{f}' for f in _FEATURES)} FROM t), "
+              f"y AS (SELECT l, k, count(*) AS n, count(*) FILTER (has) AS m, {', '.join(f'avg({f}) FILTER (has) AS y_{f}, avg({f}) FILTER (NOT has) AS x_{f}' for f in _FEATURES)} FROM h GROUP BY l, k), "
+              f"p AS (SELECT t.input_order, l, k, 1 / (1 + exp(-(0.5 * ({_FAR['x']} - ({_FAR['y']})) + ln((m + 1.0) / (n - m + 1.0))))) AS p FROM t, y, a) "
+              "SELECT input_order, CASE WHEN max(p) >= 0.5 THEN string_agg(l, ',' ORDER BY k) FILTER (p >= 0.5) ELSE arg_max(l, p) END AS predicted FROM p GROUP BY input_order")
+
+
+@query(_MULTI_SQL)
 def multilabel_predictions(spark, sf_dir):
     data = _training(spark, sf_dir).withColumn("labels", F.array_compact(F.array(F.when(F.col("label").isin("en", "de"), "germanic"), F.when(F.col("label").isin("fr", "es"), "romance"))))
     out = centroid.predict_multilabel(data, centroid.fit_multilabel(data, _FEATURES, ("germanic", "romance")), _FEATURES)
@@ -849,7 +858,15 @@ def hash_split(spark, sf_dir):
     return calibration.split_by_hash(rows, 0.2).select("input_order", "is_valid")
 
 
-@query(None)
+#: Clusters are dealt one by one, with the folds' loads in arrays.
+_CLUSTERS = ("WITH RECURSIVE c AS (SELECT *, row_number() OVER (ORDER BY pos DESC, n DESC, cluster DESC) AS i FROM (SELECT coalesce(source, 'none') AS cluster, count(*) FILTER (lang = 'en') AS pos, count(*) AS n FROM documents GROUP BY 1)), "
+             "r AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS p, [0, 0, 0, 0, 0]::BIGINT[] AS m, NULL::VARCHAR AS cluster, NULL::BIGINT AS fold UNION ALL "
+             "SELECT i, list_transform(p, lambda x, j: x + CASE WHEN j = f THEN pos ELSE 0 END), list_transform(m, lambda x, j: x + CASE WHEN j = f THEN n ELSE 0 END), cluster, f FROM "
+             "(SELECT c.i, c.cluster, c.pos, c.n, r.p, r.m, struct_extract(list_min(list_transform(range(1, 6), lambda k: {'a': CASE WHEN c.pos > 0 THEN r.p[k] ELSE r.m[k] - r.p[k] END, 'b': r.m[k], 'f': k})), 'f') AS f FROM r JOIN c ON c.i = r.i + 1)) "
+             "SELECT cluster, (fold - 1)::INT AS fold FROM r WHERE i > 0")
+
+
+@query(_CLUSTERS)
 def cluster_folds(spark, sf_dir):
     return calibration.cluster_folds(table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("cluster"), (F.col("lang") == "en").alias("positive")), 5)
 
