@@ -485,7 +485,17 @@ def justify_gaps(spark, sf_dir):
     return gaps.justify_gaps(_docs(spark, sf_dir), 5).select("input_order", "id", "seq")
 
 
-@query(None)
+_N_RUNS = f"SELECT id, w[i] AS own, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT id, regexp_extract_all(seq, 'N+') AS w, string_split_regex(seq, 'N+') AS g FROM ({_DOCS})))"
+_EDITS = f"SELECT id AS seqid, list({{'s': s, 'd': 5 - length(own)}} ORDER BY s) AS edits FROM ({_N_RUNS}) WHERE length(own) <= 2 GROUP BY id"
+_EVENT_ROWS = "SELECT event_id AS line_no, concat('doc', user_id::VARCHAR) AS seqid, event_type AS type, (event_id % 400 - 40)::BIGINT AS a, (event_id % 400 - 40 + event_id % 97)::BIGINT AS b FROM events"
+
+
+def _shifted(x: str) -> str:
+    step = "{'pos': CASE WHEN t.pos > e.s + 1 + t.off THEN t.pos + e.d ELSE t.pos END, 'off': t.off + e.d}"
+    return f"CASE WHEN edits IS NULL THEN {x} ELSE struct_extract(list_reduce(edits, lambda t, e: {step}, {{'pos': {x}, 'off': 0::BIGINT}}), 'pos') END::INT"
+
+
+@query(f"SELECT line_no, v.seqid, type, {_shifted('a')} AS start, {_shifted('b')} AS \"end\" FROM ({_EVENT_ROWS}) v LEFT JOIN ({_EDITS}) d ON v.seqid = d.seqid")
 def shift_annotations(spark, sf_dir):
     return gaps.shift_annotations(_gff(spark, sf_dir), gaps.justify_gaps(_docs(spark, sf_dir), 5, 1, 2))
 
