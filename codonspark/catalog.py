@@ -900,7 +900,36 @@ def f1_thresholds(spark, sf_dir):
     return metrics.f1_thresholds(_scored(spark, sf_dir), most=20).withColumn("f1", r6("f1"))
 
 
-@query(None)
+def _softmax(kind: str, k: int) -> str:
+    """(input_order, class, p): nearest centroids of the column ``kind``, which has ``k`` values, over all base features."""
+    far = " + ".join(f"power((t.{f} - c_{f}) / s_{f}, 2)" for f in _BASE)
+    return (f"SELECT input_order, class, exp(v - max(v) OVER w) / sum(exp(v - top)) OVER w AS p FROM (SELECT *, max(v) OVER (PARTITION BY input_order) AS top FROM (SELECT t.input_order, class, -0.5 * ({far}) + ln((n + 1) / (total + {k})) AS v "
+            f"FROM t, a, (SELECT {kind} AS class, count(*) AS n, {', '.join(f'avg({f}) AS c_{f}' for f in _BASE)} FROM r GROUP BY 1))) WINDOW w AS (PARTITION BY input_order)")
+
+
+def _each(expression: str) -> str:
+    return ", ".join(f"({expression.format(c)}) AS {c}" for c in labels.CLASSES)
+
+
+def _pivoted(c: str) -> str:
+    return f"coalesce(max(p) FILTER (class = '{c}'), 0.0) AS {c}"
+
+
+_SUM = " + ".join(labels.CLASSES)
+_LOCALIZE = (
+    f"WITH t AS (SELECT input_order, id, lang, seq, {', '.join(f'({v})::DOUBLE AS {k}' for k, v in _BASE.items())} FROM ({PROTEINS})), "
+    "r AS (SELECT *, CASE lang WHEN 'en' THEN 'noTP' WHEN 'fr' THEN 'SP' WHEN 'de' THEN 'mTP' ELSE 'cTP' END AS label, CASE WHEN lang = 'es' THEN 'yes' ELSE 'no' END AS perox FROM t WHERE lang IN ('en', 'fr', 'de', 'es')), "
+    f"a AS (SELECT count(*) AS total, {', '.join(f'CASE WHEN stddev_pop({f}) < 1e-9 THEN 1.0 ELSE stddev_pop({f}) END AS s_{f}' for f in _BASE)} FROM r), "
+    f"p AS (SELECT input_order, {', '.join(map(_pivoted, labels.CLASSES))} FROM ({_softmax('label', 4)}) GROUP BY input_order), "
+    "g AS (SELECT input_order, noTP, SP, mTP, CASE WHEN input_order % 2 = 0 THEN 0.0 ELSE cTP END AS cTP, CASE WHEN input_order % 2 = 0 THEN 0.0 ELSE lTP END AS lTP FROM p), "
+    f"n AS (SELECT input_order, {_each('{0} / (' + _SUM + ')')} FROM g), q AS (SELECT input_order, {_each('power(least(1.0, greatest(1e-12, {0})), 2)')} FROM n), f AS (SELECT input_order, {_each('{0} / (' + _SUM + ')')} FROM q), "
+    f"y AS (SELECT input_order, max(p) FILTER (class = 'yes') AS yes FROM ({_softmax('perox', 2)}) GROUP BY input_order) "
+    f"SELECT t.input_order, id AS seq_id, CASE greatest(noTP, SP, mTP / 1.5::DOUBLE, cTP, lTP) WHEN noTP THEN 'noTP' WHEN SP THEN 'SP' WHEN mTP / 1.5::DOUBLE THEN 'mTP' WHEN cTP THEN 'cTP' ELSE 'lTP' END AS predicted_class, "
+    f"{', '.join(f'round({c}, 6) AS p_{c}' for c in labels.CLASSES)}, round(yes, 6) AS p_peroxisome, CASE WHEN regexp_matches(seq, '{P.PTS1}') THEN 'PTS1' WHEN regexp_matches(left(seq, 40), '{P.PTS2}') THEN 'PTS2' ELSE 'none' END AS perox_signal_type "
+    "FROM t JOIN f ON t.input_order = f.input_order JOIN y ON t.input_order = y.input_order")
+
+
+@query(_LOCALIZE)
 def localize(spark, sf_dir):
     """The classes of a fixed table are learned from texts of known language, and all texts are placed by them."""
     data = document_sequences(spark, sf_dir, residues=True)
