@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, text_or_empty
+from .common import releasing, small_batches, text_or_empty
 
 #: Unicode's White_Space, which the pre-tokenizer's \\s stands for.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Distinct stretches of text whose tokens a worker remembers; memory stays bounded whatever the corpus has.
-REMEMBERED = 60_000
+REMEMBERED = 30_000
 #: Bytes of stretches, ids and decoded texts in a generation, and the longest stretch that is remembered.
 REMEMBERED_BYTES, LONG = 16 << 20, 200
 OUT_ROWS = 500
@@ -133,7 +133,7 @@ class Tokenizer:
         key = (left, right)
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) > 200_000:
+            if len(self.fits) > 100_000:
                 self.fits.clear()
             found = self.fits[key] = self.border(left, right)
         return found
@@ -264,7 +264,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, out_col])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
+    return df.mapInArrow(releasing(run), T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -277,7 +277,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
             texts = [tokenizer(path).decode(ids or []) for ids in batch.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out_col])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())]))
+    return df.mapInArrow(releasing(run), T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,4 +300,4 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(releasing(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

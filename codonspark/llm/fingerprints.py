@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import releasing, text_or_empty
 
 RUN = 8
 SHORT = 8  # hex digits of a node below the root
@@ -114,7 +114,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(fingerprint, texts), pa.string())], ["id", "n_chars", "fingerprint"])
 
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_chars long, fingerprint string")
+    out = rows.mapInArrow(releasing(run), f"id {rows.schema['id'].dataType.simpleString()}, n_chars long, fingerprint string")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -182,4 +182,4 @@ def against_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return in_turn(df, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return in_turn(df, id_col, text_col).mapInArrow(releasing(run), schema).withColumnRenamed("id", id_col)

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Workspace, components, join_beside, small_batches, split_limit, text_or_empty
+from .common import BROADCAST_ROWS, Workspace, components, join_beside, releasing, small_batches, split_limit, text_or_empty
 
 #: Members and elements of a region that one task joins; elements of a large region's group that one task compares with the pivot.
 SMALL, SMALL_ELEMENTS, SALT = 512, 1_000_000, 1_000_000
@@ -50,7 +50,7 @@ RING, RINGS = 1.7, 64
 #: Linked pairs share one cell more for each so many shingles in which they may differ.
 SPARE = 6
 MOST_ROUNDS = 5
-KNOWN_WORDS = 100_000
+KNOWN_WORDS = 60_000
 #: Sets that a task remembers, so that copies in it give their cells once.
 KNOWN_NODES = 100_000
 #: Frequent cells are found in one of so many documents' cells; the others need no pre-aggregation.
@@ -285,7 +285,7 @@ class JaccardJoin:
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat),
                                                       pa.array(list(map(len, own)), pa.int32())], ["id", "mark", "node", "n_shingles", "cells", "n_cells"])
 
-        wide = self.work.keep(self.docs.mapInArrow(run, "id long, mark long, node long, n_shingles long, cells array<long>, n_cells int"), "wide")
+        wide = self.work.keep(self.docs.mapInArrow(releasing(run), "id long, mark long, node long, n_shingles long, cells array<long>, n_cells int"), "wide")
         return self.work.keep(wide.select("id", "mark", "node", "n_shingles"), "sets"), wide.where("n_cells > 0").select("node", "cells", "n_cells")
 
     def met(self, cells: DataFrame) -> DataFrame:
@@ -338,7 +338,7 @@ class JaccardJoin:
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["node", "size", "elements"])
 
         texts = join_beside(self.docs, chosen, "mark").select("node", "text")
-        found = self.work.keep(texts.mapInArrow(run, "node long, size long, elements array<long>"), "elements")
+        found = self.work.keep(texts.mapInArrow(releasing(run), "node long, size long, elements array<long>"), "elements")
         return self.work.keep(found.dropDuplicates(["node"]), "elements_once") if found.count() > chosen.count() else found
 
     def groups(self, places: DataFrame, pivot: str) -> DataFrame:
@@ -381,7 +381,7 @@ class JaccardJoin:
 
         rows = self.with_elements(groups, elements).select("region", "salt", "after", "node", "elements")
         rows = rows.repartition("region", "salt").sortWithinPartitions("region", "salt", "after")
-        return self.work.keep(rows.mapInArrow(run, "region long, node long, distance double, shell int, linked boolean"), "distances")
+        return self.work.keep(rows.mapInArrow(releasing(run), "region long, node long, distance double, shell int, linked boolean"), "distances")
 
     @staticmethod
     def with_elements(places: DataFrame, elements: DataFrame) -> DataFrame:
@@ -408,7 +408,7 @@ class JaccardJoin:
                 if found := join_small(members, t, None, every):
                     yield _pairs(found)
 
-        return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long")
+        return rows.repartition("region").sortWithinPartitions("region").mapInArrow(releasing(run), "a long, b long")
 
     def join_blocks(self, rows: DataFrame, counts: DataFrame, every: bool = False) -> DataFrame:
         """Links inside regions of any size, by exact comparison of all pairs of blocks of members; counts: (region, m) of all."""
@@ -423,7 +423,7 @@ class JaccardJoin:
                 if found := join_small(left, t, None, every) if i == j else join_small(left, t, right, every):
                     yield _pairs(found)
 
-        return rows.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j").mapInArrow(run, "a long, b long")
+        return rows.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j").mapInArrow(releasing(run), "a long, b long")
 
     def around_pivots(self, rows: DataFrame, places: DataFrame, named: bool) -> DataFrame:
         """(region, node, class, size, elements, near, pivot, first) of a large region's members but the pivot.
@@ -459,7 +459,7 @@ class JaccardJoin:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
 
         schema = "region long, node long, class long, size long, elements array<long>, near boolean, pivot long, first array<long>"
-        return rows.repartition("region", "salt").sortWithinPartitions("region", "salt", "after").mapInArrow(run, schema)
+        return rows.repartition("region", "salt").sortWithinPartitions("region", "salt", "after").mapInArrow(releasing(run), schema)
 
     def deal(self, near: DataFrame) -> DataFrame:
         """Smaller regions of differences: (region, node, class, size, elements), by the elements that partners must share.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import releasing, text_or_empty
 
 #: ASCII letters are lowered, other ASCII characters but digits part words, all else belongs to words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -190,4 +190,4 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), *lists], ["id", "n_words", "phrases", "templates"])
 
     kind = "array<struct<label:string,first:bigint,end:bigint>>"
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_words long, phrases {kind}, templates {kind}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(releasing(run), f"id {rows.schema['id'].dataType.simpleString()}, n_words long, phrases {kind}, templates {kind}").withColumnRenamed("id", id_col)

@@ -28,7 +28,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, join_beside
+from .common import Workspace, join_beside, releasing
 
 DATA, INDEX = "archive/data.warc", "indexes/index.jsonl"
 #: An archive is closed at this many bytes of records, or with its task's rows. A record that is larger is one archive; it is a cell of
@@ -246,7 +246,7 @@ def write_archives(pages: DataFrame, work: Workspace, id_col: str = "page_id", u
             yield close()
 
     # equal archives are one file: the list keeps both rows, so that repeated rows stay repeated
-    return work.keep(rows.mapInArrow(run, "path string, size long"), "archive_list")
+    return work.keep(rows.mapInArrow(releasing(run), "path string, size long"), "archive_list")
 
 
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
@@ -287,4 +287,4 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
 
     n, total = archives.selectExpr("count(*)", "coalesce(sum(size), 0)").first()
     tasks = max(1, min(n, max(archives.sparkSession.sparkContext.defaultParallelism, total // TASK_BYTES)))
-    return archives.select("path", "size").repartition(tasks).mapInArrow(run, schema)
+    return archives.select("path", "size").repartition(tasks).mapInArrow(releasing(run), schema)
