@@ -26,7 +26,7 @@ from .common import releasing, small_batches, text_or_empty
 #: Unicode's White_Space, which the pre-tokenizer's \\s stands for.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Distinct stretches of text whose tokens a worker remembers; memory stays bounded whatever the corpus has.
-REMEMBERED = 30_000
+REMEMBERED = 200_000
 #: Bytes of stretches, ids and decoded texts in a generation, and the longest stretch that is remembered.
 REMEMBERED_BYTES, LONG = 16 << 20, 200
 OUT_ROWS = 500
@@ -133,7 +133,7 @@ class Tokenizer:
         key = (left, right)
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) > 100_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
             found = self.fits[key] = self.border(left, right)
         return found
