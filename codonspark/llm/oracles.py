@@ -131,4 +131,74 @@ SELECT doc_id, size, source_size, target, (whole * size + {_MIX_OVERLAP.format('
 FROM o JOIN x ON o.key = x.key AND o.shard = x.shard
 """
 
-SQL = {"op7_mixing": MIXING_SQL, "op4_warc": WARC_SQL, "op5_url_filter": URL_SQL, "op6_licenses": LICENSE_SQL, "op8_quality": QUALITY_SQL, "op9_secrets": SECRET_SQL}
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Every kept term beside every source, and every pair of sources beside every term: the operator's sums without its short cuts.
+DIVERGENCE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '{_TERM}') AS ws FROM documents),
+c AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(ws) AS term FROM d) GROUP BY r, lang, source, term),
+k AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY lang, term HAVING count(*) >= 3),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS held FROM k GROUP BY lang),
+n AS (SELECT c.lang, c.source, c.term, sum(c.n)::HUGEINT AS n FROM c JOIN k ON c.lang = k.lang AND c.term = k.term GROUP BY c.lang, c.source, c.term),
+t AS (SELECT lang, source, sum(n)::HUGEINT AS held FROM n GROUP BY lang, source),
+g AS (SELECT DISTINCT lang, source FROM d),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n.n, 0) + 1) // (coalesce(t.held, 0) + v.v) AS p, 1 + 1000000000::HUGEINT * (k.n + 1) // (v.held + v.v) AS q
+  FROM g JOIN v ON g.lang = v.lang JOIN k ON g.lang = k.lang LEFT JOIN t ON g.lang = t.lang AND g.source = t.source LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u) WHERE part = 'pair' OR rank <= 200
+"""
+
+#: States of the form (s?(ua)+)?: where each output letter leads, and the inserts that complete it.
+_FORM = {("E", "s"): "S", ("E", "u"): "U", ("S", "u"): "U", ("U", "a"): "A", ("A", "u"): "U"}
+_TO_END = "('E', 0, ''), ('A', 0, ''), ('U', 3, 'I'), ('S', 6, 'II')"
+
+
+def _edits() -> str:
+    """VALUES of (state, letter, next, cost, edits): up to two inserts, then the row's own edit."""
+    out = []
+    for state in "ESUA":
+        before = [(state, 0, "")]
+        for _ in range(2):
+            at, cost, edits = before[-1]
+            before.append((_FORM.get((at, "u")) or _FORM[at, "a"], cost + 3, edits + "I"))
+        for letter in ["d", *"suao", *"SUAO"]:
+            more = 3 * letter.isupper()
+            for at, cost, edits in before:
+                out.append((state, letter, at, cost + 4, edits + "D"))
+                if letter != "d" and (at, letter.lower()) in _FORM:
+                    out.append((state, letter, _FORM[at, letter.lower()], cost + more, edits + "K"))
+                if letter != "d":
+                    out += [(state, letter, to, cost + 3 + more, edits + "R") for (x, role), to in _FORM.items() if x == at and role != "s"]
+    return ", ".join(map(str, out))
+
+
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT)"
+_DAMAGE = _CRC.format("concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' '))")
+REPAIR_SQL = rf"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_DAMAGE} % 20 AS kind FROM conversations),
+m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, CASE WHEN kind = 3 THEN 2 ELSE 1 END AS copies FROM o WHERE kind <> 0),
+n AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM (SELECT *, unnest(range(copies)) AS copy FROM m)),
+x AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN NOT regexp_matches(text, '{_WORD}') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM n),
+r AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'd' WHEN fault = 'truncated' THEN upper(CASE WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'o' END) WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'o' END AS letter,
+  CASE WHEN i > 1 AND concat(lag(initial) OVER (PARTITION BY conv_id ORDER BY i), initial) NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END AS illegal FROM x),
+c AS (SELECT DISTINCT conv_id FROM conversations),
+moves(state, letter, next, cost, edits) AS (VALUES {_edits()}),
+dp(conv_id, i, state, cost, audit) AS (SELECT conv_id, 0::BIGINT, 'E', 0, '' FROM c UNION ALL
+  SELECT conv_id, i, state, best.c, best.a FROM (SELECT dp.conv_id, r.i, moves.next AS state, min({{'c': dp.cost + moves.cost, 'a': dp.audit || moves.edits}}) AS best
+    FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1 JOIN moves ON moves.state = dp.state AND moves.letter = r.letter GROUP BY dp.conv_id, r.i, moves.next)),
+s AS (SELECT c.conv_id, coalesce(max(r.i), 0) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, coalesce(sum(illegal), 0)::BIGINT AS illegal
+  FROM c LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id),
+e AS (SELECT s.conv_id, min({{'c': dp.cost + z.cost, 'a': dp.audit || z.edits}}) AS best FROM s JOIN dp ON dp.conv_id IS NOT DISTINCT FROM s.conv_id AND dp.i = s.rows JOIN (VALUES {_TO_END}) z(state, cost, edits) ON z.state = dp.state GROUP BY s.conv_id),
+h AS (SELECT conv_id, best.a AS audit, unnest(range(1, length(best.a) + 1)) AS pos FROM e),
+w AS (SELECT h.conv_id, pos, audit[pos] AS edit, length(replace(audit[:pos], 'I', '')) AS i FROM h),
+y AS (SELECT w.conv_id, pos, edit, r.role, r.text, row_number() OVER (PARTITION BY w.conv_id ORDER BY pos) - CASE WHEN first_value(edit = 'K' AND r.initial = 's') OVER (PARTITION BY w.conv_id ORDER BY pos) THEN 1 ELSE 0 END AS place
+  FROM w LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i WHERE edit <> 'D'),
+t AS (SELECT conv_id, string_agg(concat(CASE WHEN edit = 'K' THEN role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END, ':', CASE WHEN edit <> 'I' THEN text END), chr(10) ORDER BY pos) AS whole FROM y GROUP BY conv_id)
+SELECT s.conv_id, gaps, blank, duplicate, truncated, illegal, best.c::BIGINT AS cost, best.a AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM s JOIN e ON e.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+"""
+
+SQL = {"op7_mixing": MIXING_SQL, "op4_warc": WARC_SQL, "op5_url_filter": URL_SQL, "op6_licenses": LICENSE_SQL, "op8_quality": QUALITY_SQL, "op9_secrets": SECRET_SQL, "op11_divergence": DIVERGENCE_SQL,
+       "op13_repair": REPAIR_SQL}

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard, licenses, mixing, oracles, quality, secrets, sharding, urls, warc
+from . import bpe, classifier, divergence, fingerprints, jaccard, licenses, mixing, oracles, quality, repair, secrets, sharding, urls, warc
 from .common import Workspace
 
 SHARDS = 8
@@ -83,6 +83,19 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_next(documents(spark, sf_dir))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op12_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    return classifier.classify(documents(spark, sf_dir), labels)
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +103,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op2_bpe, op3_jaccard_join, op4_warc, op5_url_filter, op6_licenses, op7_mixing, op8_quality, op9_secrets, op10_fingerprints, pipeline)
+    own = (op1_sharding, op2_bpe, op3_jaccard_join, op4_warc, op5_url_filter, op6_licenses, op7_mixing, op8_quality, op9_secrets, op10_fingerprints, op11_divergence, op12_classifier, op13_repair, pipeline)
     return {f.__name__: f for f in own}
 
 
