@@ -92,8 +92,9 @@ class Model:
         return np.concatenate([_design(x[k:k + SLICE], self.mean, self.spread) @ self.weights for k in range(0, len(x), SLICE)] or [np.zeros(0)])
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Calibrated scores: between the centres of two blocks by a straight line."""
-        return np.interp(self.raw(x), self.at, self.calibrated)
+        """Calibrated scores: between the centres of two blocks by a straight line. Nine digits, as the last ones of a product
+        depend on the rows beside it."""
+        return np.round(np.clip(np.interp(self.raw(x), self.at, self.calibrated), 0, 1), 9)
 
 
 def _directions() -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +211,7 @@ def score(stats: DataFrame, model: Model, predict_at: float = PREDICT_AT) -> Dat
     """(doc_id, held_out, score, predicted) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.clip(model.score(_matrix(batch.column(2))), 0, 1) if batch.num_rows else np.zeros(0)
+            s = model.score(_matrix(batch.column(2))) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= predict_at).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return stats.select("doc_id", "held_out", "x").mapInArrow(releasing(run), "doc_id long, held_out boolean, score double, predicted int")
