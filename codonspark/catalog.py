@@ -356,12 +356,13 @@ _AREA = f"""WITH a AS ({_SMALL}), c AS (SELECT alignment_id, k AS site, bit_or(C
 s AS (SELECT alignment_id, mask, count(*) AS sites FROM c GROUP BY ALL), n AS (SELECT alignment_id, max(m) AS m FROM a GROUP BY ALL), u AS (SELECT alignment_id, m, unnest(range(1, 1::BIGINT << m)) AS subset FROM n),
 x AS (SELECT u.alignment_id, u.subset, bit_count(u.subset)::BIGINT AS kept, coalesce(sum(sites) FILTER ((mask & u.subset) = u.subset), 0)::BIGINT AS complete_sites, list_filter(range(m), lambda i: (u.subset >> i) & 1 = 1) AS places FROM u JOIN s ON u.alignment_id = s.alignment_id GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY alignment_id ORDER BY kept * complete_sites DESC, kept DESC, places) AS r FROM x)
-SELECT b.alignment_id, kept, complete_sites, kept * complete_sites AS area, (SELECT string_agg(input_order::VARCHAR, ',' ORDER BY place) FROM a WHERE a.alignment_id = b.alignment_id AND (b.subset >> place) & 1 = 1) AS kept_orders FROM b WHERE r = 1"""
+SELECT b.alignment_id, 'exact' AS mode, kept, complete_sites, kept * complete_sites AS area, (SELECT string_agg(input_order::VARCHAR, ',' ORDER BY place) FROM a WHERE a.alignment_id = b.alignment_id AND (b.subset >> place) & 1 = 1) AS kept_orders FROM b WHERE r = 1
+UNION ALL SELECT alignment_id, 'over the limit', NULL, NULL, NULL, NULL FROM ({ALIGNED}) GROUP BY alignment_id HAVING count(*) > {_EXACT}"""
 
 
 @query(_AREA)
 def largest_area(spark, sf_dir):
-    return sites.largest_area(document_alignments(spark, sf_dir), most_sequences=_EXACT).withColumn("kept_orders", F.array_join("kept_orders", ","))
+    return sites.largest_area(document_alignments(spark, sf_dir), most_sequences=_EXACT, over_limit="row").withColumn("kept_orders", F.array_join("kept_orders", ","))
 
 
 @query(None)
@@ -881,13 +882,13 @@ def cluster_folds(spark, sf_dir):
     return calibration.cluster_folds(table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("cluster"), (F.col("lang") == "en").alias("positive")), 5)
 
 
-_SCORED = "SELECT doc_id, quality AS truth, round((doc_id * 7919 % 1000) / 1000.0::DOUBLE, 2) AS score FROM labels"
+_SCORED = "SELECT doc_id, quality AS truth, (doc_id * 7919 % 1000 // 10) / 100.0::DOUBLE AS score FROM labels"
 _STEPS = f"SELECT s, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(neg) OVER (ORDER BY s DESC) AS fp, sum(pos) OVER () AS p FROM (SELECT score AS s, count(*) FILTER (truth = 1) AS pos, count(*) FILTER (truth <> 1) AS neg FROM ({_SCORED}) GROUP BY score)"
 _F1S = f"SELECT s AS threshold, 2 * tp / (tp + fp + p) AS f1, tp::BIGINT AS tp, fp::BIGINT AS fp, (p - tp)::BIGINT AS fn FROM ({_STEPS})"
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("truth"), F.round((F.col("doc_id") * 7919 % 1000) / 1000.0, 2).alias("score"))
+    return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("truth"), (F.floor(F.col("doc_id") * 7919 % 1000 / 10) / 100.0).alias("score"))
 
 
 @query(f"SELECT threshold, round(f1, 6) AS f1, tp, fp, fn FROM (SELECT * FROM ({_F1S}) ORDER BY f1 DESC, threshold DESC LIMIT 1)")

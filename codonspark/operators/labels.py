@@ -69,14 +69,51 @@ def kingdom(lineage: Column) -> Column:
 
 
 def organism_group(value: Column) -> Column:
-    """plant, non_plant or empty; null for a value that is neither known nor empty."""
+    """plant, non_plant or empty; null for a value that is neither known nor empty.
+
+    ``organism_group_of`` goes on to kingdom and lineage where the value is empty.
+    """
     text = F.regexp_replace(F.lower(F.trim(F.coalesce(value, F.lit("")))), r"[\s\-]+", "_")
     return F.when(text.isin("", "unknown", "auto"), "").when(text.isin(*PLANT), "plant").when(text.isin(*NON_PLANT), "non_plant")
 
 
+def organism_group_of(rows: DataFrame) -> Column:
+    """The group that a table's columns tell, as text: ``organism_group`` if it says anything, else plant or non_plant by ``kingdom``, else
+    by ``lineage_ids``, else unknown. Columns that the table lacks say nothing."""
+    held = lambda name: F.trim(F.coalesce(F.col(name).cast("string"), F.lit(""))) if name in rows.columns else F.lit("")
+    own, realm, ids = held("organism_group"), F.lower(held("kingdom")), taxon_ids(held("lineage_ids"))
+    by_kingdom = F.when(realm == "viridiplantae", "plant").when(realm.isin("metazoa", "fungi", "other"), "non_plant")
+    euk = F.array_contains(ids, EUKARYOTA)
+    by_lineage = F.when(euk & F.array_contains(ids, VIRIDIPLANTAE), "plant").when(euk, "non_plant")
+    return F.when(own != "", own).otherwise(F.coalesce(by_kingdom, by_lineage, F.lit("unknown")))
+
+
+#: Fixed: names of classes, without blanks, bars and hyphens.
+CLASS_NAMES = {
+    "noTP": ("notp", "none", "cytosol", "cytoplasm"),
+    "SP": ("sptp", "sp", "signalpeptide", "secreted"),
+    "mTP": ("mtp", "mitochondria", "mitochondrion"),
+    "cTP": ("ctp", "chloroplast", "plastid"),
+    "lTP": ("ltp", "thylakoid", "lumen"),
+}
+#: Fixed: what is read as yes, no and nothing.
+YES = ("1", "y", "yes", "true", "t", "peroxisome", "peroxisomal")
+NO = ("0", "n", "no", "false", "f", "non-peroxisomal", "not_peroxisomal")
+NOTHING = ("", "na", "nan", "none")
+
+
+def localization_class(value: Column) -> Column:
+    """The class that a name stands for, in any case; raises in the job for null and for names that are unknown."""
+    text = F.regexp_replace(F.lower(F.trim(value.cast("string"))), r"[\s_\-]+", "")
+    known = F.coalesce(*[F.when(text.isin(*names), F.lit(c)) for c, names in CLASS_NAMES.items()])
+    return F.coalesce(known, F.raise_error(F.concat(F.lit("no such localization: "), F.coalesce(value.cast("string"), F.lit("null")))).cast("string"))
+
+
 def yes_no(value: Column, default: str = "no") -> Column:
+    """yes or no; ``default`` where nothing is said. Raises in the job for what is unknown."""
     text = F.lower(F.trim(F.coalesce(value.cast("string"), F.lit(""))))
-    return F.when(text.isin("yes", "y", "true", "t", "1"), "yes").when(text.isin("no", "n", "false", "f", "0"), "no").when(text == "", default)
+    known = F.when(text.isin(*YES), "yes").when(text.isin(*NO), "no").when(text.isin(*NOTHING), default)
+    return F.coalesce(known, F.raise_error(F.concat(F.lit("neither yes nor no: "), value.cast("string"))).cast("string"))
 
 
 def label_summary(rows: DataFrame, labels: str = "localization_labels") -> DataFrame:

@@ -66,18 +66,20 @@ def localize(seqs: DataFrame, model: Model, mode: str = "auto", table: int | str
 def training_rows(table: DataFrame, seq: str = "sequence", mode: str = "auto", code: int | str = 1) -> DataFrame:
     """Rows of a training table with label, perox and the base features.
 
-    A column ``localization`` gives the class, else it is inferred from ``cc_subcellular_location``; ``peroxisome`` likewise. Rows whose
-    text names several places are left out. ValueError if neither column is there.
+    A column ``localization`` gives the class (see ``labels.localization_class``), else it is inferred from ``cc_subcellular_location``;
+    ``peroxisome`` likewise. Rows whose text names several places are left out, no others: unknown names and empty sequences raise
+    in the job. ValueError if neither column is there.
     """
-    rows = table
+    held = F.trim(F.coalesce(F.col(seq), F.lit("")))
+    rows = table.withColumn("_seq", F.when(held != "", held).otherwise(F.raise_error(F.lit("an empty sequence in the training table")).cast("string")))
     if "localization" in table.columns:
-        rows = rows.withColumn("label", F.trim("localization")).withColumn("perox", labels.yes_no(F.col("peroxisome")) if "peroxisome" in table.columns else F.lit("no"))
+        rows = rows.withColumn("label", labels.localization_class(F.col("localization"))).withColumn("perox", labels.yes_no(F.col("peroxisome")) if "peroxisome" in table.columns else F.lit("no"))
     elif "cc_subcellular_location" in table.columns:
         own = labels.from_location_text(F.col("cc_subcellular_location"))
-        rows = rows.withColumn("_l", own).where("NOT _l.ambiguous").select(*table.columns, F.col("_l.label").alias("label"), F.col("_l.perox").alias("perox"))
+        rows = rows.withColumn("_l", own).where("NOT _l.ambiguous").select(*table.columns, "_seq", F.col("_l.label").alias("label"), F.col("_l.perox").alias("perox"))
     else:
         raise ValueError("a training table has localization or cc_subcellular_location")
-    return with_features(rows.where(F.col("label").isin(*CLASSES)).withColumn("seq", F.col(seq)), mode, code)
+    return with_features(rows.withColumn("seq", F.col("_seq")).drop("_seq"), mode, code)
 
 
 def predefined_folds(rows: DataFrame, column: str = "fold") -> DataFrame:

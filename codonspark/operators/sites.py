@@ -135,28 +135,39 @@ def state_matrix(seqs: DataFrame, table: int | str = 1) -> DataFrame:
     return seqs.select(A, "input_order", "id", S.codon_states(F.col("seq"), table).alias("states"))
 
 
+#: Sequences that one mask has bits for.
+MOST_BITS = 63
+
+
 def presence(seqs: DataFrame, missing: str = "-?.") -> DataFrame:
     """(alignment_id, mask, sites): how many codon columns have the same sequences present.
 
-    Bit k of ``mask`` stands for the k-th sequence in input order; at most 63 sequences. Equal columns are merged before
-    any search for a subset.
+    Bit k of ``mask`` stands for the k-th sequence in input order; alignments of more than MOST_BITS sequences raise in the job.
+    Equal columns are merged before any search for a subset.
     """
     rank = F.row_number().over(Window.partitionBy(A).orderBy("input_order")) - 1
-    rows = seqs.withColumn("_bit", F.call_function("shiftleft", F.lit(1).cast("long"), rank.cast("int")))
+    fits = F.when(rank < MOST_BITS, rank).otherwise(F.raise_error(F.lit(f"an alignment of more than {MOST_BITS} sequences")).cast("int"))
+    rows = seqs.withColumn("_bit", F.call_function("shiftleft", F.lit(1).cast("long"), fits.cast("int")))
     rows = rows.select(A, "_bit", F.posexplode(S.codons(F.col("seq"))).alias("site", "codon"))
     held = F.when(F.length(F.translate("codon", missing, "")) == F.length("codon"), F.col("_bit")).otherwise(F.lit(0).cast("long"))
     masks = rows.groupBy(A, "site").agg(F.bit_or(held).alias("mask"))
     return masks.groupBy(A, "mask").agg(F.count("*").alias("sites"))
 
 
-def largest_area(seqs: DataFrame, missing: str = "-?.", most_sequences: int = 16, max_removed: int | None = None, keep: str | None = None) -> DataFrame:
-    """(alignment_id, kept, complete_sites, area, kept_orders): the subset of sequences with the largest kept * complete columns.
+def largest_area(seqs: DataFrame, missing: str = "-?.", most_sequences: int = 16, max_removed: int | None = None, keep: str | None = None,
+                 over_limit: str = "raise") -> DataFrame:
+    """(alignment_id, mode, kept, complete_sites, area, kept_orders): the subset of sequences with the largest kept * complete columns.
 
     Of equal areas more sequences win, then the lexicographically smallest list of places. All subsets of alignments of at
-    most ``most_sequences`` are tried: 2^n for each against its merged columns. Larger alignments are left out here;
-    ``greedy_area`` serves them. ``keep``: a pattern of ids that must stay.
+    most ``most_sequences`` are tried: 2^n for each against its merged columns. ``greedy_area`` serves larger alignments; here they raise
+    ValueError, or with ``over_limit="row"`` have a row of the mode ``over the limit`` with nulls. ``keep``: a pattern of ids that must stay.
     """
+    if over_limit not in ("raise", "row"):
+        raise ValueError(f"over_limit is raise or row: {over_limit}")
     size = seqs.groupBy(A).agg(F.count("*").alias("n"))
+    beyond = size.where(F.col("n") > most_sequences).select(A)
+    if over_limit == "raise" and not beyond.isEmpty():
+        raise ValueError(f"alignments of more than {most_sequences} sequences need greedy_area")
     fits = seqs.join(size.where(F.col("n") <= most_sequences).select(A), A, "left_semi")
     rank = F.row_number().over(Window.partitionBy(A).orderBy("input_order")) - 1
     placed = fits.select(A, "input_order", "id", rank.alias("place"))
@@ -173,7 +184,9 @@ def largest_area(seqs: DataFrame, missing: str = "-?.", most_sequences: int = 16
     places = F.transform(F.filter("members", lambda m: F.call_function("shiftright", F.col("subset"), m["place"].cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1), lambda m: m["place"])
     best = rows.groupBy(A).agg(F.min(F.struct((-F.col("kept") * F.col("complete_sites")).alias("area"), (-F.col("kept")).alias("kept"), places.alias("places"), "complete_sites", "members")).alias("b"))
     orders = F.transform("b.places", lambda p: F.get(F.col("b.members"), p)["input_order"])
-    return best.select(A, (-F.col("b.kept")).alias("kept"), F.col("b.complete_sites").alias("complete_sites"), (-F.col("b.area")).alias("area"), orders.alias("kept_orders"))
+    found = best.select(A, F.lit("exact").alias("mode"), (-F.col("b.kept")).alias("kept"), F.col("b.complete_sites").alias("complete_sites"), (-F.col("b.area")).alias("area"), orders.alias("kept_orders"))
+    nothing = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in found.columns[2:]]
+    return found if over_limit == "raise" else found.union(beyond.select(A, F.lit("over the limit"), *nothing))
 
 
 def complete_columns(seqs: DataFrame, missing: str = "-?.") -> DataFrame:
@@ -187,7 +200,7 @@ def max_align(seqs: DataFrame, missing: str = "-?.", most_sequences: int = 16, *
 
     ``keep`` (a pattern of ids that must stay) and ``max_removed`` hold in both.
     """
-    exact = largest_area(seqs, missing, most_sequences, **options)
+    exact = largest_area(seqs, missing, most_sequences, over_limit="row", **options)
     small = seqs.join(exact.select(A, F.explode("kept_orders").alias("input_order")), [A, "input_order"], "left_semi")
     large = seqs.join(seqs.groupBy(A).agg(F.count("*").alias("_n")).where(F.col("_n") > most_sequences).select(A), A, "left_semi")
     return complete_columns(small.unionByName(_greedy_rows(large, missing, **options).drop("area")), missing)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -66,10 +67,15 @@ def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder that all executors share (spark.checkpoint.dir, else a temporary one) and read again."""
+    """``df`` written to the folder that all executors share, spark.checkpoint.dir, and read again.
+
+    In local mode, where one machine is all there is, a temporary folder is set where that is unset; on a cluster its absence raises.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="codonspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -87,6 +87,13 @@ def test_largest_area(spark):
     kept = sites.largest_area(align(spark, groups[1]), keep="s2").first()
     assert 2 in kept.kept_orders
     assert sites.largest_area(align(spark, groups[0]), max_removed=0).first().kept == 4
+    uneven = align(spark, ["ATGAAA"] * 18, groups[1])
+    with pytest.raises(ValueError, match="16 sequences"):
+        sites.largest_area(uneven)
+    assert sorted((r.alignment_id, r.mode, r.kept) for r in sites.largest_area(uneven, over_limit="row").collect()) == [(0, "over the limit", None), (1, "exact", 2)]
+    with pytest.raises(Exception, match="more than 63 sequences"):
+        sites.presence(align(spark, ["ATG"] * 70)).collect()
+    assert sites.presence(align(spark, ["ATG"] * 63)).first().mask == (1 << 63) - 1
 
 
 def test_greedy_area(spark):
@@ -243,8 +250,13 @@ def test_labels(spark):
     folds = labels.stratified_folds(spark.range(23).select(F.col("id").alias("input_order"), (F.col("id") % 2).alias("label")), 5)
     assert max(r["count"] for r in folds.groupBy("label", "fold").count().collect()) == 3
     assert labels.capped_sample(folds.drop("fold"), 4).count() == 8
-    one = lambda v: spark.range(1).select(labels.organism_group(F.lit(v)).alias("g"), labels.yes_no(F.lit(v)).alias("y")).first()
-    assert one("Non-Plant").g == "non_plant" and one(" Plants ").g == "plant" and one("?").g is None and one("TRUE").y == "yes" and one("").y == "no"
+    one = lambda v: spark.range(1).select(labels.organism_group(F.lit(v)).alias("g")).first().g
+    assert one("Non-Plant") == "non_plant" and one(" Plants ") == "plant" and one("?") is None
+    yes = spark.createDataFrame([("TRUE",), ("",), (None,), ("Peroxisome",), ("not_peroxisomal",)], "v string").select(labels.yes_no(F.col("v")).alias("y")).collect()
+    assert [r.y for r in yes] == ["yes", "no", "no", "yes", "no"]
+    of = spark.createDataFrame([("own", "Fungi", ""), (" ", "Viridiplantae", "2759"), (None, "Fungi", ""), ("", "x", "1 2759 33090"), ("", "", "2759 4751"), ("", None, "2")], "organism_group string, kingdom string, lineage_ids string")
+    assert [r.g for r in of.select(labels.organism_group_of(of).alias("g")).collect()] == ["own", "plant", "non_plant", "plant", "non_plant", "unknown"]
+    assert of.drop("organism_group", "kingdom").select(labels.organism_group_of(of.drop("organism_group", "kingdom")).alias("g")).first().g == "unknown"
 
 
 def test_metrics(spark):

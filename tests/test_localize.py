@@ -51,6 +51,12 @@ def test_folds_and_groups(spark):
         localize.training_rows(table.drop("localization"))
     text = spark.createDataFrame([("MKV", "Secreted"), ("MKV", "Mitochondrion. Secreted"), ("MKV", "Peroxisome")], "sequence string, cc_subcellular_location string")
     assert [(r.label, r.perox) for r in localize.training_rows(text, mode="protein").collect()] == [("SP", "no"), ("noTP", "yes")]
+    names = [("MKV", "Mitochondrion", "peroxisomal"), ("MKV", " thylakoid ", None), ("MKV", "signal-peptide", "na"), ("MKV", "no_TP", "F")]
+    table = spark.createDataFrame(names, "sequence string, localization string, peroxisome string")
+    assert [(r.label, r.perox) for r in localize.training_rows(table, mode="protein").collect()] == [("mTP", "yes"), ("lTP", "no"), ("SP", "no"), ("noTP", "no")]
+    for bad, what in ((("MKV", "bogus", "no"), "no such localization: bogus"), (("MKV", None, "no"), "no such localization"), (("MKV", "SP", "maybe"), "neither yes nor no: maybe"), ((" ", "SP", "no"), "empty sequence")):
+        with pytest.raises(Exception, match=what):
+            localize.training_rows(spark.createDataFrame([names[0], bad], table.schema), mode="protein").collect()
     coded = spark.createDataFrame([(0, "s", "ATGAAATAA")], "input_order int, id string, seq string")
     row = localize.localize(coded, localize.Model(model.classes, model.perox, 0.5, {"cTP": 9.0}), "dna", group=F.lit("non_plant")).first()
     assert row.p_cTP == row.p_lTP < 1e-20 and row.predicted_class in ("noTP", "SP", "mTP")
