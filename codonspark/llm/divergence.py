@@ -38,7 +38,11 @@ from .common import BROADCAST_ROWS, Workspace, releasing, small_batches, text_or
 
 SCALE, MIN_DOCUMENTS, TOP_TERMS = 1_000_000_000, 3, 200
 #: Counts of terms that a task holds before it flushes them; pairs of sources, and candidates of the term report.
-HELD_TERMS, HELD_PAIRS, HELD_CANDIDATES = 400_000, 1_000_000, 400_000
+HELD_TERMS, HELD_PAIRS, HELD_CANDIDATES = 800_000, 1_000_000, 400_000
+#: The sort's columns: the term first, as a sort compares the first eight bytes of its first column at once, and languages are few.
+ORDER = ("term", "lang", "source")
+#: Rows of an Arrow batch: texts on the way in, and short rows in the scans.
+BATCH = 5000
 #: Pairs of rows that are worked out at once.
 PAIR_CHUNK = 1_000_000
 #: Documents share one integer with occurrences while they are counted.
@@ -140,8 +144,7 @@ def summed_runs(rows: DataFrame) -> DataFrame:
         if open_ is not None:
             yield open_
 
-    keys = ("lang", "term", "source")
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(releasing(run), "lang string, term string, source string, docs long, n long")
+    return rows.repartition("lang", "term", "source").sortWithinPartitions(*ORDER).mapInArrow(releasing(run), "lang string, term string, source string, docs long, n long")
 
 
 def kept_terms(rows: DataFrame, least: int) -> DataFrame:
@@ -157,7 +160,7 @@ def kept_terms(rows: DataFrame, least: int) -> DataFrame:
             keep = pa.array(docs >= least)
             yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(keep) for k in (0, 1, 2, 4)), pa.array(n).filter(keep), pa.array(new).filter(keep)], names)
 
-    ordered = rows.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    ordered = rows.repartition("lang", "term").sortWithinPartitions(*ORDER)
     return ordered.mapInArrow(releasing(run), "lang string, term string, source string, n long, all_n long, first boolean")
 
 
@@ -288,7 +291,7 @@ def run_reports(rows: DataFrame, top: int) -> DataFrame:
         yield from flush()
         yield from flush_terms()
 
-    ordered = rows.select("lang", "term", "source", "n", "all_n", "total", "all_total").repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    ordered = rows.select("lang", "term", "source", "n", "all_n", "total", "all_total").repartition("lang", "term").sortWithinPartitions(*ORDER)
     return ordered.mapInArrow(releasing(run), "kind string, lang string, source string, item string, value long")
 
 
@@ -307,7 +310,7 @@ def audit(df: DataFrame, least: int = MIN_DOCUMENTS, top: int = TOP_TERMS, work:
     """(lang, source, part, item, value, rank): ``pair`` rows for each other source of the language, ``term`` rows for the ``top`` terms
     whose share is over the language's; ranks from 1 by value (descending) and item."""
     work = work or Workspace(df.sparkSession, "divergence")
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, BATCH)
     docs = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), text_or_empty("text").alias("text"))
     kept = work.keep(kept_terms(summed_runs(partial_runs(docs)), least), "kept")
     langs = kept.groupBy("lang").agg(F.sum(F.col("first").cast("long")).alias("v"), F.sum(F.when(F.col("first"), F.col("all_n"))).alias("all_held"))
