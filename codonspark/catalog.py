@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from codonspark.functions import codes
 from codonspark.functions import proteins as P
 from codonspark.functions import sequences as S
-from codonspark.operators import calibration, centroid, checks, gaps, joins, labels, metrics, orf, rows, sites
+from codonspark.operators import calibration, centroid, checks, gaps, joins, labels, metrics, orf, rows, similarity, sites
 from codonspark.operators import localize as localize_
 from codonspark.plans.frames import AS_BASES, AS_RESIDUES, LETTERS, document_alignments, document_sequences
 
@@ -941,3 +941,24 @@ def localize(spark, sf_dir):
     model = localize_.Model(centroid.fit(rows, names, "label", labels.CLASSES), centroid.fit(rows, names, "perox", localize_.PEROX), 0.5, {"mTP": 1.5})
     out = localize_.localize(data, model, "protein", group=F.when(F.col("input_order") % 2 == 0, "non_plant"))
     return out.select("input_order", "seq_id", "predicted_class", *[r6(c).alias(c) for c in out.columns if c.startswith("p_")], "perox_signal_type")
+
+
+# --- similarity
+
+
+@query(None)
+def similar_proteins(spark, sf_dir):
+    """Every fiftieth text as residues against all texts: each query's best hit besides itself. SQL has no alignments."""
+    seqs = document_sequences(spark, sf_dir, residues=True).select(F.col("input_order").alias("id"), "seq")
+    hits = similarity.search(seqs.where("id % 50 = 0"), seqs, min_identity=0.5, least_share=0.01).where("query <> target")
+    return joins.best_hits(hits).select("query", "target", r6("identity").alias("identity"), r6("query_coverage").alias("query_coverage"), r6("target_coverage").alias("target_coverage"), "score", r6("bits").alias("bits"))
+
+
+@query(None)
+def protein_clusters(spark, sf_dir):
+    """All texts as residues in clusters of half their residues and four fifths of their lengths, dealt into five folds by lang."""
+    seqs = document_sequences(spark, sf_dir, residues=True).select(F.col("input_order").alias("id"), "seq", (F.col("lang") == "en").alias("positive"))
+    found = similarity.cluster(seqs, min_identity=0.5)
+    rows_ = found.join(seqs.select(F.col("id").alias("_i"), "positive"), F.col("id") == F.col("_i"))
+    folds = calibration.cluster_folds(rows_, 5)
+    return found.join(folds, "cluster").select("id", "cluster", r6("identity").alias("identity"), "fold")

@@ -81,3 +81,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A key's rows are split where it has more than this many and more than one in SPLIT_SHARE of all rows, so that the table of
+#: split keys, which is broadcast, has at most SPLIT_SHARE rows.
+SPLIT_ROWS, SPLIT_SHARE = 1_000, 50_000
+
+
+def spread_join(large: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``large``, a stored table, joined with ``small`` without a task that gets all rows of a frequent key.
+
+    Keys of very many rows in ``large`` are split by a hash of their other columns, and their rows of ``small`` repeated for each part. Null
+    keys match nothing.
+    """
+    limit = max(SPLIT_ROWS, large.count() // SPLIT_SHARE)
+    hot = large.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
+    part = F.pmod(F.xxhash64(*[c for c in large.columns if c != key]), F.col("_parts")).cast("int")
+    rows = large.join(F.broadcast(hot), key, "left").withColumn("_part", F.coalesce(part, F.lit(0))).drop("_parts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part")
+    return rows.join(small.join(F.broadcast(hot), key, "left").select(*small.columns, every), [key, "_part"], how).drop("_part")
