@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from codonspark.functions import codes
 from codonspark.functions import proteins as P
 from codonspark.functions import sequences as S
-from codonspark.operators import calibration, centroid, checks, gaps, joins, labels, metrics, orf, rows, similarity, sites
+from codonspark.operators import calibration, centroid, checks, gaps, joins, labels, metrics, orf, rows, similarity, sites, trees
 from codonspark.operators import localize as localize_
 from codonspark.plans.frames import AS_BASES, AS_RESIDUES, LETTERS, document_alignments, document_sequences
 
@@ -962,3 +962,24 @@ def protein_clusters(spark, sf_dir):
     rows_ = found.join(seqs.select(F.col("id").alias("_i"), "positive"), F.col("id") == F.col("_i"))
     folds = calibration.cluster_folds(rows_, 5)
     return found.join(folds, "cluster").select("id", "cluster", r6("identity").alias("identity"), "fold")
+
+
+# --- ensembles and searches over left-out predictions
+
+_AS_CLASS = dict(zip(("en", "fr", "de", "es"), labels.CLASSES, strict=False))
+
+
+def _classed_proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_idx, fold, truth, base features): texts as residues, with a class by lang and five folds."""
+    data = document_sequences(spark, sf_dir, residues=True)
+    truth = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in _AS_CLASS.items() for x in pair]), F.col("lang")), F.lit("lTP"))
+    return data.select(F.col("input_order").alias("row_idx"), (F.col("input_order") % 5).cast("string").alias("fold"), truth.alias("truth"), *[v.alias(n) for n, v in P.base_features(F.col("seq")).items()])
+
+
+@query(None)
+def tree_ensemble(spark, sf_dir):
+    """Left-out class shares of randomised trees on the base features of all texts; SQL has no trees, tests have a recursive twin."""
+    rows_ = _classed_proteins(spark, sf_dir)
+    out = trees.ensemble_oof(rows_, rows_.columns[3:], labels.CLASSES, "truth", n_trees=10, most_depth=8)
+    best = F.get(F.array(*map(F.lit, labels.CLASSES)), calibration.guess(F.col("probs")))
+    return out.select("row_idx", "fold", "truth", best.alias("predicted"), *[r6(F.get("probs", k)).alias(f"p_{c}") for k, c in enumerate(labels.CLASSES)])
