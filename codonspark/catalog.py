@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from codonspark.functions import codes
 from codonspark.functions import proteins as P
 from codonspark.functions import sequences as S
-from codonspark.operators import calibration, centroid, checks, gaps, joins, labels, metrics, orf, rows, similarity, sites, trees
+from codonspark.operators import calibration, centroid, checks, gaps, joins, labels, metrics, orf, rows, similarity, sites, specialists, trees
 from codonspark.operators import localize as localize_
 from codonspark.plans.frames import AS_BASES, AS_RESIDUES, LETTERS, document_alignments, document_sequences
 
@@ -983,3 +983,90 @@ def tree_ensemble(spark, sf_dir):
     out = trees.ensemble_oof(rows_, rows_.columns[3:], labels.CLASSES, "truth", n_trees=10, most_depth=8)
     best = F.get(F.array(*map(F.lit, labels.CLASSES)), calibration.guess(F.col("probs")))
     return out.select("row_idx", "fold", "truth", best.alias("predicted"), *[r6(F.get("probs", k)).alias(f"p_{c}") for k, c in enumerate(labels.CLASSES)])
+
+
+#: Left-out predictions as numbers of each text: class by lang and id, probabilities that lean to it, specialists' scores, plants.
+_LEAN = (37, 41, 43, 47, 53)
+_TRUTH = "CASE WHEN doc_id % 7 = 0 THEN 'lTP' WHEN lang = 'en' THEN 'noTP' WHEN lang = 'fr' THEN 'SP' WHEN lang = 'de' THEN 'mTP' ELSE 'cTP' END"
+_P = ", ".join(f"(doc_id * {a} % 97 + CASE WHEN truth = '{c}' THEN 60 ELSE 0 END) / 200.0::DOUBLE AS p{k}" for k, (a, c) in enumerate(zip(_LEAN, labels.CLASSES, strict=True)))
+_SCORES_OF = (f"SELECT doc_id AS row_idx, truth, {_P}, (doc_id * 7919 % 50 + CASE WHEN truth = 'SP' THEN 25 ELSE 0 END) / 75.0::DOUBLE AS sp, (coalesce(n_chars, 0) * 31 % 40 + CASE WHEN truth = 'lTP' THEN 20 ELSE 0 END) / 60.0::DOUBLE AS ltp, "
+              f"doc_id % 3 <> 0 AS plant, (doc_id * 13 % 11) / 10.0::DOUBLE AS s0, (doc_id * 17 % 11) / 10.0::DOUBLE AS s1 FROM (SELECT *, {_TRUTH} AS truth FROM documents)")
+_LIMITS = (1.0, 0.9, 1.1, 1.0, 0.8)
+
+
+def _left_out_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_idx, truth, probs, sp, ltp, plant, share) of all texts."""
+    d = table(spark, sf_dir, "documents")
+    lang = F.when(F.col("lang") == "en", "noTP").when(F.col("lang") == "fr", "SP").when(F.col("lang") == "de", "mTP").otherwise("cTP")
+    d = d.withColumn("truth", F.when(F.col("doc_id") % 7 == 0, "lTP").otherwise(lang))
+    own = lambda c, n: F.when(F.col("truth") == c, n).otherwise(0)
+    probs = F.array(*[(F.col("doc_id") * a % 97 + own(c, 60)) / 200.0 for a, c in zip(_LEAN, labels.CLASSES, strict=True)])
+    return d.select(F.col("doc_id").alias("row_idx"), "truth", probs.alias("probs"), ((F.col("doc_id") * 7919 % 50 + own("SP", 25)) / 75.0).alias("sp"), ((F.coalesce("n_chars", F.lit(0)) * 31 % 40 + own("lTP", 20)) / 60.0).alias("ltp"),
+                    (F.col("doc_id") % 3 != 0).alias("plant"), F.array(F.col("doc_id") * 13 % 11 / 10.0, F.col("doc_id") * 17 % 11 / 10.0).alias("share"))
+
+
+def _best_sql(skip: str = "") -> str:
+    """The first class of the highest probability over its limit."""
+    scores = {c: f"p{k} / {t}::DOUBLE" for k, (c, t) in enumerate(zip(labels.CLASSES, _LIMITS, strict=True)) if c != skip}
+    return f"CASE greatest({', '.join(scores.values())}) " + " ".join(f"WHEN {v} THEN '{c}'" for c, v in scores.items()) + " END"
+
+
+def _f1_sql(by: str, rows_: str) -> str:
+    """(by, f1 of each class, accuracy) of the rows' truth and predicted."""
+    f1 = ", ".join(f"coalesce(2.0::DOUBLE * count(*) FILTER (truth = '{c}' AND predicted = '{c}') / nullif(count(*) FILTER (predicted = '{c}') + count(*) FILTER (truth = '{c}'), 0), 0.0) AS f_{c}" for c in labels.CLASSES)
+    return f"SELECT {by}, {f1}, count(*) FILTER (truth = predicted) / count(*)::DOUBLE AS accuracy FROM ({rows_}) GROUP BY {by}"
+
+
+_MACRO = "(" + " + ".join(f"f_{c}" for c in labels.CLASSES) + ") / 5.0::DOUBLE"
+_PAIRS = (f"WITH s AS (SELECT *, {_best_sql()} AS base, {_best_sql('SP')} AS non_sp FROM ({_SCORES_OF})), a AS (SELECT DISTINCT sp AS x FROM s), "
+          "v AS (SELECT DISTINCT x, ltp AS y FROM a, s WHERE plant AND sp < x AND (truth IN ('cTP', 'lTP') OR p3 + p4 > 0.2::DOUBLE)), b AS (SELECT * FROM v UNION ALL SELECT x, 0.5 FROM a WHERE x NOT IN (SELECT x FROM v)), "
+          "r AS (SELECT x, y, truth, CASE WHEN sp >= x THEN 'SP' WHEN plant AND p3 + p4 > 0.2::DOUBLE AND ltp >= y THEN 'lTP' WHEN plant AND p3 + p4 > 0.2::DOUBLE AND (CASE WHEN base = 'SP' THEN non_sp ELSE base END) IN ('cTP', 'lTP') THEN 'cTP' "
+          "WHEN base = 'SP' THEN non_sp ELSE base END AS predicted FROM b, s) "
+          f"SELECT round(x, 6) AS sp_threshold, round(y, 6) AS ltp_threshold, round({_MACRO}, 6) AS macro_f1, round(least({', '.join(f'f_{c} - {r}::DOUBLE' for c, r in zip(labels.CLASSES, specialists.REFERENCE_F1, strict=True))}), 6) AS margin, round(accuracy, 6) AS accuracy FROM ({_f1_sql('x, y', 'SELECT * FROM r')})")
+
+
+@query(_PAIRS)
+def threshold_pairs(spark, sf_dir):
+    """Macro F1, margin and accuracy of every pair of specialists' thresholds over all texts."""
+    rows_ = _left_out_scores(spark, sf_dir)
+    flagged = rows_.select((F.col("truth") == "SP").cast("int").alias("truth"), F.col("sp").alias("score"))
+    candidates = [r.threshold for r in metrics.f1_thresholds(flagged, most=80).collect()]
+    out = specialists.pair_scores(rows_, candidates, _LIMITS)
+    return out.select(r6("sp_threshold").alias("sp_threshold"), r6("ltp_threshold").alias("ltp_threshold"), r6(specialists.rank("macro_f1")[0]).alias("macro_f1"), r6(specialists.rank("margin")[0]).alias("margin"), r6("accuracy").alias("accuracy"))
+
+
+_OVERRIDE = (f"WITH s AS (SELECT *, {_best_sql()} AS base, {_best_sql('SP')} AS non_sp FROM ({_SCORES_OF})), a AS (SELECT DISTINCT sp AS x FROM s), "
+             "r AS (SELECT x, row_idx, truth, CASE WHEN sp >= x THEN 'SP' WHEN base = 'SP' THEN non_sp ELSE base END AS predicted FROM a, s), "
+             f"f AS (SELECT x FROM ({_f1_sql('x', 'SELECT * FROM r')}) ORDER BY round({_MACRO}, 12) DESC, x LIMIT 1) "
+             "SELECT row_idx, truth, predicted, round(x, 6) AS threshold FROM r WHERE x = (SELECT x FROM f)")
+
+
+@query(_OVERRIDE)
+def specialist_override(spark, sf_dir):
+    """All texts after the signal-peptide specialist at its best threshold of all distinct scores."""
+    rows_ = _left_out_scores(spark, sf_dir)
+    base = specialists.best_class(F.col("probs"), _LIMITS)
+    after = lambda t: specialists.specialist(base, F.col("probs"), F.col("sp"), t, specialists.SP, _LIMITS)
+    best = specialists.fit_override(rows_, after(float("-inf")), "sp", before=after(float("inf"))).first().threshold
+    return rows_.select("row_idx", "truth", F.get(F.array(*map(F.lit, labels.CLASSES)), after(best)).alias("predicted"), F.round(F.lit(best), 6).alias("threshold"))
+
+
+_MASS = "(p3 + p4)"
+_MIXED = ["(1.0::DOUBLE - b) * (CASE WHEN p3 + p4 > 0 THEN {} / (p3 + p4) ELSE 0.5 END) + b * {}".format(*x) for x in (("p3", "s0"), ("p4", "s1"))]
+_SPLIT_BEST = "CASE greatest(p0, p1, p2, q3, q4) WHEN p0 THEN 'noTP' WHEN p1 THEN 'SP' WHEN p2 THEN 'mTP' WHEN q3 THEN 'cTP' ELSE 'lTP' END"
+_SPLIT = (f"WITH s AS ({_SCORES_OF}), g AS (SELECT row_number() OVER () AS k, * FROM (VALUES {', '.join(f'({g}::DOUBLE, {b}::DOUBLE, {t}::DOUBLE)' for g in specialists.GATES for b in specialists.BETAS for t in specialists.SPLITS)}) v(gate, b, t)), "
+          f"m AS (SELECT *, {_MIXED[0]} AS m3, {_MIXED[1]} AS m4 FROM s, g), n AS (SELECT *, CASE WHEN m3 + m4 > 0 THEN m3 + m4 ELSE 1 END AS z FROM m), "
+          "w AS (SELECT *, m3 / z / (1.0::DOUBLE - t) AS w3, m4 / z / t AS w4 FROM n), "
+          "x AS (SELECT *, CASE WHEN p3 + p4 > 0 AND p3 + p4 >= gate THEN (p3 + p4) * (w3 / CASE WHEN w3 + w4 > 0 THEN w3 + w4 ELSE 1 END) ELSE p3 END AS q3, CASE WHEN p3 + p4 > 0 AND p3 + p4 >= gate THEN (p3 + p4) * (w4 / CASE WHEN w3 + w4 > 0 THEN w3 + w4 ELSE 1 END) ELSE p4 END AS q4 FROM w), "
+          f"r AS (SELECT k, gate, b, t, row_idx, truth, {_SPLIT_BEST} AS predicted FROM x), "
+          f"f AS (SELECT k FROM ({_f1_sql('k', 'SELECT * FROM r')}) ORDER BY round({_MACRO}, 12) DESC, round(f_lTP, 12) DESC, accuracy DESC, k LIMIT 1) "
+          "SELECT row_idx, truth, predicted, gate, b AS beta, t AS split FROM r WHERE k = (SELECT k FROM f)")
+
+
+@query(_SPLIT)
+def plastid_split(spark, sf_dir):
+    """All texts with their plastid classes split anew, by the best setting of the grid."""
+    rows_ = _left_out_scores(spark, sf_dir)
+    gate, beta, split = specialists.fit_split(rows_)
+    best = specialists.best_class(specialists.split_plastid(F.col("probs"), F.col("share"), gate, beta, split))
+    return rows_.select("row_idx", "truth", F.get(F.array(*map(F.lit, labels.CLASSES)), best).alias("predicted"), F.lit(gate).alias("gate"), F.lit(beta).alias("beta"), F.lit(split).alias("split"))

@@ -100,3 +100,18 @@ def spread_join(large: DataFrame, small: DataFrame, key: str, how: str = "inner"
     rows = large.join(F.broadcast(hot), key, "left").withColumn("_part", F.coalesce(part, F.lit(0))).drop("_parts")
     every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part")
     return rows.join(small.join(F.broadcast(hot), key, "left").select(*small.columns, every), [key, "_part"], how).drop("_part")
+
+
+def running(rows: DataFrame, within: str, order: str, columns: list[str], descending: bool = False) -> DataFrame:
+    """``rows`` with the sums of ``columns`` over all rows of the same ``within`` up to theirs in ``order``, in the columns' place.
+
+    Rows are dealt to ranges, which are summed up on their own; only the ranges' sums are put in order. (within, order) must be unique.
+    """
+    by = F.desc(order) if descending else F.asc(order)
+    ranges = stored(rows.repartitionByRange(F.col(within), by).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranges.groupBy(within, "_part").agg(*[F.sum(c).alias(c) for c in columns])
+    sums = sums.select(F.col(within).alias("_w"), F.col("_part").alias("_p"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in columns])
+    upto = Window.partitionBy("_part", within).orderBy(by)
+    own = ranges.withColumns({c: F.sum(c).over(upto) for c in columns}).join(sums, (F.col("_part") == F.col("_p")) & F.col(within).eqNullSafe(F.col("_w")))
+    return own.select(*[(F.col(c) + F.col(f"_{c}")).alias(c) if c in columns else F.col(c) for c in rows.columns])
