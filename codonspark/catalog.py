@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from codonspark.functions import codes
 from codonspark.functions import proteins as P
 from codonspark.functions import sequences as S
-from codonspark.operators import calibration, centroid, checks, gaps, joins, labels, metrics, orf, rows, similarity, sites, specialists, trees
+from codonspark.operators import calibration, centroid, checks, gaps, joins, labels, metrics, orf, rows, similarity, sites, specialists, stacking, trees
 from codonspark.operators import localize as localize_
 from codonspark.plans.frames import AS_BASES, AS_RESIDUES, LETTERS, document_alignments, document_sequences
 
@@ -1070,3 +1070,41 @@ def plastid_split(spark, sf_dir):
     gate, beta, split = specialists.fit_split(rows_)
     best = specialists.best_class(specialists.split_plastid(F.col("probs"), F.col("share"), gate, beta, split))
     return rows_.select("row_idx", "truth", F.get(F.array(*map(F.lit, labels.CLASSES)), best).alias("predicted"), F.lit(gate).alias("gate"), F.lit(beta).alias("beta"), F.lit(split).alias("split"))
+
+
+_STACK = [*(f"p{k}" for k in range(5)), "greatest(p0, p1, p2, p3, p4)", "p4 / greatest(p3 + p4, 1e-9)", "p3 + p4"]
+_GRID = tuple(k / 20 for k in range(1, 20))
+
+
+def _cross_fitted(positive: str, predicted: str) -> str:
+    """SQL of foldwise_override over four folds: a model for each set of folds that is left out, inner scores, thresholds, own scores."""
+    n = range(len(_STACK))
+    far = lambda c: " + ".join(f"power((x{k} - m{k}) / d{k} - ({c}{k} - m{k}) / d{k}, 2)" for k in n)
+    stats = ", ".join(f"avg(x{k}) AS m{k}, CASE WHEN stddev_pop(x{k}) < 1e-9 THEN 1.0 ELSE stddev_pop(x{k}) END AS d{k}, avg(x{k}) FILTER (y) AS y{k}, avg(x{k}) FILTER (NOT y) AS n{k}" for k in n)
+    score = f"1.0 / (1.0 + exp((-0.5 * ({far('n')}) + ln((cn + 1.0) / (c + 2.0))) - (-0.5 * ({far('y')}) + ln((cy + 1.0) / (c + 2.0)))))"
+    return (f"WITH s AS (SELECT *, {_best_sql()} AS base, {_best_sql(positive)} AS other, row_idx % 4 AS fold, truth = '{positive}' AS y, {', '.join(f'{x} AS x{k}' for k, x in enumerate(_STACK))} FROM ({_SCORES_OF})), "
+            "q AS (SELECT a, b FROM (SELECT unnest(range(4)) AS a), (SELECT unnest(range(4)) AS b) WHERE a <= b), "
+            f"m AS (SELECT a, b, count(*) AS c, count(*) FILTER (y) AS cy, count(*) FILTER (NOT y) AS cn, {stats} FROM q, s WHERE fold <> a AND fold <> b GROUP BY a, b), "
+            f"z AS (SELECT s.*, o.o AS outer_fold, {score} AS score FROM s, (SELECT unnest(range(4)) AS o) o, m WHERE m.a = least(o.o, fold) AND m.b = greatest(o.o, fold)), "
+            f"g AS (SELECT unnest([{', '.join(map(str, _GRID))}]::DOUBLE[]) AS t), r AS (SELECT outer_fold, t, truth, {predicted} AS predicted FROM z, g WHERE outer_fold <> fold), "
+            f"f AS (SELECT outer_fold, t, row_number() OVER (PARTITION BY outer_fold ORDER BY round({_MACRO}, 12) DESC, t) AS k FROM ({_f1_sql('outer_fold, t', 'SELECT * FROM r')})) "
+            f"SELECT row_idx, fold::VARCHAR AS fold, truth, {predicted} AS predicted, round(score, 6) AS score, t AS threshold FROM z JOIN f ON z.outer_fold = f.outer_fold WHERE k = 1 AND z.outer_fold = fold")
+
+
+def _override(spark: SparkSession, sf_dir: str, positive: str, **options) -> DataFrame:
+    rows_ = _left_out_scores(spark, sf_dir).withColumn("fold", F.col("row_idx") % 4)
+    seen = stacking.stack_features([F.col("probs")])
+    rows_ = rows_.select("row_idx", "fold", "truth", "probs", *[v.alias(n) for n, v in seen.items()])
+    return stacking.foldwise_override(rows_, list(seen), positive, thresholds=_LIMITS, grid=_GRID, **options).withColumn("score", r6("score"))
+
+
+@query(_cross_fitted("SP", "CASE WHEN score >= t THEN 'SP' WHEN base = 'SP' THEN other ELSE base END"))
+def foldwise_specialist(spark, sf_dir):
+    """All texts after a cross-fitted signal-peptide specialist over four folds."""
+    return _override(spark, sf_dir, "SP")
+
+
+@query(_cross_fitted("mTP", "CASE WHEN score >= t AND base IN ('noTP', 'cTP') THEN 'mTP' ELSE base END"))
+def foldwise_rescue(spark, sf_dir):
+    """All texts after a cross-fitted rescue of mitochondrial ones over four folds."""
+    return _override(spark, sf_dir, "mTP", sources=("noTP", "cTP"))

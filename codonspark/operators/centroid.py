@@ -20,13 +20,33 @@ def fit(rows: DataFrame, features: Sequence[str], label: str = "label", classes:
     keys = [F.col(label).alias("class")] + ([F.col(fold).alias("_fold")] if fold else [])
     own = rows.where(F.col(label).isin(*classes)) if classes else rows
     sums = own.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.col(f)).alias(f"s{k}") for k, f in enumerate(features)], *[F.sum(F.col(f) * F.col(f)).alias(f"q{k}") for k, f in enumerate(features)])
-    names = ["n"] + [f"{x}{k}" for x in "sq" for k in range(len(features))]
+    names = _sums(features)
     if fold:
         folds = sums.select(F.col("_fold").alias("fold")).distinct()
         sums = sums.join(F.broadcast(folds), F.col("_fold") != F.col("fold")).groupBy("fold", "class").agg(*[F.sum(x).alias(x) for x in names])
-    by = ["fold"] if fold else []
+    return _centroids(sums, features, classes, ["fold"] if fold else [])
+
+
+def _sums(features: Sequence[str]) -> list[str]:
+    return ["n"] + [f"{x}{k}" for x in "sq" for k in range(len(features))]
+
+
+def fit_without(rows: DataFrame, features: Sequence[str], label: str, classes: Sequence[str], fold: str, sets: Sequence[Sequence[str]]) -> DataFrame:
+    """As ``fit``, with ``fold`` the name of a set of folds, joined by /: a model of the rows outside each of ``sets``.
+
+    Rows are summed up by fold and class once; all models are sums of these.
+    """
+    own = rows.where(F.col(label).isin(*classes)).groupBy(F.col(fold).cast("string").alias("_fold"), F.col(label).alias("class"))
+    sums = own.agg(F.count("*").alias("n"), *[F.sum(F.col(f)).alias(f"s{k}") for k, f in enumerate(features)], *[F.sum(F.col(f) * F.col(f)).alias(f"q{k}") for k, f in enumerate(features)])
+    table = rows.sparkSession.createDataFrame([("/".join(s), list(s)) for s in sets], "fold string, without array<string>")
+    sums = sums.join(F.broadcast(table), ~F.array_contains("without", F.col("_fold"))).groupBy("fold", "class").agg(*[F.sum(x).alias(x) for x in _sums(features)])
+    return _centroids(sums, features, classes, ["fold"])
+
+
+def _centroids(sums: DataFrame, features: Sequence[str], classes: Sequence[str] | None, by: list[str]) -> DataFrame:
+    names = _sums(features)
     total = sums.groupBy(*by).agg(F.count("*").alias("_k"), *[F.sum(x).alias(f"_{x}") for x in names])
-    both = sums.join(F.broadcast(total), by) if fold else sums.join(F.broadcast(total))
+    both = sums.join(F.broadcast(total), by) if by else sums.join(F.broadcast(total))
     mean = [F.col(f"_s{k}") / F.col("_n") for k in range(len(features))]
     deviation = [F.sqrt(F.greatest(F.lit(0.0), F.col(f"_q{k}") / F.col("_n") - m * m)) for k, m in enumerate(mean)]
     std = [F.when(d < 1e-9, F.lit(1.0)).otherwise(d) for d in deviation]

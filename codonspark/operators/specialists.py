@@ -50,26 +50,32 @@ def _f1(tp: Column, predicted: Column, real: Column) -> Column:
     return F.coalesce(2.0 * tp / F.nullif(predicted + real, F.lit(0)), F.lit(0.0))
 
 
-def fit_override(rows: DataFrame, after: Column, score: str = "score", truth: str = "truth", before: Column | None = None, grid: Sequence[float] = ()) -> DataFrame:
+def fit_override(rows: DataFrame, after: Column, score: str = "score", truth: str = "truth", before: Column | None = None, grid: Sequence[float] = (), only_grid: bool = False, by: str | None = None) -> DataFrame:
     """One row (threshold, macro_f1): of all distinct scores, and ``grid``, the threshold with the highest macro F1, of equals the lowest.
 
-    ``after``: a row's predicted place where its score reaches the threshold, ``before``: where it doesn't.
+    ``after``: a row's predicted place where its score reaches the threshold, ``before``: where it doesn't. ``only_grid``: the scores themselves aren't
+    tried. ``by``: a row (by, threshold, macro_f1) for each value of that column.
     """
     before = F.lit(0) if before is None else before
-    own = rows.select(F.lit(0).alias("all"), F.col(score).cast("double").alias("s"), _place(truth).alias("t"), after.cast("int").alias("hi"), before.cast("int").alias("lo")).where("t IS NOT NULL AND s IS NOT NULL")
+    own = rows.select((F.col(by).cast("string") if by else F.lit("")).alias("all"), F.col(score).cast("double").alias("s"), _place(truth).alias("t"), after.cast("int").alias("hi"), before.cast("int").alias("lo")).where("t IS NOT NULL AND s IS NOT NULL")
     classes = range(len(CLASSES))
     moved = [F.count_if(F.col("hi") == k) - F.count_if(F.col("lo") == k) for k in classes]
     won = [F.count_if((F.col("hi") == k) & (F.col("t") == k)) - F.count_if((F.col("lo") == k) & (F.col("t") == k)) for k in classes]
     names = [f"{x}{k}" for x in "mw" for k in classes]
     cells = own.groupBy("all", "s").agg(*[c.alias(n) for c, n in zip(moved + won, names, strict=True)])
     if grid:
-        more = rows.sparkSession.createDataFrame([(0, float(g)) for g in grid], "all int, s double").select("*", *[F.lit(0).cast("long").alias(n) for n in names])
+        whole = own.select("all").distinct() if by else rows.sparkSession.createDataFrame([("",)], "all string")
+        more = whole.select("all", F.explode(F.array(*[F.lit(float(g)) for g in grid])).alias("s"), *[F.lit(0).cast("long").alias(n) for n in names])
         cells = cells.union(more).groupBy("all", "s").agg(*[F.sum(n).alias(n) for n in names])
-    start = own.agg(*[F.count_if(F.col("lo") == k).alias(f"m{k}") for k in classes], *[F.count_if((F.col("lo") == k) & (F.col("t") == k)).alias(f"w{k}") for k in classes], *[F.count_if(F.col("t") == k).alias(f"r{k}") for k in classes]).first()
-    f1 = [_f1(F.col(f"w{k}") + start[f"w{k}"], F.col(f"m{k}") + start[f"m{k}"], F.lit(start[f"r{k}"])) for k in classes]
-    scored = running(cells, "all", "s", names, True).select(F.col("s").alias("threshold"), (sum(f1[1:], f1[0]) / float(len(CLASSES))).alias("macro_f1"))
-    best = scored.agg(F.max(F.struct("macro_f1", (-F.col("threshold")).alias("low"))).alias("b"))
-    return best.select(F.coalesce(-F.col("b.low"), F.lit(0.5)).alias("threshold"), F.coalesce("b.macro_f1", F.lit(0.0)).alias("macro_f1"))
+    start = own.groupBy("all").agg(*[F.count_if(F.col("lo") == k).alias(f"m{k}") for k in classes], *[F.count_if((F.col("lo") == k) & (F.col("t") == k)).alias(f"w{k}") for k in classes], *[F.count_if(F.col("t") == k).alias(f"r{k}") for k in classes])
+    start = start.select(F.col("all").alias("_all"), *[F.col(f"{x}{k}").alias(f"_{x}{k}") for x in "mwr" for k in classes])
+    steps = running(cells, "all", "s", names, True).join(F.broadcast(start), F.col("all") == F.col("_all"), "left")
+    with_start = lambda x: F.col(x) + F.coalesce(f"_{x}", F.lit(0))
+    f1 = [_f1(with_start(f"w{k}"), with_start(f"m{k}"), F.coalesce(f"_r{k}", F.lit(0))) for k in classes]
+    scored = steps.select("all", F.col("s").alias("threshold"), (sum(f1[1:], f1[0]) / float(len(CLASSES))).alias("macro_f1"))
+    scored = scored.where(F.col("threshold").isin(*[float(g) for g in grid])) if only_grid else scored
+    best = (scored.groupBy(F.col("all").alias(by)) if by else scored.groupBy()).agg(F.max(F.struct("macro_f1", (-F.col("threshold")).alias("low"))).alias("b"))
+    return best.select(*([by] if by else []), F.coalesce(-F.col("b.low"), F.lit(0.5)).alias("threshold"), F.coalesce("b.macro_f1", F.lit(0.0)).alias("macro_f1"))
 
 
 @dataclass(frozen=True)
