@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from codonspark.functions import codes
 from codonspark.functions import proteins as P
 from codonspark.functions import sequences as S
-from codonspark.operators import calibration, centroid, checks, gaps, joins, labels, metrics, orf, rows, similarity, sites, specialists, stacking, trees
+from codonspark.operators import calibration, centroid, checks, gaps, joins, labels, metrics, orf, rows, similarity, sites, specialists, stacking, trees, windows
 from codonspark.operators import localize as localize_
 from codonspark.plans.frames import AS_BASES, AS_RESIDUES, LETTERS, document_alignments, document_sequences
 
@@ -813,7 +813,29 @@ _SCAN = ({"score": "coalesce(score, -99.0)", "cut": "coalesce(k, 0)::DOUBLE", "c
 
 @query(f"SELECT a.input_order, {', '.join(f'round({v}, 6) AS {n}' for n, v in _SCAN.items())} FROM (SELECT input_order, seq FROM ({_AA})) a LEFT JOIN (SELECT * EXCLUDE (seq) FROM ({_CUT_BEST})) b ON a.input_order = b.input_order")
 def signal_scan(spark, sf_dir):
-    return _proteins(spark, sf_dir).select("input_order", *[r6(v).alias(n) for n, v in P.signal_scan(F.col("seq")).items()])
+    found = windows.with_windows(_proteins(spark, sf_dir), ["input_order"], blocks=("scan",))
+    return found.select("input_order", *[r6(F.get("scan", k)).alias(n) for k, n in enumerate(windows.names()["scan"])])
+
+
+def _windows_sql() -> str:
+    """All features of the transit and window blocks, each counted in its own piece of the sequence."""
+    out = {}
+    for prefix, spans, groups, more in (("t", windows.TRANSIT_WINDOWS, windows.TRANSIT_GROUPS, False), ("f", windows.WINDOWS, windows.WINDOW_GROUPS, True)):
+        for a, b in spans:
+            piece, name = (f"substr(seq, {a + 1}, {b - a})", f"{prefix}{a}_{b}") if a >= 0 else (f"right(seq, {-a})", f"{prefix}last{-a}")
+            parts = {"hydropathy": _hyd(piece), "run": _run(piece), **{n: _frac(piece, g) for n, g in groups.items()}}
+            if more:
+                parts |= {"length": f"length({piece})::DOUBLE", **{x: _frac(piece, x) for x in P.AA}}
+            out |= {f"{name}_{n}": v for n, v in parts.items()}
+    return f"SELECT input_order, {', '.join(f'round({v}, 6) AS {n}' for n, v in out.items())} FROM ({_AA})"
+
+
+@query(_windows_sql())
+def window_features(spark, sf_dir):
+    """Counts, hydropathy and runs of the windows of transit peptides and of the ensemble, of all texts as residues."""
+    found = windows.with_windows(_proteins(spark, sf_dir), ["input_order"], blocks=("transit", "windows"))
+    every = windows.names()
+    return found.select("input_order", *[r6(F.get(b, k)).alias(n) for b in ("transit", "windows") for k, n in enumerate(every[b])])
 
 
 def _motif(m: str) -> str:

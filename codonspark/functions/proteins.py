@@ -129,61 +129,17 @@ def residue_codes(seq: Column, length: int, from_end: bool = False) -> Column:
     return F.concat(blank, own) if from_end else F.concat(own, blank)
 
 
-#: Fixed: residues that fit at -3 and -1 of a signal peptide's cut, and the weights of a cut's nine terms.
+#: Fixed: residues that fit at -3 and -1 of a signal peptide's cut, the weights of a cut's nine terms (see ``operators.windows``), and
+#: the cuts that are tried.
 FITS_3, FITS_1 = "AVSGTC", "ASGTC"
 CUT_WEIGHTS = {"hydrophobic": 2.2, "hydrophobic_run": 0.15, "small_3": 0.8, "small_1": 1.0, "ala_1": 0.4, "small": 0.5, "charge": 0.4, "proline": -0.9, "ser_thr": -0.25}
 FIRST_CUT, LAST_CUT = 12, 44
 
 
-def cut_terms(seq: Column, cut: Column) -> dict[str, Column]:
-    """The terms of a signal peptide that ends before residue ``cut`` (from 0): the eleven residues before the last seven, the last seven and
-    two more, what stands around the cut, and the charge of what comes before all that."""
-    piece = lambda start, end: F.substr(seq, start + 1, F.greatest(end - start, F.lit(0)))
-    core = piece(F.greatest(F.lit(0), cut - 18), F.greatest(F.lit(0), cut - 7))
-    around, head = piece(F.greatest(F.lit(0), cut - 7), cut + 2), piece(F.lit(0), F.greatest(F.lit(1), cut - 18))
-    at = lambda k: F.substr(seq, cut - k + 1, F.lit(1))
-    held = lambda letters, c: flag(F.instr(F.lit(letters), c) > 0)
-    without = lambda p, chars: F.length(p) - F.length(F.translate(p, chars, ""))
-    # within a lambda nothing is shared, so each piece is named
-    share = lambda p, chars: S.let(p, lambda x: without(x, chars) / F.greatest(F.length(x), F.lit(1)))
-    return {"hydrophobic": share(core, HYDROPHOBIC), "hydrophobic_run": longest_run(core), "small_3": held(FITS_3, at(3)), "small_1": held(FITS_1, at(1)), "ala_1": flag(at(1) == "A"),
-            "small": share(around, SMALL), "charge": share(head, BASIC) - share(head, ACIDIC), "proline": flag(F.instr(piece(cut - 3, cut + 1), "P") > 0), "ser_thr": share(piece(F.lit(0), cut), SER_THR)}
-
-
-def best_cut(seq: Column) -> Column:
-    """struct(score, cut, and the nine terms) of the first cut with the best score from residue 12 to 44, two residues from the end at
-    least; null for shorter sequences."""
-    head = F.left(seq, F.lit(LAST_CUT + 2))
-    cuts = F.sequence(F.lit(FIRST_CUT), F.least(F.lit(LAST_CUT), F.length(seq) - 2))
-
-    def one(s: Column, k: Column) -> Column:
-        terms = cut_terms(s, k)
-        score = lambda t: sum((t[name] * F.lit(w) for name, w in CUT_WEIGHTS.items()), F.lit(0.0))
-        own = F.struct(k.alias("cut"), *[v.alias(n) for n, v in terms.items()])
-        return S.let(own, lambda t: F.struct(score(t).alias("score"), (-t["cut"]).alias("before"), *[t[n].alias(n) for n in ("cut", *terms)]))
-
-    best = F.get(F.transform(F.array(head), lambda s: F.array_max(F.transform(cuts, lambda k: one(s, k)))), 0)
-    return F.when(F.length(seq) - 2 >= FIRST_CUT, best)
-
-
 #: Fixed windows (start, end) whose composition follows the scan.
 SCAN_WINDOWS = ((0, 15), (0, 25), (0, 35), (0, 50), (0, 80), (5, 30), (20, 60), (40, 100))
 
 
-def signal_scan(seq: Column) -> dict[str, Column]:
-    """The 68 features of a signal-peptide scan: score, place and relative place of the best cut, its nine terms, and the composition of
-    eight windows. Sequences without a cut have the score -99 and zeros."""
-    best = best_cut(seq)
-    term = lambda name, other=0.0: F.coalesce(best[name].cast("double"), F.lit(other))
-    out = {"score": term("score", -99.0), "cut": term("cut"), "cut_share": term("cut") / F.greatest(F.length(seq), F.lit(1))}
-    out |= {f"cut_{n}": term(n) for n in ("hydrophobic", "hydrophobic_run", "small_3", "small_1", "ala_1", "proline", "small", "charge", "ser_thr")}
-    for a, b in SCAN_WINDOWS:
-        w = F.substring(seq, a + 1, b - a)
-        out |= {f"w{a}_{b}_hydropathy": hydropathy(w), f"w{a}_{b}_run": longest_run(w)}
-        out |= {f"w{a}_{b}_{n}": fraction(w, v) for n, v in (("hydrophobic", HYDROPHOBIC), ("basic", BASIC), ("acidic", ACIDIC), ("ser_thr", SER_THR), ("small", SMALL))}
-    return out
-
-
 #: Fixed: motifs whose first places are features of transit peptides.
 TRANSIT_MOTIFS = ("RR", "KR", "RK", "KK", "RA", "RS", "SR", "ST", "TS", "SS", "TP", "SP")
 

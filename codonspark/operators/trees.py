@@ -247,11 +247,11 @@ def one_against_rest(rows: DataFrame, n_classes: int, **options) -> list[list[Tr
     return [fit(rows.withColumn("y", (F.col("y") == c).cast("int")), 2, seed=seed + c, **options) for c in range(n_classes)]
 
 
-def ensemble_oof(rows: DataFrame, features: Sequence[str], classes: Sequence[str], label: str = "label", fold: str = "fold", key: str = "row_idx", binary: bool = False, **options) -> DataFrame:
+def ensemble_oof(rows: DataFrame, features: Sequence[str] | str, classes: Sequence[str], label: str = "label", fold: str = "fold", key: str = "row_idx", binary: bool = False, **options) -> DataFrame:
     """(key, fold, truth, probs) of every row by forests that left its fold out, probs in the order of ``classes``; ``binary``: a forest for
-    each class, their yes-shares scaled to the sum 1."""
+    each class, their yes-shares scaled to the sum 1. ``features``: columns, or the name of one array column such as ``windows.ensemble_vector``'s."""
     place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
-    x = F.array(*[F.col(f).cast("double") for f in features])
+    x = F.col(features) if isinstance(features, str) else F.array(*[F.col(f).cast("double") for f in features])
     table = stored(rows.select(F.col(key), F.col(fold).cast("string").alias("fold"), F.col(label).alias("truth"), place.cast("int").alias("y"), x.alias("x")), "tree_rows")
     if not binary:
         return predict(table, fit(table, len(classes), by_fold=True, **options), (key, "truth")).select(key, "fold", "truth", "probs")

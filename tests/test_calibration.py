@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codonspark.functions import proteins as P
 from codonspark.operators import calibration as C
-from codonspark.operators import centroid, joins
+from codonspark.operators import centroid, joins, windows
 
 CLASSES = ("a", "b", "c")
 
@@ -137,7 +137,9 @@ def cut_by_brute_force(s):
 def test_signal_scan(spark):
     rnd = random.Random(3)
     items = ["MKKLLLLLLLLLLLLLLAGARRRRRRRRRRRR", "MK", "", "M" * 13, "M" * 14] + ["".join(rnd.choice("ACDEFGHIKLMNPQRSTVWYX") for _ in range(rnd.randint(1, 120))) for _ in range(60)]
-    got = spark.createDataFrame([(k, s) for k, s in enumerate(items)], "k int, s string").select("k", *[v.alias(n) for n, v in P.signal_scan(F.col("s")).items()]).collect()
+    names = windows.names()
+    rows = spark.createDataFrame([(k, s) for k, s in enumerate(items)], "k int, s string").repartition(3)
+    got = windows.with_windows(rows, ["k"], "s", ("scan",)).select("k", *[F.get("scan", k).alias(n) for k, n in enumerate(names["scan"])]).orderBy("k").collect()
     assert len(got[0]) == 69
     for r in got:
         score, cut = cut_by_brute_force(items[r.k])
@@ -147,6 +149,33 @@ def test_signal_scan(spark):
     assert (motifs[0].RR_found, motifs[0].RR_at, motifs[0].RK_at, motifs[0].SP_at, motifs[1].RR_at) == (1.0, 3.0, 4.0, 999.0, 999.0)
 
 
+def window_by_brute_force(piece, groups, more):
+    share = lambda letters: sum(c in letters for c in piece) / len(piece) if piece else 0.0
+    run = max((len(x) for x in re.findall("[AILMFWVY]+", piece)), default=0)
+    out = [len(piece)] if more else []
+    return [*out, sum(P.HYDROPATHY.get(c, 0) for c in piece) / max(1, len(piece)), run, *map(share, groups.values()), *(map(share, P.AA) if more else [])]
+
+
+def test_windows_equal_brute_force(spark):
+    rnd = random.Random(8)
+    items = ["", "M", "MKX", "A" * 140] + ["".join(rnd.choice(P.AA + "XAAVL") for _ in range(rnd.randint(1, 200))) for _ in range(40)]
+    rows = spark.createDataFrame([(k, s) for k, s in enumerate([*items, None])], "k int, s string")
+    got = {r.k: r for r in windows.with_windows(rows.repartition(2), ["k"], "s").collect()}
+    assert list(got[len(items)].windows) == list(got[0].windows)
+    for k, s in enumerate(items):
+        piece = lambda a, b: s[a:b] if a >= 0 else s[a:]  # noqa: B023, E731
+        want = [x for a, b in windows.TRANSIT_WINDOWS for x in window_by_brute_force(piece(a, b), windows.TRANSIT_GROUPS, False)]
+        assert list(got[k].transit) == pytest.approx(want), s
+        want = [x for a, b in windows.WINDOWS for x in window_by_brute_force(piece(a, b), windows.WINDOW_GROUPS, True)]
+        assert list(got[k].windows) == pytest.approx(want), s
+        assert list(got[k].places) == [float(i < len(s) and s[i] in g) for i in range(100) for g in windows.PLACE_GROUPS.values()]
+    assert {b: len(n) for b, n in windows.names().items()} == {"scan": 68, "transit": 128, "windows": 740, "places": 1000}
+    vectors = windows.ensemble_vector(rows.where("s <> ''").withColumnRenamed("k", "input_order").withColumnRenamed("s", "seq"), group=F.lit("plant")).collect()
+    broad = rows.where("k = 30").select(P.vector(P.broad_features(F.col("s"), F.lit("plant"))).alias("v")).first().v
+    one = next(r.vector for r in vectors if r.input_order == 30)
+    assert len(one) == 58 + 68 + 58 + 128 + 24 + 1 + 740 + 1000 and list(one[:58]) == list(broad) == list(one[126:184]) and one[336] == 1.0
+
+
 def test_blosum_and_proteins(spark):
     got = spark.createDataFrame([("AW-",)], "s string").select(P.blosum_codes(F.col("s"), 4).alias("b")).first().b
     at = P.BLOSUM_ORDER.index
