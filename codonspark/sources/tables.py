@@ -15,18 +15,22 @@ UNIPROT = ("accession", "sequence", "cc_subcellular_location", "organism_id", "l
 BLANKS = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
 
-def records(spark: SparkSession, path: str, number: str, separator: str | None = None) -> DataFrame:
+def records(spark: SparkSession, path: str, number: str, separator: str | None = None, whole: bool = False, in_file: str | None = None) -> DataFrame:
     """(number, value) of the records of text files, numbered from 0 without gaps in the order of the files' paths and of their places.
 
     Spark packs blocks of files into tasks by size. So the rows of each block are counted first (a row for each block), and their sums
-    in the order of path and start shift the numbers that the tasks give.
+    in the order of path and start shift the numbers that the tasks give. ``whole``: a record is a file; ``in_file``: a column with the
+    record's number within its file.
     """
     reader = spark.read.option("lineSep", separator) if separator else spark.read
-    rows = reader.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
+    rows = reader.text(path, wholetext=whole).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
     blocks = rows.groupBy("__file", "__block").agg(F.min("__id").alias("__first"), F.count("*").alias("__rows"))
     before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("__file", "__block", (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
-    return rows.join(blocks, ["__file", "__block"]).select((F.col("__id") + F.col("__shift")).cast("long").alias(number), "value")
+    own = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = lambda w: F.coalesce(F.sum("__rows").over(w), F.lit(0)) - F.col("__first")
+    blocks = blocks.select("__file", "__block", shift(before).alias("__shift"), shift(own).alias("__own"))
+    inside = [(F.col("__id") + F.col("__own")).cast("long").alias(in_file)] if in_file else []
+    return rows.join(blocks, ["__file", "__block"]).select((F.col("__id") + F.col("__shift")).cast("long").alias(number), *inside, "value")
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
