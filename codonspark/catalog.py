@@ -1130,3 +1130,25 @@ def foldwise_specialist(spark, sf_dir):
 def foldwise_rescue(spark, sf_dir):
     """All texts after a cross-fitted rescue of mitochondrial ones over four folds."""
     return _override(spark, sf_dir, "mTP", sources=("noTP", "cTP"))
+
+
+def _augmented_sql() -> str:
+    """Left-out centroids of three folds of even ids and of all odd ids at a quarter of their weight."""
+    n = range(5)
+    mean = ", ".join(f"sum(w * p{k}) / sum(w) AS m{k}, sqrt(greatest(0.0, sum(w * p{k} * p{k}) / sum(w) - power(sum(w * p{k}) / sum(w), 2))) AS v{k}" for k in n)
+    far = " + ".join(f"power((s.p{k} - m{k}) / d{k} - (c{k} - m{k}) / d{k}, 2)" for k in n)
+    return (f"WITH s AS (SELECT *, CASE WHEN row_idx % 2 = 0 THEN row_idx // 2 % 3 END AS fold, CASE WHEN row_idx % 2 = 0 THEN 1.0::DOUBLE ELSE 0.25 END AS w FROM ({_SCORES_OF})), "
+            "t AS (SELECT o.o, s.* FROM (SELECT unnest(range(3)) AS o) o, s WHERE fold IS DISTINCT FROM o.o), "
+            f"a AS (SELECT o, sum(w) AS total, count(DISTINCT truth) AS classes, {mean} FROM t GROUP BY o), b AS (SELECT *, {', '.join(f'CASE WHEN v{k} < 1e-9 THEN 1.0 ELSE v{k} END AS d{k}' for k in n)} FROM a), "
+            f"c AS (SELECT o, truth AS class, sum(w) AS n, {', '.join(f'sum(w * p{k}) / sum(w) AS c{k}' for k in n)} FROM t GROUP BY o, truth), "
+            f"l AS (SELECT s.row_idx, s.fold, s.truth, class, -0.5 * ({far}) + ln((n + 1.0) / (total + classes)) AS v FROM s JOIN b ON b.o = s.fold JOIN c ON c.o = s.fold), "
+            "e AS (SELECT *, exp(v - max(v) OVER (PARTITION BY row_idx)) AS x FROM l), f AS (SELECT *, x / sum(x) OVER (PARTITION BY row_idx) AS p FROM e) "
+            f"SELECT row_idx, fold, truth, {', '.join(f'round(coalesce(sum(p) FILTER (class = {chr(39)}{c}{chr(39)}), 0.0), 6) AS p_{c}' for c in labels.CLASSES)} FROM f GROUP BY row_idx, fold, truth")
+
+
+@query(_augmented_sql())
+def augmented_predictions(spark, sf_dir):
+    """Texts of even ids by the other folds' centroids, with the texts of odd ids as external rows of a quarter of their weight."""
+    rows_ = _left_out_scores(spark, sf_dir).select("row_idx", "truth", (F.floor(F.col("row_idx") / 2) % 3).alias("fold"), *[F.get("probs", k).alias(f"p{k}") for k in range(5)])
+    out = stacking.augmented_oof(rows_.where("row_idx % 2 = 0"), rows_.where("row_idx % 2 <> 0"), [f"p{k}" for k in range(5)])
+    return out.select("row_idx", "fold", "truth", *[r6(F.get("probs", k)).alias(f"p_{c}") for k, c in enumerate(labels.CLASSES)])

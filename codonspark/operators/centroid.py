@@ -10,20 +10,22 @@ from pyspark.sql import functions as F
 from codonspark.operators.labels import CLASSES
 
 
-def fit(rows: DataFrame, features: Sequence[str], label: str = "label", classes: Sequence[str] | None = None, fold: str | None = None) -> DataFrame:
+def fit(rows: DataFrame, features: Sequence[str], label: str = "label", classes: Sequence[str] | None = None, fold: str | None = None, weight: str | None = None) -> DataFrame:
     """(class, class_order, mean, std, centroid, log_prior), arrays in the order of ``features``; with ``fold`` also for each left-out fold.
 
     Means and population deviations (0 counts as 1) are over all rows; a centroid is the mean of its class in these units;
     priors are Laplace-smoothed. All comes from sums by class, and by fold: a model without a fold is the total less that
-    fold's sums, in one pass.
+    fold's sums, in one pass. Rows without a fold are left out of no model. With ``weight`` a row counts so often in all of these.
     """
     keys = [F.col(label).alias("class")] + ([F.col(fold).alias("_fold")] if fold else [])
     own = rows.where(F.col(label).isin(*classes)) if classes else rows
-    sums = own.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.col(f)).alias(f"s{k}") for k, f in enumerate(features)], *[F.sum(F.col(f) * F.col(f)).alias(f"q{k}") for k, f in enumerate(features)])
+    times = (lambda c: c) if weight is None else (lambda c: c * F.col(weight))
+    total = F.count("*") if weight is None else F.sum(weight)
+    sums = own.groupBy(*keys).agg(total.alias("n"), *[F.sum(times(F.col(f))).alias(f"s{k}") for k, f in enumerate(features)], *[F.sum(times(F.col(f) * F.col(f))).alias(f"q{k}") for k, f in enumerate(features)])
     names = _sums(features)
     if fold:
-        folds = sums.select(F.col("_fold").alias("fold")).distinct()
-        sums = sums.join(F.broadcast(folds), F.col("_fold") != F.col("fold")).groupBy("fold", "class").agg(*[F.sum(x).alias(x) for x in names])
+        folds = sums.select(F.col("_fold").alias("fold")).where("fold IS NOT NULL").distinct()
+        sums = sums.join(F.broadcast(folds), ~F.col("_fold").eqNullSafe(F.col("fold"))).groupBy("fold", "class").agg(*[F.sum(x).alias(x) for x in names])
     return _centroids(sums, features, classes, ["fold"] if fold else [])
 
 

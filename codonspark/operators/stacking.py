@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codonspark.operators import centroid, specialists, trees
+from codonspark.operators import centroid, joins, labels, specialists, trees
 from codonspark.operators.labels import CLASSES
 from codonspark.plans.frames import stored
 
@@ -85,3 +85,24 @@ def foldwise_override(rows: DataFrame, features: Sequence[str], positive: str, p
     best = specialists.fit_override(stored(inner, "inner_scores"), after(score, F.lit(float("-inf"))), "score", truth, after(score, F.lit(float("inf"))), grid, bool(grid), "outer")
     joined = own.join(F.broadcast(best.select(F.col("outer").alias("_o"), "threshold")), F.col(fold) == F.col("_o"))  # a row for each fold
     return joined.select(key, fold, truth, F.get(F.array(*map(F.lit, CLASSES)), after(score, F.col("threshold"))).alias("predicted"), "score", "threshold")
+
+
+def augmented_oof(rows: DataFrame, external: DataFrame, features: Sequence[str], truth: str = "truth", key: str = "row_idx", fold: str = "fold", weight: float = 0.25, most_per_class: int | None = None, seed: int = 1, overlaps: bool = False) -> DataFrame:
+    """(key, fold, truth, probs) of ``rows`` by centroids of the other folds and of all external rows, each of which counts ``weight``.
+
+    External rows of unknown classes go; ``overlaps``: so do those that share accession or sequence with ``rows``; ``most_per_class`` of each class stay, by
+    a seeded hash of the key. They are never predicted, and never left out.
+    """
+    if not weight > 0:
+        raise ValueError("the weight of external rows is positive")
+    more = joins.exclude_overlaps(external, rows) if overlaps else external
+    more = more.where(F.col(truth).isin(*CLASSES))
+    more = labels.capped_sample(more, most_per_class, truth, key, seed) if most_per_class is not None else more
+    columns = [F.col(truth).alias("_y"), *features]
+    kind = rows.schema[fold].dataType
+    own = stored(rows.select(key, F.col(fold).alias("_fold"), *columns), "augmented_rows")
+    both = own.select("_fold", "_y", *features, F.lit(1.0).alias("_w")).unionByName(more.select(F.lit(None).cast(kind).alias("_fold"), *columns, F.lit(float(weight)).alias("_w")))
+    model = stored(centroid.fit(both, features, "_y", CLASSES, "_fold", "_w"), "augmented")
+    out = centroid.predict(own, model, features, "_fold")
+    probs = F.array(*[F.coalesce(F.element_at("probabilities", c), F.lit(0.0)) for c in CLASSES])
+    return out.select(key, F.col("_fold").alias(fold), F.col("_y").alias(truth), probs.alias("probs"))

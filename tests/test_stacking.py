@@ -94,3 +94,29 @@ def test_stacks_and_bad_folds(spark):
             stacking.cross_fit(bad, ["a"], F.col("truth") == "SP", ["row_idx"])
     assert stacking.fold_sets("abc") == [("a",), ("b",), ("c",), ("a", "b"), ("a", "c"), ("b", "c")]
     assert specialists.CLASSES is CLASSES
+
+
+def test_external_rows_are_never_left_out(spark):
+    rows = data(4, 90, 3)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    own, other = frame.where("row_idx < 60"), frame.where("row_idx >= 60").unionByName(frame.limit(1).withColumn("truth", F.lit("unknown")))
+    got = {r.row_idx: r for r in stacking.augmented_oof(own, other, ["a", "b"], weight=0.5).collect()}
+    assert got.keys() == set(range(60))
+    for k, fold, truth, *_ in rows[:60]:
+        train = [(r, 1.0) for r in rows[:60] if r[1] != fold] + [(r, 0.5) for r in rows[60:]]
+        total = sum(w for _, w in train)
+        mean = [sum(w * r[4 + i] for r, w in train) / total for i in (0, 1)]
+        std = [math.sqrt(sum(w * (r[4 + i] - mean[i]) ** 2 for r, w in train) / total) for i in (0, 1)]
+        logits = []
+        for c in CLASSES:
+            part = [(r, w) for r, w in train if r[2] == c]
+            n = sum(w for _, w in part)
+            centre = [sum(w * r[4 + i] for r, w in part) / n for i in (0, 1)]
+            logits.append(-0.5 * sum(((rows[k][4 + i] - centre[i]) / std[i]) ** 2 for i in (0, 1)) + math.log((n + 1) / (total + 5)))
+        top = [math.exp(v - max(logits)) for v in logits]
+        assert got[k].truth == truth and got[k].fold == fold and list(got[k].probs) == pytest.approx([v / sum(top) for v in top])
+    few = stacking.augmented_oof(own, other, ["a", "b"], most_per_class=0).collect()
+    alone = stacking.augmented_oof(own, other.limit(0), ["a", "b"]).collect()
+    assert sorted((r.row_idx, tuple(r.probs)) for r in few) == sorted((r.row_idx, tuple(r.probs)) for r in alone)
+    with pytest.raises(ValueError):
+        stacking.augmented_oof(own, other, ["a"], weight=0)
