@@ -15,7 +15,8 @@ IUPAC = {"T": "T", "C": "C", "A": "A", "G": "G", "R": "AG", "Y": "CT", "M": "AC"
 #: Residue letters that stand for one of two residues.
 EITHER = {frozenset("DN"): "B", frozenset("EQ"): "Z", frozenset("IL"): "J"}
 
-#: The public genetic codes by number, with names, residues and start codons.
+#: The public genetic codes by number, with names, residues and start codons. Codons that are a residue or a stop by what stands
+#: around them (in 27, 28 and 31) count as residues.
 CODES = {
     1: ("Standard", "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", "TTG CTG ATG"),
     2: ("Vertebrate Mitochondrial", "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSS**VVVVAAAADDEEGGGG", "ATT ATC ATA ATG GTG"),
@@ -36,6 +37,13 @@ CODES = {
     24: ("Pterobranchia Mitochondrial", "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSSKVVVVAAAADDEEGGGG", "TTG CTG ATG GTG"),
     25: ("Candidate Division SR1", "FFLLSSSSYY**CCGWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", "TTG ATG GTG"),
     26: ("Pachysolen tannophilus Nuclear", "FFLLSSSSYY**CC*WLLLAPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", "CTG ATG"),
+    27: ("Karyorelict Nuclear", "FFLLSSSSYYQQCCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", "ATG"),
+    28: ("Condylostoma Nuclear", "FFLLSSSSYYQQCCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", "ATG"),
+    29: ("Mesodinium Nuclear", "FFLLSSSSYYYYCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", "ATG"),
+    30: ("Peritrich Nuclear", "FFLLSSSSYYEECC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", "ATG"),
+    31: ("Blastocrithidia Nuclear", "FFLLSSSSYYEECCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", "ATG"),
+    32: ("Balanophoraceae Plastid", "FFLLSSSSYY*WCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", "TTG CTG ATT ATC ATA ATG GTG"),
+    33: ("Cephalodiscidae Mitochondrial", "FFLLSSSSYYY*CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSSKVVVVAAAADDEEGGGG", "TTG CTG ATG GTG"),
 }
 
 

@@ -105,3 +105,18 @@ def learn(table: DataFrame, n_folds: int = 5, seq: str = "sequence", mode: str =
     out = centroid.predict(rows, centroid.fit(rows, names, "label", CLASSES, "fold"), names, "fold").select(key, "fold", "label", "predicted", "probabilities")
     out = stored(out, "left_out")
     return model, out, metrics.class_metrics(out, CLASSES, "label", "predicted")
+
+
+def save(model: Model, path: str) -> None:
+    """A folder with the classes, the peroxisomal centroids, and what is applied to the classes' probabilities, as JSON lines."""
+    centroid.save(model.classes, f"{path}/classes")
+    centroid.save(model.perox, f"{path}/perox")
+    limits = [(c, float(t)) for c, t in (model.thresholds or {}).items()]
+    settings = model.classes.sparkSession.createDataFrame([(float(model.temperature), model.thresholds is not None, limits)], "temperature double, has_thresholds boolean, thresholds array<struct<class:string,threshold:double>>")
+    settings.coalesce(1).write.mode("overwrite").json(f"{path}/settings")
+
+
+def load(spark, path: str) -> Model:
+    own = spark.read.schema("temperature double, has_thresholds boolean, thresholds array<struct<class:string,threshold:double>>").json(f"{path}/settings").first()
+    limits = {r["class"]: r.threshold for r in own.thresholds or []} if own.has_thresholds else None
+    return Model(centroid.load(spark, f"{path}/classes"), centroid.load(spark, f"{path}/perox"), own.temperature, limits)

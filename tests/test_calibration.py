@@ -61,6 +61,12 @@ def test_blends(spark):
     best = C.fit_blend(wide, 2, CLASSES, 4)
     score = lambda w: macro([(a[3], CLASSES[max(range(3), key=lambda i: (w[0] * a[4][i] + w[1] * b[4][i], -i))]) for a, b in zip(one, two, strict=True)])
     assert score(best) == pytest.approx(max(map(score, C.weight_grid(2, 4))))
+    by_class = C.fit_blend_by_class(wide, 2, CLASSES, 2)
+    mixed = lambda w: macro([(a[3], CLASSES[max(range(3), key=lambda i: (w[i][0] * a[4][i] + w[i][1] * b[4][i], -i))]) for a, b in zip(one, two, strict=True)])
+    grid = C.weight_grid(2, 2)
+    assert mixed(by_class) >= max(mixed([w] * 3) for w in grid) and all(mixed(by_class) >= mixed([*by_class[:k], w, *by_class[k + 1:]]) - 1e-12 for k in range(3) for w in grid)
+    both = C.foldwise_blend(wide, 2, CLASSES, 1, by_class=True)
+    assert both.count() == 120 and both.where("predicted IS NULL").count() == 0
     out = C.foldwise_blend(wide, 2, CLASSES, 2)
     assert out.count() == 120 and out.where("predicted IS NULL").count() == 0
     with pytest.raises(ValueError):

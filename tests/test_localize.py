@@ -40,9 +40,15 @@ def test_learn_and_localize(spark):
     assert localize.localize(seqs.limit(0), model, "protein").count() == 0
 
 
-def test_folds_and_groups(spark):
+def test_folds_and_groups(spark, tmp_path):
     table = proteins(spark, 60)
     model, left_out, _ = localize.learn(table, mode="protein", fold="part")
+    seqs = table.select("input_order", F.col("accession").alias("id"), F.col("sequence").alias("seq"))
+    for own in (model, localize.Model(model.classes, model.perox, 0.5, {"cTP": 2.0})):
+        localize.save(own, f"{tmp_path}/model")
+        again = localize.load(spark, f"{tmp_path}/model")
+        assert (again.temperature, again.thresholds) == (own.temperature, own.thresholds)
+        assert sorted(map(tuple, localize.localize(seqs, again, "protein").collect())) == sorted(map(tuple, localize.localize(seqs, own, "protein").collect()))
     assert {(r.accession, r.fold) for r in left_out.collect()} == {(f"a{k}", k % 4) for k in range(60)}
     for bad in (F.lit("x"), F.lit(1)):
         with pytest.raises(ValueError):
