@@ -41,9 +41,11 @@ def filter_report(seqs: DataFrame, drop_non_triplet: bool = True, drop_internal_
     tests += [F.when(F.col("clean_codon_fraction") < min_clean_codon_fraction, "low_clean_fraction")]
     rows = rows.withColumn("reasons", F.array_compact(F.array(*tests)))
     if dedup != "no":
-        order = ([F.desc("length_nt")] if dedup == "keep-longest" else []) + [F.asc("input_order")]
-        rank = F.row_number().over(Window.partitionBy("id", F.size("reasons") == 0).orderBy(*order))
-        rows = rows.withColumn("_rank", rank).withColumn("reasons", F.when((F.size("reasons") == 0) & (F.col("_rank") > 1), F.array(F.lit("duplicate"))).otherwise(F.col("reasons"))).drop("_rank")
+        # one number for each id, combined before it is shuffled: sequences of a frequent id don't meet
+        order = ([(-F.col("length_nt")).alias("short")] if dedup == "keep-longest" else []) + [F.col("input_order").alias("first")]
+        best = rows.where(F.size("reasons") == 0).groupBy(F.col("id").alias("_id")).agg(F.min(F.struct(*order)).alias("_b")).select("_id", F.col("_b.first").alias("_first"))
+        rows = rows.join(best, F.col("id").eqNullSafe(F.col("_id")), "left")
+        rows = rows.withColumn("reasons", F.when((F.size("reasons") == 0) & (F.col("input_order") != F.col("_first")), F.array(F.lit("duplicate"))).otherwise(F.col("reasons"))).drop("_id", "_first")
     return rows.withColumn("kept", F.size("reasons") == 0)
 
 
