@@ -972,8 +972,8 @@ def localize(spark, sf_dir):
 def similar_proteins(spark, sf_dir):
     """Every fiftieth text as residues against all texts: each query's best hit besides itself. SQL has no alignments."""
     seqs = document_sequences(spark, sf_dir, residues=True).select(F.col("input_order").alias("id"), "seq")
-    hits = similarity.search(seqs.where("id % 50 = 0"), seqs, min_identity=0.5, least_share=0.01).where("query <> target")
-    return joins.best_hits(hits).select("query", "target", r6("identity").alias("identity"), r6("query_coverage").alias("query_coverage"), r6("target_coverage").alias("target_coverage"), "score", r6("bits").alias("bits"))
+    hits = similarity.best_similar(seqs, F.col("id") % 50 == 0, min_identity=0.5, least_share=0.01)
+    return hits.select("query", "target", r6("identity").alias("identity"), r6("query_coverage").alias("query_coverage"), r6("target_coverage").alias("target_coverage"), "score", r6("bits").alias("bits"))
 
 
 @query(None)
