@@ -9,14 +9,17 @@ therefore leaves pairs out that can't link, and proposes pivots; all that follow
 0. Pre-filter. Rings of sizes split the documents; a document also goes to the rings above that a linked one may lie in. A ring
    cuts the shingle space into parts by hash. A linked pair differs in D shingles at most, so of any D + 1 parts one is equal in
    both. A document has a cell for each of its first D + 1 + spare parts that aren't empty, named by the part's content: a linked
-   pair shares 1 + spare cells at least. Cells that one set only has are dropped, and with them most documents.
+   pair shares 1 + spare cells at least. Cells that one set only has are dropped, and with them most documents. A document that has
+   k cells left in a ring keeps the k - spare rarest: the rarest cell that a linked pair shares is among these in both.
 1. The pivot of a cell is the document with the least hash in it. A linked pair shares a cell, so both meet its pivot. The
    distances of all documents to the pivots that they share a cell with are counted exactly; those within 1 - t are links.
 2. A document's Voronoi region is that of its nearest pivot, and is joined first. Around a pivot p, shells of width 1 - t hold the
    documents by d(x, p): as d(x, y) >= |d(x, p) - d(y, p)|, a partner lies in the same shell or the next. A document goes to its
    region only if these shells hold one that it isn't connected with yet.
 3. Windows: a document is replicated to each of its other pivots whose region the same inequality does not rule out.
-4. A small region is joined exactly in one task. In a large one every member is compared with the pivot p, in salted groups.
+4. A small region is joined exactly in one task, one of a few times that size in blocks: each member then goes to at most MOST_BLOCKS
+   tasks, while dealing texts that share most of a passage, as below, may repeat them many times more. In a larger region
+   every member is compared with the pivot p, in salted groups.
    Members linked to p form its ball and need no comparison with each other. For x outside the ball, the symmetric difference
    D(x, p) = |x ^ p|, a metric too, is over the bound of a link, so x and any partner y must share elements of x ^ p and y ^ p, at
    least half the excess; members are dealt out by the first such elements (as many as the bound demands; those that p lacks come
@@ -46,6 +49,8 @@ from .common import BROADCAST_ROWS, Workspace, components, join_beside, releasin
 #: Members and elements of a region that one task joins; elements of a large region's group that one task compares with the pivot.
 SMALL, SMALL_ELEMENTS, SALT = 512, 1_000_000, 1_000_000
 COLUMNS = 8192
+#: Regions of so many blocks of small regions' size are compared in blocks at once.
+MOST_BLOCKS = 8
 RING, RINGS = 1.7, 64
 #: Linked pairs share one cell more for each so many shingles in which they may differ.
 SPARE = 6
@@ -249,8 +254,8 @@ class JaccardJoin:
     """The join of one table. ``links`` gives its links, ``classes`` a row for each document."""
 
     def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: str = "0.9", work: Workspace | None = None, small: int = SMALL, most_rounds: int = MOST_ROUNDS,
-                 salt: int = SALT):
-        self.t, self.n, self.small, self.most_rounds, self.salt = Fraction(threshold), n, small, most_rounds, salt
+                 salt: int = SALT, most_blocks: int = MOST_BLOCKS):
+        self.t, self.n, self.small, self.most_rounds, self.salt, self.most_blocks = Fraction(threshold), n, small, most_rounds, salt, most_blocks
         self.spark, self.id_col = df.sparkSession, id_col
         self.work = work or Workspace(self.spark, "jaccard")
         small_batches(self.spark)
@@ -289,7 +294,7 @@ class JaccardJoin:
         return self.work.keep(wide.select("id", "mark", "node", "n_shingles"), "sets"), wide.where("n_cells > 0").select("node", "cells", "n_cells")
 
     def met(self, cells: DataFrame) -> DataFrame:
-        """(cell, node) without repeats, of the cells with several nodes.
+        """(cell, node, rows) without repeats, of the cells with several nodes; rows: how frequent the cell is, the same for its nodes.
 
         One exchange by cell finds them. Cells of very many nodes, known from a sample of the nodes, are dealt with on the way
         there: they are surely shared, and their rows are spread by node.
@@ -298,25 +303,28 @@ class JaccardJoin:
         rows = cells.select("node", F.explode("cells").alias("cell"))
         sample = cells.where(F.pmod(F.xxhash64("node"), F.lit(CELL_SAMPLE)) == 0).select("node", F.explode("cells").alias("cell"))
         hits = max(CELL_HITS, split_limit(total) // CELL_SAMPLE)
-        hot = self.work.keep(sample.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where((F.col("n") >= hits) & (F.col("low") < F.col("high"))).select("cell"), "hot_cells")
+        hot = self.work.keep(sample.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where((F.col("n") >= hits) & (F.col("low") < F.col("high"))).select("cell", (F.col("n") * CELL_SAMPLE).alias("rows")), "hot_cells")
         by_cell = Window.partitionBy("cell")
-        cold = rows.join(F.broadcast(hot), "cell", "left_anti").select("cell", "node", F.min("node").over(by_cell).alias("low"), F.max("node").over(by_cell).alias("high"))
-        found = cold.where("low < high").select("cell", "node").distinct()
+        cold = rows.join(F.broadcast(hot), "cell", "left_anti").select("cell", "node", F.min("node").over(by_cell).alias("low"), F.max("node").over(by_cell).alias("high"), F.count("*").over(by_cell).alias("rows"))
+        found = cold.where("low < high").select("cell", "node", "rows").distinct()
         if not hot.isEmpty():
-            found = found.union(rows.join(F.broadcast(hot), "cell", "left_semi").select("cell", "node").distinct())
+            found = found.union(rows.join(F.broadcast(hot), "cell").select("cell", "node", "rows").distinct())
         return self.work.keep(found, "met")
 
     def edges(self, met: DataFrame) -> DataFrame:
         """(region, node): the pivots that a document shares a cell with, each named by itself; a pivot has an edge to itself.
 
-        A node that shares fewer cells in a ring than any linked pair of it must share is dropped from it first.
+        A node that shares fewer cells in a ring than any linked pair of it must share is dropped from it first. Of the others' cells
+        the most frequent are left out, one fewer than such a pair shares, so that one shared cell stays in both: passages that many
+        documents have would else bring them to the same pivots.
         """
         lows = rings(self.t)
         least = F.array(*[F.lit(1 + spare(r, self.t, lows) if r else 1) for r in range(min(RINGS, len(lows) - 1))])
         ring = F.pmod("cell", F.lit(RINGS)).cast("int")
         # a node's cells in a ring are no more than its shingles
-        held = F.count("*").over(Window.partitionBy("node", "ring"))
-        rest = self.work.keep(met.select("cell", "node", ring.alias("ring")).withColumn("n", held).where(F.col("n") >= F.get(least, F.col("ring"))).select("cell", "node"), "rest")
+        own = Window.partitionBy("node", "ring")
+        places = met.select("cell", "node", "rows", ring.alias("ring")).withColumn("n", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("rows", "cell")))
+        rest = self.work.keep(places.where(F.col("rank") <= F.col("n") - F.get(least, F.col("ring")) + 1).select("cell", "node"), "rest")
         pivots = self.work.keep(rest.groupBy("cell").agg(F.min("node").alias("region"), F.max("node").alias("high")).where("region < high").select("cell", "region"), "pivots")
         return self.work.keep(join_beside(rest, pivots, "cell").select("region", "node").distinct(), "edges")
 
@@ -410,10 +418,16 @@ class JaccardJoin:
 
         return rows.repartition("region").sortWithinPartitions("region").mapInArrow(releasing(run), "a long, b long")
 
+    def large(self, facts: DataFrame) -> DataFrame:
+        """(region, m, blocks) of the large regions of (region, node, k) places: members, and blocks of a small region's size."""
+        count = facts.groupBy("region").agg(F.count("*").alias("m"), F.sum("k").alias("held"))
+        count = count.where((F.col("m") > self.small) | (F.col("held") > SMALL_ELEMENTS))
+        return count.select("region", "m", F.greatest(F.ceil(F.col("m") / self.small), F.ceil(F.col("held") / SMALL_ELEMENTS)).cast("int").alias("blocks"))
+
     def join_blocks(self, rows: DataFrame, counts: DataFrame, every: bool = False) -> DataFrame:
-        """Links inside regions of any size, by exact comparison of all pairs of blocks of members; counts: (region, m) of all."""
-        t, size = self.t, self.small
-        rows = join_beside(rows, counts, "region").withColumn("blocks", F.ceil(F.col("m") / size).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        """Links inside regions of any size, by exact comparison of all pairs of blocks of members; counts: (region, blocks) of all."""
+        t = self.t
+        rows = join_beside(rows, counts.select("region", "blocks"), "region").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         with_all = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))).alias("at")
         rows = rows.select("region", with_all, "block", "node", "class", "size", "elements").select("region", "at.i", "at.j", "block", "node", "class", "size", "elements")
 
@@ -501,19 +515,20 @@ class JaccardJoin:
         rows = self.with_elements(own, elements).select("region", "node", "class", "size", "elements")
         facts = join_beside(own, elements.select("node", F.col("size").alias("k")), "node").select("region", "node", "k")
         for step in range(self.most_rounds + 1):
-            count = facts.groupBy("region").agg(F.count("*").alias("m"), F.sum("k").alias("held"))
-            large = work.keep(count.where((F.col("m") > self.small) | (F.col("held") > SMALL_ELEMENTS)).select("region", "m"), f"{name}_large{step}")
-            total = large.agg(F.sum("m")).first()[0] or 0
-            small = rows if not total else join_beside(rows, large, "region", "left_anti")
+            large = work.keep(self.large(facts), f"{name}_large{step}")
+            deep = F.col("blocks") > self.most_blocks
+            n_large, total = large.agg(F.count("*"), F.coalesce(F.sum(F.when(deep, F.col("m"))), F.lit(0))).first()
+            small = rows if not n_large else join_beside(rows, large, "region", "left_anti")
             out = out.union(work.keep(self.join_regions(small), f"{name}_links{step}"))
-            if not total:
+            if not n_large:
                 break
-            if step == self.most_rounds or before is not None and total > 4 * before:
-                out = out.union(work.keep(self.join_blocks(rows, large), f"{name}_blocks{step}"))
+            last = not total or step == self.most_rounds or before is not None and total > 4 * before
+            out = out.union(work.keep(self.join_blocks(rows, large if last else large.where(~deep)), f"{name}_blocks{step}"))
+            if last:
                 break
-            before = total
-            big = join_beside(rows, large.drop("m"), "region", "left_semi")
-            near = work.keep(self.around_pivots(big, join_beside(facts, large.drop("m"), "region", "left_semi"), step == 0), f"{name}_near{step}")
+            before, largest = total, large.where(deep).select("region")
+            big = join_beside(rows, largest, "region", "left_semi")
+            near = work.keep(self.around_pivots(big, join_beside(facts, largest, "region", "left_semi"), step == 0), f"{name}_near{step}")
             out = out.union(work.keep(near.where("near").select(F.col("node").alias("a"), F.col("pivot").alias("b")), f"{name}_ball{step}"))
             roots = work.keep(components(known.union(out), work, f"{name}_cc{step}_"), f"{name}_classes{step}")
             near = near.drop("class").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
@@ -552,8 +567,7 @@ class JaccardJoin:
         """
         sets, edges, elements = self.prepare()
         work, places = self.work, edges.withColumn("class", F.col("node"))
-        count = join_beside(edges, elements.select("node", "size"), "node").groupBy("region").agg(F.count("*").alias("m"), F.sum("size").alias("held"))
-        large = work.keep(count.where((F.col("m") > self.small) | (F.col("held") > SMALL_ELEMENTS)).select("region", "m"), "large")
+        large = work.keep(self.large(join_beside(edges, elements.select("node", F.col("size").alias("k")), "node")), "large")
         rows = self.with_elements(places, elements).select("region", "node", "class", "size", "elements")
         pairs = work.keep(self.join_regions(join_beside(rows, large, "region", "left_anti"), True), "pairs").union(work.keep(self.join_blocks(rows, large, True), "pairs_of_blocks"))
         pairs = work.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "all_pairs")

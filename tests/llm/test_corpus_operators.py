@@ -316,6 +316,52 @@ def test_blocks_after_the_last_round(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == components_by_brute_force(rows, 3, 9, 10)
 
 
+def variants(seed, members=60, length=120, twins=12):
+    """Texts that share most of one passage but don't link, and near copies of some of them, which do."""
+    rnd = random.Random(seed)
+    word = lambda: "w" + str(rnd.randrange(5000))
+    base, out = [word() for _ in range(length)], []
+    for k in range(members):
+        w = list(base)
+        for at in rnd.sample(range(length), 6):
+            w[at] = word()
+        out.append(" ".join(w))
+        if k < twins:
+            w[rnd.randrange(length)] = word()
+            out.append(" ".join(w))
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("most_blocks", [10, 1])
+def test_regions_of_a_few_blocks_are_not_dealt_out(spark, monkeypatch, most_blocks):
+    rows, dealt = variants(3), []
+    old = jaccard.JaccardJoin.around_pivots
+    monkeypatch.setattr(jaccard.JaccardJoin, "around_pivots", lambda self, *a: dealt.append(1) or old(self, *a))
+    limit = {"most_blocks": 1} if most_blocks == 1 else {}
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=3, threshold="0.9", small=10, salt=3000, **limit).collect()
+    want = {k: low for k, _, low in components_by_brute_force(rows, 3, 9, 10)}
+    assert {r.doc_id: r.component_id for r in got} == want and 40 < len(set(want.values())) < len(want)
+    assert bool(dealt) == (most_blocks == 1)
+
+
+def test_only_the_rarest_cells_lead_to_pivots(spark):
+    rows, t = near_copies(9, length=200) + [(1000 + k, x) for k, x in variants(4)], Fraction("0.8")
+    join = jaccard.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"), n=3, threshold="0.8")
+    sets, cells = join.sets()
+    met = join.met(cells)
+    regions = {}
+    for r in join.edges(met).collect():
+        regions.setdefault(r.node, set()).add(r.region)
+    lows = jaccard.rings(t)
+    held, kept = (Counter((r.node, r.cell % jaccard.RINGS) for r in df.collect()) for df in (met, spark.read.parquet(join.work.path("rest"))))
+    spare = {key: jaccard.spare(key[1], t, lows) if key[1] else 0 for key in held}
+    assert max(spare.values()) > 2 and all(kept[key] == max(0, n - spare[key]) for key, n in held.items())
+    node = {r.id: r.node for r in sets.collect()}
+    shingle_sets = {k: {tuple(w[i:i + 3]) for i in range(max(1, len(w) - 2))} for k, x in rows for w in [x.split()]}
+    pairs = [(a, b) for a in node for b in node if a < b and node[a] != node[b] and 10 * len(shingle_sets[a] & shingle_sets[b]) >= 8 * len(shingle_sets[a] | shingle_sets[b])]
+    assert len(pairs) > 100 and all(regions[node[a]] & regions[node[b]] for a, b in pairs)
+
+
 def test_join_bears_awkward_rows(spark, tmp_path):
     rows = awkward()
     got = queries.op3_jaccard_join(spark, table(spark, tmp_path, rows)).collect()
