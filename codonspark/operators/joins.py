@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codonspark.functions import sequences as S
+from codonspark.plans.frames import LETTERS
 
 #: Kinds of back-alignment errors.
 NOT_TRIPLET, TOO_MANY, TOO_FEW, MISMATCH, INVALID = "not_triplet", "too_many_residues", "too_few_residues", "mismatch", "invalid_codon"
@@ -53,9 +54,9 @@ def label_conflicts(rows: DataFrame, sequence: str = "sequence", label: str = "l
 
 
 def unique_sequences(rows: DataFrame, order: str, sequence: str = "sequence", label: str = "label") -> DataFrame:
-    """The first row of each sequence (any case); sequences with several labels go."""
+    """The first row of each sequence; sequences with several labels go. Case is that of A to Z: other letters' capitals may be spelled alike (SS)."""
     best = F.min_by(F.struct(*rows.columns), F.col(order)).alias("r")
-    return rows.groupBy(F.upper(sequence).alias("_s")).agg(best, F.count_distinct(label).alias("_k")).where("_k = 1").select("r.*")
+    return rows.groupBy(F.translate(sequence, LETTERS.lower(), LETTERS).alias("_s")).agg(best, F.count_distinct(label).alias("_k")).where("_k = 1").select("r.*")
 
 
 def best_hits(hits: DataFrame, query: str = "query", score: str = "bits") -> DataFrame:

@@ -3,9 +3,11 @@
 import itertools
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from codonspark import catalog
 from codonspark.operators import centroid, joins, labels, metrics, rows, sites
 from codonspark.sources import fasta, tables
 from codonspark.streaming import kernels
@@ -237,6 +239,15 @@ def test_joins(spark):
     assert [r.accession for r in joins.missing_accessions(wanted, seqs(spark, [("gi|AB1.1|x", ""), ("CD.3", "")])).collect()] == ["EF.1"]
 
 
+def test_unique_sequences_takes_other_alphabets_as_they_are(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "straße", "de"), (2, "STRASSE", "en"), (3, "été", "fr"), (4, "ÉTÉ", "en"), (5, "Été", "fr"), (6, "mk", "en"), (7, "MK", "fr"), (8, None, "en")], "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(r.doc_id for r in catalog.QUERIES["unique_sequences"](spark, str(tmp_path)).collect())
+    assert got == sorted(r[0] for r in con.execute(catalog.ORACLES["unique_sequences"]).fetchall()) == [1, 2, 3, 4, 5, 8]
+
+
 def test_labels(spark):
     text = lambda t: spark.range(1).select(labels.from_location_text(F.lit(t)).alias("x")).first().x
     assert tuple(text("Chloroplast thylakoid lumen")) == ("lTP", "no", False) and tuple(text("Mitochondrion; chloroplast")) == ("cTP", "no", True) and tuple(text(None)) == ("noTP", "no", False)
