@@ -46,8 +46,14 @@ def localize(seqs: DataFrame, model: Model, mode: str = "auto", table: int | str
     ``group``: the organism's group; where it is non_plant, there are no cTP and lTP. The model is broadcast as one row, rows
     aren't shuffled. Raises for sequences that ``mode`` doesn't allow. An empty table gives no rows.
     """
+    rows = with_features(seqs.withColumn("_group", F.lit("") if group is None else group), mode, table).withColumn("perox_signal_type", P.signal_type(F.col("protein")))
+    return place(rows, model, F.col("_group"), features)
+
+
+def place(rows: DataFrame, model: Model, group: Column | None = None, features: bool = False) -> DataFrame:
+    """``localize`` of rows that have their base features and perox_signal_type, as a stored table has that is also learned from."""
     names = feature_names()
-    rows = with_features(seqs.withColumn("_group", F.lit("") if group is None else group), mode, table)
+    rows = rows.withColumn("_group", F.lit("") if group is None else group)
     rows = centroid.predict(rows, model.classes, names).withColumnRenamed("probabilities", "_p").drop("predicted")
     rows = centroid.predict(rows, model.perox, names).withColumn("_yes", F.coalesce(F.element_at("probabilities", "yes"), F.lit(0.0)))
     rows = rows.withColumns({f"p_{c}": F.coalesce(F.element_at("_p", c), F.lit(0.0)) for c in CLASSES})
@@ -60,7 +66,7 @@ def localize(seqs: DataFrame, model: Model, mode: str = "auto", table: int | str
         rows = rows.withColumns({f"p_{c}": v for c, v in centroid.scale(p, model.temperature).items()})
     best = centroid.choose(p, model.thresholds)
     return rows.select("input_order", F.col("id").alias("seq_id"), best.alias("predicted_class"), *[f"p_{c}" for c in CLASSES], F.col("_yes").alias("p_peroxisome"),
-                       P.signal_type(F.col("protein")).alias("perox_signal_type"), *(names if features else ()))
+                       "perox_signal_type", *(names if features else ()))
 
 
 def training_rows(table: DataFrame, seq: str = "sequence", mode: str = "auto", code: int | str = 1) -> DataFrame:

@@ -2,11 +2,14 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from codonspark import catalog
 from codonspark.operators import centroid, checks, labels, localize, metrics
 from codonspark.sources import benchmarks, tables
+from tests.conftest import SMALL
 
 
 def proteins(spark, n=120, seed=2):
@@ -125,3 +128,14 @@ def test_exports_and_unions(spark, tmp_path):
     checks.same_count(rows, rows)
     with pytest.raises(ValueError):
         checks.same_count(rows, both)
+
+
+def test_query_with_texts_without_letters(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = spark.createDataFrame([(900001, "", "en", "a", 0), (900002, None, "fr", "a", 0), (900003, "12 --", "es", "a", 5), (900004, "12", None, "a", 2)], docs.schema)
+    docs.unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    plain = lambda rows: sorted(tuple(round(v, 5) + 0.0 if isinstance(v, float) else v for v in r) for r in rows)
+    got = catalog.QUERIES["localize"](spark, str(tmp_path))
+    assert plain(got.collect()) == plain(con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.ORACLES['localize']})").fetchall())
