@@ -14,11 +14,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import releasing, text_or_empty
@@ -27,34 +28,74 @@ RUN = 8
 SHORT = 8  # hex digits of a node below the root
 ROWS_OF_A_BUCKET = 1000
 MOST_BUCKETS = 20_000
+BUCKETS_OF_A_TASK = 2
 OUT_ROWS = 500
+KNOWN = 1_000_000  # letters of texts whose paragraphs' and leaves' digests a task holds
+#: What sections, paragraphs, runs and a written tree's branches are; _sections, _paragraphs and _branches cut the same, faster.
 _SECTION = re.compile(r"(?s).+?(?:\n[ \t\r]*\n\s*|\Z)")
 _PARAGRAPH = re.compile(r"[^\n]*\n|[^\n]+")
-_RUN = re.compile(r"\s*(?:\S+\s*){1,%d}|\s+" % RUN)
+_BLANK = re.compile(r"\n[ \t\r]*\n\s*")
+_RUN = re.compile(r"\s*+(?:\S++\s*+){1,%d}+|\s++" % RUN)  # possessive: words and gaps have no letter in common
 _TREE = re.compile(r"([0-9a-f]{8})\[(.*?)\]")
 _BRANCH = re.compile(r"([0-9a-f]{8})\((.*?)\)")
 
 
 def _digest(data: str, size: int = SHORT // 2) -> str:
-    return hashlib.blake2b(data.encode(), digest_size=size).hexdigest()
+    return blake2b(data.encode(), digest_size=size).hexdigest()
 
 
-def fingerprint(text: str) -> str:
-    """The text's tree, written out. The empty text has a root and no sections."""
+def _sections(text: str) -> Iterator[str]:
+    """Up to the end of each blank line that has something before it, and the rest."""
+    start = 0
+    while start < len(text):
+        found = _BLANK.search(text, start + 1)
+        end = found.end() if found else len(text)
+        yield text[start:end]
+        start = end
+
+
+def _paragraphs(section: str) -> list[str]:
+    *whole, last = section.split("\n")
+    return [f"{p}\n" for p in whole] + ([last] if last else [])
+
+
+def fingerprint(text: str, known: tuple[dict[str, str], dict[str, str]] | None = None) -> str:
+    """The text's tree, written out. The empty text has a root and no sections.
+
+    ``known`` has paragraphs and leaves of other texts with what was written for them, and gets this one's.
+    """
     out = []
-    for section in _SECTION.findall(text):
+    whole, digests = known or ({}, {})
+    for section in _sections(text):
         body = []
-        for paragraph in _PARAGRAPH.findall(section):
-            leaves = ",".join(map(_digest, _RUN.findall(paragraph)))
-            body.append(f"{_digest(leaves)}({leaves})")
+        for paragraph in _paragraphs(section):
+            written = whole.get(paragraph)
+            if written is None:
+                leaves = []
+                for run in _RUN.findall(paragraph):
+                    leaf = digests.get(run)
+                    if leaf is None:
+                        leaf = digests[run] = _digest(run)
+                    leaves.append(leaf)
+                leaves = ",".join(leaves)
+                written = whole[paragraph] = f"{_digest(leaves)}({leaves})"
+            body.append(written)
         body = "".join(body)
         out.append(f"{_digest(body)}[{body}]")
     # the root is of the text itself: 128 bits stand for equality
     return f"{_digest(text, 16)};{''.join(out)}"
 
 
+def _branches(written: str, closes: str) -> list[tuple[str, str]]:
+    """(digest, body) of the branches in ``written``, a tree after its root or a branch's body."""
+    return [(x[:SHORT], x[SHORT + 1:]) for x in written.split(closes)[:-1]]
+
+
 def _rest(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
     """The bodies of the branches of each side that have no equal on the other."""
+    keys, others = dict(a), dict(b)
+    if len(keys) == len(a) and len(others) == len(b):
+        return [body for k, body in a if k not in others], [body for k, body in b if k not in keys]
     here, there = Counter(k for k, _ in a), Counter(k for k, _ in b)
     only, other = here - there, there - here
     out = ([], [])
@@ -76,11 +117,17 @@ def likeness(a: str, b: str) -> float:
     total = a.count(",") + a.count("(") + b.count(",") + b.count("(")
     if not total:
         return 0.0
-    left, right = _rest(_TREE.findall(a), _TREE.findall(b))
-    left, right = _rest(_BRANCH.findall("".join(left)), _BRANCH.findall("".join(right)))
-    x, y = (Counter(leaf for body in side for leaf in body.split(",")) for side in (left, right))
-    unlike = sum((x - y).values()) + sum((y - x).values())
-    return (total - unlike) / total
+    left, right = _rest(_branches(a[33:], "]"), _branches(b[33:], "]"))
+    left, right = _rest(_branches("".join(left), ")"), _branches("".join(right), ")"))
+    x, y = (",".join(side).split(",") if side else [] for side in (left, right))
+    held, other = set(x), set(y)
+    both = held & other
+    if both and (len(held) < len(x) or len(other) < len(y)):
+        n, m = Counter(x), Counter(y)
+        same = sum(min(n[k], m[k]) for k in both)
+    else:
+        same = len(both)
+    return (total - (len(x) + len(y) - 2 * same)) / total
 
 
 def _aligned(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> list[tuple[int, str, str]]:
@@ -98,8 +145,8 @@ def differing(a: str, b: str) -> list[tuple[int, int, int]]:
     if a[:32] == b[:32]:
         return []
     out = []
-    for i, body, other in _aligned(_TREE.findall(a), _TREE.findall(b)):
-        for j, leaves, held in _aligned(_BRANCH.findall(body), _BRANCH.findall(other)):
+    for i, body, other in _aligned(_branches(a[33:], "]"), _branches(b[33:], "]")):
+        for j, leaves, held in _aligned(_branches(body, ")"), _branches(other, ")")):
             pairs = [[(x, "") for x in side.split(",") if x] for side in (leaves, held)]
             out += [(i, j, k) for k, _, _ in _aligned(*pairs)]
     return out
@@ -134,9 +181,13 @@ def in_turn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     # a search by halves over the bounds, whose places below an id are counted
     table, below, step = F.array(*map(F.lit, bounds)).cast("array<bigint>"), F.lit(0), 1 << len(bounds).bit_length()
+
+    def further(n: int) -> Callable[[Column], Column]:
+        # of one argument: Spark gives a second one, even one with a default, the element's place
+        return lambda at: F.when(F.coalesce(F.get(table, at + (n - 1)) < F.col("id"), F.lit(False)), at + n).otherwise(at)
+
     while step := step >> 1:
-        further = lambda at, n=step: F.when(F.coalesce(F.get(table, at + (n - 1)) < F.col("id"), F.lit(False)), at + n).otherwise(at)
-        below = F.get(F.transform(F.array(below), further), 0)
+        below = F.get(F.transform(F.array(below), further(step)), 0)
     bucket = F.when(F.col("id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - below).cast("int")
     placed = rows.select(bucket.alias("bucket"), "id", "text", "h")
     first = placed.groupBy("bucket").agg(F.max(F.struct("id", "h")).alias("top")).orderBy("bucket").collect()
@@ -147,7 +198,8 @@ def in_turn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     own = F.struct("bucket", F.lit(0).alias("spare"))
     at = F.explode(F.when(F.col("b").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("bucket"), F.lit(1).alias("spare"))))).alias("at")
     out = both.select(at, "id", "text", "h").select("at.bucket", "at.spare", "id", "text", "h")
-    return out.repartition("bucket").sortWithinPartitions("bucket", "spare", F.col("id").desc_nulls_last(), F.col("h").desc())
+    # a fixed number of partitions, which aren't put together by the bytes they read: the work on a text takes longer than to read it
+    return out.repartition(max(1, buckets // BUCKETS_OF_A_TASK), "bucket").sortWithinPartitions("bucket", "spare", F.col("id").desc_nulls_last(), F.col("h").desc())
 
 
 def edited(text: str, following: str) -> str:
@@ -167,15 +219,19 @@ def against_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         names = [x.split()[0] for x in schema.split(", ")]
-        out, now = [], None
+        out, now, known, held = [], None, ({}, {}), 0
         for batch in batches:
             for bucket, spare, key, text, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                following = (bucket, key, text, fingerprint(text))
+                # an edited text has most paragraphs and leaves of its two texts
+                following = (bucket, key, text, fingerprint(text, known))
                 if now and now[0] == bucket:
                     new = edited(now[2], text)
-                    tree = fingerprint(new)
+                    tree = fingerprint(new, known)
                     out.append((now[1], len(now[2]), hashlib.sha256(new.encode()).hexdigest(), now[3], tree, likeness(now[3], tree), likeness(now[3], following[3])))
                 now = None if spare else following
+                held += 2 * len(text)
+                if held > KNOWN:
+                    known, held = ({}, {}), 0
                 if len(out) >= OUT_ROWS:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
                     out = []

@@ -92,6 +92,33 @@ def test_fingerprints(spark, tmp_path):
     assert Counter(tuple(r) for r in got) == want
 
 
+def test_fingerprints_cut_as_their_patterns_and_once(monkeypatch):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("ab \n\n\t\r\x0b\0,()[];") for _ in range(rnd.randint(0, 60))) for _ in range(2000)]
+    for text in texts:
+        sections = fingerprints._SECTION.findall(text)
+        assert list(fingerprints._sections(text)) == sections
+        assert [fingerprints._paragraphs(s) for s in sections] == [fingerprints._PARAGRAPH.findall(s) for s in sections]
+    calls, own = [], fingerprints._digest
+    monkeypatch.setattr(fingerprints, "_digest", lambda *a: calls.append(a) or own(*a))
+    known = ({}, {})
+    a, b = ("\n".join(" ".join(f"{x}{k}.{i}" for i in range(16)) for k in range(50)) for x in "ab")
+    plain = [fingerprints.fingerprint(t) for t in (a, b, fingerprints.edited(a, b))]
+    assert [fingerprints.fingerprint(t, known) for t in (a, b)] == plain[:2]
+    calls.clear()
+    assert fingerprints.fingerprint(fingerprints.edited(a, b), known) == plain[2]
+    assert len(calls) < 10  # the paragraphs at the seam and the end, the section and the root; all 150 others are known
+
+
+def test_fingerprints_are_dealt_to_buckets_by_id(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_OF_A_BUCKET", 50)
+    rows = spark.range(2000).select((F.col("id") * 3 - 1000).alias("doc_id"), F.col("id").cast("string").alias("text")).repartition(5)
+    got = fingerprints.in_turn(rows.union(spark.createDataFrame([(None, "x")], "doc_id long, text string"))).where("spare = 0").groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).orderBy("bucket").collect()
+    assert len(got) > 30 and max(r.n for r in got) < 150
+    ends = [(r.low, r.high) for r in got[:-1]]
+    assert all(a[0] > b[1] for a, b in zip(ends, ends[1:])) and got[-1].high is None
+
+
 def test_fingerprints_over_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "ROWS_OF_A_BUCKET", 7)
     rows = [(k * k - 500, f"text {k} " * 3) for k in range(100)] + [(None, "without id")]
