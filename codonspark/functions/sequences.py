@@ -63,8 +63,9 @@ def translate_codon(codon: Column, table: int | str = 1) -> Column:
     letters = "".join(codes.IUPAC)
     index = (_digit(codon, 1, letters) * 225 + _digit(codon, 2, letters) * 15 + _digit(codon, 3, letters)).cast("int")
     known = F.length(F.translate(codon, letters, "")) == 0
-    return (F.when(F.length(F.translate(codon, GAPS, "")) == 0, "-").when(has_missing(codon), "X").when(unambiguous(codon), residue(codon, table))
-            .when(known, F.substr(F.lit(codes.ambiguous_residues(table)), index + 1, F.lit(1))).otherwise("X"))
+    # most codons are of A, C, G and T: they come first, so that the tests for the others aren't made for them
+    return F.coalesce(residue(codon, table), F.when(F.length(F.translate(codon, GAPS, "")) == 0, "-").when(has_missing(codon), "X").when(unambiguous(codon), F.lit(None).cast("string"))
+                      .when(known, F.substr(F.lit(codes.ambiguous_residues(table)), index + 1, F.lit(1))).otherwise("X"))
 
 
 def translate_cds(seq: Column, table: int | str = 1, to_stop: bool = False) -> Column:

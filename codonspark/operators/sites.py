@@ -7,10 +7,12 @@ then cut by the kept columns without being taken apart.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -371,41 +373,97 @@ def back_trim(cds: DataFrame, trimmed: DataFrame, table: int | str = 1) -> DataF
     A protein column takes the next codon column after the last taken one that translates to the same residues. A column is
     a digest over its sequences in input order; a task gets an alignment's two lists of digests, no sequences.
     """
-    left = cds.select(A, "id", "input_order", F.split(S.translate_cds(F.col("seq"), table), "").alias("aa"))
-    right = trimmed.select(A, "id", F.split(F.upper("seq"), "").alias("aa")).join(left.select(A, "id", "input_order"), [A, "id"])
-
-    def columns(rows: DataFrame, name: str) -> DataFrame:
-        # the sum of position-dependent hashes doesn't need the column's letters in one place
-        cells = rows.where(F.size("aa") > 0).select(A, "input_order", F.posexplode("aa").alias("site", "aa")).where("aa <> ''")
-        cell = lambda seed: F.sum(F.xxhash64("input_order", "aa", F.lit(seed)).cast("decimal(38,0)")).cast("string")
-        keyed = cells.groupBy(A, "site").agg(F.concat_ws("/", cell(1), cell(2)).alias("key"))
-        return keyed.groupBy(A).agg(F.transform(F.array_sort(F.collect_list(F.struct("site", "key"))), lambda x: x["key"]).alias(name))
+    left = cds.select(A, "id", "input_order", S.translate_cds(F.col("seq"), table).alias("aa"))
+    right = trimmed.select(A, "id", F.upper("seq").alias("aa")).join(cds.select(A, "id", "input_order"), [A, "id"])
+    kind = cds.schema[A].dataType.simpleString()
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for codon_keys, aa_keys in zip(batch["codon_keys"], batch["aa_keys"], strict=True):
-                free: dict[str, list[int]] = {}
-                for site, key in enumerate(codon_keys):
-                    free.setdefault(key, []).append(site)
-                last, kept = -1, []
-                for key in aa_keys:
-                    later = [s for s in free.get(key, ()) if s > last]
-                    if not later:
-                        if len(free.get(key, ())) == 1:
-                            del free[key]  # a single candidate out of order is given up
-                        continue
-                    last = later[0]
-                    kept.append(last)
-                    free[key].remove(last)
-                out.append(kept)
-            yield pd.DataFrame({A: batch[A], "sites": out})
+            yield pd.DataFrame({A: batch[A], "sites": [_next_sites(*keys) for keys in zip(batch["codon_keys"], batch["aa_keys"], strict=True)]})
 
-    kind = cds.schema[A].dataType.simpleString()
-    sites = columns(left, "codon_keys").join(columns(right, "aa_keys"), A).mapInPandas(match, f"{A} {kind}, sites array<int>")
+    sites = _column_keys(left, "codon_keys").join(_column_keys(right, "aa_keys"), A).mapInPandas(match, f"{A} {kind}, sites array<int>")
     return keep_sites(cds, sites)
 
 
+#: Columns whose sums a task holds before it hands them on, and bytes of a column's digest.
+HELD_COLUMNS, KEY = 1_000_000, 16
+
+
+def _next_sites(codon_keys: bytes, aa_keys: bytes) -> list[int]:
+    """For each protein column the next codon column after the last taken one with its digest, where there is one."""
+    places: dict[bytes, list[int]] = {}
+    for site in range(len(codon_keys) // KEY):
+        places.setdefault(codon_keys[site * KEY:(site + 1) * KEY], []).append(site)
+    last, kept = -1, []
+    for at in range(0, len(aa_keys), KEY):
+        own = places.get(aa_keys[at:at + KEY], ())
+        later = bisect_right(own, last)
+        if later < len(own):
+            last = own[later]
+            kept.append(last)
+    return kept
+
+
+def _column_keys(rows: DataFrame, name: str) -> DataFrame:
+    """(alignment_id, name): the digests of all columns of ``aa``, put together.
+
+    A column's digest is two sums of numbers that row, letter and sum give, so its letters needn't be in one place: tasks add
+    up their rows' columns, and one task adds up the sums of an alignment, a vector at a time.
+    """
+    kind = rows.schema[A].dataType.simpleString()
+    numbers = rows.select(A, "aa", *[F.xxhash64("input_order", F.lit(k)).alias(f"h{k}") for k in (1, 2)])
+    kinds = pa.schema([(A, numbers.limit(0).select(A).toArrow().schema.field(0).type), ("sums", pa.binary())])
+
+    def cells(aa: str, seeds: tuple[int, int]) -> np.ndarray:
+        letters = np.frombuffer(aa.encode("utf-32-le"), np.uint32)
+        own, at = (np.arange(128, dtype=np.uint64), letters) if letters.max() < 128 else np.unique(letters.astype(np.uint64), return_inverse=True)
+        x = np.array(seeds, np.int64).view(np.uint64)[:, None] + (own + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return (x ^ (x >> np.uint64(31))).T[at]
+
+    def add(sums: np.ndarray | None, more: np.ndarray) -> np.ndarray:
+        if sums is None or len(sums) < len(more):
+            sums, more = more.copy(), sums
+        if more is not None:
+            sums[:len(more)] += more  # modulo 2^64
+        return sums
+
+    def batch_of(held: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), kinds.field(0).type), pa.array([v.tobytes() for v in held.values()], pa.binary())], schema=kinds)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        size = 0
+        for batch in batches:
+            for key, aa, *seeds in zip(*(batch.column(k) for k in range(4)), strict=True):
+                if not (aa := aa.as_py()):  # a filter would translate once more
+                    continue
+                key = key.as_py()
+                before = len(held.get(key, ()))
+                held[key] = add(held.get(key), cells(aa, tuple(x.as_py() for x in seeds)))
+                size += len(held[key]) - before
+                if size > HELD_COLUMNS:
+                    yield batch_of(held)
+                    held, size = {}, 0
+        yield batch_of(held)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, None
+        for batch in batches:
+            for key, own in zip(batch.column(0), batch.column(1), strict=True):
+                key = key.as_py()
+                if sums is not None and key != now:
+                    yield batch_of({now: sums})
+                    sums = None
+                now, sums = key, add(sums, np.frombuffer(own.as_py(), np.uint64).reshape(-1, 2))
+        if sums is not None:
+            yield batch_of({now: sums})
+
+    schema = f"{A} {kind}, sums binary"
+    return numbers.mapInArrow(partial, schema).repartition(A).sortWithinPartitions(A).mapInArrow(whole, schema).withColumnRenamed("sums", name)
+
+
 def trim_report(seqs: DataFrame, min_clean_fraction: float = 0.5, table: int | str = 1) -> tuple[DataFrame, DataFrame]:
     """(one row an alignment, one row a codon column) of what trim_codons does.
 

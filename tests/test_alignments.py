@@ -206,6 +206,24 @@ def test_back_trim(spark):
     assert texts(sites.back_trim(cds, pep)) == ["CCTGCC", "TGTGCA", "CCT", "TGT", "ATG", "ATG", "", ""]
 
 
+def test_back_trim_of_many_equal_columns_and_digests_in_parts(spark, monkeypatch):
+    pairs = [("AAAA" * 3000, "ABAA" * 2000), ("ABC", ""), ("", "A"), ("AABAB", "BBBA"), ("ÄAÄ", "Ä")]
+    for codon, aa in pairs:  # the rule word by word: the next column after the last taken one
+        last, kept = -1, []
+        for x in aa:
+            last_ = codon.find(x, last + 1)
+            if last_ >= 0:
+                last = last_
+                kept.append(last)
+        assert sites._next_sites(*("".join(c.rjust(sites.KEY, "_") for c in w).encode("latin-1") for w in (codon, aa))) == kept
+    rnd = random.Random(5)
+    cds = align(spark, *[["".join(rnd.choice(("GCT", "TGT", "GCA", "---", "NNN")) for _ in range(9)) for _ in range(7)] for _ in range(4)])
+    trimmed = rows.translate(sites.trim_codons(cds))
+    whole = texts(sites.back_trim(cds, trimmed))
+    monkeypatch.setattr(sites, "HELD_COLUMNS", 5)
+    assert texts(sites.back_trim(cds, trimmed)) == whole and any(whole)
+
+
 def seqs(spark, items):
     return spark.createDataFrame([(k, i, s) for k, (i, s) in enumerate(items)], "input_order long, id string, seq string")
 
