@@ -382,7 +382,8 @@ def complete_columns(spark, sf_dir):
 
 @query(None)
 def back_trim(spark, sf_dir):
-    cds = document_alignments(spark, sf_dir).withColumn("id", F.col("input_order").cast("string"))
+    # read five times, made once
+    cds = stored(document_alignments(spark, sf_dir).withColumn("id", F.col("input_order").cast("string")), "alignments")
     return sites.back_trim(cds, rows.translate(sites.trim_codons(cds))).select("alignment_id", "input_order", "seq")
 
 
